@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import exact_dedup, quality
+from driftloom.llm import exact_dedup, line_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max", hash_all=True)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    lines AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+    frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.k IS NULL), '')) AS kept_sha256
+    FROM keyed LEFT JOIN frequent AS f ON keyed.k = f.k GROUP BY r, doc_id"""
+
+
 SQL_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
@@ -54,8 +68,8 @@ OP10_SQL = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": op3_sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op3_quality_rules": op3_sql(), "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
