@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import exact_dedup, line_dedup, near_dedup, packing, quality
+from driftloom.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max", hash_all=True)
 
 
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_block", "mix_epoch")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii")
+    base = F.filter(spans, lambda x: x["kind"].isin(*pii.BASE))
+    of_kind = lambda k: F.filter(spans, lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(spans).alias("spans"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +69,36 @@ OP9_SQL = r"""
 SQL_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def mix_sql(docs: str) -> str:
+    """The SQL of a mix of a table or common table expression; the bisection is written out step by step."""
+    steps, target = [], f"{mixing.ENTROPY_SHARE} * ln(n)"
+    measure = "(SELECT {what} FROM (SELECT sum(pow(p, {x})) AS s, sum(pow(p, {x}) * ln(p)) AS t, max(pow(p, {x}) / tokens) AS m FROM shares) AS z)"
+    entropy, repeats = "ln(s) - {x} * t / s", "m / s * (SELECT sum(tokens) FROM shares)"
+    for name, what, low_side in (("e", entropy, f">= (SELECT {target} FROM sizes)"), ("r", repeats, f"> {mixing.MAX_REPEATS}")):
+        steps.append(f"{name}0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)")
+        for i in range(mixing.STEPS):
+            x = f"(SELECT (lo + hi) / 2 FROM {name}{i})"
+            test = f"{measure.format(what=what.format(x=x), x=x)} {low_side}"
+            steps.append(f"{name}{i + 1} AS MATERIALIZED (SELECT CASE WHEN {test} THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN {test} THEN hi ELSE (lo + hi) / 2 END AS hi FROM {name}{i})")
+    one = measure.format(what=entropy.format(x=1.0), x=1.0)
+    last = mixing.STEPS
+    return rf"""
+    WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, source, md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '')) AS o, len({SQL_WORDS.format(text="coalesce(text, '')")}) + 1 AS tokens FROM {docs}),
+    sums AS (SELECT source, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM rows_ GROUP BY source),
+    shares AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens) FROM sums) AS p FROM sums), sizes AS (SELECT count(*) AS n FROM shares),
+    {", ".join(steps)},
+    by_entropy AS MATERIALIZED (SELECT CASE WHEN n < 2 OR {one} >= {target} THEN 1.0 ELSE (SELECT lo FROM e{last}) END AS x FROM sizes),
+    chosen AS MATERIALIZED (SELECT CASE WHEN (SELECT n FROM sizes) >= 2 AND {measure.format(what=repeats.format(x="x"), x="(SELECT x FROM by_entropy)")} > {mixing.MAX_REPEATS} THEN (SELECT hi FROM r{last}) ELSE x END AS x FROM by_entropy),
+    plan AS (SELECT source, w, ceil(docs / {mixing.BLOCK_DOCS})::BIGINT AS blocks, (SELECT sum(tokens) FROM shares) * w / tokens AS repeats
+      FROM (SELECT *, pow(p, (SELECT x FROM chosen)) / (SELECT sum(pow(p, (SELECT x FROM chosen))) FROM shares) AS w FROM shares)),
+    placed AS (SELECT rows_.*, w, repeats, ('0x' || substr(o, 25, 8))::BIGINT % blocks AS block FROM rows_ JOIN plan ON rows_.source IS NOT DISTINCT FROM plan.source),
+    summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block) * (repeats - floor(repeats)) AS part,
+      coalesce(sum(tokens) OVER (PARTITION BY source, block ORDER BY o, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed),
+    cut AS (SELECT *, max(CASE WHEN before + tokens / 2 < part THEN o END) OVER (PARTITION BY source, block) AS last FROM summed),
+    timed AS (SELECT *, floor(repeats)::BIGINT + CASE WHEN o <= last THEN 1 ELSE 0 END AS times FROM cut)
+    SELECT doc_id, source, tokens::BIGINT AS mix_tokens, round(w, 6) AS mix_weight, block AS mix_block, unnest(range(1, times + 1))::INT AS mix_epoch, r AS row_ FROM timed"""
+
+
 def op3_sql() -> str:
     text = "coalesce(text, '')"
     stop = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -82,8 +126,8 @@ OP10_SQL = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op8_near_dedup, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op6_temperature_mixing, op7_pii, op8_near_dedup, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": op3_sql(), "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_quality_rules": op3_sql(), "op6_temperature_mixing": f"SELECT * EXCLUDE (row_) FROM ({mix_sql('documents')})", "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
