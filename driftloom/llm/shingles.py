@@ -14,7 +14,6 @@ _rng = np.random.default_rng(SEED)
 _odd = lambda n: _rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACES = [0x20, *range(0x09, 0x0E)]
 _BYTE = _odd(256)
-_BYTE[_SPACES] = 0
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[_SPACES] = True
 _BASE = _odd(1)[0]
@@ -51,19 +50,24 @@ def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield own
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(a 64-bit hash of each word of each text, the index where each text's words begin plus the total)."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    space = _IS_SPACE[joined]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    bounds = np.concatenate([[0], np.searchsorted(starts, ends)])
+def runs(joined: np.ndarray, outside: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Where each maximal run of bytes not marked in outside starts, its 64-bit hash, and one of each of its prefixes of so many bytes; the last byte must be outside."""
+    out = outside[joined]
+    starts = np.flatnonzero(~out & np.concatenate([[True], out[:-1]]))
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return starts, *[np.zeros(0, np.uint64)] * (1 + len(prefixes))
     lengths = np.diff(np.append(starts, len(joined)))
     place = np.arange(starts[0], len(joined)) - np.repeat(starts, lengths)
-    value = _BYTE[joined[starts[0] :]] * _power_table(int(lengths.max()))[place]
-    return mix(np.add.reduceat(value, starts - starts[0])), bounds
+    value = np.where(outside, np.uint64(0), _BYTE)[joined[starts[0] :]] * _power_table(int(lengths.max()))[place]
+    sums = [np.add.reduceat(x, starts - starts[0]) + np.uint64(k) for k, x in ((0, value), *((k, value * (place < k)) for k in prefixes))]
+    return starts, *map(mix, sums)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word of each text, the index where each text's words begin plus the total)."""
+    starts, hashes = runs(np.frombuffer(b" ".join(texts) + b" ", np.uint8), _IS_SPACE)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.concatenate([[0], np.searchsorted(starts, ends)])
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
