@@ -85,12 +85,12 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, body: DataFrame, words: int, percent: int, broadcast_bytes: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold."""
+    """The rows of pairs (a, b, ..) whose full sets meet the threshold."""
     ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     sets = stage(_sets(body.join(maybe_broadcast(ids, 16, broadcast_bytes), "id", "left_semi"), words), "pair-sets")
     both = pairs.join(sets.toDF("a", "own_a"), "a").join(sets.toDF("b", "own_b"), "b")
     common = F.size(F.array_intersect("own_a", "own_b"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("own_a") + F.size("own_b") - F.col("common"))).select("a", "b")
+    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("own_a") + F.size("own_b") - F.col("common")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns per row: id, n_shingles, component_id (the least id reachable over links), kept (id = component_id). Texts with
     equal sets are one class from the start. Classes that agree in a band share a bucket. Each round, the members of
     buckets that still hold more than one component are compared exactly with a few representatives of their bucket, one in
-    the first rounds and four times as many each time after; representatives, having met everyone, leave. Rounds end when
+    the first two rounds and eight times as many each time after; representatives, having met everyone, leave. Rounds end when
     every bucket holds one component or no member is left. So a large group of copies costs one comparison a
     member, while nothing is capped: a bucket of texts that are not similar is compared in full, over several rounds.
 
@@ -118,36 +118,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = maybe_broadcast(stage(buckets, "buckets"), 16, broadcast_bytes)
     members = stage(exploded.join(buckets, "band", "left_semi").select("band", "id", F.col("n_shingles").alias("n"), (F.col("b") < FIRST_BANDS).alias("early")).distinct(), "bucket-members")
 
-    links = found = tried = None
-    turn, per_bucket = 0, 1
+    found, tried, turn, per_bucket = None, None, 0, 1
     while True:
         labelled = members.where("early") if turn == 0 else members
         if found is None:
             labelled = labelled.withColumn("c", F.col("id"))
         else:
             labelled = labelled.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        labelled = stage(labelled, "labelled")
         mixed = stage(labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"), "mixed")
-        live = stage(labelled.join(mixed, "band", "left_semi"), "live")
-        if live.isEmpty():
-            if turn == 0:
-                turn = 1
-                continue
+        live = stage(labelled.join(maybe_broadcast(mixed, 16, broadcast_bytes), "band", "left_semi"), "live")
+        if turn and live.isEmpty():
             break
         slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(per_bucket))
         reps = stage(live.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "n", "c")).alias("rep")).select("band", "rep"), "bucket-reps")
         size = 100 * F.least("n", "rep.n") >= percent * F.greatest("n", "rep.n")
-        pairs = live.join(reps, "band").where((F.col("c") != F.col("rep.c")) & size).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b")).distinct()
+        pairs = live.join(reps, "band").where((F.col("c") != F.col("rep.c")) & size).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"), F.least("c", "rep.c").alias("ca"), F.greatest("c", "rep.c").alias("cb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        good = stage(_verified(pairs, body, words, percent, broadcast_bytes), "verified")
-        links = good if links is None else links.unionByName(good)
-        found = stage(components(links), "components")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        # Components are contracted: new links join component ids, old members follow theirs.
+        good = _verified(pairs, body, words, percent, broadcast_bytes).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        new = components(good)
+        if found is None:
+            found = stage(new, "components")
+        else:
+            new = stage(new, "new-components").toDF("component", "to")
+            moved = found.join(new, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("to", "component").alias("component"))
+            found = stage(moved, "components")
         if turn:  # the early bands come again with the others, so their representatives stay
-            members = stage(live.join(reps.select("band", F.col("rep.id").alias("id")), ["band", "id"], "left_anti").drop("c"), "bucket-members")
-            per_bucket = 1 if turn < 2 else per_bucket * 4
+            members = live.join(reps.select("band", F.col("rep.id").alias("id")), ["band", "id"], "left_anti").drop("c")
+            per_bucket *= 8
         turn += 1
 
     named = signed.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
