@@ -16,8 +16,8 @@ from driftloom.llm.common import text_of
 #: Hashed features: each word and its beginnings of so many bytes.
 FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6)
-#: The training sample holds at most so many labelled documents, those first by a hash of their id.
-TRAIN_DOCS = 6_000
+#: The training sample holds at most so many labelled documents, a third of them toxic, those first by a hash of their id.
+TRAIN_DOCS = 3_600
 #: A training document of more words gives so many to the fit, in whole sentences; scoring reads every text whole.
 TRAIN_WORDS = 20_000
 STEPS = 100
@@ -25,8 +25,8 @@ RATE = 0.05
 DECAY = 1e-4
 #: A feature needs so many documents of the sample.
 MIN_DOCS = 4
-#: A toxic document counts so many times in the loss, as toxic ones are few.
-TOXIC_WEIGHT = 4.0
+#: A toxic document counts so many times in the loss.
+TOXIC_WEIGHT = 1.0
 START_BIAS = -5.0
 
 _ENDS = np.zeros(256, bool)
@@ -75,14 +75,16 @@ def fit(labels: np.ndarray, features: np.ndarray, sentence: np.ndarray, text: np
     labels where those are clearly positive, so that the search begins at the sentences that set the toxic documents apart.
     """
     n, size = len(labels), 1 << FEATURE_BITS
-    flat, where = features.ravel(), np.repeat(sentence, features.shape[1])
-    of_doc = np.unique(text[where] * np.int64(size) + flat)
-    doc, feature = of_doc >> FEATURE_BITS, of_doc & (size - 1)
-    seen, toxic = np.bincount(feature, minlength=size), np.bincount(feature, labels[doc], size)
+    flat, where = features.ravel(), np.repeat(sentence.astype(np.int32), features.shape[1])
+    seen, toxic = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for doc, own in enumerate(np.split(features, np.searchsorted(text[sentence], np.arange(1, n)))):
+        own = np.unique(own)
+        seen[own] += 1
+        toxic[own] += labels[doc]
     base = max(labels.mean(), 1e-6)
     odds = np.log((toxic + 2 * base) / (seen - toxic + 2 * (1 - base))) - np.log(base / (1 - base))
     known = np.flatnonzero(seen >= min_docs)
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[known] = np.arange(len(known))
     flat = place[flat]
     flat, where = flat[flat >= 0], where[flat >= 0]
@@ -122,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample is chosen among the labels, so that only its ids, of a fixed number, are broadcast and only its words reach the driver.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(train_docs)
+    first = lambda label, n: chosen.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(n)
+    chosen = first(1, train_docs // 3).unionByName(first(0, train_docs - train_docs // 3))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
     table = _features(rows).toArrow()
     y = table["label"].to_numpy()
