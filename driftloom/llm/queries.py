@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, toxicity
+from driftloom.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max", hash_all=True)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -134,7 +138,7 @@ OP10_SQL = """
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op5_toxicity, op6_temperature_mixing, op7_pii, op8_near_dedup, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op4_repeated_passages, op5_toxicity, op6_temperature_mixing, op7_pii, op8_near_dedup, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
