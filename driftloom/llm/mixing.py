@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import BROADCAST_BYTES, WORD, maybe_broadcast, stage, text_of
 
 #: Target entropy of the weights, as a share of the entropy of equal weights.
-ENTROPY_SHARE = 0.99
+ENTROPY_SHARE = 0.95
 #: No source may be repeated more often than this.
 MAX_REPEATS = 4.0
 #: Halvings of the exponent's interval.
