@@ -19,10 +19,15 @@ BATCHES = 4
 FANOUT = 2
 
 
+def stripped(line: Column) -> Column:
+    """The line without ASCII white space at its ends."""
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends, A-Z in lower case."""
-    stripped = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.translate(stripped, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A stripped line with A-Z in lower case. Spark's lower does just that unless other capitals stand in the line."""
+    plain = (F.octet_length(line) == F.char_length(line)) | ~line.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]")
+    return F.when(plain, F.lower(line)).otherwise(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _hashes(key: Column) -> Column:
@@ -32,7 +37,8 @@ def _hashes(key: Column) -> Column:
 
 def line_hashes(text: Column) -> Column:
     """The array of the hashes of a text's lines, in order; null where a key is empty."""
-    return F.transform(F.split(text, "\n", -1), lambda x: _hashes(line_key(x)))
+    keys = F.transform(F.transform(F.split(text, "\n", -1), stripped), line_key)
+    return F.transform(keys, _hashes)
 
 
 class LineRuns:
