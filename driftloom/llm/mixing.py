@@ -16,7 +16,7 @@ MAX_REPEATS = 4.0
 #: Halvings of the exponent's interval.
 STEPS = 20
 #: Documents in a block of a permutation, about.
-BLOCK_DOCS = 20_000
+BLOCK_DOCS = 2_000
 SEED = "mix"
 ADDED = ("mix_tokens", "mix_weight", "mix_block", "mix_epoch")
 
