@@ -90,5 +90,5 @@ def drift_counts(diff: DataFrame) -> DataFrame:
 
 def fold_columns(rows: DataFrame, group: Sequence[str], order: str = "ordinal", column: str = "column") -> DataFrame:
     """Catalog rows of one column each, folded to ordered arrays per object, as indexes and foreign keys are kept."""
-    folded = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, column))).alias("k"))
-    return folded.select(*group, F.transform("k", lambda x: x[column]).alias("columns"))
+    folded = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, column))).alias("_members"))
+    return folded.select(*group, F.transform("_members", lambda x: x[column]).alias("columns"))

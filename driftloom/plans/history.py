@@ -18,6 +18,7 @@ from driftloom.plans.catalog import Schema
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import Drift, schema_drift
 from driftloom.plans.migration import Gates, migration_script
+from driftloom.sources.staging import stage
 
 
 @dataclass
@@ -158,7 +159,8 @@ def commit_depths(commits: DataFrame) -> DataFrame:
     jump = commits.select("hash", F.coalesce("parent", "hash").alias("to"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     while True:
         ahead = jump.select(F.col("hash").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        moved = jump.join(ahead, "to").select("hash", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")).checkpoint()
+        moved = jump.join(ahead, "to").select("hash", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+        moved = stage(moved, "depths")
         if moved.where("moved").isEmpty():
             return moved.select("hash", F.col("to").alias("root"), "depth")
         jump = moved.drop("moved")

@@ -1,4 +1,447 @@
-"""Registered queries and their SQL."""
+"""The registered queries over the given tables, with the SQL that must give the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The dev side of each table is derived in both languages by the same rule: rows whose key is divisible by 10 are gone, those
+whose key is divisible by 7 have one column changed, and rows whose key is divisible by 13 come again under a key raised by 10**9.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.functions.ignore import column_ignorer
+from driftloom.operators import celldiff, patch, resolve, rowdiff
+from driftloom.plans import history
+from driftloom.plans.dialects import Dialect
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+RAISE = 1_000_000_000
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+@dataclass(frozen=True)
+class Spec:
+    """A table whose dev side is derived: its integer key and the text column that changes."""
+
+    table: str
+    key: str
+    change: str
+    others: tuple[str, ...]
+
+    @property
+    def columns(self) -> list[str]:
+        return [self.key, *sorted((self.change, *self.others))]
+
+    def prod(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+
+    def dev(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, key = self.prod(spark, sf_dir), F.col(self.key)
+        stay = df.where(key % 10 != 0).withColumn(self.change, F.when(key % 7 == 0, F.concat(F.col(self.change), F.lit("*"))).otherwise(F.col(self.change)))
+        return stay.unionByName(df.where(key % 13 == 0).withColumn(self.key, (key + RAISE).cast(df.schema[self.key].dataType)))
+
+    def sides(self, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+        return self.prod(spark, sf_dir), self.dev(spark, sf_dir), [self.key]
+
+    def dev_sql(self) -> str:
+        k, others = self.key, ", ".join(self.others)
+        return f"(SELECT {k}, CASE WHEN {k} % 7 = 0 THEN {self.change} || '*' ELSE {self.change} END AS {self.change}, {others} FROM {self.table} WHERE {k} % 10 <> 0 UNION ALL SELECT {k} + {RAISE}, {self.change}, {others} FROM {self.table} WHERE {k} % 13 = 0)"
+
+    def diff_sql(self, columns: list[str] | None = None, where: str = "") -> str:
+        """The row differences, all statuses."""
+        return diff_sql([self.key], f"(SELECT * FROM {self.table})", self.dev_sql(), columns or self.columns, where)
+
+
+def hash_sql(columns: list[str]) -> str:
+    return "sha256(" + " || ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '<nil>') || chr(10)" for c in columns) + ")"
+
+
+def key_sql(key: list[str], of: str = "") -> str:
+    return " || '|' || ".join(f"coalesce(CAST({of}{k} AS VARCHAR), '<nil>')" for k in key)
+
+
+def diff_sql(key: list[str], prod: str, dev: str, columns: list[str], where: str = "", dev_columns: list[str] | None = None) -> str:
+    keys = ", ".join(f"coalesce(p.{k}, d.{k}) AS {k}" for k in key)
+    on = " AND ".join(f"p.{k} = d.{k}" for k in key)
+    row_key = " || '|' || ".join(f"CAST(coalesce(p.{k}, d.{k}) AS VARCHAR)" for k in key)
+    names = ", ".join(key)
+    return f"""SELECT * FROM (SELECT {keys}, {row_key} AS row_key, CASE WHEN p.h IS NULL THEN 'added' WHEN d.h IS NULL THEN 'removed' ELSE 'updated' END AS status, p.h AS prod_hash, d.h AS dev_hash
+      FROM (SELECT {names}, {hash_sql(columns)} AS h FROM {prod}) AS p FULL JOIN (SELECT {names}, {hash_sql(dev_columns or columns)} AS h FROM {dev}) AS d ON {on} WHERE p.h IS DISTINCT FROM d.h) {where}"""
+
+
+CUSTOMER = Spec("customer", "c_custkey", "c_name", ("c_acctbal", "c_mktsegment", "c_nationkey"))
+ORDERS = Spec("orders", "o_orderkey", "o_orderstatus", ("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"))
+SUPPLIER = Spec("supplier", "s_suppkey", "s_name", ("s_acctbal", "s_nationkey"))
+PART = Spec("part", "p_partkey", "p_name", ("p_brand", "p_retailprice", "p_size", "p_type"))
+NATION = Spec("nation", "n_nationkey", "n_name", ("n_regionkey",))
+ALL = (CUSTOMER, ORDERS, SUPPLIER, PART, NATION)
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+LINE_COLUMNS = [*LINE_KEY, "l_discount", "l_linestatus", "l_quantity", "l_returnflag", "l_shipdate", "l_tax"]
+
+# --- rows
+
+
+@query(f"SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS row_key, {hash_sql(CUSTOMER.columns)} AS row_hash FROM customer")
+def row_hash_customer(spark, d):
+    return rowdiff.hashed(CUSTOMER.prod(spark, d), ["c_custkey"])
+
+
+@query(f"SELECT conv_id, turn, {key_sql(['conv_id', 'turn'])} AS row_key, {hash_sql(['conv_id', 'turn', 'role', 'text'])} AS row_hash FROM conversations")
+def row_key_composite(spark, d):
+    return rowdiff.hashed(spark.read.parquet(f"{d}/conversations.parquet"), ["conv_id", "turn"])
+
+
+@query("SELECT c_custkey, sha256(" + " || ".join(f"'{c}=' || coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-1:') || chr(10)" for c in CUSTOMER.columns) + ") AS row_hash FROM customer")
+def row_hash_safe(spark, d):
+    return rowdiff.hashed(CUSTOMER.prod(spark, d), ["c_custkey"], mode="safe").drop("row_key")
+
+
+@query(CUSTOMER.diff_sql())
+def row_diff_all(spark, d):
+    return rowdiff.row_diff(*CUSTOMER.sides(spark, d))
+
+
+@query(ORDERS.diff_sql(where="WHERE status = 'added'"))
+def row_diff_added(spark, d):
+    return rowdiff.row_diff(*ORDERS.sides(spark, d), status="added")
+
+
+@query(SUPPLIER.diff_sql(where="WHERE status = 'removed'"))
+def row_diff_removed(spark, d):
+    return rowdiff.row_diff(*SUPPLIER.sides(spark, d), status="removed")
+
+
+@query(ORDERS.diff_sql(where="WHERE status = 'updated'"))
+def row_diff_updated(spark, d):
+    return rowdiff.row_diff(*ORDERS.sides(spark, d), status="updated")
+
+
+def _conflicts_sql(specs=(ORDERS,)) -> str:
+    return " UNION ALL ".join(f"SELECT '{s.table}' AS \"table\", row_key, prod_hash, dev_hash FROM ({s.diff_sql()}) WHERE status = 'updated'" for s in specs)
+
+
+def _conflicts(spark, d, specs=(ORDERS,)) -> DataFrame:
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [rowdiff.conflicts(*s.sides(spark, d), s.table) for s in specs])
+
+
+@query(_conflicts_sql())
+def conflicts(spark, d):
+    return _conflicts(spark, d)
+
+
+@query(diff_sql(["conv_id", "turn"], "conversations", "(SELECT conv_id, turn, role, CASE WHEN conv_id % 7 = 0 THEN text || '*' ELSE text END AS text FROM conversations WHERE NOT (conv_id % 10 = 0 AND turn = 0))", ["conv_id", "turn", "role", "text"]))
+def row_diff_composite_pk(spark, d):
+    prod = spark.read.parquet(f"{d}/conversations.parquet")
+    dev = prod.where(~((F.col("conv_id") % 10 == 0) & (F.col("turn") == 0))).withColumn("text", F.when(F.col("conv_id") % 7 == 0, F.concat("text", F.lit("*"))).otherwise(F.col("text")))
+    return rowdiff.row_diff(prod, dev, ["conv_id", "turn"])
+
+
+@query(diff_sql(LINE_KEY, "lineitem", "(SELECT * REPLACE (CASE WHEN l_orderkey % 7 = 0 THEN l_returnflag || '*' ELSE l_returnflag END AS l_returnflag) FROM lineitem WHERE l_orderkey % 10 <> 0)", LINE_COLUMNS))
+def row_diff_lineitem(spark, d):
+    prod = spark.read.parquet(f"{d}/lineitem.parquet")
+    dev = prod.where(F.col("l_orderkey") % 10 != 0).withColumn("l_returnflag", F.when(F.col("l_orderkey") % 7 == 0, F.concat("l_returnflag", F.lit("*"))).otherwise(F.col("l_returnflag")))
+    return rowdiff.row_diff(prod, dev, LINE_KEY)
+
+
+@query(PART.diff_sql(["p_partkey", "p_brand", "p_retailprice", "p_size", "p_type"]))
+def row_diff_ignore_columns(spark, d):
+    ignored = column_ignorer(["part.p_na*"])
+    return rowdiff.row_diff(*PART.sides(spark, d), ignored=lambda c: ignored("part", c))
+
+
+_EXTRA = f"(SELECT *, c_nationkey * 2 AS c_extra FROM {CUSTOMER.dev_sql()})"
+
+
+@query(diff_sql(["c_custkey"], "customer", _EXTRA, CUSTOMER.columns, dev_columns=["c_custkey", "c_acctbal", "c_extra", "c_mktsegment", "c_name", "c_nationkey"]))
+def row_diff_schema_drift_all(spark, d):
+    p, dev, k = CUSTOMER.sides(spark, d)
+    return rowdiff.row_diff(p, dev.withColumn("c_extra", F.col("c_nationkey") * 2), k)
+
+
+@query(CUSTOMER.diff_sql())
+def row_diff_intersection(spark, d):
+    p, dev, k = CUSTOMER.sides(spark, d)
+    return rowdiff.row_diff(p, dev.withColumn("C_EXTRA", F.col("c_nationkey") * 2), k, on_drift="intersect")
+
+
+@query(diff_sql(["o_orderkey"], "orders", "(SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority) FROM orders)", ORDERS.columns))
+def row_diff_null_values(spark, d):
+    prod = ORDERS.prod(spark, d)
+    return rowdiff.row_diff(prod, prod.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority"))), ["o_orderkey"])
+
+
+_UNION = " UNION ALL ".join(f"SELECT '{s.table}' AS \"table\", row_key, status, prod_hash, dev_hash FROM ({s.diff_sql()})" for s in ALL)
+_COUNTS = "count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'updated') AS updated"
+
+
+def _all_diffs(spark, d) -> DataFrame:
+    return rowdiff.diff_tables({s.table: s.sides(spark, d) for s in ALL})
+
+
+@query(f'SELECT "table", {_COUNTS} FROM ({_UNION}) GROUP BY "table"')
+def diff_counts_by_table(spark, d):
+    return rowdiff.diff_counts(_all_diffs(spark, d))
+
+
+@query(f'SELECT count(DISTINCT "table") AS tables, {_COUNTS}, count(*) AS total FROM ({_UNION})')
+def diff_totals(spark, d):
+    return rowdiff.diff_totals(_all_diffs(spark, d))
+
+
+@query(f'SELECT "table", row_key, status, prod_hash, dev_hash, position FROM (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY CASE status WHEN \'updated\' THEN 0 WHEN \'removed\' THEN 1 ELSE 2 END, row_key) AS position FROM ({_UNION})) WHERE position <= 20')
+def row_diff_limit_per_table(spark, d):
+    return celldiff.limit_per_table(_all_diffs(spark, d), 20)
+
+
+@query(f'SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "table", status ORDER BY row_key) AS position FROM ({_UNION})) WHERE position <= 100')
+def key_lists_limited(spark, d):
+    return celldiff.limit_keys(_all_diffs(spark, d), 100)
+
+
+_LINE_MULTI = "(SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem)"
+_LINE_DEV = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag FROM lineitem WHERE l_orderkey % 10 <> 0)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN n > 0 THEN 'removed' ELSE 'added' END AS status, abs(n)::BIGINT AS copies FROM (SELECT l_orderkey, l_linenumber, l_returnflag, sum(n) AS n FROM (SELECT *, 1 AS n FROM {_LINE_MULTI} UNION ALL SELECT *, -1 FROM {_LINE_DEV}) GROUP BY ALL) WHERE n <> 0")
+def multiset_diff(spark, d):
+    prod = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag")
+    dev = prod.where(F.col("l_orderkey") % 10 != 0).withColumn("l_returnflag", F.when(F.col("l_orderkey") % 7 == 0, "X").otherwise(F.col("l_returnflag")))
+    return rowdiff.multiset_diff(prod, dev)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return rowdiff.duplicate_keys(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+
+
+# --- reading by key
+
+
+@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 500")
+def keyset_page_first(spark, d):
+    return rowdiff.keyset_page(ORDERS.prod(spark, d), ["o_orderkey"], 500)
+
+
+@query("SELECT * FROM orders WHERE o_orderkey > 300 ORDER BY o_orderkey LIMIT 500")
+def keyset_page_next(spark, d):
+    return rowdiff.keyset_page(ORDERS.prod(spark, d), ["o_orderkey"], 500, [300])
+
+
+@query("SELECT * FROM conversations WHERE (conv_id, turn) > (3, 1) ORDER BY conv_id, turn LIMIT 100")
+def keyset_page_composite(spark, d):
+    return rowdiff.keyset_page(spark.read.parquet(f"{d}/conversations.parquet"), ["conv_id", "turn"], 100, [3, 1])
+
+
+@query("SELECT * FROM customer WHERE c_custkey = 77")
+def row_lookup(spark, d):
+    return rowdiff.row_lookup(CUSTOMER.prod(spark, d), {"c_custkey": 77})
+
+
+@query("SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
+def rows_for_keys(spark, d):
+    keys = ORDERS.prod(spark, d).where(F.col("o_orderkey") % 7 == 0).select(F.col("o_custkey").alias("c_custkey"))
+    return rowdiff.rows_for_keys(CUSTOMER.prod(spark, d), keys, ["c_custkey"])
+
+
+# --- cells
+
+_CELLS = "SELECT k.row_key, k.status, c AS \"column\", p.v AS prod_value, d.v AS dev_value, p.v IS DISTINCT FROM d.v AS differs FROM ({diff}) AS k CROSS JOIN (VALUES {names}) AS n(c) LEFT JOIN {prod} AS p ON p.{key} = k.{key} AND p.n = c LEFT JOIN {dev} AS d ON d.{key} = k.{key} AND d.n = c"
+
+
+def _long(table: str, key: str, columns: list[str]) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT {key}, '{c}' AS n, CAST({c} AS VARCHAR) AS v FROM {table}" for c in columns) + ")"
+
+
+_CELL_SQL = _CELLS.format(diff=CUSTOMER.diff_sql(), names=", ".join(f"('{c}')" for c in CUSTOMER.columns), key="c_custkey", prod=_long("customer", "c_custkey", CUSTOMER.columns), dev=_long(CUSTOMER.dev_sql(), "c_custkey", CUSTOMER.columns))
+
+
+def _cells(spark, d) -> DataFrame:
+    p, dev, k = CUSTOMER.sides(spark, d)
+    return celldiff.cell_diff(rowdiff.row_diff(p, dev, k), p, dev, k)
+
+
+@query(_CELL_SQL)
+def cell_diff_long(spark, d):
+    return _cells(spark, d)
+
+
+@query(f"SELECT row_key, list(DISTINCT \"column\" ORDER BY \"column\") AS columns FROM ({_CELL_SQL}) WHERE differs GROUP BY row_key")
+def differing_columns(spark, d):
+    return celldiff.differing_columns(_cells(spark, d))
+
+
+@query('SELECT \'77\' AS row_key, \'updated\' AS status, n AS "column", v AS prod_value, CASE WHEN n = \'c_name\' THEN v || \'*\' ELSE v END AS dev_value, n = \'c_name\' AS differs FROM ' + _long("customer", "c_custkey", CUSTOMER.columns) + " WHERE c_custkey = 77")
+def key_detail(spark, d):
+    p, dev, k = CUSTOMER.sides(spark, d)
+    return celldiff.key_detail(p, dev, {"c_custkey": 77})
+
+
+# --- resolution
+
+_THREE = (CUSTOMER, ORDERS, SUPPLIER)
+_STRATEGY = "CASE \"table\" WHEN 'customer' THEN 'ours' WHEN 'orders' THEN 'theirs' ELSE 'manual' END"
+_RESOLVED_SQL = f"SELECT *, CASE strategy WHEN 'ours' THEN 'keep_prod' WHEN 'theirs' THEN 'use_dev' ELSE 'pending' END AS decision, strategy <> 'manual' AS resolved FROM (SELECT *, {_STRATEGY} AS strategy FROM ({_conflicts_sql(_THREE)}))"
+
+
+def _resolved(spark, d) -> DataFrame:
+    strategies = spark.createDataFrame([("customer", "ours", 0), ("orders", "theirs", 1), ("orders", "ours", 2)], "table string, strategy string, ord int")
+    return resolve.apply_strategies(_conflicts(spark, d, _THREE), strategies)
+
+
+@query(_RESOLVED_SQL)
+def apply_strategies(spark, d):
+    return _resolved(spark, d)
+
+
+@query(f"SELECT decision, count(*) AS n FROM ({_RESOLVED_SQL}) GROUP BY decision")
+def count_by_decision(spark, d):
+    return resolve.count_by(_resolved(spark, d), "decision")
+
+
+@query(f"SELECT strategy, count(*) AS n FROM ({_RESOLVED_SQL}) GROUP BY strategy")
+def count_by_strategy(spark, d):
+    return resolve.count_by(_resolved(spark, d), "strategy")
+
+
+@query(f'SELECT strategy, decision, "table", count(*) AS n, count(*) FILTER (resolved) AS n_resolved FROM ({_RESOLVED_SQL}) GROUP BY GROUPING SETS ((strategy), (decision), ("table"), ())')
+def resolution_summary(spark, d):
+    return resolve.summary(_resolved(spark, d))
+
+
+@query(f'SELECT "table", min(strategy) AS strategy, count(*) FILTER (decision = \'keep_prod\') AS keep_prod, count(*) FILTER (decision = \'use_dev\') AS use_dev, count(*) FILTER (decision = \'pending\') AS pending, count(*) AS total FROM ({_RESOLVED_SQL}) GROUP BY "table"')
+def resolution_breakdown(spark, d):
+    return resolve.breakdown(_resolved(spark, d))
+
+
+@query(f"SELECT \"table\", row_key, prod_hash, dev_hash FROM ({_RESOLVED_SQL}) WHERE NOT resolved")
+def filter_resolved(spark, d):
+    return resolve.still_open(_conflicts(spark, d, _THREE), _resolved(spark, d))
+
+
+@query(f"SELECT \"table\", row_key, prod_hash, dev_hash FROM ({_RESOLVED_SQL}) WHERE resolved")
+def filter_unresolved(spark, d):
+    return resolve.already_resolved(_conflicts(spark, d, _THREE), _resolved(spark, d))
+
+
+_ALL_DECIDED = f"SELECT u.*, CASE WHEN status = 'updated' THEN r.decision END AS decision FROM ({_UNION}) AS u LEFT JOIN ({_RESOLVED_SQL}) AS r ON u.\"table\" = r.\"table\" AND u.row_key = r.row_key"
+
+
+@query(f'SELECT "table", row_key, status, prod_hash, dev_hash FROM ({_ALL_DECIDED}) WHERE decision IS NULL OR decision = \'use_dev\'')
+def filter_diff_by_resolutions(spark, d):
+    return resolve.filter_diff(_all_diffs(spark, d), _resolved(spark, d))
+
+
+@query(f"SELECT decision, count(*) AS n FROM ({_ALL_DECIDED}) WHERE decision IN ('keep_prod', 'pending') GROUP BY decision")
+def excluded_counts(spark, d):
+    return resolve.excluded_counts(_all_diffs(spark, d), _resolved(spark, d))
+
+
+def _saved(spark, d) -> DataFrame:
+    return _resolved(spark, d).where(F.col("row_key").cast("long") % 2 == 0)
+
+
+@query(f"SELECT c.\"table\", c.row_key, c.prod_hash, c.dev_hash, coalesce(s.strategy, 'manual') AS strategy, coalesce(s.decision, 'pending') AS decision, coalesce(s.resolved, false) AS resolved FROM ({_conflicts_sql(_THREE)}) AS c LEFT JOIN (SELECT * FROM ({_RESOLVED_SQL}) WHERE CAST(row_key AS BIGINT) % 2 = 0) AS s ON c.\"table\" = s.\"table\" AND c.row_key = s.row_key")
+def merge_resolutions(spark, d):
+    return resolve.merge_resolutions(_saved(spark, d), _conflicts(spark, d, _THREE))
+
+
+@query(f"SELECT \"table\", row_key, prod_hash, dev_hash, CASE WHEN NOT resolved AND \"table\" = 'supplier' THEN 'theirs' ELSE strategy END AS strategy, CASE WHEN NOT resolved AND \"table\" = 'supplier' THEN 'use_dev' ELSE decision END AS decision, resolved OR \"table\" = 'supplier' AS resolved FROM ({_RESOLVED_SQL})")
+def bulk_resolution(spark, d):
+    return resolve.bulk_resolve(_resolved(spark, d), "theirs", "supplier")
+
+
+@query(f'SELECT "table", min(row_key) AS first FROM ({_RESOLVED_SQL}) GROUP BY "table"')
+def table_order(spark, d):
+    return resolve.table_order(_resolved(spark, d), "row_key")
+
+
+@query(f'SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY row_key) AS position FROM ({_RESOLVED_SQL}) WHERE NOT resolved')
+def pending_position(spark, d):
+    return resolve.pending_position(_resolved(spark, d))
+
+
+# --- patches
+
+
+def _customer_patch(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    p, dev, k = CUSTOMER.sides(spark, d)
+    diff = rowdiff.row_diff(p, dev, k)
+    return p, patch.patch_deletes(diff, k), patch.patch_upserts(diff, dev, k), k
+
+
+@query(f"SELECT c_custkey FROM ({CUSTOMER.diff_sql()}) WHERE status IN ('removed', 'updated')")
+def patch_deletes(spark, d):
+    return _customer_patch(spark, d)[1]
+
+
+@query(f"SELECT * FROM {CUSTOMER.dev_sql()} WHERE c_custkey IN (SELECT c_custkey FROM ({CUSTOMER.diff_sql()}) WHERE status IN ('added', 'updated'))")
+def patch_upserts(spark, d):
+    return _customer_patch(spark, d)[2]
+
+
+@query(f"SELECT * FROM {CUSTOMER.dev_sql()}")
+def apply_patch(spark, d):
+    return patch.apply_patch(*_customer_patch(spark, d))
+
+
+@query("SELECT c_custkey, '' AS row_key, '' AS status, '' AS prod_hash, '' AS dev_hash FROM customer WHERE false")
+def roundtrip_is_empty(spark, d):
+    return rowdiff.row_diff(patch.apply_patch(*_customer_patch(spark, d)), CUSTOMER.dev(spark, d), ["c_custkey"])
+
+
+_LITERAL = "coalesce('''' || replace(CAST({c} AS VARCHAR), '''', '''''') || '''', 'NULL')"
+
+
+@query(f"SELECT s_suppkey, 'DELETE FROM \"supplier\" WHERE \"s_suppkey\" = ' || {_LITERAL.format(c='s_suppkey')} || ';' AS stmt FROM ({SUPPLIER.diff_sql()}) WHERE status IN ('removed', 'updated')")
+def pack_delete_sql(spark, d):
+    diff = rowdiff.row_diff(*SUPPLIER.sides(spark, d))
+    return patch.delete_statements(patch.patch_deletes(diff, ["s_suppkey"]), "supplier", ["s_suppkey"], Dialect("postgres"))
+
+
+_NAMES = ", ".join(f'"{c}"' for c in SUPPLIER.columns)
+_VALUES = " || ', ' || ".join(_LITERAL.format(c=c) for c in SUPPLIER.columns)
+
+
+@query(f"SELECT s_suppkey, 'INSERT INTO \"supplier\" ({_NAMES}) VALUES (' || {_VALUES} || ');' AS stmt FROM {SUPPLIER.dev_sql()} WHERE s_suppkey IN (SELECT s_suppkey FROM ({SUPPLIER.diff_sql()}) WHERE status IN ('added', 'updated'))")
+def pack_insert_sql(spark, d):
+    p, dev, k = SUPPLIER.sides(spark, d)
+    return patch.insert_statements(patch.patch_upserts(rowdiff.row_diff(p, dev, k), dev, k), "supplier", k, Dialect("postgres"))
+
+
+@query(
+    f"""SELECT batch, n_rows, 'UPDATE "supplier" SET "s_name" = CASE ' || cases || ' ELSE "s_name" END WHERE ' || keys || ';' AS stmt FROM (
+    SELECT s_suppkey % 16 AS batch, count(*) AS n_rows, string_agg('WHEN ("s_suppkey" = ' || {_LITERAL.format(c='s_suppkey')} || ') THEN ' || {_LITERAL.format(c='s_name')}, ' ' ORDER BY s_suppkey) AS cases,
+    string_agg('("s_suppkey" = ' || {_LITERAL.format(c='s_suppkey')} || ')', ' OR ' ORDER BY s_suppkey) AS keys FROM supplier GROUP BY 1)"""
+)
+def backfill_batches(spark, d):
+    return patch.backfill_by_hash(SUPPLIER.prod(spark, d), "supplier", ["s_suppkey"], ["s_name"], Dialect("postgres"), 16)
+
+
+# --- history
+
+
+@query("WITH RECURSIVE c AS (SELECT c_custkey AS hash, CASE WHEN c_custkey - c_custkey % 3 - 1 > 0 THEN c_custkey - c_custkey % 3 - 1 END AS parent FROM customer), d AS (SELECT hash, hash AS root, 0 AS depth FROM c WHERE parent IS NULL UNION ALL SELECT c.hash, d.root, d.depth + 1 FROM c JOIN d ON c.parent = d.hash) SELECT hash, root, depth::BIGINT AS depth FROM d")
+def commit_reachability(spark, d):
+    up = F.col("c_custkey") - F.col("c_custkey") % 3 - 1
+    commits = CUSTOMER.prod(spark, d).select(F.col("c_custkey").alias("hash"), F.when(up > 0, up).alias("parent"))
+    return history.commit_depths(commits)
+
+
+from driftloom.plans import catalog_queries  # noqa: E402, F401  registers the catalog's queries
