@@ -66,7 +66,7 @@ class SqliteReader(DataSourceReader):
             except sqlite3.OperationalError:  # a table without row ids is read at once
                 return [_Rows(0, -1)]
         if low is None:
-            return []
+            return [_Rows(0, 0)]
         step = max(1, -(-(high - low + 1) // self.parts))
         return [_Rows(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
 
