@@ -253,8 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _bucket_rows(whole, min_bytes).repartition(tasks, "bucket").sortWithinPartitions("bucket", "doc")
     shared = rows.mapInArrow(_shared, "bucket long, doc long").groupBy("doc").agg(F.collect_list("bucket").alias("buckets"))
     shared = stage(shared, "repeat-buckets")
-    width = shared.agg(F.coalesce(F.sum(F.size("buckets") * 8 + 32), F.lit(0))).first()[0]
-    held = whole.join(F.broadcast(shared) if width <= broadcast_bytes else shared, "doc")
+    held = whole.join(shared.hint("merge"), "doc")  # both grow with the corpus, so they are shuffled at every size
     snippets = _snippets(held, min_bytes).repartition(tasks, "bucket").sortWithinPartitions("bucket", "doc")
     parts = snippets.mapInArrow(_matches(min_bytes), "doc long, mark long, from long, to long")
     parts = stage(parts.groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("parts")), "repeat-parts")
@@ -263,8 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = body.select("doc", "mark", F.octet_length("text").alias("n")).join(maybe_broadcast(copies, 16, broadcast_bytes), "doc")
     gone = marks.where(f"n >= {min_bytes}").select("doc", "mark", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n").cast("long").alias("to"))).alias("parts")).distinct()
     parts = stage(parts.join(gone.select("doc", "mark"), ["doc", "mark"], "left_anti").unionByName(gone), "repeat-all")
-    width = parts.agg(F.coalesce(F.sum(F.size("parts") * 16 + 64), F.lit(0))).first()[0]
-    found = body.join(F.broadcast(parts) if width <= broadcast_bytes else parts, ["doc", "mark"], "left")
+    found = body.join(parts.hint("merge"), ["doc", "mark"], "left")
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>" + (", kept binary" if keep_bytes else "")
 
