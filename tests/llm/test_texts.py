@@ -1,0 +1,274 @@
+"""Quality rules, personal data, packing, mixing, toxicity and quotation linking, against plain Python."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from driftloom.llm import chat_quotes, mixing, packing, pii, quality, toxicity
+from driftloom.llm.queries import public_tokenizer
+
+SCHEMA = "doc_id long, text string, source string, n long"
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame([(i, t, "s", 7) for i, t in rows], SCHEMA).repartition(parts)
+
+
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "a"), (4, "a"), (None, "b b b b b b b b b b b b"), (5, "wordé " * 5000), (6, "x" * 20000)]
+
+
+def brute_quality(t):
+    t = t or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", t) if x]
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    seen, dup = set(), 0
+    for x in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0d]", x):
+            dup += x in seen
+            seen.add(x)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit)
+
+
+def test_quality(spark):
+    r = random.Random(1)
+    rows = [(i, r.choice([" ", "\n"]).join(r.choices(["the", "of", "A!", "b#", "cé", "\n"], k=r.randint(0, 40)))) for i in range(80)] + ODD
+    got = quality.judge(frame(spark, rows)).collect()
+    want = defaultdict(list)
+    for i, t in rows:
+        want[i].append(brute_quality(t))
+    for x in got:
+        q = x["quality"]
+        own = (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"])
+        assert own in want[x["doc_id"]]
+        assert x["base_failed"] == (own[0] < 10 or 100 * own[4] > 20 * own[0])
+        assert x["kept"] == (not x["base_failed"] and not x["broken_rules"])
+    assert len(got) == len(rows) and quality.judge(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_rules_compile_into_one_projection(spark):
+    plan = quality.judge(frame(spark, ODD))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def luhn(d):
+    doubled = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(d))]
+    return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+
+
+def brute_pii(t):
+    out = []
+    for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": all(int(x or 0) <= 255 for x in m.group().split(".")) if kind == "ip" else 0, "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii(spark):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("0123456789 -.+()@aZ_%") for _ in range(r.randint(0, 200)))) for i in range(600)]
+    rows += [(1000 + i, t) for i, t in enumerate(["4111 1111 1111 1111 " * 700, "a@b" + ".c" * 900, "1." * 900, "+1" * 400, "a.b@" * 300, "é 4111111111111111 ü 192.168.1.255 +49 (170) 1234567 a@b.c", None, "", "x" * 50000, "a@b.cc_d@e.ff"])]
+    got = {x["doc_id"]: x["s"] for x in pii.find_pii(frame(spark, rows)).select("doc_id", pii.span_text(F.col("pii")).alias("s")).collect()}
+    for i, t in rows:
+        assert [x for x in got[i].split(",") if x and not x.startswith("iban")] == brute_pii(t or ""), t[:80]
+
+
+def test_pii_scores_and_redacts(spark):
+    text = "bank account GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33; write to a@b.org"
+    row = pii.find_pii(frame(spark, [(1, text)])).first()
+    assert [(x["kind"], x["score"]) for x in row["pii"]] == [("email", 1.0), ("iban", 1.0)]
+    assert pii.redact(frame(spark, [(1, text), (2, None)])).orderBy("doc_id").first()["text"] == "bank account [iban], not GB82 WEST 1234 5698 7654 33; write to [email]"
+
+
+def test_before_is_linear_and_right(spark):
+    values = list(range(1000))
+    own = spark.createDataFrame([(values,), ([],)], "v array<long>").select(pii._before(F.col("v")).alias("s")).collect()
+    assert own[0]["s"] == np.concatenate([[0], np.cumsum(values)[:-1]]).tolist() and own[1]["s"] == []
+
+
+def test_tokens_equal_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizer())
+    whole.encode_special_tokens = True
+    own = packing.tokenizer(public_tokenizer())
+    for t in ["", "  a  b", "x\x1c z\x85q\xa0", "<|endoftext|>", "日本 text ½ ²", "don't 'S I'll\r\n\t x", "ſ'd Ǆ ʰ", "a​b", "Ünï cödé 123"]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_packing(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices(["alpha", "béta", "x1"], k=r.choice([1, 30, 700, 3000])))) for i in range(40)] + ODD
+    pieces = packing.token_pieces(frame(spark, rows), public_tokenizer(), keep_ids=True)
+    packed = packing.pack(pieces, task_pieces=30).collect()
+    ids = packing.tokenizer(public_tokenizer())
+    want = Counter()
+    for i, t in rows:
+        own = ids.encode(t or "") + (2).to_bytes(4, "little")
+        n, at, piece = len(own) // 4, 0, 0
+        stop = n % 1024 or 1024
+        while at < n:
+            want[(i, piece, at, stop - at, zlib.crc32(own[4 * at : 4 * stop]))] += 1
+            at, stop, piece = stop, stop + 1024, piece + 1
+    assert Counter(tuple(x)[:5] for x in packed) == want
+    bins = defaultdict(list)
+    for x in packed:
+        bins[x["sequence_id"]].append((x["offset"], x["length"]))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack(pieces.limit(0)).count() == 0
+
+
+def test_sequences_hold_their_pieces(spark):
+    packed = packing.pack(packing.token_pieces(frame(spark, [(1, "a b"), (2, "c " * 1500)]), public_tokenizer(), keep_ids=True))
+    out = packing.packed_sequences(packed).collect()
+    assert sum(len(x["ids"]) for x in out) == 4 * sum(x["length"] for x in packed.collect())
+    assert all(zlib.crc32(bytes(x["ids"])[4 * p["offset"] : 4 * (p["offset"] + p["length"])]) for x in out for p in x["pieces"])
+
+
+def test_open_bins_are_best_fit_and_bounded():
+    r = random.Random(7)
+    bins, space, open_ = packing.OpenBins(100, 5), {}, {}
+    for _ in range(3000):
+        n = r.randint(1, 100)
+        fits = [f for f in open_.values() if f >= n]
+        if fits:
+            least = min(fits)
+        elif len(open_) >= 5:
+            fullest = min(open_.values())
+        found, offset = bins.place(n)
+        if fits:
+            assert open_[found] == least and offset == 100 - least
+        else:
+            assert offset == 0 and found not in space
+            if len(open_) >= 5:
+                del open_[next(b for b in open_ if open_[b] == fullest and all(b not in x for x in bins.by_free))]
+            open_[found] = 100
+        open_[found] -= n
+        space[found] = open_[found]
+        if not open_[found]:
+            del open_[found]
+        assert bins.open == len(open_) <= 5 and sum(map(len, bins.by_free)) == bins.open
+
+
+def test_mixing(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.randint(1, 60)), "big" if i % 3 else f"s{i % 5}" if i % 7 else None, 1) for i in range(900)] + [(5000, None, "big", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mixed = mixing.mix(docs, entropy_share=0.98, block_docs=100).collect()
+    total = sum(x[1].count("w") + 1 if x[1] else 1 for x in rows)
+    spent, weights, size = Counter(), {}, Counter(x[2] for x in rows)
+    for x in mixed:
+        spent[x["source"]] += x["mix_tokens"]
+        weights[x["source"]] = x["mix_weight"]
+    assert abs(sum(weights.values()) - 1) < 1e-9 and set(weights) == set(size)
+    assert -sum(w * math.log(w) for w in weights.values()) >= 0.98 * math.log(len(weights)) - 1e-6
+    for s, w in weights.items():
+        blocks = -(-size[s] // 100)
+        assert abs(spent[s] - w * total) <= 31 * blocks + 1
+    times = Counter((x["doc_id"], x["mix_epoch"]) for x in mixed)
+    assert max(times.values()) == 1
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_keeps_the_repetition_limit(spark):
+    rows = [(i, "w " * 20, "big" if i else "tiny", 1) for i in range(300)]
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA), max_repeats=3.0)
+    assert mixed.where("source = 'tiny'").count() <= 4
+    alone = mixing.mix(spark.createDataFrame(rows[1:], SCHEMA))
+    assert alone.count() == 299
+
+
+def test_mixing_passes_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a", "s", 1, "z")], SCHEMA + ", mix_epoch string")
+    assert mixing.mix(docs).columns == ["doc_id", "text", "source", "n", *mixing.ADDED]
+
+
+def toxic_rows(n, seed):
+    r = random.Random(seed)
+    clean = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(n):
+        y = int(r.random() < 0.3)
+        sentences = [" ".join(r.choices(clean, k=8)) for _ in range(r.randint(1, 9))]
+        if y:
+            k = r.randrange(len(sentences))
+            sentences[k] += " " + r.choice(["vile", "nasty", "foul"])
+        rows.append((i, ". ".join(sentences) + ".", y))
+    return rows
+
+
+def test_toxicity_learns_and_locates(spark):
+    rows, held = toxic_rows(600, 1), toxic_rows(200, 2)
+    docs = frame(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, train_docs=500)
+    got = {x["doc_id"]: x for x in toxicity.score(frame(spark, [(i, t) for i, t, _ in held]), model, locate=True).collect()}
+    assert sum((got[i]["score"] >= 0.5) == bool(y) for i, _, y in held) >= 190
+    sentences = [s["sentence"] for x in got.values() for s in x["offending"]]
+    assert sum(any(w in s for w in ("vile", "nasty", "foul")) for s in sentences) >= 0.9 * len(sentences) > 0
+    odd = toxicity.score(frame(spark, ODD), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= x["score"] <= 1 for x in odd) and {x["score"] for x in odd if x["doc_id"] in (1, 2, 3)} == {0.0}
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_without_labels_scores_zero(spark):
+    docs = frame(spark, ODD)
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {x["score"] for x in toxicity.score(docs, model).collect()} == {0.0}
+
+
+def test_noisy_or():
+    z = np.array([-1.0, 2.0, 0.5])
+    p = 1 / (1 + np.exp(-z))
+    got = toxicity.noisy_or(z, np.array([0, 0, 2]), 3)
+    assert got == pytest.approx([1 - (1 - p[0]) * (1 - p[1]), 0, p[2]])
+
+
+CHATS = [
+    (1, 0, "user", "How do I sort a list in place?\n\nThanks a lot for the help."),
+    (1, 1, "assistant", "> How do I sort a list in place?\nCall its sort method on it."),
+    (1, 2, "user", ">> how do i  SORT a list in place?\n> call its sort method on it.\nThat works well, thank you."),
+    (1, 3, "assistant", "> Thanks a lot for the help.\nYou are welcome."),
+    (1, 4, "user", "> never said by anyone here\nok"),
+    (2, 5, "user", "> Call its sort method on it.\nA quote from elsewhere"),
+    (2, 7, "user", None), (None, 0, "user", "x"), (2, None, "user", "y"), (1, 4, "user", "second row of a turn"),
+]
+
+
+def test_quotes(spark):
+    chats = spark.createDataFrame([(*x, 1) for x in CHATS], "conv_id long, turn long, role string, text string, level int")
+    got = chat_quotes.link_quotes(chats).collect()
+    assert len(got) == len(CHATS)
+    own = {(x["conv_id"], x["turn"], x["content"]): x for x in got}
+    view = lambda *k: tuple(own[k][c] for c in ("n_quotes", "quote_depth", "n_linked", "parent_turn", "reply_by", "thread_turn", "reply_depth"))
+    assert view(1, 0, "How do I sort a list in place?\n\nThanks a lot for the help.") == (0, 0, 0, None, "start", 0, 0)
+    assert view(1, 1, "Call its sort method on it.") == (1, 1, 1, 0, "quote", 0, 1)
+    assert view(1, 2, "That works well, thank you.") == (2, 2, 2, 1, "quote", 0, 2)
+    assert view(1, 3, "You are welcome.") == (1, 1, 1, 0, "quote", 0, 1)
+    assert view(1, 4, "ok") == (1, 1, 0, 3, "order", 0, 2)
+    assert view(2, 5, "A quote from elsewhere") == (1, 1, 0, None, "start", 5, 0)
+    assert view(2, 7, "") == (0, 0, 0, 5, "order", 5, 1)
+    assert view(None, 0, "x") == (0, 0, 0, None, "start", 0, 0)
+    assert chat_quotes.chat_lines(chat_quotes.link_quotes(chats)).where("conv_id = 1 AND turn = 3").first()["chat"] == "<|assistant|>\nYou are welcome.\n"
+    assert chat_quotes.link_quotes(chats.limit(0)).count() == 0
+
+
+def test_turn_before_across_windows(spark, monkeypatch):
+    monkeypatch.setattr(chat_quotes, "TURNS", 3)
+    nodes = spark.createDataFrame([(1, t) for t in (0, 1, 2, 9, 10, 30)], "conv_id long, turn long")
+    assert [x["before"] for x in chat_quotes._turn_before(nodes).orderBy("turn").collect()] == [None, 0, 1, 2, 9, 10]
+
+
