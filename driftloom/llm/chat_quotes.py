@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,16 +115,19 @@ def _turn_before(nodes: DataFrame) -> DataFrame:
 
 
 def _depths(up: DataFrame) -> DataFrame:
-    """(conv_id, turn, thread_turn, reply_depth) by doubling: each round every message's pointer jumps over its parent's, so rounds grow with the logarithm of the longest chain."""
-    jump = up.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("to"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    jump = stage(jump, "jumps")
-    while True:
-        ahead = jump.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        moved = jump.join(ahead, ["conv_id", "to"]).select("conv_id", "turn", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved"))
+    """(conv_id, turn, thread_turn, reply_depth) by doubling: each round the messages that have not reached their start jump over the pointer of the message they point to.
+
+    Rounds grow with the logarithm of the longest chain, and each joins only what is still on its way.
+    """
+    starts = up.where("parent_turn IS NULL").select("conv_id", "turn", F.col("turn").alias("to"), F.lit(0).cast("long").alias("steps"))
+    done, active = [stage(starts, "thread-starts")], stage(up.where("parent_turn IS NOT NULL").select("conv_id", "turn", F.col("parent_turn").alias("to"), F.lit(1).cast("long").alias("steps")), "jumps")
+    while not active.isEmpty():
+        ahead = reduce(DataFrame.unionByName, [*done, active]).select("conv_id", F.col("turn").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        moved = active.join(ahead, ["conv_id", "to"]).select("conv_id", "turn", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("on"))
         moved = stage(moved, "jumps")
-        if moved.where("moved").isEmpty():
-            return moved.select("conv_id", "turn", F.col("to").alias("thread_turn"), F.col("steps").alias("reply_depth"))
-        jump = moved.drop("moved")
+        done.append(moved.where("NOT on").drop("on"))
+        active = moved.where("on").drop("on")
+    return reduce(DataFrame.unionByName, done).select("conv_id", "turn", F.col("to").alias("thread_turn"), F.col("steps").alias("reply_depth"))
 
 
 def chat_lines(linked: DataFrame, conv_col: str = "conv_id") -> DataFrame:
