@@ -19,6 +19,10 @@ def quote_level(line: Column) -> Column:
     return F.char_length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), "[^>]", ""))
 
 
+def _strip(x: Column) -> Column:
+    return F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def normalised(passage: Column) -> Column:
     """Lower case, white space as single blanks, none at the ends."""
     return F.lower(F.trim(F.regexp_replace(passage, r"[\x20\x09-\x0D]+", " ")))
@@ -29,7 +33,7 @@ def passages(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(quote_level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("line")))
 
     def grouped(own: Column) -> Column:
-        blank = lambda x: F.trim(x["line"]) == ""
+        blank = lambda x: _strip(x["line"]) == ""
         # The places where a passage starts: a line with words after a blank line, another level or nothing.
         starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: ~blank(own[i]) & ((i == 0) | blank(F.get(own, i - 1)) | (F.get(own, i - 1)["level"] != own[i]["level"])))
 
@@ -55,7 +59,7 @@ def _messages(chats: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
     return own.select(
         "conv_id", "turn", "role",
         F.xxhash64("body").alias("mark"),
-        F.array_join(F.transform(of_level(lambda n: n == 0), lambda x: F.trim(x["passage"])), "\n\n").alias("content"),
+        F.array_join(F.transform(of_level(lambda n: n == 0), lambda x: _strip(x["passage"])), "\n\n").alias("content"),
         F.size(of_level(lambda n: n > 0)).cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("p", lambda x: x["level"])), F.lit(0)).cast("int").alias("quote_depth"),
         hashes(of_level(lambda n: n == 0)).alias("own"),

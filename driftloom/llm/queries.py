@@ -25,21 +25,23 @@ def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("content_sha256", F.sha2("content", 256)).drop("content")
 
 
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP1_SQL = rf"""
     WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations),
     lines AS (SELECT r, conv_id, turn, unnest(range(len(l))) AS i, unnest(l) AS raw FROM m),
     marked AS (SELECT *, length(regexp_replace(regexp_extract(raw, '^(?:[ 	]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(raw, '^(?:[ 	]*>)+', '') AS line FROM lines),
-    edges AS (SELECT *, trim(line) = '' AS blank, NOT (trim(line) = '') AND (i = 0 OR trim(lag(line) OVER w) = '' OR lag(level) OVER w <> level) AS starts FROM marked WINDOW w AS (PARTITION BY r ORDER BY i)),
+    edges AS (SELECT *, trim(line, {_WS}) = '' AS blank, NOT (trim(line, {_WS}) = '') AND (i = 0 OR trim(lag(line) OVER w, {_WS}) = '' OR lag(level) OVER w <> level) AS starts FROM marked WINDOW w AS (PARTITION BY r ORDER BY i)),
     numbered AS (SELECT *, sum(starts::INT) OVER (PARTITION BY r ORDER BY i) AS p FROM edges),
     passages AS (SELECT r, conv_id, turn, p, arg_min(level, i) AS level, string_agg(line, chr(10) ORDER BY i) AS passage FROM numbered WHERE p > 0 GROUP BY r, conv_id, turn, p),
-    normal AS (SELECT *, lower(trim(regexp_replace(passage, '[ 	-]+', ' ', 'g'))) AS k FROM passages),
+    normal AS (SELECT *, lower(trim(regexp_replace(passage, '[ 	-
+]+', ' ', 'g'))) AS k FROM passages),
     own AS (SELECT DISTINCT conv_id, turn AS source, k FROM normal WHERE level = 0 AND length(k) >= {chat_quotes.MIN_PASSAGE}),
     hits AS (SELECT q.conv_id, q.turn, q.r, q.p, q.level, max(source) AS source FROM normal AS q JOIN own ON q.conv_id = own.conv_id AND q.k = own.k AND source < q.turn WHERE q.level > 0 AND length(q.k) >= {chat_quotes.MIN_PASSAGE} GROUP BY ALL),
     links AS (SELECT conv_id, turn, count(*) AS n_linked, arg_min(source, (level, -source)) AS quoted FROM hits GROUP BY conv_id, turn),
     up AS (SELECT n.conv_id, n.turn, coalesce(n_linked, 0) AS n_linked, quoted, lag(n.turn) OVER (PARTITION BY n.conv_id ORDER BY n.turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM conversations) AS n LEFT JOIN links USING (conv_id, turn)),
     tree AS (SELECT *, coalesce(quoted, before) AS parent FROM up),
     deep AS (WITH RECURSIVE d AS (SELECT conv_id, turn, turn AS thread, 0 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT tree.conv_id, tree.turn, d.thread, d.depth + 1 FROM tree JOIN d ON tree.conv_id = d.conv_id AND tree.parent = d.turn) SELECT * FROM d),
-    texts AS (SELECT r, coalesce(string_agg(trim(passage), chr(10) || chr(10) ORDER BY p) FILTER (level = 0), '') AS content, count(*) FILTER (level > 0) AS n_quotes, max(level) AS depth FROM passages GROUP BY r)
+    texts AS (SELECT r, coalesce(string_agg(trim(passage, {_WS}), chr(10) || chr(10) ORDER BY p) FILTER (level = 0), '') AS content, count(*) FILTER (level > 0) AS n_quotes, max(level) AS depth FROM passages GROUP BY r)
     SELECT m.conv_id, m.turn, m.role, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(texts.depth, 0)::INT AS quote_depth, n_linked::BIGINT AS n_linked, parent AS parent_turn,
       CASE WHEN quoted IS NOT NULL THEN 'quote' WHEN before IS NOT NULL THEN 'order' ELSE 'start' END AS reply_by, thread AS thread_turn, deep.depth::BIGINT AS reply_depth, sha256(coalesce(content, '')) AS content_sha256
     FROM m JOIN tree ON m.conv_id = tree.conv_id AND m.turn = tree.turn JOIN deep ON m.conv_id = deep.conv_id AND m.turn = deep.turn LEFT JOIN texts ON m.r = texts.r"""
