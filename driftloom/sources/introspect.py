@@ -9,6 +9,7 @@ from collections import defaultdict
 from pyspark.sql import SparkSession
 
 from driftloom.plans.catalog import Column, ForeignKey, Index, Schema, Table, Trigger, View
+from driftloom.sources import catalog_sql
 from driftloom.sources.config import Source
 from driftloom.sources.tables import jdbc_url
 
@@ -71,8 +72,11 @@ LEFT JOIN user_cons_columns k ON k.constraint_name = p.constraint_name AND k.col
 def columns_query(source: Source) -> str:
     if source.driver == "oracle":
         return ORACLE_QUERY
-    schema = {"postgres": "public", "mssql": "dbo"}.get(source.driver, source.database)
-    return COLUMNS_QUERY.format(type=TYPES[source.driver], schema=schema.replace("'", "''"))
+    return COLUMNS_QUERY.format(type=TYPES[source.driver], schema=schema_name(source).replace("'", "''"))
+
+
+def schema_name(source: Source) -> str:
+    return {"postgres": "public", "mssql": "dbo"}.get(source.driver, source.database)
 
 
 def fold_columns(rows: list[tuple]) -> Schema:
@@ -88,6 +92,6 @@ def fold_columns(rows: list[tuple]) -> Schema:
 
 
 def jdbc_schema(spark: SparkSession, source: Source) -> Schema:
-    """A database's tables, read from its catalog: as many rows as it has columns."""
-    rows = spark.read.format("jdbc").options(url=jdbc_url(source), user=source.user, password=source.password, query=columns_query(source)).load()
-    return fold_columns([tuple(r) for r in rows.collect()])
+    """A database's schema, read from its catalog: as many rows as it has columns and other objects."""
+    read = lambda query: [tuple(r) for r in spark.read.format("jdbc").options(url=jdbc_url(source), user=source.user, password=source.password, query=query).load().collect()]
+    return catalog_sql.fold(fold_columns(read(columns_query(source))), {kind: read(q) for kind, q in catalog_sql.queries(source.driver, schema_name(source)).items()})

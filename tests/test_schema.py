@@ -10,7 +10,7 @@ from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import drift_text, schema_drift
 from driftloom.plans.resume import Manifest, run_tables
 from driftloom.sources import config as cfg
-from driftloom.sources import introspect, tables
+from driftloom.sources import catalog_sql, introspect, tables
 
 
 def users(*extra: Column, **more) -> Table:
@@ -153,6 +153,21 @@ def test_config():
     assert folded.tables["t"].primary_key == ["b", "a"] and folded.tables["t"].columns["a"].data_type == "text"
 
 
+def test_catalog_rows_fold():
+    schema = introspect.fold_columns([("t", "a", 1, "int", "NO", None, 1), ("t", "b", 2, "int", "YES", None, None)])
+    found = {
+        "indexes": [("t", "i", 2, "a", 1), ("t", "i", 1, "b", 1), ("gone", "j", 1, "x", 0)], "foreign_keys": [("t", "f", 1, "b", "u", "id", "CASCADE", None)],
+        "views": [("v", "select 1", 1)], "routines": [("r", "FUNCTION", "SQL", "int", "return 1")], "parameters": [("r", 2, "OUT", "y", "int"), ("r", 1, "IN", "x", "int")],
+        "triggers": [("g", "t", "AFTER", "INSERT", "x")], "sequences": [("s", 1, 2, 1, 9, 5, 0)],
+    }
+    own = catalog_sql.fold(schema, found)
+    assert own.tables["t"].indexes == {"i": Index("i", ["b", "a"], True)} and own.tables["t"].foreign_keys["f"].ref_columns == ["id"]
+    assert own.views["v"].is_materialized and own.routines["r"].parameters == [("IN", "x", "int"), ("OUT", "y", "int")]
+    assert own.sequences["s"].increment == 2 and own.triggers["g"].event == "INSERT"
+    assert set(catalog_sql.queries("postgres", "public")) == {"indexes", "foreign_keys", "views", "routines", "triggers", "sequences"}
+    assert all("{" not in q for d in ("mysql", "postgres", "mssql", "oracle") for q in catalog_sql.queries(d, "x'y").values())
+
+
 def test_retry():
     calls, slept = [], []
 
