@@ -23,6 +23,8 @@ BANDS, ROWS = 64, 6
 CIRCLE = 1 << 20
 #: Bands whose buckets are resolved first; most groups are whole after these, which spares the others' checks.
 FIRST_BANDS = 8
+#: From the third round on a bucket of up to so many members is compared in full; larger ones get so many representatives, then more.
+SMALL_BUCKET = 64
 
 
 @cache
@@ -98,8 +100,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns per row: id, n_shingles, component_id (the least id reachable over links), kept (id = component_id). Texts with
     equal sets are one class from the start. Classes that agree in a band share a bucket. Each round, the members of
-    buckets that still hold more than one component are compared exactly with a few representatives of their bucket, one in
-    the first two rounds and eight times as many each time after; representatives, having met everyone, leave. Rounds end when
+    buckets that still hold more than one component are compared exactly with representatives of their bucket: one in the
+    first two rounds, then every member of a small bucket, and of a larger one eight times as many each round. Representatives, having met everyone, leave. Rounds end when
     every bucket holds one component or no member is left. So a large group of copies costs one comparison a
     member, while nothing is capped: a bucket of texts that are not similar is compared in full, over several rounds.
 
@@ -125,31 +127,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labelled = labelled.withColumn("c", F.col("id"))
         else:
             labelled = labelled.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = stage(labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"), "mixed")
-        live = stage(labelled.join(maybe_broadcast(mixed, 16, broadcast_bytes), "band", "left_semi"), "live")
+        mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "size")
+        mixed = maybe_broadcast(stage(mixed, "mixed"), 24, broadcast_bytes)
+        live = stage(labelled.join(mixed, "band"), "live")
         if turn and live.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(per_bucket))
-        reps = stage(live.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "n", "c")).alias("rep")).select("band", "rep"), "bucket-reps")
+        slot = F.xxhash64("id", F.lit(turn))
+        slot = F.when((F.col("size") > SMALL_BUCKET) | F.lit(turn < 2), F.pmod(slot, F.lit(per_bucket))).otherwise(slot)
+        reps = live.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "n", "c")).alias("rep")).select("band", "rep")
+        reps = maybe_broadcast(stage(reps, "bucket-reps"), 48, broadcast_bytes)
         size = 100 * F.least("n", "rep.n") >= percent * F.greatest("n", "rep.n")
         pairs = live.join(reps, "band").where((F.col("c") != F.col("rep.c")) & size).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"), F.least("c", "rep.c").alias("ca"), F.greatest("c", "rep.c").alias("cb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        # Components are contracted: new links join component ids, old members follow theirs.
-        good = _verified(pairs, body, words, percent, broadcast_bytes).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        new = components(good)
-        if found is None:
-            found = stage(new, "components")
-        else:
-            new = stage(new, "new-components").toDF("component", "to")
-            moved = found.join(new, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("to", "component").alias("component"))
-            found = stage(moved, "components")
         if turn:  # the early bands come again with the others, so their representatives stay
-            members = live.join(reps.select("band", F.col("rep.id").alias("id")), ["band", "id"], "left_anti").drop("c")
-            per_bucket *= 8
+            members = live.join(reps.select("band", F.col("rep.id").alias("id")), ["band", "id"], "left_anti").drop("c", "size")
+            per_bucket = SMALL_BUCKET if turn == 1 else per_bucket * 8
         turn += 1
+        if pairs.isEmpty():
+            continue
+        own = pairs.select("a", "b")
+        tried = own if tried is None else tried.unionByName(own)
+        # Components are contracted: new links join component ids, old members follow theirs.
+        good = stage(_verified(pairs, body, words, percent, broadcast_bytes).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "verified")
+        if good.isEmpty():
+            continue
+        new = stage(components(good), "new-components")
+        if found is not None:
+            new = new.toDF("component", "to")
+            new = stage(found.join(new, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("to", "component").alias("component")), "components")
+        found = maybe_broadcast(new, 24, broadcast_bytes)
 
     named = signed.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
     if found is not None:
