@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm import shingles
@@ -23,6 +24,8 @@ BANDS, ROWS = 64, 6
 CIRCLE = 1 << 20
 #: Bands whose buckets are resolved first; most groups are whole after these, which spares the others' checks.
 FIRST_BANDS = 8
+#: Deviations that a pair's sketches may differ by more than expected at the threshold.
+SIGMAS = 5.7
 #: From the third round on a bucket of up to so many members is compared in full; larger ones get so many representatives, then more.
 SMALL_BUCKET = 64
 
@@ -46,29 +49,44 @@ def signature(own: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, d1, d2, bands): the set's size, 128 bits that name it, and its band hashes."""
+    """(id, n_shingles, d1, d2, bands, sketch): the set's size, 128 bits that name it, its band hashes, and a bit of each signature coordinate."""
     kind = docs.schema["id"].dataType.simpleString()
     salts = shingles.mix(np.arange(1, rows + 1, dtype=np.uint64))
     places = shingles.mix(np.arange(100, 100 + bands, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, d1, d2, keys = [], [], [], []
+            sizes, d1, d2, keys, sketch = [], [], [], [], []
             for own in shingles.shingle_sets([x.encode() for x in batch.column(1).to_pylist()], words):
                 sizes.append(len(own))
                 d1.append(own.sum(dtype=np.uint64))
                 d2.append(np.bitwise_xor.reduce(shingles.mix(own + np.uint64(1)), initial=0))
-                least = signature(own, bands * rows).astype(np.uint64).reshape(bands, rows)
+                least = signature(own, bands * rows).astype(np.uint64)
+                bits = np.packbits((shingles.mix(least) & np.uint64(1)).astype(np.uint8))
+                sketch.append(np.frombuffer(np.pad(bits, (0, -len(bits) % 8)).tobytes(), np.int64))
+                least = least.reshape(bands, rows)
                 keys.append(shingles.mix((least * salts).sum(axis=1, dtype=np.uint64) + places))
             n = len(sizes)
             if not n:
                 continue
-            flat = pa.array(np.concatenate(keys).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(x[0])), pa.array(np.concatenate(x).view(np.int64)))  # noqa: B023, E731
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(d1), longs(d2), lists], names=["id", "n_shingles", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(d1), longs(d2), listed(keys), listed(sketch)], names=["id", "n_shingles", "d1", "d2", "bands", "sketch"])
 
-    return docs.mapInArrow(sign, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(sign, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>")
+
+
+def _alike(a: Column, b: Column, coordinates: int, percent: int) -> Column:
+    """Whether two sketches differ in few enough bits for the threshold.
+
+    Bits of a pair that meets the threshold j differ with probability (1 - j) / 2; the bound lies SIGMAS deviations above, which
+    such a pair crosses once in 10**8, far more seldom than it misses all bands. Short signatures rule nothing out.
+    """
+    p = (1 - percent / 100) / 2
+    bound = int(coordinates * p + SIGMAS * (coordinates * p * (1 - p)) ** 0.5) + 1
+    words = -(-coordinates // 64)
+    differing = reduce(add, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)])
+    return F.coalesce(differing <= bound, F.lit(True))  # ids that several texts share have no sketch
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -100,7 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns per row: id, n_shingles, component_id (the least id reachable over links), kept (id = component_id). Texts with
     equal sets are one class from the start. Classes that agree in a band share a bucket. Each round, the members of
-    buckets that still hold more than one component are compared exactly with representatives of their bucket: one in the
+    buckets that still hold more than one component are compared, by sketches and then exactly, with representatives of their bucket: one in the
     first two rounds, then every member of a small bucket, and of a larger one eight times as many each round. Representatives, having met everyone, leave. Rounds end when
     every bucket holds one component or no member is left. So a large group of copies costs one comparison a
     member, while nothing is capped: a bucket of texts that are not similar is compared in full, over several rounds.
@@ -118,7 +136,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exploded = firsts.select("id", "n_shingles", F.posexplode("bands").alias("b", "band"))
     buckets = exploded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     buckets = maybe_broadcast(stage(buckets, "buckets"), 16, broadcast_bytes)
-    members = stage(exploded.join(buckets, "band", "left_semi").select("band", "id", F.col("n_shingles").alias("n"), (F.col("b") < FIRST_BANDS).alias("early")).distinct(), "bucket-members")
+    members = exploded.join(buckets, "band", "left_semi").select("band", "id", F.col("n_shingles").alias("n"), (F.col("b") < FIRST_BANDS).alias("early")).distinct()
+    members = stage(members.join(firsts.groupBy("id").agg(F.when(F.count("*") == 1, F.first("sketch")).alias("sketch")), "id"), "bucket-members")
 
     found, tried, turn, per_bucket = None, None, 0, 1
     while True:
@@ -134,10 +153,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         slot = F.xxhash64("id", F.lit(turn))
         slot = F.when((F.col("size") > SMALL_BUCKET) | F.lit(turn < 2), F.pmod(slot, F.lit(per_bucket))).otherwise(slot)
-        reps = live.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "n", "c")).alias("rep")).select("band", "rep")
-        reps = maybe_broadcast(stage(reps, "bucket-reps"), 48, broadcast_bytes)
+        reps = live.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "n", "c", "sketch")).alias("rep")).select("band", "rep")
+        reps = maybe_broadcast(stage(reps, "bucket-reps"), 112, broadcast_bytes)
         size = 100 * F.least("n", "rep.n") >= percent * F.greatest("n", "rep.n")
-        pairs = live.join(reps, "band").where((F.col("c") != F.col("rep.c")) & size).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"), F.least("c", "rep.c").alias("ca"), F.greatest("c", "rep.c").alias("cb")).distinct()
+        pairs = live.join(reps, "band").where((F.col("c") != F.col("rep.c")) & size & _alike(F.col("sketch"), F.col("rep.sketch"), bands * rows, percent)).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"), F.least("c", "rep.c").alias("ca"), F.greatest("c", "rep.c").alias("cb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
