@@ -246,8 +246,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"min_bytes must be at least {2 * GRAM}")
     text = text_of(text_col)
     body = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    copies = stage(exact_duplicates(body.where("doc is not null"), "doc", "text", keep="min").where("not kept").select("doc", "keep_id").distinct(), "repeat-copies")
-    whole = body.join(maybe_broadcast(copies.select("doc").distinct(), 16, broadcast_bytes), "doc", "left_anti").where("doc is not null")
+    # An id may have several texts, so a copy is named by its id and its text's mark; equal texts have one mark, so the least id stays the least.
+    named = body.where("doc is not null").select(F.struct("doc", "mark").alias("named"), "text")
+    copies = stage(exact_duplicates(named, "named", "text", keep="min").where("not kept").select("named.doc", "named.mark").distinct(), "repeat-copies")
+    whole = body.join(maybe_broadcast(copies, 24, broadcast_bytes), ["doc", "mark"], "left_anti").where("doc is not null")
 
     tasks = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _bucket_rows(whole, min_bytes).repartition(tasks, "bucket").sortWithinPartitions("bucket", "doc")
@@ -258,8 +260,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = snippets.mapInArrow(_matches(min_bytes), "doc long, mark long, from long, to long")
     parts = stage(parts.groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("parts")), "repeat-parts")
 
-    # A copy is removed whole; rows of its id with other texts keep theirs, so the copy is named by its text too.
-    marks = body.select("doc", "mark", F.octet_length("text").alias("n")).join(maybe_broadcast(copies, 16, broadcast_bytes), "doc")
+    # A copy is removed whole; rows of its id with other texts keep theirs.
+    marks = body.select("doc", "mark", F.octet_length("text").alias("n")).join(maybe_broadcast(copies, 24, broadcast_bytes), ["doc", "mark"])
     gone = marks.where(f"n >= {min_bytes}").select("doc", "mark", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n").cast("long").alias("to"))).alias("parts")).distinct()
     parts = stage(parts.join(gone.select("doc", "mark"), ["doc", "mark"], "left_anti").unionByName(gone), "repeat-all")
     found = body.join(parts.hint("merge"), ["doc", "mark"], "left")

@@ -215,6 +215,13 @@ def test_repeats_odd_rows(spark):
     assert repeats.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_one_copied_and_one_own_text_of_an_id(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "red orange yellow green blue indigo violet black white grey brown"
+    rows = [(1, a), (5, a), (5, b), (9, "0" + b + "!"), (9, "x" + a)]
+    got = sorted(tuple(x)[:5] for x in repeats.remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted((i, *brute_repeats([*rows, (i, t)], 50)[i]) for i, t in rows)
+
+
 def test_repeats_bucket_over_many_chunks(monkeypatch):
     """A bucket that is solved in parts gives what it gives as a whole."""
     rows = passages(60)
