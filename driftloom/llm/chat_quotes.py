@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.common import let, stage, text_of
 
-#: A passage shorter than this, normalised, is no evidence of a quotation.
+#: Code points below which OP1_SQL leaves passages unlinked; link_quotes links every passage.
 MIN_PASSAGE = 12
 _MARKS = r"^(?:[\x20\t]*>)+"
 
@@ -55,7 +55,7 @@ def _messages(chats: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
     own = chats.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), text_of(text_col).alias("body"))
     own = own.withColumn("p", passages(F.col("body")))
     of_level = lambda test: F.filter("p", lambda x: test(x["level"]))
-    hashes = lambda found: F.array_distinct(F.transform(F.filter(found, lambda x: F.char_length(normalised(x["passage"])) >= MIN_PASSAGE), lambda x: F.struct(F.xxhash64(normalised(x["passage"])).alias("h1"), F.xxhash64(F.lit(1), normalised(x["passage"])).alias("h2"))))
+    hashes = lambda found: F.array_distinct(F.transform(found, lambda x: F.struct(F.xxhash64(normalised(x["passage"])).alias("h1"), F.xxhash64(F.lit(1), normalised(x["passage"])).alias("h2"))))
     return own.select(
         "conv_id", "turn", "role",
         F.xxhash64("body").alias("mark"),
@@ -63,7 +63,7 @@ def _messages(chats: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
         F.size(of_level(lambda n: n > 0)).cast("long").alias("n_quotes"),
         F.coalesce(F.array_max(F.transform("p", lambda x: x["level"])), F.lit(0)).cast("int").alias("quote_depth"),
         hashes(of_level(lambda n: n == 0)).alias("own"),
-        F.transform(F.filter("p", lambda x: (x["level"] > 0) & (F.char_length(normalised(x["passage"])) >= MIN_PASSAGE)), lambda x: F.struct(x["level"].alias("level"), F.xxhash64(normalised(x["passage"])).alias("h1"), F.xxhash64(F.lit(1), normalised(x["passage"])).alias("h2"))).alias("quoted"),
+        F.transform(of_level(lambda n: n > 0), lambda x: F.struct(x["level"].alias("level"), F.xxhash64(normalised(x["passage"])).alias("h1"), F.xxhash64(F.lit(1), normalised(x["passage"])).alias("h2"))).alias("quoted"),
     )
 
 

@@ -266,6 +266,16 @@ def test_quotes(spark):
     assert chat_quotes.link_quotes(chats.limit(0)).count() == 0
 
 
+def test_short_quotes_link(spark):
+    rows = [(1, 0, "Agreed."), (1, 1, "How much?"), (1, 2, "> Agreed.\nGood"), (1, 3, ">> agreed.\n> How  much?\nTen"), (1, 4, "> \u597d\u7684\nno source"), (2, 0, "\u597d\u7684"), (2, 1, "x"), (2, 2, "> \u597d\u7684\ny")]
+    chats = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(x["conv_id"], x["turn"]): (x["n_linked"], x["parent_turn"], x["reply_by"], x["reply_depth"]) for x in chat_quotes.link_quotes(chats).collect()}
+    assert got == {
+        (1, 0): (0, None, "start", 0), (1, 1): (0, 0, "order", 1), (1, 2): (1, 0, "quote", 1), (1, 3): (2, 1, "quote", 2),
+        (1, 4): (0, 3, "order", 3), (2, 0): (0, None, "start", 0), (2, 1): (0, 0, "order", 1), (2, 2): (1, 0, "quote", 1),
+    }
+
+
 def test_turn_before_across_windows(spark, monkeypatch):
     monkeypatch.setattr(chat_quotes, "TURNS", 3)
     nodes = spark.createDataFrame([(1, t) for t in (0, 1, 2, 9, 10, 30)], "conv_id long, turn long")
