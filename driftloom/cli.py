@@ -14,7 +14,7 @@ from driftloom.operators.patch import write_pack
 from driftloom.plans import history, reports
 from driftloom.plans.compare import Comparison
 from driftloom.plans.dialects import Dialect
-from driftloom.plans.migration import Gates, migration_script, split_statements, without_transaction
+from driftloom.plans.migration import Gates, Script, migration_script, split_statements, without_transaction
 from driftloom.sources.config import load_config
 
 
@@ -119,7 +119,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         known = (out / "resolutions.json").exists()
         decided = resolve.merge_resolutions(reports.load_resolutions(spark, str(out)), diff.where("status = 'updated'")) if known else own.resolutions(diff)
         for t, statements in own.packs(diffs, Dialect(driver), decided, not args.keep_rows).items():
-            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], str(out / "pack" / t), Dialect(driver))
+            script = Script(own.prod, own.dev, Dialect(driver), gates)
+            for c in own.new_columns(t):
+                script.add_column(t, c)
+            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], str(out / "pack" / t), Dialect(driver), before=script.lines)
         reports.write_reports(diff, str(out), drift, decided)
         if args.html:
             (out / "report.html").write_text(reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), resolutions=decided))

@@ -13,6 +13,8 @@ from driftloom.plans.dialects import Dialect
 
 #: Rows that one back-fill statement updates.
 BATCH_ROWS = 1000
+#: The same for SQLite, whose expressions are at most 1000 deep, an OR being one deeper for each term.
+SQLITE_BATCH_ROWS = 500
 
 
 def patch_deletes(diff: DataFrame, key: Sequence[str], delete_rows: bool = True) -> DataFrame:
@@ -61,7 +63,7 @@ def insert_statements(upserts: DataFrame, table: str, key: Sequence[str], dialec
 
 
 def backfill_statements(rows: DataFrame, table: str, key: Sequence[str], new_columns: Sequence[str], dialect: Dialect, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """(part, batch, n_rows, stmt): UPDATE .. CASE statements that fill new columns, at most batch_rows rows each.
+    """(part, batch, n_rows, first, stmt), first being the key of a batch's first row: UPDATE .. CASE statements that fill new columns, at most batch_rows rows each.
 
     Rows are dealt to key-ordered partitions by range and numbered within them, so no window spans the table: batches are of
     (part, number within it).
@@ -75,7 +77,7 @@ def backfill_statements(rows: DataFrame, table: str, key: Sequence[str], new_col
 def backfill_by_hash(rows: DataFrame, table: str, key: Sequence[str], new_columns: Sequence[str], dialect: Dialect, buckets: int) -> DataFrame:
     """The same with batches named by the integer key modulo a number of buckets: no window at all; for keys that are dealt evenly."""
     own = rows.select(*key, *new_columns).withColumn("batch", F.pmod(F.col(key[0]), F.lit(buckets))).withColumn("_where", F.concat(F.lit("("), _equals(rows, key, dialect), F.lit(")")))
-    return _case_updates(own, ["batch"], table, key, new_columns, dialect, rows)
+    return _case_updates(own, ["batch"], table, key, new_columns, dialect, rows).drop("first")
 
 
 def _case_updates(own: DataFrame, groups: list[str], table: str, key: Sequence[str], new_columns: Sequence[str], dialect: Dialect, typed: DataFrame) -> DataFrame:
@@ -84,20 +86,31 @@ def _case_updates(own: DataFrame, groups: list[str], table: str, key: Sequence[s
     cases = [F.concat(F.lit(f"{dialect.quote(c)} = CASE "), F.array_join(F.transform("rows", _field(f"_c{i}")), " "), F.lit(f" ELSE {dialect.quote(c)} END")) for i, c in enumerate(new_columns)]
     where = F.array_join(F.transform("rows", _field("_w")), " OR ")
     stmt = F.concat(F.lit(f"UPDATE {dialect.quote(table)} SET "), F.concat_ws(", ", *cases), F.lit(" WHERE "), where, F.lit(";"))
-    return listed.select(*groups, "n_rows", stmt.alias("stmt"))
+    first = F.struct(*[F.col("rows")[0][k].alias(k) for k in key])
+    return listed.select(*groups, "n_rows", first.alias("first"), stmt.alias("stmt"))
 
 
 def _field(name: str):
     return lambda x: x[name]
 
 
-def pack_statements(diff: DataFrame, prod: DataFrame, dev: DataFrame, table: str, key: Sequence[str], dialect: Dialect, delete_rows: bool = True) -> DataFrame:
-    """(phase, key columns, stmt) of a table's deletes and inserts; ordering by (phase, key) gives the script's order."""
+def pack_statements(diff: DataFrame, prod: DataFrame, dev: DataFrame, table: str, key: Sequence[str], dialect: Dialect, delete_rows: bool = True, new_columns: Sequence[str] = ()) -> DataFrame:
+    """(phase, key columns, stmt) of a table's deletes, inserts and back-fills; ordering by (phase, key) gives the script's order.
+
+    New columns, which dev alone has, must have been added to the table. Inserted rows bring their values; the other rows of dev,
+    which stay in prod, get them by back-fill, named by the key of a batch's first row.
+    """
     dev = aligned(dev, prod)
-    columns = shared_columns(dev.columns, prod.columns, key)
+    columns = [*shared_columns(dev.columns, prod.columns, key), *new_columns]
     gone = delete_statements(patch_deletes(diff, key, delete_rows), table, key, dialect).withColumn("phase", F.lit(1))
     come = insert_statements(patch_upserts(diff, dev, key), table, key, dialect, columns).withColumn("phase", F.lit(2))
-    return gone.unionByName(come).select("phase", *key, "stmt")
+    found = gone.unionByName(come).select("phase", *key, "stmt")
+    if not new_columns:
+        return found
+    put = diff.where(F.col("status").isin("added", "updated")).select(*key)
+    stay = dev.alias("d").join(put.alias("k"), _on("d", "k", key), "left_anti")
+    fill = backfill_statements(stay, table, key, new_columns, dialect, SQLITE_BATCH_ROWS if dialect.name == "sqlite" else BATCH_ROWS)
+    return found.unionByName(fill.select(F.lit(3).alias("phase"), *[F.col("first")[k].alias(k) for k in key], "stmt"))
 
 
 def write_pack(statements: DataFrame, order: Sequence[str], path: str, dialect: Dialect, before: Sequence[str] = (), after: Sequence[str] = ()) -> None:

@@ -102,6 +102,14 @@ class Comparison:
             diff = celldiff.limit_per_table(diff.withColumn("table", F.lit(name)), limit).drop("table", "position")
         return celldiff.cell_diff(diff, prod, dev, key)
 
+    def new_columns(self, table: str) -> list[catalog.Column]:
+        """The columns that dev's table has and prod's has not, by name, without ignored ones."""
+        ignored = column_ignorer(self.config.ignore_columns)
+        here = {canonical_name(c) for c in self.prod.tables[table].columns}
+        theirs = {canonical_name(n): t for n, t in sorted(self.dev.tables.items())} | self.dev.tables
+        dev = theirs.get(table) or theirs[canonical_name(table)]
+        return [c for _, c in sorted(dev.columns.items()) if canonical_name(c.name) not in here and not ignored(table, c.name)]
+
     def packs(self, diffs: dict[str, DataFrame], dialect: Dialect, resolutions: DataFrame | None = None, delete_rows: bool = True) -> dict[str, DataFrame]:
         """The statements of each table's patch, after policy."""
         from pyspark.sql import functions as F
@@ -112,7 +120,7 @@ class Comparison:
             if resolutions is not None:
                 own = resolutions.where(F.col("table") == t)
                 diff = resolve.filter_diff(diff.withColumn("table", F.lit(t)), own).drop("table")
-            out[t] = patch.pack_statements(diff, prod, dev, t, key, dialect, delete_rows)
+            out[t] = patch.pack_statements(diff, prod, dev, t, key, dialect, delete_rows, [c.name for c in self.new_columns(t)])
         return out
 
     def ignored_table(self, name: str) -> bool:

@@ -221,6 +221,24 @@ def test_commands_round_trip(spark, tmp_path):
     assert run("version", "log") == 0 and run("version", "tree") == 0
 
 
+@pytest.mark.parametrize("strategy", ["theirs", "ours"])
+def test_pack_brings_a_new_column(spark, tmp_path, strategy):
+    from driftloom import cli
+
+    prod, dev, out = str(tmp_path / "p.db"), str(tmp_path / "d.db"), tmp_path / "out"
+    make(prod, [(i, f"n{i}", None) for i in range(1200)])
+    make(dev, [(i, f"m{i}", None) for i in range(1, 1201)])
+    with sqlite3.connect(dev) as db:
+        db.execute("ALTER TABLE users ADD COLUMN city TEXT")
+        db.execute("UPDATE users SET city = printf('c%d', id) WHERE id <> 7")
+    (tmp_path / "c.yaml").write_text(f"prod: {{driver: sqlite, path: {prod}}}\ndev: {{driver: sqlite, path: {dev}}}\noutput: {{dir: {out}}}\nconflict_resolution: {{default_strategy: {strategy}}}\n")
+    run = lambda *a: cli.main(["--config", str(tmp_path / "c.yaml"), *a], spark)
+    assert run("gen-pack") == 0 and run("apply", "--pack", str(out / "pack" / "users")) == 0
+    with sqlite3.connect(prod) as a, sqlite3.connect(dev) as b:
+        assert a.execute("SELECT id, city FROM users ORDER BY id").fetchall() == b.execute("SELECT id, city FROM users ORDER BY id").fetchall()
+        assert a.execute("SELECT name FROM users WHERE id = 5").fetchone() == (("m5",) if strategy == "theirs" else ("n5",))
+
+
 def test_parquet_comparison(spark, tmp_path):
     from driftloom.plans.compare import Comparison
 
