@@ -80,6 +80,14 @@ def backfill_by_hash(rows: DataFrame, table: str, key: Sequence[str], new_column
     return _case_updates(own, ["batch"], table, key, new_columns, dialect, rows).drop("first")
 
 
+def backfill_by_span(rows: DataFrame, table: str, key: Sequence[str], new_columns: Sequence[str], dialect: Dialect, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """The same with batches named by the integer key divided by batch_rows: a unique key gives at most batch_rows rows each, however it is dealt, without a window."""
+    if len(key) != 1:
+        raise ValueError("spans need a key of one column")
+    own = rows.select(*key, *new_columns).withColumn("batch", F.expr(f"(`{key[0]}` - pmod(`{key[0]}`, {batch_rows})) div {batch_rows}")).withColumn("_where", F.concat(F.lit("("), _equals(rows, key, dialect), F.lit(")")))
+    return _case_updates(own, ["batch"], table, key, new_columns, dialect, rows).drop("first")
+
+
 def _case_updates(own: DataFrame, groups: list[str], table: str, key: Sequence[str], new_columns: Sequence[str], dialect: Dialect, typed: DataFrame) -> DataFrame:
     lines = {c: F.concat(F.lit("WHEN "), F.col("_where"), F.lit(" THEN "), sql_literal(F.col(c), typed.schema[c].dataType, dialect.typed)) for c in new_columns}
     listed = own.groupBy(*groups).agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_list(F.struct(*key, F.col("_where").alias("_w"), *[x.alias(f"_c{i}") for i, x in enumerate(lines.values())]))).alias("rows"))

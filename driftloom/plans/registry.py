@@ -434,6 +434,15 @@ def backfill_batches(spark, d):
     return patch.backfill_by_hash(SUPPLIER.prod(spark, d), "supplier", ["s_suppkey"], ["s_name"], Dialect("postgres"), 16)
 
 
+@query(
+    f"""SELECT batch, n_rows, 'UPDATE "supplier" SET "s_name" = CASE ' || cases || ' ELSE "s_name" END WHERE ' || keys || ';' AS stmt FROM (
+    SELECT floor(s_suppkey / {patch.BATCH_ROWS})::BIGINT AS batch, count(*) AS n_rows, string_agg('WHEN ("s_suppkey" = ' || {_LITERAL.format(c='s_suppkey')} || ') THEN ' || {_LITERAL.format(c='s_name')}, ' ' ORDER BY s_suppkey) AS cases,
+    string_agg('("s_suppkey" = ' || {_LITERAL.format(c='s_suppkey')} || ')', ' OR ' ORDER BY s_suppkey) AS keys FROM supplier GROUP BY 1)"""
+)
+def backfill_bounded(spark, d):
+    return patch.backfill_by_span(SUPPLIER.prod(spark, d), "supplier", ["s_suppkey"], ["s_name"], Dialect("postgres"))
+
+
 # --- history
 
 

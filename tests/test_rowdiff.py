@@ -158,6 +158,12 @@ def test_backfill_batches_hold_all_rows(spark):
     assert rows[0]["stmt"].startswith("UPDATE `t` SET `v` = CASE WHEN (`id` = '")
 
 
+def test_backfill_spans_are_bounded_when_keys_share_a_residue(spark):
+    df = spark.range(-500, 2500).selectExpr("id * 16 AS id", "concat('v', id) AS v")
+    rows = patch.backfill_by_span(df, "t", ["id"], ["v"], Dialect("mysql"), 160).collect()
+    assert sum(r["n_rows"] for r in rows) == 3000 and max(r["n_rows"] for r in rows) <= 160 and min(r["batch"] for r in rows) == -50
+
+
 def test_keyset_query_text():
     assert keyset_query(Dialect("oracle"), "t", ["a", "b"], ["a", "b"], 10, ["1", "2"]).endswith("FETCH NEXT 10 ROWS ONLY")
     assert '("a" = 1 AND "b" > 2)' in keyset_query(Dialect("sqlite"), "t", ["a", "b"], ["a", "b"], 10, ["1", "2"])
