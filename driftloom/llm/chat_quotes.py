@@ -78,14 +78,14 @@ def link_quotes(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     conversation's first turn has none. thread_turn and reply_depth lead to that start; ordering by (conv_id, thread_turn,
     reply_depth, parent_turn, turn) gives each conversation in reply order, level by level.
 
-    Passages are joined by conversation and hash, so a large conversation or a common passage meets few rows each: sources are
-    summed to (hash, turn) before. A null text is an empty message. Rows that share conversation and turn are one node: all are returned, with
+    Passages meet by conversation and hash in the order of turns, without pairs, so a passage that many turns of a conversation have
+    and quote costs its rows alone. A null text is an empty message. Rows that share conversation and turn are one node: all are returned, with
     one parent. Null conversations or turns have no links and no parent. Other columns are dropped. An empty table gives none.
     """
     messages = stage(_messages(chats, conv_col, turn_col, role_col, text_col), "messages")
     own = messages.select("conv_id", "turn", F.explode("own").alias("h")).select("conv_id", F.col("turn").alias("source"), "h.h1", "h.h2").distinct()
     quoted = messages.select("conv_id", "turn", F.posexplode("quoted").alias("at", "q")).select("conv_id", "turn", "at", "q.level", "q.h1", "q.h2").distinct()
-    hits = quoted.join(own, ["conv_id", "h1", "h2"]).where("source < turn").groupBy("conv_id", "turn", "at", "level").agg(F.max("source").alias("source"))
+    hits = _latest_sources(quoted, own).groupBy("conv_id", "turn", "at", "level").agg(F.max("source").alias("source"))
     links = hits.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", (-F.col("source")).alias("back"))).alias("best"))
     links = stage(links.select("conv_id", "turn", "n_linked", (-F.col("best.back")).alias("quoted_turn")), "quote-links")
 
@@ -106,6 +106,22 @@ def link_quotes(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 TURNS = 4096
 
 
+def _latest_sources(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """(conv_id, turn, at, level, source) of the quotes that an earlier turn has as its own, over bounded spans of turns as in _turn_before."""
+    from pyspark.sql import Window
+
+    key = ["conv_id", "h1", "h2"]
+    quoted = quoted.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    own = own.where("source IS NOT NULL").join(quoted.select(*key).distinct(), key, "left_semi")
+    both = quoted.unionByName(own.withColumn("turn", F.col("source")), allowMissingColumns=True).withColumn("span", F.floor(F.col("turn") / TURNS))
+    ends = both.groupBy(*key, "span").agg(F.max("source").alias("last"))
+    earlier = F.max("last").over(Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*key, "span", earlier.alias("earlier"))
+    inside = F.max("source").over(Window.partitionBy(*key, "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    found = both.withColumn("inside", inside).where("at IS NOT NULL").join(ends, [*key, "span"])
+    return found.select("conv_id", "turn", "at", "level", F.coalesce("inside", "earlier").alias("source")).where("source IS NOT NULL")
+
+
 def _turn_before(nodes: DataFrame) -> DataFrame:
     """(conv_id, turn, before): the turn before each, over windows of bounded spans of turns, so that no conversation is one group."""
     from pyspark.sql import Window

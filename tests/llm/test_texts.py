@@ -276,6 +276,16 @@ def test_short_quotes_link(spark):
     }
 
 
+def test_latest_sources_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(chat_quotes, "TURNS", 3)
+    r = random.Random(5)
+    own = [(c, t, h, h) for c in (1, 2, None) for t in range(30) for h in (1, 2) if r.random() < 0.3]
+    quoted = [(c, t, 0, 1, h, h) for c in (1, 2, None) for t in range(30) for h in (1, 2, 3) if r.random() < 0.5]
+    got = chat_quotes._latest_sources(spark.createDataFrame(quoted, "conv_id long, turn long, at int, level int, h1 long, h2 long"), spark.createDataFrame(own, "conv_id long, source long, h1 long, h2 long"))
+    want = [(c, t, 0, 1, max(s)) for c, t, _, _, h, _ in quoted if c and (s := [x[1] for x in own if x[0] == c and x[2] == h and x[1] < t])]
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
 def test_turn_before_across_windows(spark, monkeypatch):
     monkeypatch.setattr(chat_quotes, "TURNS", 3)
     nodes = spark.createDataFrame([(1, t) for t in (0, 1, 2, 9, 10, 30)], "conv_id long, turn long")
