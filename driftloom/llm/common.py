@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.sources.staging import stage
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "let", "maybe_broadcast", "small", "stage", "text_of", "words_of"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "free_name", "let", "maybe_broadcast", "small", "stage", "text_of", "words_of"]
 
 #: ASCII white space as the operators' contracts define it; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -34,6 +34,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """name, or name with _ added until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a staged table's rows, counted, are few enough to broadcast."""
     return df.count() * row_bytes <= limit

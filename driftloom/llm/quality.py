@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import SPACE, let, text_of, words_of
+from driftloom.llm.common import SPACE, free_name, let, text_of, words_of
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -71,8 +71,11 @@ def quality_metrics(docs: DataFrame, text_col: str = "text", window: int = 5) ->
     A null text has no words, as an empty one. Ratios over no words, letters or lines are 0. Other columns pass through; an
     existing column `quality` is replaced.
     """
-    text = text_of(text_col)
-    return docs.withColumn("quality", let(words_of(text), lambda words: let(F.split(text, "\n"), lambda lines: _metrics(text, words, lines, window))))
+    return docs.withColumn("quality", _measured(text_of(text_col), window))
+
+
+def _measured(text: Column, window: int) -> Column:
+    return let(words_of(text), lambda words: let(F.split(text, "\n"), lambda lines: _metrics(text, words, lines, window)))
 
 
 def _metrics(text: Column, words: Column, lines: Column, window: int) -> Column:
@@ -121,14 +124,28 @@ def compile_rules(rules: tuple[Rule, ...], metrics: Column) -> Column:
     return F.array_compact(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]))
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 10, repeat_percent: int = 20, window: int = 5) -> Column:
+    """A struct (quality, base_failed, broken_rules, kept) of a text, as one expression that counts it once.
+
+    Whatever names a field of it, a filter among them, copies this expression once and not the counts of every rule.
+    """
+
+    def ruled(q: Column) -> Column:
+        failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > repeat_percent * q["n_words"])
+        whole = F.struct(q.alias("quality"), failed.alias("base_failed"), compile_rules(rules, q).alias("broken_rules"))
+        return let(whole, lambda w: F.struct(*[w[c].alias(c) for c in ("quality", "base_failed", "broken_rules")], (~w["base_failed"] & (F.size(w["broken_rules"]) == 0)).alias("kept")))
+
+    return let(_measured(text, window), ruled)
+
+
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
     """docs with `quality` (counts and ratios), `base_failed`, `broken_rules` and `kept`.
 
     base_failed: fewer than min_words words, or more than repeat_percent of them in repeated windows. kept: neither that nor a
-    broken rule. Nulls are texts without words and fail; repeated rows get equal verdicts; other columns pass through. No
-    shuffle and no user function: one scan, one projection.
+    broken rule. Nulls are texts without words and fail; repeated rows get equal verdicts; other columns pass through, earlier
+    ones of these four names are replaced. No shuffle and no user function: one scan, one projection, and under a filter on
+    `kept` one evaluation of the verdict.
     """
-    q = F.col("quality")
-    failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > repeat_percent * q["n_words"])
-    out = quality_metrics(docs, text_col).withColumn("base_failed", failed).withColumn("broken_rules", compile_rules(rules, q))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+    whole = free_name("verdict_", docs)
+    out = docs.withColumn(whole, verdict(text_of(text_col), rules, min_words, repeat_percent))
+    return out.withColumns({c: F.col(f"{whole}.{c}") for c in ("quality", "base_failed", "broken_rules", "kept")}).drop(whole)
