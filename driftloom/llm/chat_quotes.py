@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.common import let, stage, text_of
 
-#: Code points below which OP1_SQL leaves passages unlinked; link_quotes links every passage.
-MIN_PASSAGE = 12
-_MARKS = r"^(?:[\x20\t]*>)+"
+
+def _marks(line: Column) -> Column:
+    """The > marks that a line begins with and the blanks before and between them. A class alone is matched, which takes no stack however many there are."""
+    return F.rtrim(F.regexp_extract(line, r"^[\x20\t>]*+", 0), F.lit(" \t"))
 
 
 def quote_level(line: Column) -> Column:
     """How many > marks, blanks between them or not, a line begins with."""
-    return F.char_length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), "[^>]", ""))
+    return F.char_length(F.regexp_replace(_marks(line), "[^>]", ""))
 
 
 def _strip(x: Column) -> Column:
@@ -30,7 +31,8 @@ def normalised(passage: Column) -> Column:
 
 def passages(text: Column) -> Column:
     """The array of (level, passage): maximal runs of lines of one quote level, marks stripped, blank lines ending a run."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(quote_level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("line")))
+    rest = lambda x: F.substring(x, F.char_length(_marks(x)) + 1, F.char_length(x))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(quote_level(x).alias("level"), rest(x).alias("line")))
 
     def grouped(own: Column) -> Column:
         blank = lambda x: _strip(x["line"]) == ""

@@ -35,8 +35,8 @@ OP1_SQL = rf"""
     passages AS (SELECT r, conv_id, turn, p, arg_min(level, i) AS level, string_agg(line, chr(10) ORDER BY i) AS passage FROM numbered WHERE p > 0 GROUP BY r, conv_id, turn, p),
     normal AS (SELECT *, lower(trim(regexp_replace(passage, '[ 	-
 ]+', ' ', 'g'))) AS k FROM passages),
-    own AS (SELECT DISTINCT conv_id, turn AS source, k FROM normal WHERE level = 0 AND length(k) >= {chat_quotes.MIN_PASSAGE}),
-    hits AS (SELECT q.conv_id, q.turn, q.r, q.p, q.level, max(source) AS source FROM normal AS q JOIN own ON q.conv_id = own.conv_id AND q.k = own.k AND source < q.turn WHERE q.level > 0 AND length(q.k) >= {chat_quotes.MIN_PASSAGE} GROUP BY ALL),
+    own AS (SELECT DISTINCT conv_id, turn AS source, k FROM normal WHERE level = 0),
+    hits AS (SELECT q.conv_id, q.turn, q.r, q.p, q.level, max(source) AS source FROM normal AS q JOIN own ON q.conv_id = own.conv_id AND q.k = own.k AND source < q.turn WHERE q.level > 0 GROUP BY ALL),
     links AS (SELECT conv_id, turn, count(*) AS n_linked, arg_min(source, (level, -source)) AS quoted FROM hits GROUP BY conv_id, turn),
     up AS (SELECT n.conv_id, n.turn, coalesce(n_linked, 0) AS n_linked, quoted, lag(n.turn) OVER (PARTITION BY n.conv_id ORDER BY n.turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM conversations) AS n LEFT JOIN links USING (conv_id, turn)),
     tree AS (SELECT *, coalesce(quoted, before) AS parent FROM up),

@@ -98,9 +98,9 @@ def test_tokens_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizer())
-    whole.encode_special_tokens = True
     own = packing.tokenizer(public_tokenizer())
-    for t in ["", "  a  b", "x\x1c z\x85q\xa0", "<|endoftext|>", "日本 text ½ ²", "don't 'S I'll\r\n\t x", "ſ'd Ǆ ʰ", "a​b", "Ünï cödé 123"]:
+    marks = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n<|endoftext|", "日本<|endoftext|> 日", "<|ENDOFTEXT|>", *own.added]
+    for t in [*marks, "", "  a  b", "x\x1c z\x85q\xa0", "日本 text ½ ²", "don't 'S I'll\r\n\t x", "ſ'd Ǆ ʰ", "a​b", "Ünï cödé 123"]:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
@@ -276,6 +276,19 @@ def test_short_quotes_link(spark):
     }
 
 
+def test_quotes_of_many_marks_and_very_long_texts(spark):
+    deep, long = ">" * 100_000, "word " * 60_000
+    rows = [(1, 0, "hi"), (1, 1, deep + " hi"), (1, 2, "> " * 50_000 + "hi\nok"), (1, 3, " \t>>  > x > y"), (1, 4, long), (1, 5, "> " + long + "\n" * 50_000), (1, 6, ">\n> \n\t>")]
+    chats = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {x["turn"]: (x["quote_depth"], x["n_quotes"], x["n_linked"], x["parent_turn"], x["content"]) for x in chat_quotes.link_quotes(chats).collect()}
+    assert got == {
+        0: (0, 0, 0, None, "hi"), 1: (100_000, 1, 1, 0, ""), 2: (50_000, 1, 1, 0, "ok"), 3: (3, 1, 0, 2, ""),
+        4: (0, 0, 0, 3, long.strip()), 5: (1, 1, 1, 4, ""), 6: (0, 0, 0, 5, ""),
+    }
+    lines = spark.createDataFrame([(x,) for x in ("", " >> > a > b", "\t> \t", "a > b", " ", ">")], "x string").select(chat_quotes.quote_level(F.col("x")).alias("n"), F.get(chat_quotes.passages(F.col("x")), F.lit(0))["passage"].alias("p"))
+    assert [tuple(r) for r in lines.collect()] == [(0, None), (3, " a > b"), (1, None), (0, "a > b"), (0, None), (1, None)]
+
+
 def test_latest_sources_across_spans(spark, monkeypatch):
     monkeypatch.setattr(chat_quotes, "TURNS", 3)
     r = random.Random(5)
