@@ -45,17 +45,21 @@ class _Ids(dict):
 
 
 class ByteBPE:
-    """Ids of texts as the tokenizers file of a byte-level BPE gives them without special tokens, packed as unsigned 32-bit integers.
+    """Ids of texts as the tokenizers file of a byte-level BPE gives them without adding special tokens, packed as unsigned 32-bit integers.
 
     The vocabulary is read from that file; its merges are run by tiktoken, several times faster, and the ids of pre-tokens
-    are cached, since most words of a corpus repeat.
+    are cached, since most words of a corpus repeat. The file's added tokens are cut out of a text first, wherever their
+    content stands in it, and give their own ids.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, added = file["model"]["vocab"], file["added_tokens"]
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError("added tokens that look at their neighbours are not supported")
         # The byte alphabet of such files: printable Latin-1 characters stand for themselves, others for U+0100 onward.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
@@ -63,8 +67,15 @@ class ByteBPE:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.ids = _Ids(self.encoding.encode_ordinary)
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if added else None
 
     def encode(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[x] if n % 2 else self._plain(x) for n, x in enumerate(self.cut.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _BEYOND.search(text):
             return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(self.ids.__getitem__, _PIECE.findall(text)))
