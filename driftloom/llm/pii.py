@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, checksums confirm them, context words adjust the score. Built-in functions only."""
+"""Personal data and secrets: patterns propose spans, checksums confirm them, context words adjust the score. Built-in functions only."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ CONTEXT = 40
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern with its guard (cheap text that must occur), validator name, score and context words."""
+    """A pattern with its guard (cheap text that must occur), validator name, score and context words. Spans below the least score are left out."""
 
     name: str
     pattern: str
@@ -23,16 +23,29 @@ class Kind:
     validator: str | None
     score: float
     context: str
+    raised: float = 0.1
+    least: float = 0.0
 
 
+# The characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DJ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+
 # The patterns are linear on any text: repetitions are possessive where what follows cannot start inside them, and a match
-# starts only where the run of its first characters does (or where the match before ended).
+# starts only where the run of its first characters does (or where the match before ended). Groups are repeated a bounded
+# number of times, or hold one class that the rest of the text is cut at, since Java's matcher may keep each turn on its stack.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"@", None, 0.9, "mail|contact|write|send"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", "ip", 0.6, r"\bip\b|address|host|server|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}", "luhn", 0.8, "card|credit|visa|payment|account"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone", 0.6, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?:\G|(?<![A-Za-z0-9]))[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "mod97", 0.9, "iban|bank|account|transfer"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "mod97", 0.9, "iban|bank|account|transfer"),
+    # A run of letters and digits proves nothing by itself: only words before it that name a credential raise it to its least score.
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,256}+(?![A-Za-z0-9_+/-])", r"[A-Za-z0-9_+/-]{20}", "mixed", 0.3, r"token|secret|passw|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer", 0.5, 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -71,6 +84,8 @@ def _valid(kind: Kind, found: Column) -> Column:
         return F.when(count.between(13, 19), luhn(digits())).otherwise(F.lit(False))
     if kind.validator == "phone":
         return count.between(9, 15)
+    if kind.validator == "mixed":
+        return found.rlike("[0-9]") & found.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(found, ""))) >= 8)
     if kind.validator == "mod97":
         return mod97(F.replace(found, F.lit(" ")))
     return F.lit(True)
@@ -106,8 +121,8 @@ def _spans(text: Column, kind: Kind, context: int) -> Column:
                 def span(m: Column, i: Column) -> Column:
                     start = before[i] + F.char_length(gap[i])
                     near = F.lower(F.concat_ws(" ", F.right(gap[i], F.lit(context)), F.left(gap[i + 1], F.lit(context))))
-                    score = F.lit(kind.score) + F.when(near.rlike(kind.context), 0.1).otherwise(0.0)
-                    return F.when(_valid(kind, m), F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("text"), F.round(score, 2).alias("score")))
+                    score = F.round(F.lit(kind.score) + F.when(near.rlike(kind.context), kind.raised).otherwise(0.0), 2)
+                    return F.when(_valid(kind, m) & (score >= kind.least), F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("text"), score.alias("score")))
 
                 return F.array_compact(F.transform(found, span))
 
@@ -125,7 +140,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
 
     Places count code points of the whole text; ends are exclusive. Matches of a kind never overlap; a match that fails its
     validator is dropped and not tried again elsewhere. The score is the kind's, raised if a context word stands within
-    `context` code points. A null or empty text has no spans. Other columns pass through; an existing `pii` is replaced.
+    `context` code points between it and its neighbours of the kind; a kind with a least score needs such words. A null or empty text has no spans. Other columns pass through; an existing `pii` is replaced.
     One projection without user functions: no shuffle, nothing that grows across rows.
     """
     text = text_of(text_col)

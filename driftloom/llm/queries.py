@@ -84,7 +84,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(spans, lambda x: x["kind"].isin(*pii.BASE))
     of_kind = lambda k: F.filter(spans, lambda x: x["kind"] == k)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(spans).alias("spans"))
+    more = [F.size(of_kind(k.name)).cast("long").alias(f"n_{k.name}") for k in pii.KINDS if k.name not in pii.BASE]
+    scores = F.transform(spans, lambda x: x["score"])
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(spans).alias("spans"), *more, F.size(spans).cast("long").alias("n_spans"), F.array_max(scores).alias("max_score"), scores.alias("scores"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
