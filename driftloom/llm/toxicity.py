@@ -16,10 +16,10 @@ from driftloom.llm.common import text_of
 #: Hashed features: each word and its beginnings of so many bytes.
 FEATURE_BITS = 20
 PREFIXES = (3, 4, 5, 6)
-#: The training sample holds at most so many labelled documents, a third of them toxic, those first by a hash of their id.
+#: The training sample holds at most so many labelled documents, a third of them toxic, those first by a hash of their id,
 TRAIN_DOCS = 3_600
-#: A training document of more words gives so many to the fit, in whole sentences; scoring reads every text whole.
-TRAIN_WORDS = 20_000
+#: and whole documents only: they are taken in that order while their texts' bytes, a third of them of toxic ones, fit in this.
+TRAIN_BYTES = 24 << 20
 STEPS = 100
 RATE = 0.05
 DECAY = 1e-4
@@ -110,23 +110,36 @@ def _features(docs: DataFrame) -> DataFrame:
             rows = {"label": batch.column(1).to_pylist(), "features": [], "sentence": []}
             for text in batch.column(0).to_pylist():
                 f, s, _ = sentence_words([text.encode()])
-                stop = len(f) if len(f) <= TRAIN_WORDS else int(np.searchsorted(s, s[TRAIN_WORDS]))
-                rows["features"].append(f[:stop].ravel())
-                rows["sentence"].append(s[:stop])
+                rows["features"].append(f.ravel())
+                rows["sentence"].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(rows["label"], pa.int32()), pa.array(rows["features"], pa.list_(pa.int32())), pa.array(rows["sentence"], pa.list_(pa.int64()))], names=list(rows))
 
     return docs.select("text", "label").mapInArrow(extract, "label int, features array<int>, sentence array<long>")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on at most train_docs labelled documents; null ids and labels are left out, and without any document of both labels the model scores 0.
+def _within(sizes: list, limit: int) -> list[tuple]:
+    """(id, label) of the rows (id, label, n), in order, that fit in a third of the limit if toxic and in the rest if not."""
+    left, out = {1: limit // 3, 0: limit - limit // 3}, []
+    for row in sizes:
+        if row["n"] <= left[row["label"]]:
+            left[row["label"]] -= row["n"]
+            out.append((row["id"], row["label"]))
+    return out
 
-    The sample is chosen among the labels, so that only its ids, of a fixed number, are broadcast and only its words reach the driver.
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most train_docs labelled documents of together at most train_bytes; null ids and labels are left out, and without any document of both labels the model scores 0.
+
+    The sample is chosen among the labels, then by the lengths of its texts, so that only ids of a fixed number are broadcast and only
+    the words of so many bytes reach the driver. Texts are taken whole: one that no longer fits is passed over for the next.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     first = lambda label, n: chosen.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = first(1, train_docs // 3).unionByName(first(0, train_docs - train_docs // 3))
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    sizes = texts.select("id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.sum("n").alias("n"))
+    ids = _within(sizes.orderBy(F.xxhash64("id"), "id", "label").collect(), train_bytes)
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(ids, sizes.select("id", "label").schema)), "id")
     table = _features(rows).toArrow()
     y = table["label"].to_numpy()
     if len(np.unique(y)) < 2:
