@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import BROADCAST_BYTES, small, stage, text_of
+from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, small, stage, text_of
 
 #: Code points of a text that the second level hashes.
 PREFIX_CHARS = 64
@@ -18,7 +18,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     already showed a text to be unique, unless hash_all asks for it everywhere.
 
     Level 1 counts lengths, level 2 counts (length, prefix hash) among lengths found twice, level 3 hashes the full
-    content of the pairs found twice. Texts never travel: what is shuffled is a length and a hash per row. Counts are
+    content of the pairs found twice. What is shuffled is a length and a hash per row; texts stay where they are unless there
+    are so many open groups that neither these nor their rows' ids may be broadcast, and the surviving rows' contents have to meet their ids. Counts are
     combined before each shuffle, and the joins read staged tables on both sides, so that Spark splits a hot group.
 
     Nulls count as empty texts and equal them. keep="max" keeps the largest id ("min" the smallest); null ids lose to any
@@ -37,9 +38,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if small(groups, 40, broadcast_bytes):
         met = body.select("id", "body", length, prefix).join(F.broadcast(groups), ["n_bytes", "prefix_hash"], "left")
         members = met.select("id", "n_bytes", "open", (full if hash_all else F.when(F.col("open"), full)).alias("text_sha256"))
-    else:  # too many open groups to send to every executor: the hash travels instead of the text
-        met = body.select("id", length, prefix, full.alias("full")).join(groups, ["n_bytes", "prefix_hash"], "left")
-        members = met.select("id", "n_bytes", "open", (F.col("full") if hash_all else F.when(F.col("open"), F.col("full"))).alias("text_sha256"))
+    elif hash_all:  # too many open groups to send to every executor, and each content is read for its hash in any case: that hash travels instead
+        met = body.select("id", length, prefix, full.alias("text_sha256")).join(groups, ["n_bytes", "prefix_hash"], "left")
+        members = met.select("id", "n_bytes", "open", "text_sha256")
+    else:  # narrow rows find the survivors; contents are read of their ids alone
+        narrow = stage(body.select("id", length, prefix).join(groups, ["n_bytes", "prefix_hash"], "left").select("id", "n_bytes", "prefix_hash", "open"), "exact-narrow")
+        alive = stage(narrow.where("open").select(F.col("id").alias("alive")).distinct(), "exact-alive")
+        read = body.join(maybe_broadcast(alive, 24, broadcast_bytes), F.col("id").eqNullSafe(F.col("alive")), "left_semi").select("id", length, prefix, full.alias("text_sha256"))
+        known = read.join(groups, ["n_bytes", "prefix_hash"], "left_semi").select("id", "n_bytes", F.lit(True).alias("open"), "text_sha256")
+        members = narrow.where("open IS NULL").select("id", "n_bytes", F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("string").alias("text_sha256")).unionByName(known)
     members = stage(members, "exact-members")
 
     classes = members.where("open").groupBy("n_bytes", "text_sha256").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
