@@ -53,8 +53,11 @@ def test_quality(spark):
 
 
 def test_rules_compile_into_one_projection(spark):
-    plan = quality.judge(frame(spark, ODD))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+    """Its counts stand once in the plan, under a filter too."""
+    one = quality.judge(frame(spark, ODD))
+    for df in (one, one.where("kept").select("doc_id", "text")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and plan.count("xxhash64(") == 1
 
 
 def luhn(d):
@@ -72,22 +75,77 @@ def brute_pii(t):
     return out
 
 
+LENGTH_OF = {c: n for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split()}
+
+
+def brute_more(t):
+    """Account numbers and secrets, from each place on in turn."""
+    out, at = [], 0
+    while at < len(t):
+        n, e, k = LENGTH_OF.get(t[at : at + 2], 0), at + 4, 4
+        if n and re.fullmatch("[0-9]{2}", t[at + 2 : at + 4]) and (at == 0 or not re.match("[A-Za-z0-9]", t[at - 1])):
+            while k < n and (m := re.compile(" ?[A-Z0-9]").match(t, e)):
+                e, k = m.end(), k + 1
+            if k == n and not re.match("[A-Za-z0-9]", t[e : e + 1]):
+                own = t[at:e].replace(" ", "")
+                if int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1:
+                    out.append(f"iban:{at}:{e}")
+                at = e
+                continue
+        at += 1
+    found = list(re.finditer(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,256}(?![A-Za-z0-9_+/-])", t))
+    for n, m in enumerate(found):
+        before = t[found[n - 1].end() if n else 0 : m.start()][-40:]
+        after = t[m.end() : found[n + 1].start() if n + 1 < len(found) else len(t)][:40]
+        near = re.search("token|secret|passw|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer", f"{before} {after}".lower())
+        if near and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and len(set(m.group())) >= 8:
+            out.append(f"secret:{m.start()}:{m.end()}")
+    return out
+
+
+ACCOUNTS = [
+    "DE89 3704 0044 0532 0130 00 Bank of X", "DE89370400440532013000 Berlin", "IBAN DE89 3704 0044 0532 0130 00 PLEASE pay", "DE89370400440532013000", "DE88370400440532013000",
+    "xDE89370400440532013000", "DE89370400440532013000x", "NO9386011117947 and GB82 WEST 1234 5698 7654 32, BE68539007547034", "é FR1420041010050500013M02606 MT84MALT011000012345MTLCAST001S",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "password: hunter2hunter2hunter2zz9", "a 04dbebab91ab85687d33eeaaf9ac699e1188f962 b", "secret aaaaaaaaaaaaaaaaaaaaaaaaa1",
+    "secret " + "a1b2c3d4e5" * 26, "api key A1b2C3d4E5f6G7h8I9j0 B1b2C3d4E5f6G7h8I9j0", "bearer averylongwordwithoutanydigit",
+]
+
+
 def test_pii(spark):
     r = random.Random(3)
     rows = [(i, "".join(r.choice("0123456789 -.+()@aZ_%") for _ in range(r.randint(0, 200)))) for i in range(600)]
-    rows += [(1000 + i, t) for i, t in enumerate(["4111 1111 1111 1111 " * 700, "a@b" + ".c" * 900, "1." * 900, "+1" * 400, "a.b@" * 300, "é 4111111111111111 ü 192.168.1.255 +49 (170) 1234567 a@b.c", None, "", "x" * 50000, "a@b.cc_d@e.ff"])]
+    rows += [(1000 + i, t) for i, t in enumerate(["4111 1111 1111 1111 " * 700, "a@b" + ".c" * 900, "1." * 900, "+1" * 400, "a.b@" * 300, "é 4111111111111111 ü 192.168.1.255 +49 (170) 1234567 a@b.c", None, "", "x" * 50000, "a@b.cc_d@e.ff", *ACCOUNTS])]
+    rows += [(2000 + i, " ".join(r.choices([*ACCOUNTS, "key", "and", "DE", "12", "AB12 "], k=r.randint(1, 5)))) for i in range(200)]
     got = {x["doc_id"]: x["s"] for x in pii.find_pii(frame(spark, rows)).select("doc_id", pii.span_text(F.col("pii")).alias("s")).collect()}
     for i, t in rows:
-        assert [x for x in got[i].split(",") if x and not x.startswith("iban")] == brute_pii(t or ""), t[:80]
+        assert [x for x in got[i].split(",") if x] == brute_pii(t or "") + brute_more(t or ""), t[:80]
+    assert [bool(got[1010 + i]) for i in range(4)] == [True] * 4 and not any(got[1010 + i] for i in (4, 5, 6))
+
+
+def test_pii_of_very_long_runs(spark):
+    """Runs that a pattern could follow step by step take no stack."""
+    n = 200_000
+    rows = [(1, "a@b" + ".c" * n), (2, "1 " * n), (3, "1" * n), (4, "1." * n), (5, "+" + "1 (" * n), (6, "AB12 " * n), (7, "ab1/" * n), (8, "a@" * n), (9, "DE89" + " 3" * n)]
+    got = {x["doc_id"]: [s["kind"] for s in x["pii"]] for x in pii.find_pii(frame(spark, rows)).select("doc_id", "pii").collect()}
+    assert got == {1: ["email"], 4: ["ip"] * (n // 4)} | {i: [] for i in (2, 3, 5, 6, 7, 8, 9)}
 
 
 def test_pii_scores_and_redacts(spark):
     text = "bank account GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33; write to a@b.org"
     row = pii.find_pii(frame(spark, [(1, text)])).first()
     assert [(x["kind"], x["score"]) for x in row["pii"]] == [("email", 1.0), ("iban", 1.0)]
+    bare = "GB82 WEST 1234 5698 7654 32 " + "-" * 50 + " a@b.org " + "-" * 50 + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    assert [(x["kind"], x["score"]) for x in pii.find_pii(frame(spark, [(1, bare)])).first()["pii"]] == [("email", 0.9), ("iban", 0.9), ("secret", 0.8)]
     assert pii.redact(frame(spark, [(1, text), (2, None)])).orderBy("doc_id").first()["text"] == "bank account [iban], not GB82 WEST 1234 5698 7654 33; write to [email]"
 
 
+def test_pii_and_quality_replace_columns_of_their_names(spark):
+    docs = frame(spark, [(1, "a@b.org"), (1, "a@b.org")]).withColumns({c: F.lit("own") for c in ("pii", "quality", "KEPT", "verdict_", "id")})
+    assert [len(x["pii"]) for x in pii.find_pii(docs).collect()] == [1, 1] and pii.find_pii(docs.limit(0)).count() == 0
+    judged = quality.judge(docs)
+    assert {(x["quality"]["n_words"], x["kept"], x["verdict_"], x["id"]) for x in judged.collect()} == {(1, False, "own", "own")} and judged.count() == 2
+
+
 def test_before_is_linear_and_right(spark):
     values = list(range(1000))
     own = spark.createDataFrame([(values,), ([],)], "v array<long>").select(pii._before(F.col("v")).alias("s")).collect()
@@ -230,6 +288,20 @@ def test_toxicity_without_labels_scores_zero(spark):
     assert {x["score"] for x in toxicity.score(docs, model).collect()} == {0.0}
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    """The offending sentence of every toxic text stands after 30,000 words; the sample is bounded by whole texts."""
+    r = random.Random(6)
+    clean = [f"w{i}" for i in range(60)]
+    long = ". ".join(" ".join(r.choices(clean, k=10)) for _ in range(3_000))
+    rows = [(i, f"{long}. {' '.join(r.choices(clean, k=6))} {'vile' if i % 2 else 'kind'} here.", i % 2) for i in range(24)]
+    docs, labels = frame(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(frame(spark, [(1, "w1 w2 vile w3."), (2, "w1 w2 kind w3.")]), model).collect()}
+    assert got[1] > 10 * got[2]
+    sizes = [{"id": i, "label": i % 2, "n": n} for i, n in enumerate([50, 20, 60, 20, 10, 5, 10])]
+    assert toxicity._within(sizes, 100) == [(0, 0), (1, 1), (4, 0), (5, 1)]
+
+
 def test_noisy_or():
     z = np.array([-1.0, 2.0, 0.5])
     p = 1 / (1 + np.exp(-z))
