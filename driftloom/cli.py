@@ -5,12 +5,15 @@ from __future__ import annotations
 import argparse
 import sqlite3
 import sys
+from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from driftloom.functions.retry import DriftError
 from driftloom.operators import celldiff, resolve
-from driftloom.operators.patch import write_pack
+from driftloom.operators.patch import read_pack, write_pack, write_pack_order
 from driftloom.plans import history, reports
 from driftloom.plans.compare import Comparison
 from driftloom.plans.dialects import Dialect
@@ -24,13 +27,14 @@ def _parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     add = lambda name, *flags: [sub_ for sub_ in [sub.add_parser(name)] if [sub_.add_argument(f, **o) for f, o in flags] or True][0]
     flag, text = {"action": "store_true"}, {"default": None}
+    sizes = [("--batch-size", {"type": int, "default": None, "dest": "fetch_size"}), ("--parallel", {"type": int, "default": None, "dest": "partitions"})]
     add("check")
     add("schema-diff", ("--output-dir", text), ("--quiet", flag))
     add("schema-migrate", ("--dry-run", flag), ("--driver", text))
-    add("diff", ("--html", flag), ("--row-diff", flag), ("--resume", flag))
-    add("row-diff", ("--table", {"required": True}), ("--key", text), ("--status", {"default": "updated", "choices": ["updated", "added", "removed", "all"]}), ("--limit", {"type": int, "default": None}), ("--output", text))
-    add("gen-pack", ("--html", flag), ("--resume", flag), ("--driver", text), ("--keep-rows", flag))
-    add("apply", ("--pack", {"required": True}), ("--dry-run", flag))
+    add("diff", ("--html", flag), ("--row-diff", flag), ("--resume", flag), *sizes)
+    add("row-diff", ("--table", text), ("--key", {"action": "append", "default": None}), ("--status", {"default": "updated", "choices": ["updated", "added", "removed", "all"]}), ("--limit", {"type": int, "default": None}), ("--output", text), ("--format", {"default": "table", "choices": ["table", "json"]}), *sizes)
+    add("gen-pack", ("--html", flag), ("--resume", flag), ("--driver", text), ("--keep-rows", flag), *sizes)
+    add("apply", ("--pack", {"required": True}), ("--dry-run", flag), ("--keep-rows", flag))
     add("resolve-conflicts", ("--auto", {"choices": ["ours", "theirs", "manual"], "default": None}), ("--table", text), ("--resume", flag))
     version = sub.add_parser("version").add_subparsers(dest="action", required=True)
     version.add_parser("init")
@@ -42,27 +46,55 @@ def _parser() -> argparse.ArgumentParser:
     return top
 
 
-def apply_sqlite(script: str, path: str, dry_run: bool = False) -> int:
-    """Run a pack against a SQLite file in one transaction, all or nothing; dry_run rolls it back. The number of statements."""
-    statements = without_transaction(split_statements(script))
-    db = sqlite3.connect(path, isolation_level=None)
+def apply_sqlite(texts: Iterable[str], path: str, dry_run: bool = False) -> int:
+    """Run a pack's texts, one at a time, against a SQLite file in one transaction, all or nothing; dry_run rolls it back. The number of statements."""
+    db, n = sqlite3.connect(path, isolation_level=None), 0
     try:
         db.execute("BEGIN")
         try:
-            for s in statements:
-                db.execute(s)
-        except sqlite3.Error:
+            for text in texts:
+                for s in without_transaction(split_statements(text, "sqlite")):
+                    db.execute(s)
+                    n += 1
+        except sqlite3.Error as e:
             db.execute("ROLLBACK")
-            raise
+            raise DriftError("APPLY_FAILED", str(e)) from e
         db.execute("ROLLBACK" if dry_run else "COMMIT")
     finally:
         db.close()
-    return len(statements)
+    return n
 
 
-def read_pack(folder: str) -> str:
-    """The text of a pack written by gen-pack: its parts in the order of their names."""
-    return "\n".join(p.read_text() for p in sorted(Path(folder).rglob("part-*")))
+def _apply(args, own: Comparison, out: Path) -> None:
+    """Apply a pack to a SQLite file, or the saved differences to a folder of Parquet tables; other engines' packs are run by their own clients."""
+    config, spark = own.config, own.spark
+    if config.prod.driver == "sqlite":
+        n = apply_sqlite(read_pack(spark, args.pack), config.prod.path or config.prod.database, args.dry_run)
+        print(f"{n} statements {'checked' if args.dry_run else 'applied'}")
+    elif config.prod.driver == "parquet":
+        diffs = own.run(resume=True, case_insensitive=False)
+        decided = _decisions(spark, own, out, own.union(diffs))
+        if args.dry_run:
+            print(f"{sum(not d.isEmpty() for d in own.decided(diffs, decided).values())} tables would change")
+            return
+        for table, path in own.apply_tables(diffs, decided, not args.keep_rows).items():
+            print(f"{table}: {path}")
+    else:
+        raise DriftError("APPLY_FAILED", f"apply writes to SQLite files and Parquet folders; run {args.pack} with the client of {config.prod.driver}")
+
+
+def _decisions(spark: SparkSession, own: Comparison, out: Path, diff: DataFrame) -> DataFrame:
+    """Saved decisions, brought up to the current conflicts, or else the configured policy's."""
+    if (out / "resolutions.json").exists():
+        return resolve.merge_resolutions(reports.load_resolutions(spark, str(out)), diff.where("status = 'updated'"))
+    return own.resolutions(diff)
+
+
+def _key_values(given: list[str], key: list[str]) -> dict[str, str]:
+    """The values of --key, given once for each key column in its order; a single column's value may hold any character."""
+    if len(given) != len(key):
+        raise DriftError("CONFIG_INVALID", f"--key must be given {len(key)} times, for {', '.join(key)}")
+    return dict(zip(key, given, strict=True))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -70,12 +102,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     config = load_config(args.config)
     out = Path(config.output_dir)
     out.mkdir(parents=True, exist_ok=True)
-    if args.command == "apply":
-        n = apply_sqlite(read_pack(args.pack), config.prod.path or config.prod.database, args.dry_run)
-        print(f"{n} statements {'checked' if args.dry_run else 'applied'}")
-        return 0
     spark = spark or SparkSession.builder.appName("driftloom").config("spark.scheduler.mode", "FAIR").getOrCreate()
+    for name in ("fetch_size", "partitions"):
+        if getattr(args, name, None):
+            setattr(config, name, getattr(args, name))
     own = Comparison(spark, config)
+    if args.command == "apply":
+        _apply(args, own, out)
+        return 0
     driver = getattr(args, "driver", None) or (config.prod.driver if config.prod.driver != "parquet" else "postgres")
     gates = Gates(**{k.removeprefix("allow_drop_"): v for k, v in config.allow.items() if k.removeprefix("allow_drop_") in Gates.__dataclass_fields__})
     if args.command == "check":
@@ -96,33 +130,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     if args.command == "row-diff":
         if args.key:
-            p, d, key = own.pairs(only=args.table).popitem()[1]
-            typed = dict(zip(key, args.key.split("|"), strict=True))
-            cells = celldiff.key_detail(p, d, {k: v for k, v in typed.items()})
+            name, (p, d, key) = own.pair(args.table or "")
+            cells = celldiff.key_detail(p, d, _key_values(args.key, key), ignored=own.ignorer(name)).withColumn("table", F.lit(name))
         else:
-            cells = own.cells(args.table, args.status, args.limit)
-        reports.write_row_diff(cells, args.table, args.output or str(out))
+            cells = own.cells(args.table, args.status, args.limit).withColumn("table", F.lit(own.pair(args.table)[0])) if args.table else own.row_cells(args.status, args.limit)
+        reports.write_row_diff(cells, args.output or str(out))
+        print(reports.row_diff_json(cells) if args.format == "json" else reports.row_diff_text(cells), end="")
         return 0
     if args.command == "diff":
         drift, diff = own.drift(), own.union(own.run(args.resume))
         counts = reports.write_reports(diff, str(out), drift, own.resolutions(diff))
+        reports.write_json(str(out / "metrics.json"), own.metrics)
+        cells = own.row_cells() if args.row_diff else None
         if args.row_diff:
-            for t in own.pairs():
-                reports.write_row_diff(own.cells(t), t, str(out / "row_diff" / t))
+            reports.write_row_diff(cells, str(out / "row_diff"))
         if args.html:
-            (out / "report.html").write_text(reports.html_report(diff, drift))
+            (out / "report.html").write_text(reports.html_report(diff, drift, cells=cells))
         print(reports.summary_text(counts, bool(drift)), end="")
         return int(bool(drift))
     if args.command == "gen-pack":
         diffs = own.run(args.resume, case_insensitive=False)
         diff, drift = own.union(diffs), own.drift()
-        known = (out / "resolutions.json").exists()
-        decided = resolve.merge_resolutions(reports.load_resolutions(spark, str(out)), diff.where("status = 'updated'")) if known else own.resolutions(diff)
-        for t, statements in own.packs(diffs, Dialect(driver), decided, not args.keep_rows).items():
+        decided = _decisions(spark, own, out, diff)
+        packs = own.packs(diffs, Dialect(driver), decided, not args.keep_rows)
+        for t, statements in packs.items():
             script = Script(own.prod, own.dev, Dialect(driver), gates)
             for c in own.new_columns(t):
                 script.add_column(t, c)
             write_pack(statements, ["phase", *own.prod.tables[t].primary_key], str(out / "pack" / t), Dialect(driver), before=script.lines)
+        write_pack_order(spark, list(packs), str(out / "pack"))
         reports.write_reports(diff, str(out), drift, decided)
         if args.html:
             (out / "report.html").write_text(reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), resolutions=decided))

@@ -24,13 +24,15 @@ def canonical(name: Column) -> Column:
 def value_text(value: Column, kind: T.DataType, doubles: str = "cast") -> Column:
     """A value as text, null staying null.
 
-    Decimals, integers, dates, times without zone and booleans are cast; binary is read as UTF-8. doubles="cast" keeps Spark's text of
+    Decimals, integers, dates, times without zone and booleans are cast. Binary that is valid UTF-8 is that text; other bytes, and text that
+    begins with the mark itself, are \\x and hexadecimal digits, so that no two values read alike. doubles="cast" keeps Spark's text of
     floating-point numbers, "decimal" rounds them to six places first, so that other engines agree at every magnitude.
     """
     if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) and doubles == "decimal":
         return value.cast("decimal(38,6)").cast("string")
     if isinstance(kind, T.BinaryType):
-        return F.decode(value, "UTF-8")
+        text = value.cast("string")
+        return F.when(F.is_valid_utf8(text) & ~F.startswith(text, F.lit("\\x")), text).otherwise(F.concat(F.lit("\\x"), F.lower(F.hex(value))))
     return value.cast("string")
 
 
@@ -112,12 +114,23 @@ def normal_definition(x: Column) -> Column:
 # --- texts of values in SQL
 
 
-def sql_literal(value: Column, kind: T.DataType, typed: bool = False) -> Column:
-    """A value as SQL. Numbers are quoted unless typed asks for bare ones; times keep their fraction, as their type tells."""
+#: How an engine writes bytes, around their hexadecimal digits.
+_BYTES = {"mysql": ("X'", "'"), "sqlite": ("X'", "'"), "postgres": ("'\\x", "'::bytea"), "mssql": ("0x", ""), "oracle": ("HEXTORAW('", "')")}
+
+
+def sql_literal(value: Column, kind: T.DataType, typed: bool = False, driver: str = "postgres") -> Column:
+    """A value as SQL of an engine. Numbers are quoted unless typed asks for bare ones; times keep their fraction, as their type tells.
+
+    Bytes are hexadecimal in the engine's form; backslashes are doubled for MySQL alone, where they escape.
+    """
     text = value_text(value, kind)
-    quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    inside = F.replace(text, F.lit("\\"), F.lit("\\\\")) if driver == "mysql" else text
+    quoted = F.concat(F.lit("'"), F.replace(inside, F.lit("'"), F.lit("''")), F.lit("'"))
     if isinstance(kind, T.BooleanType):
         quoted = F.upper(text)
+    elif isinstance(kind, T.BinaryType):
+        head, tail = _BYTES[driver]
+        quoted = F.concat(F.lit(head), F.lower(F.hex(value)), F.lit(tail))
     elif typed and isinstance(kind, T.NumericType):
         quoted = text
     return F.when(value.isNull(), "NULL").otherwise(quoted)

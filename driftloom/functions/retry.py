@@ -15,6 +15,7 @@ CODES = {
     "CONNECT_TIMEOUT": ("connection", True, "check the network path and raise the timeout"),
     "AUTH_FAILED": ("connection", False, "check user and password"),
     "NO_PRIMARY_KEY": ("schema", False, "add a primary key, ignore the table or compare it as a multiset"),
+    "TABLE_UNKNOWN": ("schema", False, "name a table that both sides have and neither ignores"),
     "DUPLICATE_KEY": ("content", False, "choose a key that names one row"),
     "QUERY_FAILED": ("query", True, "look at the database's own message"),
     "APPLY_FAILED": ("apply", False, "nothing was applied; mend the statement and run again"),
@@ -41,3 +42,23 @@ def retry(call: Callable[[], R], attempts: int = 3, delay: float = 1.0, most: fl
                 raise
             sleep(min(most, delay * 2**n))
     raise AssertionError("attempts must be positive")
+
+
+#: What drivers say of connections that may come up again, and of those that won't.
+_AGAIN = ("connection refused", "communications link failure", "connection reset", "too many connections", "the connection attempt failed", "unable to connect", "broken pipe", "network adapter could not establish")
+_LATE = ("timed out", "timeout")
+_DENIED = ("access denied", "password authentication failed", "login failed", "invalid username/password", "authentication")
+
+
+def connected(call: Callable[[], R]) -> R:
+    """call's result; a driver's error of connecting is raised with its code, so that retry can tell which may help. Others pass as they are."""
+    try:
+        return call()
+    except DriftError:
+        raise
+    except Exception as e:
+        said = str(e).lower()
+        for code, texts in (("AUTH_FAILED", _DENIED), ("CONNECT_FAILED", _AGAIN), ("CONNECT_TIMEOUT", _LATE)):
+            if any(x in said for x in texts):
+                raise DriftError(code, str(e).split("\n")[0]) from e
+        raise

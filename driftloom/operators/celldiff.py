@@ -69,11 +69,12 @@ def differing_columns(cells: DataFrame) -> DataFrame:
     return cells.where("differs").groupBy("row_key").agg(F.array_sort(F.collect_set("column")).alias("columns"))
 
 
-def nested_report(cells: DataFrame, table: str) -> DataFrame:
-    """One row per differing row, with its cells as an array ordered by column: as wide as the table, no more."""
+def nested_report(cells: DataFrame, table: str = "") -> DataFrame:
+    """One row per differing row, with its cells as an array ordered by column: as wide as the table, no more. A column `table` of cells names it."""
+    cells = cells if "table" in cells.columns else cells.withColumn("table", F.lit(table))
     cell = F.struct(F.lower("column").alias("o"), "column", "prod_value", "dev_value", "differs")
-    rows = cells.groupBy("row_key", "status").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return rows.select(F.lit(table).alias("table"), "row_key", "status", F.transform("cells", lambda x: F.struct(x["column"].alias("Column"), x["prod_value"].alias("ProdVal"), x["dev_value"].alias("DevVal"), x["differs"].alias("Differs"))).alias("columns"))
+    rows = cells.groupBy("table", "row_key", "status").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select("table", "row_key", "status", F.transform("cells", lambda x: F.struct(x["column"].alias("Column"), x["prod_value"].alias("ProdVal"), x["dev_value"].alias("DevVal"), x["differs"].alias("Differs"))).alias("columns"))
 
 
 def key_detail(prod: DataFrame, dev: DataFrame, key: dict[str, object], **options) -> DataFrame:

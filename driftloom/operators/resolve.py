@@ -103,3 +103,21 @@ def pending_position(resolutions: DataFrame, order: str = "row_key") -> DataFram
     """Open resolutions numbered within their table, as a person is led through them."""
     own = Window.partitionBy("table").orderBy(order)
     return resolutions.where(~F.col("resolved")).withColumn("position", F.row_number().over(own))
+
+
+def pending_running(resolutions: DataFrame, order: str = "row_key") -> DataFrame:
+    """Open resolutions with their position in one running order over all tables: that within the table after the pending ones of the tables before it.
+
+    The tables' counts, one row each, are all that a window without groups sees.
+    """
+    own = pending_position(resolutions, order)
+    before = F.sum("n").over(Window.orderBy("table").rowsBetween(Window.unboundedPreceding, -1))
+    base = own.groupBy("table").agg(F.count("*").alias("n")).select("table", F.coalesce(before, F.lit(0)).alias("base"))
+    return own.join(base, "table").withColumn("running", F.col("base") + F.col("position")).drop("base")
+
+
+def group_by_table(resolutions: DataFrame, digits: int = 2) -> DataFrame:
+    """(table, page, n, resolutions): each table's resolutions as arrays sorted by key, in pages named by so many hexadecimal digits of the key's hash, so that no table is one array."""
+    page = F.substring(F.md5(F.coalesce("row_key", F.lit(""))), 1, digits)
+    one = F.struct("row_key", "prod_hash", "dev_hash", "strategy", "decision", "resolved")
+    return resolutions.groupBy("table", page.alias("page")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("resolutions"))

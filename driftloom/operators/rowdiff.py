@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.canonical import canonical, canonical_name, ordered_columns, row_hash, row_key, shared_columns
+from driftloom.functions.retry import DriftError
 
 ADDED, REMOVED, UPDATED, UNCHANGED = "added", "removed", "updated", "unchanged"
 
@@ -39,6 +40,13 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
+def require_unique(df: DataFrame, key: Sequence[str], table: str) -> None:
+    """Raise where rows share a key: they would meet each row of the other side. One narrow aggregate, combined before its shuffle."""
+    found = duplicate_keys(df, key).limit(3).collect()
+    if found:
+        raise DriftError("DUPLICATE_KEY", f"table {table}: {', '.join(str(tuple(r)[:-1]) for r in found)}")
+
+
 def _on(left: str, right: str, key: Sequence[str]) -> Column:
     return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in key])
 
@@ -54,21 +62,30 @@ def row_diff(prod: DataFrame, dev: DataFrame, key: Sequence[str], status: str =
     dev = aligned(dev, prod)
     if on_drift == "intersect":
         own = shared_columns(prod.columns, dev.columns, key, ignored)
-        p, d = hashed(prod, key, columns=own, mode=mode, doubles=doubles), hashed(dev, key, columns=own, mode=mode, doubles=doubles)
+        p, d = _digests(prod, key, own, mode, doubles), _digests(dev, key, own, mode, doubles)
     else:
-        p, d = hashed(prod, key, ignored, mode=mode, doubles=doubles), hashed(dev, key, ignored, mode=mode, doubles=doubles)
+        p, d = (_digests(x, key, ordered_columns(x.columns, key, ignored), mode, doubles) for x in (prod, dev))
     p, d, on = p.alias("p"), d.alias("d"), _on("p", "d", key)
-    none = F.lit(None).cast("string")
+    ours, theirs, none = F.col("p.digest").alias("ours"), F.col("d.digest").alias("theirs"), F.lit(None).cast("binary")
     if status == ADDED:
-        return d.join(p, on, "left_anti").select(*[f"d.{k}" for k in key], "row_key", F.lit(ADDED).alias("status"), none.alias("prod_hash"), F.col("row_hash").alias("dev_hash"))
-    if status == REMOVED:
-        return p.join(d, on, "left_anti").select(*[f"p.{k}" for k in key], "row_key", F.lit(REMOVED).alias("status"), F.col("row_hash").alias("prod_hash"), none.alias("dev_hash"))
-    if status == UPDATED:
-        both = p.join(d, on).where("p.row_hash <> d.row_hash")
-        return both.select(*[f"p.{k}" for k in key], "p.row_key", F.lit(UPDATED).alias("status"), F.col("p.row_hash").alias("prod_hash"), F.col("d.row_hash").alias("dev_hash"))
-    both = p.join(d, on, "full_outer").where("NOT (p.row_hash <=> d.row_hash)")
-    what = F.when(F.col("p.row_hash").isNull(), ADDED).when(F.col("d.row_hash").isNull(), REMOVED).otherwise(UPDATED)
-    return both.select(*[F.coalesce(f"p.{k}", f"d.{k}").alias(k) for k in key], F.coalesce("p.row_key", "d.row_key").alias("row_key"), what.alias("status"), F.col("p.row_hash").alias("prod_hash"), F.col("d.row_hash").alias("dev_hash"))
+        found = d.join(p, on, "left_anti").select(*[f"d.{k}" for k in key], F.lit(ADDED).alias("status"), none.alias("ours"), theirs)
+    elif status == REMOVED:
+        found = p.join(d, on, "left_anti").select(*[f"p.{k}" for k in key], F.lit(REMOVED).alias("status"), ours, none.alias("theirs"))
+    elif status == UPDATED:
+        found = p.join(d, on).where("p.digest <> d.digest").select(*[f"p.{k}" for k in key], F.lit(UPDATED).alias("status"), ours, theirs)
+    else:
+        what = F.when(F.col("p.digest").isNull(), ADDED).when(F.col("d.digest").isNull(), REMOVED).otherwise(UPDATED)
+        both = p.join(d, on, "full_outer").where("NOT (p.digest <=> d.digest)")
+        found = both.select(*[F.coalesce(f"p.{k}", f"d.{k}").alias(k) for k in key], what.alias("status"), ours, theirs)
+    text = lambda digest: F.lower(F.hex(digest))
+    return found.select(*key, row_key(found, key, doubles).alias("row_key"), "status", text("ours").alias("prod_hash"), text("theirs").alias("dev_hash"))
+
+
+def _digests(df: DataFrame, key: Sequence[str], columns: Sequence[str], mode: str, doubles: str) -> DataFrame:
+    """(key columns, digest): what is shuffled of each row is its typed key and 32 bytes; texts of keys and hashes are made of rows that differ."""
+    if not key:
+        raise MissingKey("the table has no primary key; use multiset_diff")
+    return df.select(*key, F.unhex(row_hash(df, columns, mode, doubles)).alias("digest"))
 
 
 def conflicts(prod: DataFrame, dev: DataFrame, key: Sequence[str], table: str, **options) -> DataFrame:
@@ -82,6 +99,11 @@ def diff_tables(pairs: dict[str, tuple[DataFrame, DataFrame, Sequence[str]]], **
     return reduce(DataFrame.unionByName, parts)
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n_rows) of many tables in one plan; no column is read."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table"), "n_rows") for t, df in sorted(tables.items())])
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     """Added, removed and updated rows of each table."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)

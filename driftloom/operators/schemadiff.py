@@ -84,6 +84,11 @@ def has_drift(*diffs: DataFrame) -> bool:
     return any(not d.isEmpty() for d in diffs)
 
 
+def drift_flags(diffs: dict[str, DataFrame]) -> DataFrame:
+    """(kind, drift): whether each kind of object differs at all; one row of a difference is enough to tell."""
+    return reduce(DataFrame.unionByName, [d.limit(1).agg((F.count("*") > 0).alias("drift")).select(F.lit(kind).alias("kind"), "drift") for kind, d in diffs.items()])
+
+
 def drift_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change").agg(F.count("*").alias("n"))
 

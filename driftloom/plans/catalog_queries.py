@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.operators import rowdiff, schemadiff
+from driftloom.operators import patch, rowdiff, schemadiff
+from driftloom.plans.dialects import Dialect
 from driftloom.plans.registry import query
 
 _MARK = "list_filter([{tests}], lambda x: x IS NOT NULL)"
@@ -150,3 +151,19 @@ _DRIFT = _diff_sql(_COLUMNS, _COLUMNS_DEV, ['"table"', '"column"'], {"data_type"
 def schema_drift_counts(spark, d):
     return schemadiff.drift_counts(schema_columns_diff(spark, d))
 
+
+_FLAGS = {"columns": _DRIFT, "primary_keys": _diff_sql(_KEYS.format(_COLUMNS), _KEYS.format(_COLUMNS_DEV), ['"table"'], {"columns": "{x}"}), "none": f"SELECT 1 FROM ({_DRIFT}) WHERE false"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) > 0 AS drift FROM ({sql})" for kind, sql in _FLAGS.items()))
+def schema_drift_flag(spark, d):
+    columns = _columns(spark, d)
+    return schemadiff.drift_flags({"columns": schemadiff.diff_columns(*columns), "primary_keys": schemadiff.diff_primary_keys(*columns), "none": schemadiff.diff_columns(columns[0], columns[0])})
+
+
+@query(f"""SELECT p."table", p."column", 'ALTER TABLE "' || p."table" || '" ADD COLUMN "' || p."column" || '" ' || p.data_type || CASE WHEN p.is_nullable THEN '' ELSE ' NOT NULL' END || coalesce(' DEFAULT ' || p.default_value, '') || ';' AS stmt
+    FROM ({_COLUMNS}) AS p WHERE NOT EXISTS (SELECT 1 FROM ({_COLUMNS_DEV}) AS d WHERE d."table" = p."table" AND d."column" = p."column")""")
+def pack_alter_sql(spark, d):
+    """The columns that the richer side alone has, as the script that brings them: here prod's catalog plays dev."""
+    rich, poor = _columns(spark, d)
+    return patch.add_column_statements(rich.join(poor.select("table", "column"), ["table", "column"], "left_anti"), Dialect("postgres"))

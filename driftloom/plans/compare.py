@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftloom.functions.canonical import canonical_name
-from driftloom.functions.ignore import column_ignorer, name_ignorer
+from driftloom.functions.ignore import column_ignorer
 from driftloom.functions.retry import DriftError
 from driftloom.operators import celldiff, patch, resolve, rowdiff
+from driftloom.operators.rowdiff import aligned
 from driftloom.plans import catalog
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import Drift, schema_drift
+from driftloom.plans.migration import creation_order
 from driftloom.plans.resume import Manifest, run_tables
 from driftloom.sources import introspect
 from driftloom.sources.config import Config, Source
@@ -44,6 +48,9 @@ class Comparison:
     prod: catalog.Schema = field(init=False)
     dev: catalog.Schema = field(init=False)
 
+    metrics: dict[str, dict] = field(init=False, default_factory=dict)
+    _unique: set = field(init=False, default_factory=set, repr=False)
+
     def __post_init__(self):
         self.prod, self.dev = (_schema(self.spark, s, self.config) for s in (self.config.prod, self.config.dev))
 
@@ -54,6 +61,13 @@ class Comparison:
     def drift(self) -> Drift:
         return schema_drift(self.prod, self.dev)
 
+    def _read(self, source: Source, table: str, key: list[str]) -> DataFrame:
+        df = read_table(self.spark, source, table, key, self.config.partitions, self.config.fetch_size)
+        if source.driver == "parquet" and self.config.check_keys and (source.path, source.database, table) not in self._unique:
+            rowdiff.require_unique(df, key, table)  # a database's primary key is unique by itself
+            self._unique.add((source.path, source.database, table))
+        return df
+
     def pairs(self, case_insensitive: bool = True, only: str | None = None) -> dict[str, tuple[DataFrame, DataFrame, list[str]]]:
         """The tables that both sides have, under prod's name, with their data and prod's key."""
         norm = canonical_name if case_insensitive else str
@@ -63,44 +77,60 @@ class Comparison:
             if norm(name) in theirs and (only is None or canonical_name(only) == canonical_name(name)):
                 if not table.primary_key:
                     raise DriftError("NO_PRIMARY_KEY", f"table {name}")
-                out[name] = (read_table(self.spark, self.config.prod, name), read_table(self.spark, self.config.dev, theirs[norm(name)]), table.primary_key)
+                out[name] = (self._read(self.config.prod, name, table.primary_key), self._read(self.config.dev, theirs[norm(name)], table.primary_key), table.primary_key)
         return out
 
     def diffs(self, case_insensitive: bool = True, only: str | None = None, status: str = "all", on_drift: str = "all") -> dict[str, DataFrame]:
         """The lazy row difference of each table."""
-        ignored = column_ignorer(self.config.ignore_columns)
-        of = lambda t: lambda column: ignored(t, column)
-        return {t: rowdiff.row_diff(p, d, k, status, of(t), on_drift) for t, (p, d, k) in self.pairs(case_insensitive, only).items()}
+        return {t: rowdiff.row_diff(p, d, k, status, self.ignorer(t), on_drift) for t, (p, d, k) in self.pairs(case_insensitive, only).items()}
 
     def run(self, resume: bool = False, **options) -> dict[str, DataFrame]:
         """The differences, computed table by table and kept in the output folder; with resume, finished tables are read back."""
         manifest = Manifest(f"{self.config.output_dir}/rows", self.config.fingerprint)
         if not resume:
             manifest.clear()
-        return run_tables(self.spark, manifest, self.diffs(**options), self.config.partitions)
-
-    @staticmethod
-    def union(diffs: dict[str, DataFrame]) -> DataFrame:
-        from functools import reduce
+        return run_tables(self.spark, manifest, self.diffs(**options), self.config.partitions, self.metrics)
 
-        from pyspark.sql import functions as F
+    def union(self, diffs: dict[str, DataFrame]) -> DataFrame:
+        """The differences of all tables in one; without any table, no rows."""
+        none = self.spark.createDataFrame([], "table string, row_key string, status string, prod_hash string, dev_hash string")
+        parts = [d.select(F.lit(t).alias("table"), "row_key", "status", "prod_hash", "dev_hash") for t, d in sorted(diffs.items())]
+        return reduce(DataFrame.unionByName, parts) if parts else none
 
-        return reduce(DataFrame.unionByName, [d.select(F.lit(t).alias("table"), "row_key", "status", "prod_hash", "dev_hash") for t, d in sorted(diffs.items())])
+    def counts(self) -> DataFrame:
+        """(table, side, n_rows) of the tables that both sides have."""
+        own = self.pairs()
+        sides = [rowdiff.row_counts({t: x[i] for t, x in own.items()}).withColumn("side", F.lit(side)) for i, side in enumerate(("prod", "dev"))] if own else []
+        return reduce(DataFrame.unionByName, sides).select("table", "side", "n_rows") if sides else self.spark.createDataFrame([], "table string, side string, n_rows long")
 
     def resolutions(self, diff: DataFrame) -> DataFrame:
         """The configured policy applied to the conflicts of a union of differences."""
         strategies = self.spark.createDataFrame([(t, s, i) for i, (t, s) in enumerate(self.config.strategies)], "table string, strategy string, ord int")
         return resolve.apply_strategies(diff.where("status = 'updated'").select("table", "row_key", "prod_hash", "dev_hash"), strategies, self.config.default_strategy)
 
-    def cells(self, table: str, status: str = "updated", limit: int | None = None) -> DataFrame:
-        """The cells of a table's differing rows, of the first `limit` rows if it is given."""
-        from pyspark.sql import functions as F
-
-        (name, diff), = self.diffs(only=table, status=status).items()
-        prod, dev, key = self.pairs(only=table)[name]
+    def cells(self, table: str, status: str = "updated", limit: int | None = None, diff: DataFrame | None = None) -> DataFrame:
+        """The cells of a table's differing rows, of the first `limit` rows if it is given, without ignored columns."""
+        name, (prod, dev, key) = self.pair(table)
+        diff = self.diffs(only=table, status=status)[name] if diff is None else diff
         if limit:
             diff = celldiff.limit_per_table(diff.withColumn("table", F.lit(name)), limit).drop("table", "position")
-        return celldiff.cell_diff(diff, prod, dev, key)
+        return celldiff.cell_diff(diff, prod, dev, key, self.ignorer(name))
+
+    def pair(self, table: str) -> tuple[str, tuple[DataFrame, DataFrame, list[str]]]:
+        found = self.pairs(only=table)
+        if not found:
+            raise DriftError("TABLE_UNKNOWN", f"{table} is not on both sides")
+        return found.popitem()
+
+    def ignorer(self, table: str):
+        """The test of the names of a table's ignored columns."""
+        ignored = column_ignorer(self.config.ignore_columns)
+        return lambda column: ignored(table, column)
+
+    def row_cells(self, status: str = "updated", limit: int | None = None) -> DataFrame:
+        """(table, and the cells) of the differing rows of all tables."""
+        none = self.spark.createDataFrame([], "table string, row_key string, status string, column string, prod_value string, dev_value string, differs boolean")
+        return reduce(DataFrame.unionByName, [self.cells(t, status, limit).withColumn("table", F.lit(t)) for t in self.pairs()], none)
 
     def new_columns(self, table: str) -> list[catalog.Column]:
         """The columns that dev's table has and prod's has not, by name, without ignored ones."""
@@ -110,18 +140,29 @@ class Comparison:
         dev = theirs.get(table) or theirs[canonical_name(table)]
         return [c for _, c in sorted(dev.columns.items()) if canonical_name(c.name) not in here and not ignored(table, c.name)]
 
-    def packs(self, diffs: dict[str, DataFrame], dialect: Dialect, resolutions: DataFrame | None = None, delete_rows: bool = True) -> dict[str, DataFrame]:
-        """The statements of each table's patch, after policy."""
-        from pyspark.sql import functions as F
+    def decided(self, diffs: dict[str, DataFrame], resolutions: DataFrame | None) -> dict[str, DataFrame]:
+        """The differences that policy lets through; those of run() are read back, so that nothing is compared again."""
+        if resolutions is None:
+            return diffs
+        own = lambda t: resolutions.where(F.col("table") == t)
+        return {t: resolve.filter_diff(d.withColumn("table", F.lit(t)), own(t)).drop("table") for t, d in diffs.items()}
 
-        out = {}
-        for t, (prod, dev, key) in self.pairs().items():
-            diff = diffs[t]
-            if resolutions is not None:
-                own = resolutions.where(F.col("table") == t)
-                diff = resolve.filter_diff(diff.withColumn("table", F.lit(t)), own).drop("table")
-            out[t] = patch.pack_statements(diff, prod, dev, t, key, dialect, delete_rows, [c.name for c in self.new_columns(t)])
+    def packs(self, diffs: dict[str, DataFrame], dialect: Dialect, resolutions: DataFrame | None = None, delete_rows: bool = True) -> dict[str, DataFrame]:
+        """The statements of each table's patch, after policy, of the tables in diffs, referenced tables first."""
+        pairs, decided = self.pairs(case_insensitive=False), self.decided(diffs, resolutions)
+        order = [t for t in creation_order(self.prod) if t in decided and t in pairs]
+        return {t: patch.pack_statements(decided[t], *pairs[t][:2], t, pairs[t][2], dialect, delete_rows, [c.name for c in self.new_columns(t)], self.ignorer(t)) for t in order}
+
+    def apply_tables(self, diffs: dict[str, DataFrame], resolutions: DataFrame | None = None, delete_rows: bool = True) -> dict[str, str]:
+        """Parquet's way to apply: each changed table patched as a DataFrame and written beside the one it was read from; its new path by table."""
+        pairs, out = self.pairs(case_insensitive=False), {}
+        for t, diff in self.decided(diffs, resolutions).items():
+            if t in pairs and not diff.isEmpty():
+                prod, dev, key = pairs[t]
+                new = [c.name for c in self.new_columns(t)]
+                if new:  # rows that stay get dev's values of the columns that come
+                    prod = prod.alias("p").join(dev.select(*key, *new).alias("d"), rowdiff._on("p", "d", key), "left").select("p.*", *[f"d.{c}" for c in new])
+                own = [c for c in aligned(dev, prod).columns if c in key or not self.ignorer(t)(c)]
+                applied = patch.apply_patch(prod, patch.patch_deletes(diff, key, delete_rows), patch.patch_upserts(diff, aligned(dev, prod), key, own), key)
+                out[t] = patch.write_applied(applied, f"{(self.config.prod.path or self.config.prod.database).rstrip('/')}/{t}.parquet")
         return out
-
-    def ignored_table(self, name: str) -> bool:
-        return name_ignorer(self.config.ignore_tables)(name)

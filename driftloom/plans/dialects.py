@@ -19,9 +19,14 @@ class Dialect:
         if self.name not in DRIVERS:
             raise ValueError(f"unknown driver {self.name!r}")
 
+    @property
+    def marks(self) -> str:
+        """What opens and closes a quoted identifier; the latter is doubled inside."""
+        return {"mysql": "``", "mssql": "[]"}.get(self.name, '""')
+
     def quote(self, name: str) -> str:
         """An identifier, quoted; parts of a dotted name one by one."""
-        a, b = {"mysql": "``", "mssql": "[]"}.get(self.name, '""')
+        a, b = self.marks
         return ".".join(a + part.replace(b, b + b) + b for part in name.split("."))
 
     def begin(self) -> list[str]:

@@ -164,3 +164,19 @@ def commit_depths(commits: DataFrame) -> DataFrame:
         if moved.where("moved").isEmpty():
             return moved.select("hash", F.col("to").alias("root"), "depth")
         jump = moved.drop("moved")
+
+
+def log_of(commits: DataFrame, head) -> DataFrame:
+    """(hash, back) of the commits that a head of a table (hash, parent) reaches, itself first: how many steps each lies back.
+
+    Round k joins what is reached with the pointers of 2**k steps, so rounds grow with the logarithm of the longest way.
+    """
+    seen = stage(commits.where(F.col("hash") == head).select("hash", F.lit(0).cast("long").alias("back")), "log")
+    jump, step = commits.where("parent IS NOT NULL").select("hash", F.col("parent").alias("to")), 1
+    while True:
+        further = stage(seen.join(jump, "hash").select(F.col("to").alias("hash"), (F.col("back") + step).alias("back")), "log")
+        if further.isEmpty():
+            return seen
+        seen = seen.unionByName(further)
+        jump = stage(jump.join(jump.toDF("to", "next"), "to").select("hash", F.col("next").alias("to")), "log-jumps")
+        step *= 2

@@ -231,6 +231,29 @@ def duplicate_keys(spark, d):
     return rowdiff.duplicate_keys(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
+_BYTES = "CASE WHEN part_no % 3 = 0 THEN '\\xFF'::BLOB || encode(p_name) WHEN part_no % 3 = 1 THEN encode('\\x' || p_name) ELSE encode(p_name) END"
+_BYTES_TEXT = "CASE WHEN part_no % 3 = 2 THEN decode(v) ELSE '\\x' || lower(hex(v)) END"
+
+
+def _bytes_sql(change: str) -> str:
+    return f"(SELECT p_partkey, {_BYTES_TEXT} AS p_bytes FROM (SELECT p_partkey, part_no, {_BYTES} AS v FROM (SELECT p_partkey, p_partkey AS part_no, {change} AS p_name FROM part)))"
+
+
+@query(diff_sql(["p_partkey"], _bytes_sql("p_name"), _bytes_sql("CASE WHEN p_partkey % 7 = 0 THEN p_name || '*' ELSE p_name END"), ["p_partkey", "p_bytes"]))
+def row_diff_binary(spark, d):
+    """A binary column, some of whose values are no UTF-8 and some of which look like the form of those."""
+    key, text = F.col("p_partkey"), F.col("p_name")
+    whole = F.when(key % 3 == 0, F.concat(F.unhex(F.lit("FF")), F.encode(text, "UTF-8"))).when(key % 3 == 1, F.encode(F.concat(F.lit("\\x"), text), "UTF-8")).otherwise(F.encode(text, "UTF-8"))
+    side = lambda df: df.select("p_partkey", whole.alias("p_bytes"))
+    part = PART.prod(spark, d)
+    return rowdiff.row_diff(side(part), side(part.withColumn("p_name", F.when(key % 7 == 0, F.concat(text, F.lit("*"))).otherwise(text))), ["p_partkey"])
+
+
+@query(" UNION ALL ".join(f"SELECT '{s.table}' AS \"table\", count(*) AS n_rows FROM {s.table}" for s in ALL))
+def row_counts(spark, d):
+    return rowdiff.row_counts({s.table: s.prod(spark, d) for s in ALL})
+
+
 # --- reading by key
 
 
@@ -300,6 +323,9 @@ _STRATEGY = "CASE \"table\" WHEN 'customer' THEN 'ours' WHEN 'orders' THEN 'thei
 _RESOLVED_SQL = f"SELECT *, CASE strategy WHEN 'ours' THEN 'keep_prod' WHEN 'theirs' THEN 'use_dev' ELSE 'pending' END AS decision, strategy <> 'manual' AS resolved FROM (SELECT *, {_STRATEGY} AS strategy FROM ({_conflicts_sql(_THREE)}))"
 
 
+_ALL_RESOLVED_SQL = f"SELECT *, CASE \"table\" WHEN 'orders' THEN 'theirs' ELSE 'manual' END AS strategy, CASE \"table\" WHEN 'orders' THEN 'use_dev' ELSE 'pending' END AS decision, \"table\" = 'orders' AS resolved FROM ({_conflicts_sql(ALL)})"
+
+
 def _resolved(spark, d) -> DataFrame:
     strategies = spark.createDataFrame([("customer", "ours", 0), ("orders", "theirs", 1), ("orders", "ours", 2)], "table string, strategy string, ord int")
     return resolve.apply_strategies(_conflicts(spark, d, _THREE), strategies)
@@ -377,6 +403,17 @@ def pending_position(spark, d):
     return resolve.pending_position(_resolved(spark, d))
 
 
+@query(f'SELECT *, row_number() OVER (ORDER BY "table", row_key) AS running FROM (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY row_key) AS position FROM ({_ALL_RESOLVED_SQL}) WHERE NOT resolved)')
+def pending_running(spark, d):
+    return resolve.pending_running(resolve.apply_strategies(_conflicts(spark, d, ALL), spark.createDataFrame([("orders", "theirs")], "table string, strategy string")))
+
+
+@query(f"""SELECT "table", substr(md5(row_key), 1, 2) AS page, count(*) AS n, list(row_key ORDER BY row_key) AS row_keys, list(decision ORDER BY row_key) AS decisions FROM ({_RESOLVED_SQL}) GROUP BY 1, 2""")
+def group_by_table(spark, d):
+    pages = resolve.group_by_table(_resolved(spark, d))
+    return pages.select("table", "page", "n", F.col("resolutions.row_key").alias("row_keys"), F.col("resolutions.decision").alias("decisions"))
+
+
 # --- patches
 
 
@@ -443,6 +480,22 @@ def backfill_bounded(spark, d):
     return patch.backfill_by_span(SUPPLIER.prod(spark, d), "supplier", ["s_suppkey"], ["s_name"], Dialect("postgres"))
 
 
+_STAY = f"SELECT s_suppkey, s_nationkey * 2 AS s_extra FROM {SUPPLIER.dev_sql()} WHERE s_suppkey NOT IN (SELECT s_suppkey FROM ({SUPPLIER.diff_sql()}) WHERE status IN ('added', 'updated'))"
+
+
+@query(
+    f"""SELECT batch, n_rows, 'UPDATE "supplier" SET "s_extra" = CASE ' || cases || ' ELSE "s_extra" END WHERE ' || keys || ';' AS stmt FROM (
+    SELECT floor(s_suppkey / {patch.BATCH_ROWS})::BIGINT AS batch, count(*) AS n_rows, string_agg('WHEN ("s_suppkey" = ' || {_LITERAL.format(c='s_suppkey')} || ') THEN ' || {_LITERAL.format(c='s_extra')}, ' ' ORDER BY s_suppkey) AS cases,
+    string_agg('("s_suppkey" = ' || {_LITERAL.format(c='s_suppkey')} || ')', ' OR ' ORDER BY s_suppkey) AS keys FROM ({_STAY}) GROUP BY 1)"""
+)
+def pack_backfill_sql(spark, d):
+    """A column that dev alone has, for the rows that a patch leaves in place."""
+    prod, dev, key = SUPPLIER.sides(spark, d)
+    dev = dev.withColumn("s_extra", F.col("s_nationkey") * 2)
+    put = rowdiff.row_diff(prod, dev, key, on_drift="intersect").where("status IN ('added', 'updated')")
+    return patch.backfill_by_span(dev.join(put, key, "left_anti"), "supplier", key, ["s_extra"], Dialect("postgres"))
+
+
 # --- history
 
 
@@ -453,4 +506,10 @@ def commit_reachability(spark, d):
     return history.commit_depths(commits)
 
 
+@query("WITH RECURSIVE c AS (SELECT c_custkey AS hash, CASE WHEN c_custkey - c_custkey % 3 - 1 > 0 THEN c_custkey - c_custkey % 3 - 1 END AS parent FROM customer), d AS (SELECT hash, parent, 0 AS back FROM c WHERE hash = (SELECT max(c_custkey) FROM customer) UNION ALL SELECT c.hash, c.parent, d.back + 1 FROM c JOIN d ON c.hash = d.parent) SELECT hash, back::BIGINT AS back FROM d")
+def history_log(spark, d):
+    up, customer = F.col("c_custkey") - F.col("c_custkey") % 3 - 1, CUSTOMER.prod(spark, d)
+    return history.log_of(customer.select(F.col("c_custkey").alias("hash"), F.when(up > 0, up).alias("parent")), customer.agg(F.max("c_custkey")).first()[0])
+
+
 from driftloom.plans import catalog_queries  # noqa: E402, F401  registers the catalog's queries

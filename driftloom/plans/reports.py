@@ -70,22 +70,32 @@ def write_reports(diff: DataFrame, folder: str, drift: Drift, resolutions: DataF
     return counts
 
 
-def row_diff_text(cells: DataFrame, n: int = 1000) -> str:
+def _with_table(cells: DataFrame, table: str) -> DataFrame:
+    return cells if "table" in cells.columns else cells.withColumn("table", F.lit(table))
+
+
+def row_diff_text(cells: DataFrame, table: str = "", n: int = 1000) -> str:
     """The first n cells in columns for reading; a differing cell has a star."""
     lines = []
     last = None
-    for r in cells.orderBy("row_key", F.lower("column")).limit(n).collect():
-        if (r["row_key"], r["status"]) != last:
-            last = (r["row_key"], r["status"])
-            lines.append(f"[{last[1]}] {last[0]}")
+    for r in _with_table(cells, table).orderBy("table", "row_key", F.lower("column")).limit(n).collect():
+        if (r["table"], r["row_key"], r["status"]) != last:
+            last = (r["table"], r["row_key"], r["status"])
+            lines.append(f"[{last[2]}] {last[0] + ': ' if last[0] else ''}{last[1]}")
         show = lambda v: "NULL" if v is None else v if len(v) <= 24 else v[:21] + "..."
         lines.append(f"  {r['column']:<20} {show(r['prod_value']):<24} {show(r['dev_value']):<24}{' *' if r['differs'] else ''}")
     return "\n".join(lines) + "\n"
 
 
-def write_row_diff(cells: DataFrame, table: str, folder: str, text: bool = True) -> None:
-    """row_diff as JSON lines with nested columns, and row_diff.txt for reading."""
-    celldiff.nested_report(cells, table).write.mode("overwrite").json(f"{folder}/row_diff")
+def row_diff_json(cells: DataFrame, n: int = 1000) -> str:
+    """The first n rows with nested cells as lines of JSON."""
+    rows = celldiff.nested_report(cells).orderBy("table", "row_key").limit(n).toJSON()
+    return "".join(x + "\n" for x in rows.collect())
+
+
+def write_row_diff(cells: DataFrame, folder: str, text: bool = True) -> None:
+    """row_diff as JSON lines with nested columns, and row_diff.txt for reading, of the tables that cells names."""
+    celldiff.nested_report(cells).write.mode("overwrite").json(f"{folder}/row_diff")
     if text:
         Path(folder).mkdir(parents=True, exist_ok=True)
         Path(folder, "row_diff.txt").write_text(row_diff_text(cells), encoding="utf-8")
@@ -107,6 +117,11 @@ def load_resolutions(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{own['data']}")
 
 
+def decision_text(decision: str) -> str:
+    """A decision for reading."""
+    return {"keep_prod": "Keep Production", "use_dev": "Use Development", "pending": "Pending"}.get(decision, decision)
+
+
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse;margin:1em 0}td,th{border:1px solid #ccc;padding:3px 8px;text-align:left}.added{background:#e6ffed}.removed{background:#ffeef0}.updated{background:#fff8e1}pre{background:#f6f8fa;padding:1em}"
 
 
@@ -118,11 +133,13 @@ def html_report(diff: DataFrame, drift: Drift, script: str = "", cells: DataFram
     keys = celldiff.limit_keys(diff, shown).select("table", "row_key", F.substring("prod_hash", 1, 12), F.substring("dev_hash", 1, 12), "status").orderBy("table", "status", "row_key").collect()
     parts = [f"<!doctype html><meta charset=utf-8><title>{e(title)}</title><style>{_STYLE}</style><h1>{e(title)}</h1>", f"<p>Schema: {'DRIFT' if drift else 'OK'}</p>", "<h2>Data</h2>", table(["table", "added", "removed", "updated"], [(c["table"], c["added"], c["removed"], c["updated"]) for c in counts]), "<h2>Keys</h2>", table(["table", "key", "prod", "dev", "status"], [tuple(r) for r in keys])]
     if cells is not None:
-        first = cells.where("differs").orderBy("row_key", "column").limit(10 * shown).collect()
-        parts += ["<h2>Cells</h2>", table(["key", "column", "prod", "dev", "status"], [(r["row_key"], r["column"], r["prod_value"], r["dev_value"], r["status"]) for r in first])]
+        first = _with_table(cells, "").where("differs").orderBy("table", "row_key", "column").limit(10 * shown).collect()
+        parts += ["<h2>Cells</h2>", table(["table", "key", "column", "prod", "dev", "status"], [(r["table"], r["row_key"], r["column"], r["prod_value"], r["dev_value"], r["status"]) for r in first])]
     if resolutions is not None:
         own = resolve.breakdown(resolutions).orderBy("table").collect()
         parts += ["<h2>Resolutions</h2>", table(["table", "strategy", "keep prod", "use dev", "pending", "total"], [tuple(r) for r in own])]
+        each = celldiff.limit_keys(resolutions.withColumn("status", F.col("decision")), shown).orderBy("table", "status", "row_key").collect()
+        parts += ["<h2>Conflicts</h2>", table(["table", "key", "prod", "dev", "strategy", "decision"], [(r["table"], r["row_key"], (r["prod_hash"] or "")[:12], (r["dev_hash"] or "")[:12], r["strategy"], decision_text(r["decision"])) for r in each])]
     parts += ["<h2>Schema</h2>", f"<pre>{e(drift_text(drift))}</pre>"]
     if script:
         parts += ["<h2>SQL</h2>", f"<pre>{e(script)}</pre>"]

@@ -55,6 +55,11 @@ SEQUENCES = {
     "postgres": "SELECT sequencename AS name, start_value, increment_by AS increment, min_value, max_value, cache_size, CASE WHEN cycle THEN 1 ELSE 0 END AS is_cyclic FROM pg_sequences WHERE schemaname = '{schema}'",
 }
 
+#: For servers that lack a view of the query above: PostgreSQL before version 10 has no pg_sequences, and its standard view no cache size.
+PLAINER = {
+    ("postgres", "sequences"): "SELECT sequence_name AS name, CAST(start_value AS bigint) AS start_value, CAST(increment AS bigint) AS increment, CAST(minimum_value AS bigint) AS min_value, CAST(maximum_value AS bigint) AS max_value, 0 AS cache_size, CASE cycle_option WHEN 'YES' THEN 1 ELSE 0 END AS is_cyclic FROM information_schema.sequences WHERE sequence_schema = '{schema}'",
+}
+
 KINDS = {"indexes": INDEXES, "foreign_keys": FOREIGN_KEYS, "views": VIEWS, "routines": ROUTINES, "parameters": PARAMETERS, "triggers": TRIGGERS, "sequences": SEQUENCES}
 
 

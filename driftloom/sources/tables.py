@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from driftloom.plans.dialects import PORTS
+from driftloom.functions.retry import connected, retry
+from driftloom.plans.dialects import PORTS, Dialect
 from driftloom.sources.config import Source
 
 
@@ -31,14 +32,43 @@ def jdbc_url(source: Source) -> str:
 
 def jdbc_options(source: Source, table: str, split: tuple[str, int, int] | None = None, partitions: int = 8, fetch_size: int = 10_000) -> dict[str, str]:
     """Options of a scan: with split (an integer key column with its least and greatest value) the database is read in so many ranges at once."""
-    own = {"url": jdbc_url(source), "dbtable": table, "user": source.user, "password": source.password, "fetchsize": str(fetch_size)}
+    own = {"url": jdbc_url(source), "dbtable": Dialect(source.driver).quote(table), "user": source.user, "password": source.password, "fetchsize": str(fetch_size)}
     if split:
-        own |= {"partitionColumn": split[0], "lowerBound": str(split[1]), "upperBound": str(split[2]), "numPartitions": str(partitions)}
+        own |= {"partitionColumn": Dialect(source.driver).quote(split[0]), "lowerBound": str(split[1]), "upperBound": str(split[2]), "numPartitions": str(partitions)}
     return own
 
 
-def jdbc_table(spark: SparkSession, source: Source, table: str, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(source, table, **options)).load()
+def jdbc_query(spark: SparkSession, source: Source, query: str) -> DataFrame:
+    """The rows of a query that the database runs; refused or broken connections are tried again."""
+    return retry(lambda: connected(lambda: spark.read.format("jdbc").options(url=jdbc_url(source), user=source.user, password=source.password, query=query).load()))
+
+
+#: By engine, whether a row's key falls in the given of so many parts, for keys that are no integers.
+HASHED = {
+    "mysql": "MOD(CRC32({k}), {n}) = {i}", "postgres": "MOD(ABS(CAST(HASHTEXT(CAST({k} AS text)) AS bigint)), {n}) = {i}",
+    "mssql": "ABS(CAST(CHECKSUM({k}) AS bigint)) % {n} = {i}", "oracle": "ORA_HASH({k}, {n} - 1) = {i}",
+}
+
+
+def hash_predicates(driver: str, key: Sequence[str], partitions: int) -> list[str]:
+    """A condition per partition over the key's columns as one text; each row meets one of them."""
+    own = [Dialect(driver).quote(k) for k in key]
+    joined = own[0] if len(own) == 1 else f"CONCAT({', '.join(own)})" if driver == "mysql" else (" + '|' + " if driver == "mssql" else " || '|' || ").join(f"CAST({k} AS {'text' if driver == 'postgres' else 'varchar(4000)'})" for k in own)
+    return [HASHED[driver].format(k=joined, n=partitions, i=i) for i in range(partitions)]
+
+
+def jdbc_table(spark: SparkSession, source: Source, table: str, key: Sequence[str] = (), partitions: int = 8, fetch_size: int = 10_000) -> DataFrame:
+    """A table, read in several connections at once: in ranges of the key's first column if it is an integer, else by a hash of the key; without a key in one."""
+    load = lambda **o: retry(lambda: connected(lambda: spark.read.format("jdbc").options(**jdbc_options(source, table, **o, partitions=partitions, fetch_size=fetch_size)).load()))
+    whole = load()
+    if not key or partitions < 2:
+        return whole
+    if isinstance(whole.schema[key[0]].dataType, T.IntegralType) or (isinstance(whole.schema[key[0]].dataType, T.DecimalType) and whole.schema[key[0]].dataType.scale == 0):
+        q = Dialect(source.driver).quote
+        low, high = jdbc_query(spark, source, f"SELECT MIN({q(key[0])}) AS low, MAX({q(key[0])}) AS high FROM {q(table)}").first()
+        return whole if low is None or low == high else load(split=(key[0], int(low), int(high)))
+    properties = {"user": source.user, "password": source.password, "fetchsize": str(fetch_size)}
+    return spark.read.jdbc(jdbc_url(source), Dialect(source.driver).quote(table), predicates=hash_predicates(source.driver, key, partitions), properties=properties)
 
 
 _SQLITE_TYPES = (("INT", T.LongType()), ("CHAR", T.StringType()), ("CLOB", T.StringType()), ("TEXT", T.StringType()), ("BLOB", T.BinaryType()), ("REAL", T.DoubleType()), ("FLOA", T.DoubleType()), ("DOUB", T.DoubleType()))
@@ -102,9 +132,10 @@ def sqlite_table(spark: SparkSession, path: str, table: str, partitions: int = 4
     return spark.read.format("sqlite_rows").options(path=path, table=table, partitions=str(partitions)).load()
 
 
-def read_table(spark: SparkSession, source: Source, table: str, **options) -> DataFrame:
+def read_table(spark: SparkSession, source: Source, table: str, key: Sequence[str] = (), partitions: int = 8, fetch_size: int = 10_000) -> DataFrame:
+    """A table of a side. Parquet is split by Spark, a database by its key into so many ranges, read so many rows at a time."""
     if source.driver == "parquet":
         return parquet_table(spark, source.path or source.database, table)
     if source.driver == "sqlite":
-        return sqlite_table(spark, source.path or source.database, table)
-    return jdbc_table(spark, source, table, **options)
+        return sqlite_table(spark, source.path or source.database, table, partitions)
+    return jdbc_table(spark, source, table, key, partitions, fetch_size)
