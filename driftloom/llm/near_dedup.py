@@ -22,12 +22,12 @@ PERCENT = 75
 BANDS, ROWS = 64, 6
 #: Places of the circle that the two permutations act on.
 CIRCLE = 1 << 20
-#: Bands whose buckets are resolved first; most groups are whole after these, which spares the others' checks.
-FIRST_BANDS = 8
+#: Coordinates of which the sketches of texts that buckets leave open keep one bit each.
+SKETCH = 2048
 #: Deviations that a pair's sketches may differ by more than expected at the threshold.
-SIGMAS = 5.7
-#: From the third round on a bucket of up to so many members is compared in full; larger ones get so many representatives, then more.
-SMALL_BUCKET = 64
+SIGMAS = 4.5
+#: Members of a bucket that one task compares with the bucket's minor ones; larger buckets are dealt out.
+SPLIT = 2048
 
 
 @cache
@@ -49,44 +49,58 @@ def signature(own: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, d1, d2, bands, sketch): the set's size, 128 bits that name it, its band hashes, and a bit of each signature coordinate."""
+    """(id, n_shingles, d1, d2, bands): the set's size, 128 bits that name it, and its band hashes."""
     kind = docs.schema["id"].dataType.simpleString()
     salts = shingles.mix(np.arange(1, rows + 1, dtype=np.uint64))
     places = shingles.mix(np.arange(100, 100 + bands, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, d1, d2, keys, sketch = [], [], [], [], []
+            sizes, d1, d2, keys = [], [], [], []
             for own in shingles.shingle_sets([x.encode() for x in batch.column(1).to_pylist()], words):
                 sizes.append(len(own))
                 d1.append(own.sum(dtype=np.uint64))
                 d2.append(np.bitwise_xor.reduce(shingles.mix(own + np.uint64(1)), initial=0))
-                least = signature(own, bands * rows).astype(np.uint64)
-                bits = np.packbits((shingles.mix(least) & np.uint64(1)).astype(np.uint8))
-                sketch.append(np.frombuffer(np.pad(bits, (0, -len(bits) % 8)).tobytes(), np.int64))
-                least = least.reshape(bands, rows)
+                least = signature(own, bands * rows).astype(np.uint64).reshape(bands, rows)
                 keys.append(shingles.mix((least * salts).sum(axis=1, dtype=np.uint64) + places))
-            n = len(sizes)
-            if not n:
-                continue
-            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(x[0])), pa.array(np.concatenate(x).view(np.int64)))  # noqa: B023, E731
-            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(d1), longs(d2), listed(keys), listed(sketch)], names=["id", "n_shingles", "d1", "d2", "bands", "sketch"])
+            if sizes:
+                longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(d1), longs(d2), _lists(keys)], names=["id", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(sign, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit values as a column of lists."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.uint64, copy=False).view(np.int64)))
+
+
+def _sketches(sets: DataFrame, coordinates: int) -> DataFrame:
+    """(id, sketch): a bit of each of many signature coordinates of sets (id, own)."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own in batch.column(1):
+                least = signature(own.values.to_numpy().view(np.uint64), coordinates).astype(np.uint64)
+                rows.append(np.frombuffer(np.packbits((shingles.mix(least) & np.uint64(1)).astype(np.uint8)).tobytes(), np.uint64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(rows)], names=["id", "sketch"])
+
+    return sets.select("id", "own").mapInArrow(sketch, f"id {kind}, sketch array<long>")
 
 
 def _alike(a: Column, b: Column, coordinates: int, percent: int) -> Column:
     """Whether two sketches differ in few enough bits for the threshold.
 
     Bits of a pair that meets the threshold j differ with probability (1 - j) / 2; the bound lies SIGMAS deviations above, which
-    such a pair crosses once in 10**8, far more seldom than it misses all bands. Short signatures rule nothing out.
+    such a pair crosses about as seldom as it misses all bands.
     """
     p = (1 - percent / 100) / 2
     bound = int(coordinates * p + SIGMAS * (coordinates * p * (1 - p)) ** 0.5) + 1
-    words = -(-coordinates // 64)
-    differing = reduce(add, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)])
-    return F.coalesce(differing <= bound, F.lit(True))  # ids that several texts share have no sketch
+    return reduce(add, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(coordinates // 64)]) <= bound
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -97,31 +111,63 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             own = list(shingles.shingle_sets([x.encode() for x in batch.column(1).to_pylist()], words))
             if own:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], names=["id", "own"])
 
     return docs.mapInArrow(sets, f"id {kind}, own array<long>")
 
 
-def _verified(pairs: DataFrame, body: DataFrame, words: int, percent: int, broadcast_bytes: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of pairs (a, b, ..) whose full sets meet the threshold."""
-    ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    sets = stage(_sets(body.join(maybe_broadcast(ids, 16, broadcast_bytes), "id", "left_semi"), words), "pair-sets")
     both = pairs.join(sets.toDF("a", "own_a"), "a").join(sets.toDF("b", "own_b"), "b")
     common = F.size(F.array_intersect("own_a", "own_b"))
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("own_a") + F.size("own_b") - F.col("common")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _alike_in_size(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's least id, once for all bands that join them."""
+    reps = stage(members.groupBy("band").agg(F.min(F.struct("id", "n")).alias("rep")), "bucket-reps")
+    pairs = members.join(reps, "band").where((F.col("id") != F.col("rep.id")) & _alike_in_size(F.col("n"), F.col("rep.n"), percent))
+    return pairs.select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _open_pairs(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int, broadcast_bytes: int, split: int) -> DataFrame:
+    """(a, b, ca, cb): the pairs of different components that a bucket still holds, if their sketches allow a link.
+
+    In such a bucket the members outside of its largest component, the minor ones, are compared with all others, so a large group
+    and a text that only resembles it cost one comparison a member, and a bucket of unlike texts is compared in full. Comparing
+    happens inside the join, whose condition lets out a pair only in the least bucket that it shares; a large bucket's members are dealt
+    over several tasks.
+    """
+    labelled = members.join(found, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
+    sizes = labelled.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("components"))
+    mixed = maybe_broadcast(stage(sizes.where("components > 1").select("band", "main", "size"), "mixed"), 32, broadcast_bytes)
+    live = stage(labelled.join(mixed, "band"), "live")
+    own = live.groupBy("id").agg(F.collect_set("band").alias("bands"))
+    known = stage(_sketches(sets.join(maybe_broadcast(stage(live.select("id").distinct(), "open-ids"), 16, broadcast_bytes), "id", "left_semi"), SKETCH).join(own, "id"), "sketches")
+    live = live.join(known, "id").withColumn("parts", F.ceil(F.col("size") / split).cast("int"))
+    every = live.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts", "size")
+    minor = live.where("c <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "part", *[F.col(x).alias(f"minor_{x}") for x in ("id", "n", "c", "sketch", "bands")])
+    every, minor = stage(every, "open-members"), stage(minor, "open-minors")
+    differ = (F.col("c") != F.col("minor_c")) & ((F.col("c") == F.col("main")) | (F.col("minor_id") < F.col("id")))
+    alike = _alike_in_size(F.col("n"), F.col("minor_n"), percent) & _alike(F.col("sketch"), F.col("minor_sketch"), SKETCH, percent)
+    met = (F.col("e.band") == F.col("m.band")) & (F.col("e.part") == F.col("m.part"))
+    once = F.col("e.band") == F.array_min(F.array_intersect("bands", "minor_bands"))
+    pairs = every.alias("e").join(minor.alias("m"), met & differ & alike & once)
+    return pairs.select(F.least("id", "minor_id").alias("a"), F.greatest("id", "minor_id").alias("b"), F.least("c", "minor_c").alias("ca"), F.greatest("c", "minor_c").alias("cb")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, broadcast_bytes: int = BROADCAST_BYTES, split: int = SPLIT) -> DataFrame:
     """Link documents whose sets of distinct word shingles are similar, and group them.
 
     Returns per row: id, n_shingles, component_id (the least id reachable over links), kept (id = component_id). Texts with
-    equal sets are one class from the start. Classes that agree in a band share a bucket. Each round, the members of
-    buckets that still hold more than one component are compared, by sketches and then exactly, with representatives of their bucket: one in the
-    first two rounds, then every member of a small bucket, and of a larger one eight times as many each round. Representatives, having met everyone, leave. Rounds end when
-    every bucket holds one component or no member is left. So a large group of copies costs one comparison a
-    member, while nothing is capped: a bucket of texts that are not similar is compared in full, over several rounds.
+    equal sets are one class from the start, and one of each class goes on. Those that agree in a band share a bucket. First each member is
+    compared with its bucket's least id, which makes most groups whole at one comparison a member. Then buckets that still hold
+    several components compare all pairs of different components, but for those within the bucket's largest, first by sketches and then, as
+    every link, on the full sets. Nothing is capped: every pair that shares a bucket is linked, compared or in one component.
 
     A text without words, or null, is empty and linked with nothing. A shorter text than `words` is one shingle. Rows that
     share an id are one node; a null id is linked like others but never names a component that has an id. Only id and text
@@ -133,55 +179,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # One row of each class carries its bands on.
     firsts = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
-    exploded = firsts.select("id", "n_shingles", F.posexplode("bands").alias("b", "band"))
+    exploded = firsts.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = exploded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     buckets = maybe_broadcast(stage(buckets, "buckets"), 16, broadcast_bytes)
-    members = exploded.join(buckets, "band", "left_semi").select("band", "id", F.col("n_shingles").alias("n"), (F.col("b") < FIRST_BANDS).alias("early")).distinct()
-    members = stage(members.join(firsts.groupBy("id").agg(F.when(F.count("*") == 1, F.first("sketch")).alias("sketch")), "id"), "bucket-members")
-
-    found, tried, turn, per_bucket = None, None, 0, 1
-    while True:
-        labelled = members.where("early") if turn == 0 else members
-        if found is None:
-            labelled = labelled.withColumn("c", F.col("id"))
-        else:
-            labelled = labelled.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "size")
-        mixed = maybe_broadcast(stage(mixed, "mixed"), 24, broadcast_bytes)
-        live = stage(labelled.join(mixed, "band"), "live")
-        if turn and live.isEmpty():
-            break
-        slot = F.xxhash64("id", F.lit(turn))
-        slot = F.when((F.col("size") > SMALL_BUCKET) | F.lit(turn < 2), F.pmod(slot, F.lit(per_bucket))).otherwise(slot)
-        reps = live.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("id", "n", "c", "sketch")).alias("rep")).select("band", "rep")
-        reps = maybe_broadcast(stage(reps, "bucket-reps"), 112, broadcast_bytes)
-        size = 100 * F.least("n", "rep.n") >= percent * F.greatest("n", "rep.n")
-        pairs = live.join(reps, "band").where((F.col("c") != F.col("rep.c")) & size & _alike(F.col("sketch"), F.col("rep.sketch"), bands * rows, percent)).select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b"), F.least("c", "rep.c").alias("ca"), F.greatest("c", "rep.c").alias("cb")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if turn:  # the early bands come again with the others, so their representatives stay
-            members = live.join(reps.select("band", F.col("rep.id").alias("id")), ["band", "id"], "left_anti").drop("c", "size")
-            per_bucket = SMALL_BUCKET if turn == 1 else per_bucket * 8
-        turn += 1
-        if pairs.isEmpty():
-            continue
-        own = pairs.select("a", "b")
-        tried = own if tried is None else tried.unionByName(own)
-        # Components are contracted: new links join component ids, old members follow theirs.
-        good = stage(_verified(pairs, body, words, percent, broadcast_bytes).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "verified")
-        if good.isEmpty():
-            continue
-        new = stage(components(good), "new-components")
-        if found is not None:
-            new = new.toDF("component", "to")
-            new = stage(found.join(new, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("to", "component").alias("component")), "components")
-        found = maybe_broadcast(new, 24, broadcast_bytes)
+    members = stage(exploded.join(buckets, "band", "left_semi").distinct(), "bucket-members")
+    ids = maybe_broadcast(stage(members.select("id").distinct(), "bucket-ids"), 16, broadcast_bytes)
+    sets = stage(_sets(body.join(ids, "id", "left_semi"), words), "bucket-sets")
+
+    star = stage(_verified(_star_pairs(members, percent), sets, percent).select("a", "b"), "star-links")
+    found = stage(components(star), "star-components")
+    more = _verified(stage(_open_pairs(members, found, sets, percent, broadcast_bytes, split), "open-pairs"), sets, percent)
+    joined = stage(components(stage(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "open-links")), "joined-components")
 
     named = signed.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
-    if found is not None:
-        named = named.join(found.toDF("rep", "component"), "rep", "left")
-    else:
-        named = named.withColumn("component", F.col("rep"))
-    component = F.coalesce("component", "rep", "id")
+    named = named.join(maybe_broadcast(found.toDF("rep", "first"), 24, broadcast_bytes), "rep", "left").withColumn("first", F.coalesce("first", "rep", "id"))
+    named = named.join(maybe_broadcast(joined.toDF("first", "last"), 24, broadcast_bytes), "first", "left")
+    component = F.coalesce("last", "first")
     return named.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
