@@ -3,7 +3,8 @@
 Suffixes matter only to a depth of min_bytes, so the suffix array is cut into buckets: a suffix goes to the bucket named by
 the least hash among the grams at the start of its min_bytes-byte prefix. Equal prefixes share that hash, so each bucket holds every suffix that a member
 can match. Neighbouring suffixes of a document mostly share a bucket and travel together as one snippet of text. Buckets
-that only one document has are dropped before any text moves.
+that only one document has are dropped before any text moves, and snippets that a smaller document of the same task has are settled there. A bucket
+of many documents, whose common gram stands between differing neighbours, is dealt out again by the hash of each suffix's whole prefix.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ MIN_BYTES = 50
 GRAM = 16
 #: Bytes of snippets that are put in suffix order at once; a bucket that alone is larger doubles it as it goes.
 CHUNK = 1 << 21
+#: Documents of a bucket above which its suffixes are dealt out one by one.
+HOT = 1024
+#: Distinct snippets that a task remembers to settle later ones; it forgets them all when there are more, which only sends more on.
+HELD = 200_000
+#: What tasks are sized for: bytes of text whose buckets, and snippets that, one task sorts.
+TASK_BYTES, TASK_SNIPPETS = 64 << 20, 400_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -102,54 +109,134 @@ def _bucket_rows(docs: DataFrame, min_bytes: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "bucket long, doc long")
 
 
-def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (bucket, doc), sorted, those of buckets with two documents or more; a bucket may run over any number of batches."""
-    last, first, told = None, None, False
+def _shared(rows: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, doc), sorted, those of buckets with two documents or more, and whether the bucket has more than so many rows.
+
+    A bucket may run over any number of batches; of an unfinished one no more than `hot` rows are held beside a batch.
+    """
+
+    def told(bucket: np.ndarray, doc: np.ndarray, is_hot: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc), pa.array(is_hot)], names=["bucket", "doc", "hot"])
+
+    def whole(bucket: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sizes = np.diff(np.append(starts, len(bucket)))
+        several = np.repeat(np.logical_or.reduceat(doc != np.repeat(doc[starts], sizes), starts), sizes)
+        return told(bucket[several], doc[several], np.repeat(sizes > hot, sizes)[several])
+
+    held_b, held_d, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), None
     for batch in rows:
         bucket, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if open_ is not None:
+            n = int(np.searchsorted(bucket, open_, side="right"))
+            if n:
+                yield told(bucket[:n], doc[:n], np.ones(n, bool))
+            bucket, doc = bucket[n:], doc[n:]
+        bucket, doc = np.concatenate([held_b, bucket]), np.concatenate([held_d, doc])
         if not len(bucket):
             continue
-        new = np.concatenate([[last is None or bucket[0] != last], bucket[1:] != bucket[:-1]])
-        begins = np.flatnonzero(new)
-        heads = doc[begins] if new[0] else np.concatenate([[first], doc[begins]])
-        group = np.cumsum(new) - (1 if new[0] else 0)
-        head = heads[group]
-        several = np.zeros(len(heads), bool)
-        np.logical_or.at(several, group[doc != head], True)
-        keep = several[group] if new[0] or not told else several[group] | (group == 0)
-        late = not new[0] and several[0] and not told
-        out_b, out_d = bucket[keep], doc[keep]
-        if late:
-            out_b, out_d = np.append(out_b, last), np.append(out_d, first)
-        told = bool(several[-1]) or (told and len(heads) == 1 and not new[0])
-        last, first = bucket[-1], heads[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(out_b), pa.array(out_d)], names=["bucket", "doc"])
-
-
-def _snippets(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(bucket, doc, mark, start, snippet) of the runs of each document whose bucket is among its shared ones."""
+        open_ = None
+        last = int(np.searchsorted(bucket, bucket[-1]))
+        if last:
+            yield whole(bucket[:last], doc[:last])
+        held_b, held_d = bucket[last:], doc[last:]
+        if len(held_b) > hot:
+            if (held_d != held_d[0]).any():
+                yield told(held_b, held_d, np.ones(len(held_b), bool))
+                open_, held_b, held_d = held_b[0], held_b[:0], held_d[:0]
+            else:  # rows of one id
+                held_b, held_d = held_b[:1], held_d[:1]
+    if len(held_b):
+        yield whole(held_b, held_d)
+
+
+def _prefix_hashes(text: bytes, starts: np.ndarray, min_bytes: int) -> np.ndarray:
+    """A hash of the min_bytes bytes at each of the starts."""
+    eight = _words(text)
+    out = np.zeros(len(starts), np.uint64)
+    for i in (*range(0, min_bytes - 7, 8), min_bytes - 8):
+        out = shingles.mix(out * _A + eight[starts + i] * _B)
+    return out
+
+
+def _spans(parts: list[tuple[int, int]]) -> list[list[int]]:
+    """The maximal runs that parts cover."""
+    spans: list[list[int]] = []
+    for a, b in sorted(parts):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    return spans
+
+
+def _snippets(docs: DataFrame, min_bytes: int, held: int = HELD) -> DataFrame:
+    """(bucket, doc, mark, start, stop, snippet) of the runs of each document whose bucket is among its shared ones.
+
+    Of a hot bucket's runs each suffix's prefix goes on alone, in a bucket of its own hash. What a smaller document of this task has
+    already is gone: such runs need no text and are merged into rows without a snippet, dealt anywhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+
+        def fresh(parts: list[bytes], doc: int) -> list[bool]:
+            if len(seen) + len(parts) > held:
+                seen.clear()
+            out = []
+            for p in parts:
+                first = seen.get(p)
+                if first is None or first > doc:
+                    seen[p] = doc
+                    out.append(True)
+                else:
+                    out.append(first == doc)
+            return out
+
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows, buckets, starts, parts, size = [], [], [], [], 0
+            rows, buckets, starts, stops, parts, size = [], [], [], [], [], 0
             for row, text in enumerate(batch.column(2).to_pylist()):
-                text = text.encode()
+                text, doc = text.encode(), int(ids[row])
                 bucket, first = bucket_runs(text, min_bytes)
-                shared = np.isin(bucket.view(np.int64), batch.column(3)[row].values.to_numpy())
-                ends = np.append(first[1:], len(text) - min_bytes + 1)[shared] + min_bytes - 1
-                own = first[shared]
-                parts += [text[a:b] for a, b in zip(own.tolist(), ends.tolist(), strict=True)]
-                rows += [row] * len(own)
-                buckets.append(bucket[shared].view(np.int64))
-                starts.append(own)
+                ends = np.append(first[1:], len(text) - min_bytes + 1) + min_bytes - 1
+                gone: list[tuple[int, int]] = []
+
+                def go_on(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                    own = [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]  # noqa: B023
+                    new = np.array(fresh(own, doc), bool)  # noqa: B023
+                    gone.extend(zip(a[~new].tolist(), b[~new].tolist(), strict=True))  # noqa: B023
+                    if keys is not None:
+                        rows.extend([row] * int(new.sum()))  # noqa: B023
+                        buckets.append(keys[new].view(np.int64))  # noqa: B023
+                        starts.append(a[new])  # noqa: B023
+                        stops.append(b[new])  # noqa: B023
+                        parts.extend(p for p, n in zip(own, new, strict=True) if n)  # noqa: B023
+                    return new
+
+                signed = bucket.view(np.int64)
+                cool = np.isin(signed, batch.column(3)[row].values.to_numpy())
+                go_on(bucket[cool], first[cool], ends[cool])
+                hots = batch.column(4)[row].values.to_numpy()
+                if len(hots) and (hot := np.isin(signed, hots)).any():
+                    new = go_on(None, first[hot], ends[hot])
+                    a, counts = first[hot][new], (ends - first)[hot][new] - min_bytes + 1
+                    each = np.arange(counts.sum()) + np.repeat(a - np.cumsum(counts) + counts, counts)
+                    go_on(_prefix_hashes(text, each, min_bytes), each, each + min_bytes)
+                for a, b in _spans(gone):
+                    rows.append(row)
+                    buckets.append(shingles.mix(np.array([(doc ^ a << 20) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64))
+                    starts.append(np.array([a]))
+                    stops.append(np.array([b]))
+                    parts.append(None)
                 size += len(text)
                 if size > 1 << 21 or row == batch.num_rows - 1:
                     at = np.array(rows, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(ids[at]), pa.array(marks[at]), pa.array(np.concatenate(starts)), pa.array(parts, pa.binary())], names=["bucket", "doc", "mark", "start", "snippet"])
-                    rows, buckets, starts, parts, size = [], [], [], [], 0
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(ids[at]), pa.array(marks[at]), pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops)), pa.array(parts, pa.binary())], names=["bucket", "doc", "mark", "start", "stop", "snippet"])
+                    rows, buckets, starts, stops, parts, size = [], [], [], [], [], 0
 
-    return docs.select("doc", "mark", "text", "buckets").mapInArrow(run, "bucket long, doc long, mark long, start long, snippet binary")
+    return docs.select("doc", "mark", "text", "buckets", "hots").mapInArrow(run, "bucket long, doc long, mark long, start long, stop long, snippet binary")
 
 
 class _Buckets:
@@ -211,8 +298,11 @@ def _matches(min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets(min_bytes)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                buckets.add(*row)
+            for bucket, doc, mark, start, stop, snippet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if snippet is None:
+                    buckets.out.append((doc, mark, start, stop))
+                else:
+                    buckets.add(bucket, doc, mark, start, snippet)
             yield from buckets.take()
         buckets.solve(False)
         yield from buckets.take()
@@ -220,19 +310,14 @@ def _matches(min_bytes: int):
     return run
 
 
-def _cut(text: bytes, parts: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
+def _cut(text: bytes, parts: list[tuple[int, int]]) -> tuple[list[list[int]], bytes]:
     """The maximal runs covered by parts, and what is left of the text."""
-    spans: list[list[int]] = []
-    for a, b in sorted(parts):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], b)
-        else:
-            spans.append([a, b])
+    spans = _spans(parts)
     ends = [0, *(x for s in spans for x in s), len(text)]
     return spans, b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, keep_bytes: bool = False, partitions: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, keep_bytes: bool = False, partitions: int | None = None, hot: int = HOT, held: int = HELD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Remove every byte covered by a min_bytes-byte string that also starts in a document with a smaller id; the first document keeps it.
 
     Returns per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of from, to) and with keep_bytes the bytes left, as
@@ -251,12 +336,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = stage(exact_duplicates(named, "named", "text", keep="min").where("not kept").select("named.doc", "named.mark").distinct(), "repeat-copies")
     whole = body.join(maybe_broadcast(copies, 24, broadcast_bytes), ["doc", "mark"], "left_anti").where("doc is not null")
 
-    tasks = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _bucket_rows(whole, min_bytes).repartition(tasks, "bucket").sortWithinPartitions("bucket", "doc")
-    shared = rows.mapInArrow(_shared, "bucket long, doc long").groupBy("doc").agg(F.collect_list("bucket").alias("buckets"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = lambda n, each: partitions or max(least, -(-n // each))
+    n_bytes = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = _bucket_rows(whole, min_bytes).repartition(sized(n_bytes, TASK_BYTES), "bucket").sortWithinPartitions("bucket", "doc")
+    listed = lambda is_hot: F.collect_list(F.when(F.col("hot") == is_hot, F.col("bucket")))
+    shared = rows.mapInArrow(lambda own: _shared(own, hot), "bucket long, doc long, hot boolean").groupBy("doc").agg(listed(False).alias("buckets"), listed(True).alias("hots"))
     shared = stage(shared, "repeat-buckets")
-    held = whole.join(shared.hint("merge"), "doc")  # both grow with the corpus, so they are shuffled at every size
-    snippets = _snippets(held, min_bytes).repartition(tasks, "bucket").sortWithinPartitions("bucket", "doc")
+    n_snippets = shared.agg(F.sum(F.size("buckets") + 4 * F.size("hots"))).first()[0] or 0
+    met = whole.join(shared.hint("merge"), "doc")  # both grow with the corpus, so they are shuffled at every size
+    snippets = _snippets(met, min_bytes, held).repartition(sized(n_snippets, TASK_SNIPPETS), "bucket").sortWithinPartitions("bucket", "doc")
     parts = snippets.mapInArrow(_matches(min_bytes), "doc long, mark long, from long, to long")
     parts = stage(parts.groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("parts")), "repeat-parts")
 

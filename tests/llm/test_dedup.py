@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -199,13 +199,36 @@ def passages(n=120):
     return rows
 
 
-@pytest.mark.parametrize("width", [50, 37])
-def test_repeats(spark, width):
+@pytest.mark.parametrize(("width", "hot", "held"), [(50, repeats.HOT, repeats.HELD), (37, repeats.HOT, repeats.HELD), (50, 2, 50), (37, 3, 0)])
+def test_repeats(spark, width, hot, held):
     rows = passages()
-    got = {x["doc_id"]: tuple(x)[1:5] for x in repeats.remove_repeats(frame(spark, rows), min_bytes=width).collect()}
+    got = {x["doc_id"]: tuple(x)[1:5] for x in repeats.remove_repeats(frame(spark, rows), min_bytes=width, hot=hot, held=held).collect()}
     assert got == brute_repeats(rows, width)
 
 
+def test_repeats_of_a_common_gram_between_differing_texts(spark):
+    """A rule that most documents hold, alone or in a shared passage: its bucket is dealt out by whole prefixes."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(i, f"{word()} {word()}{'-' * 40}{passage if i % 3 == 0 else word() + word()} {word()}" + ("=" * 300 if i % 5 == 0 else "")) for i in range(150)]
+    r.shuffle(rows)
+    for hot in (10, repeats.HOT):
+        got = {x["doc_id"]: tuple(x)[1:5] for x in repeats.remove_repeats(frame(spark, rows, 5), hot=hot).collect()}
+        assert got == brute_repeats(rows, 50)
+
+
+def test_prefix_hashes_tell_prefixes_apart():
+    text = bytes(random.Random(3).choices(b"ab", k=4000)) + b"x" * 100
+    for n in (50, 37):
+        starts = np.arange(len(text) - n + 1)
+        by_hash, by_text = defaultdict(set), defaultdict(set)
+        for a, h in zip(starts.tolist(), repeats._prefix_hashes(text, starts, n).tolist(), strict=True):
+            by_hash[h].add(text[a : a + n])
+            by_text[text[a : a + n]].add(h)
+        assert {len(x) for x in by_hash.values()} == {len(x) for x in by_text.values()} == {1}
+
+
 def test_repeats_odd_rows(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, long), (1, long), (1, long + "!"), (None, long), (2, long), (3, "0" + long), (3, None)]
@@ -272,10 +295,22 @@ def test_shared_runs_over_batches():
     for b, d in rows:
         docs[b].add(d)
     want = [x for x in rows if len(docs[x[0]]) > 1]
-    for size in (1, 3, 7, 60):
+    for size, hot in ((1, 99), (3, 99), (7, 99), (60, 99), (1, 2), (3, 4), (7, 1), (60, 4)):
         batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[1] for x in part])], names=["bucket", "doc"]) for part in (rows[i : i + size] for i in range(0, 60, size))]
-        got = [x for out in repeats._shared(iter(batches)) for x in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
-        assert set(got) == set(want)
+        found = [x for out in repeats._shared(iter(batches), hot) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+        assert {x[:2] for x in found} == set(want)
+
+
+def test_shared_runs_tell_hot_buckets():
+    import pyarrow as pa
+
+    r = random.Random(7)
+    rows = sorted({(r.randint(0, 12), r.randint(0, 9)) for _ in range(60)})
+    size_of = Counter(b for b, _ in rows)
+    for size, hot in ((1, 2), (3, 4), (7, 1), (60, 4), (5, 99)):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in part]), pa.array([x[1] for x in part])], names=["bucket", "doc"]) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        found = [x for out in repeats._shared(iter(batches), hot) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+        assert found == [(b, d, size_of[b] > hot) for b, d in rows if size_of[b] > 1]
 
 
 def test_other_columns_do_not_clash(spark):
