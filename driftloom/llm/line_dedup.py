@@ -1,12 +1,16 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a staged table of (h1, h2, n): a line key's 128 hash bits and how many documents hold it, sorted by h1 within
-range partitions. Runs stand on levels; when a level has `fanout` of them they are merged into one of the next level, so
-that R batches leave O(log R) runs and each count is rewritten O(log R) times.
+A run is a table (h1, h2, n) in the warehouse: a line key's 128 hash bits and how many documents hold it, bucketed and sorted by
+the hashes, so that merging with it neither shuffles nor sorts it again. Runs stand on levels; when a level has `fanout` of them they are
+merged into one of the next level, so that R batches leave O(log R) runs and each count is rewritten O(log R) times. Each new
+batch merge-anti-joins the runs: of what they have decided already nothing is added again.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,13 +46,21 @@ def line_hashes(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of line counts, in the session's shared folder."""
+    """Levelled runs of line counts, as tables of the session's warehouse; drop() deletes them."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout, self.levels = spark, fanout, []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _run(self, counts: DataFrame, level: int) -> DataFrame:
-        return stage(counts.repartitionByRange("h1").sortWithinPartitions("h1", "h2"), f"lines-run{level}")
+    def _run(self, counts: DataFrame, level: int) -> str:
+        """Write a run, one sorted file per bucket, and return its name."""
+        name = f"driftloom_lines_{level}_{uuid.uuid4().hex}"
+        with _sorted_scans(self.spark):
+            counts.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        return name
+
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch's counts (h1, h2, n; one row per key) as a run of level 0, then compact the full levels."""
@@ -59,16 +71,20 @@ class LineRuns:
             self.levels[level].append(carry)
             if len(self.levels[level]) < self.fanout:
                 return
-            carry, self.levels[level] = self._run(self._summed(self.levels[level]), level + 1), []
+            merged, self.levels[level] = self.levels[level], []
+            carry = self._run(self._summed([self.spark.table(x) for x in merged]), level + 1)
+            self._delete(merged)
             level += 1
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        """Runs merged, counts of common keys added. Two runs meet as they are stored; a union would not do, since Spark takes one of bucketed tables for dealt by key when it is not."""
+        merge = lambda a, b: a.join(b.withColumnRenamed("n", "m").hint("merge"), ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return reduce(merge, runs)
 
     def counts(self) -> DataFrame:
         """The counts of all batches so far."""
-        runs = [run for level in self.levels for run in level]
+        runs = self.tables()
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, n long")
         return runs[0] if len(runs) == 1 else self._summed(runs)
@@ -76,12 +92,32 @@ class LineRuns:
     def frequent(self, min_docs: int) -> DataFrame:
         return self.counts().where(F.col("n") >= min_docs).select("h1", "h2")
 
-    def new_lines(self, lines: DataFrame) -> DataFrame:
-        """The rows of lines (with h1, h2) whose key is in no run: one merge anti-join with each."""
-        for run in (run for level in self.levels for run in level):
-            lines = lines.join(run, ["h1", "h2"], "left_anti")
+    def new_lines(self, lines: DataFrame, min_docs: int = 1) -> DataFrame:
+        """The rows of lines (with h1, h2) whose key no run has with so many documents: one merge anti-join with each."""
+        for run in self.tables():
+            lines = lines.join(run.where(F.col("n") >= min_docs).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return lines
 
+    def drop(self) -> None:
+        self._delete([name for level in self.levels for name in level])
+        self.levels = []
+
+    def _delete(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside read a bucket of one file in its order, without sorting it again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def batch_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(h1, h2, n): in how many rows of docs each non-empty line key stands."""
@@ -97,7 +133,8 @@ def add_batch(runs: LineRuns, docs: DataFrame, id_col: str = "doc_id", text_col:
     text = text_of(text_col)
     lines = docs.select(F.col(id_col), F.posexplode(F.arrays_zip(F.split(text, "\n", -1).alias("line"), line_hashes(text).alias("h"))).alias("line_no", "x"))
     lines = lines.select(id_col, "line_no", F.col("x.line").alias("line"), F.col("x.h.h1").alias("h1"), F.col("x.h.h2").alias("h2"))
-    new = stage(runs.new_lines(lines).select(id_col, "line_no", "line"), "lines-new")
+    with _sorted_scans(docs.sparkSession):
+        new = stage(runs.new_lines(lines).select(id_col, "line_no", "line"), "lines-new")
     runs.add(batch_counts(docs, text_col))
     return new
 
@@ -105,7 +142,8 @@ def add_batch(runs: LineRuns, docs: DataFrame, id_col: str = "doc_id", text_col:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with its lines of keys found in at least min_docs rows removed, and n_lines, n_dropped added.
 
-    Keys are counted in batches that go through LineRuns; counts are summed before and after each shuffle, so a line that
+    Keys are counted in batches that go through LineRuns: each batch is merge-anti-joined with the runs, which leaves out the keys
+    that earlier batches have shown to be frequent, and its other counts are added. Counts are summed before and after each shuffle, so a line that
     stands in a third of all documents is one row per task. A text that loses all its lines becomes empty; a null or empty
     one is a single empty line, whose empty key never counts. Repeated rows count as so many documents. All other columns
     pass through unchanged, whatever their names but n_lines and n_dropped, which are replaced.
@@ -116,8 +154,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     by_batch = stage(docs.select(batch, F.explode(keys).alias("k")).groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n")), "lines-batches")
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
-        runs.add(by_batch.where(F.col("batch") == b).select("h1", "h2", "n"))
+        runs.add(runs.new_lines(by_batch.where(F.col("batch") == b).select("h1", "h2", "n"), min_docs))
     frequent = maybe_broadcast(stage(runs.frequent(min_docs), "lines-frequent"), 32, broadcast_bytes)
+    runs.drop()
 
     # A text's frequent lines, by the text's own 128 bits: rows with equal texts share them.
     mark = F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))

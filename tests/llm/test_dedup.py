@@ -76,6 +76,21 @@ def test_line_runs_merge_and_anti_join(spark):
     assert new == [{(1, "a"), (1, "b"), (2, "c")}, {(3, "d"), (3, "D")}, {(4, "e"), (5, "")}]
     assert [len(x) for x in runs.levels] == [1, 1]
     assert sorted(r["n"] for r in runs.counts().collect()) == [1, 1, 2, 2, 2]
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("driftloom_lines")]
+
+
+def test_line_runs_are_merged_without_shuffling_or_sorting_them(spark):
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    keys = spark.range(3000).selectExpr("id AS h1", "-id AS h2", "1 + id % 12 AS n")
+    runs.add(keys.where("h1 < 2000"))
+    batch = keys.where("h1 >= 1000")
+    assert sorted(r["h1"] for r in runs.new_lines(batch, 10).collect()) == [i for i in range(1000, 3000) if i >= 2000 or 1 + i % 12 < 10]
+    with line_dedup._sorted_scans(spark):
+        plan = runs.new_lines(batch, 10)._jdf.queryExecution().executedPlan().toString()
+    right = plan[plan.index("SortMergeJoin") :].split("+- ")[-1] if "SortMergeJoin" in plan else ""
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "FileScan parquet" in right
+    runs.drop()
 
 
 def brute_near(rows):
