@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.sources.staging import stage
+from driftloom.sources.staging import scratch, stage
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "free_name", "let", "maybe_broadcast", "small", "stage", "text_of", "words_of"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "free_name", "let", "maybe_broadcast", "scratch", "small", "stage", "text_of", "words_of"]
 
 #: ASCII white space as the operators' contracts define it; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
