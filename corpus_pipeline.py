@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import line_dedup, mixing, near_dedup, packing, quality
-from driftloom.llm.common import maybe_broadcast, stage
+from driftloom.llm.common import maybe_broadcast, scratch, stage
 from driftloom.llm.queries import public_tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage_of in STAGES[:-1]:
-        docs = stage(stage_of(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # a stage's own tables go once its result is written
+            docs = stage(stage_of(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     add("row-diff", ("--table", text), ("--key", {"action": "append", "default": None}), ("--status", {"default": "updated", "choices": ["updated", "added", "removed", "all"]}), ("--limit", {"type": int, "default": None}), ("--output", text), ("--format", {"default": "table", "choices": ["table", "json"]}), *sizes)
     add("gen-pack", ("--html", flag), ("--resume", flag), ("--driver", text), ("--keep-rows", flag), *sizes)
     add("apply", ("--pack", {"required": True}), ("--dry-run", flag), ("--keep-rows", flag))
-    add("resolve-conflicts", ("--auto", {"choices": ["ours", "theirs", "manual"], "default": None}), ("--table", text), ("--resume", flag))
+    add("resolve-conflicts", ("--auto", {"choices": ["ours", "theirs", "manual"], "default": None}), ("--table", text), ("--key", text), ("--decision", {"choices": ["keep_prod", "use_dev", "pending"], "default": None}), ("--resume", flag))
     version = sub.add_parser("version").add_subparsers(dest="action", required=True)
     version.add_parser("init")
     for name, flags in {"commit": ("--message", "--author"), "log": ("--limit",), "diff": (), "rollback": ("--driver", "--out"), "branch": ("--from",), "checkout": (), "tree": ()}.items():
@@ -98,7 +98,15 @@ def _key_values(given: list[str], key: list[str]) -> dict[str, str]:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = _parser().parse_args(argv)
+    """Run a command; an error with a code is told with its hint."""
+    try:
+        return _run(_parser().parse_args(argv), spark)
+    except DriftError as e:
+        print(f"{e}\n{e.hint}", file=sys.stderr)
+        return 2
+
+
+def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
     config = load_config(args.config)
     out = Path(config.output_dir)
     out.mkdir(parents=True, exist_ok=True)
@@ -145,7 +153,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.row_diff:
             reports.write_row_diff(cells, str(out / "row_diff"))
         if args.html:
-            (out / "report.html").write_text(reports.html_report(diff, drift, cells=cells))
+            (out / "report.html").write_text(reports.html_report(diff, drift, cells=cells, schemas=(own.prod, own.dev)))
         print(reports.summary_text(counts, bool(drift)), end="")
         return int(bool(drift))
     if args.command == "gen-pack":
@@ -161,7 +169,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_pack_order(spark, list(packs), str(out / "pack"))
         reports.write_reports(diff, str(out), drift, decided)
         if args.html:
-            (out / "report.html").write_text(reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), resolutions=decided))
+            (out / "report.html").write_text(reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), cells=own.row_cells(limit=reports.SHOWN), resolutions=decided, schemas=(own.prod, own.dev)))
         return 0
     if args.command == "resolve-conflicts":
         diff = own.union(own.diffs())
@@ -169,6 +177,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         decided = resolve.merge_resolutions(reports.load_resolutions(spark, str(out)), current) if args.resume and (out / "resolutions.json").exists() else own.resolutions(diff)
         if args.auto:  # only what is still open
             decided = resolve.bulk_resolve(decided, args.auto, args.table)
+        if args.decision:  # of one row, by its key as the reports show it
+            decided = resolve.set_decision(decided, args.table or "", args.key or "", args.decision)
         reports.save_resolutions(decided, str(out))
         return 0
     return _version(args, own, out, driver, gates)

@@ -57,7 +57,7 @@ def excluded_counts(diff: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 def merge_resolutions(saved: DataFrame, conflicts: DataFrame) -> DataFrame:
     """The current conflicts with their saved decisions: new ones are manual and pending, stale ones are gone, hashes are the current ones."""
-    own = saved.select("table", "row_key", "strategy", "decision", "resolved")
+    own = saved.select("table", "row_key", "strategy", "decision", "resolved", *[c for c in ("created_at",) if c in saved.columns])
     merged = conflicts.select("table", "row_key", "prod_hash", "dev_hash").join(own, ["table", "row_key"], "left")
     return merged.withColumns({"strategy": F.coalesce("strategy", F.lit(MANUAL)), "decision": F.coalesce("decision", F.lit(PENDING)), "resolved": F.coalesce("resolved", F.lit(False))})
 

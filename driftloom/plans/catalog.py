@@ -16,6 +16,11 @@ class Column:
     is_nullable: bool = True
     default: str | None = None
 
+    @property
+    def type_text(self) -> str:
+        """The type and whether nulls are allowed, for reading."""
+        return f"{self.data_type} {'NULL' if self.is_nullable else 'NOT NULL'}"
+
 
 @dataclass
 class Index:

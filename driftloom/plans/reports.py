@@ -37,9 +37,26 @@ def write_content(diff: DataFrame, folder: str) -> None:
     """content_diff and conflicts as folders of JSON lines, sorted by table and key within range partitions."""
     ordered = diff.repartitionByRange("table", "status", "row_key").sortWithinPartitions("table", "status", "row_key")
     ordered.write.mode("overwrite").json(f"{folder}/content_diff")
+    Path(folder, "content_diff.txt").write_text(content_text(diff), encoding="utf-8")
     diff.where(F.col("status") == "updated").select("table", "row_key", "prod_hash", "dev_hash").write.mode("overwrite").json(f"{folder}/conflicts")
 
 
+def content_text(diff: DataFrame, shown: int = SHOWN) -> str:
+    """The differing keys of each table and status for reading, the first ones of each."""
+    lines, last = [], None
+    for r in celldiff.limit_keys(diff, shown).orderBy("table", "status", "row_key").collect():
+        if (r["table"], r["status"]) != last:
+            last = (r["table"], r["status"])
+            lines.append(f"{r['table']}: {r['status']}")
+        lines.append(f"  {r['row_key']}")
+    return "\n".join(lines or ["No data differences found."]) + "\n"
+
+
+def load_conflicts(spark, folder: str) -> DataFrame:
+    """The conflicts that a comparison wrote, as input of a resolution."""
+    return spark.read.schema("table string, row_key string, prod_hash string, dev_hash string").json(f"{folder}/conflicts")
+
+
 def summary_rows(diff: DataFrame) -> list[dict]:
     """Counts per table, one row each."""
     return [r.asDict() for r in rowdiff.diff_counts(diff).orderBy("table").collect()]
@@ -106,7 +123,8 @@ def save_resolutions(resolutions: DataFrame, folder: str) -> None:
     import uuid
 
     part = f"resolutions-{uuid.uuid4().hex}"
-    resolutions.write.parquet(f"{folder}/{part}")
+    made = F.coalesce("created_at", F.current_timestamp()) if "created_at" in resolutions.columns else F.current_timestamp()
+    resolutions.withColumn("created_at", made).write.parquet(f"{folder}/{part}")
     write_json(f"{folder}/resolutions.json", {"version": "1.0", "data": part})
 
 
@@ -125,7 +143,7 @@ def decision_text(decision: str) -> str:
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse;margin:1em 0}td,th{border:1px solid #ccc;padding:3px 8px;text-align:left}.added{background:#e6ffed}.removed{background:#ffeef0}.updated{background:#fff8e1}pre{background:#f6f8fa;padding:1em}"
 
 
-def html_report(diff: DataFrame, drift: Drift, script: str = "", cells: DataFrame | None = None, resolutions: DataFrame | None = None, shown: int = SHOWN, title: str = "Comparison") -> str:
+def html_report(diff: DataFrame, drift: Drift, script: str = "", cells: DataFrame | None = None, resolutions: DataFrame | None = None, schemas: tuple | None = None, shown: int = SHOWN, title: str = "Comparison") -> str:
     """One page: counts, keys (the first ones of each table and status), cells, resolutions, schema drift and SQL."""
     e = lambda x: html.escape("" if x is None else str(x))
     table = lambda head, rows: "<table><tr>" + "".join(f"<th>{e(h)}</th>" for h in head) + "</tr>" + "".join(f'<tr class="{e(r[-1])}">' + "".join(f"<td>{e(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
@@ -141,6 +159,11 @@ def html_report(diff: DataFrame, drift: Drift, script: str = "", cells: DataFram
         each = celldiff.limit_keys(resolutions.withColumn("status", F.col("decision")), shown).orderBy("table", "status", "row_key").collect()
         parts += ["<h2>Conflicts</h2>", table(["table", "key", "prod", "dev", "strategy", "decision"], [(r["table"], r["row_key"], (r["prod_hash"] or "")[:12], (r["dev_hash"] or "")[:12], r["strategy"], decision_text(r["decision"])) for r in each])]
     parts += ["<h2>Schema</h2>", f"<pre>{e(drift_text(drift))}</pre>"]
+    if schemas:
+        prod, dev = schemas
+        column = lambda side, t, c: side.tables[t].columns[c].type_text if t in side.tables and c in side.tables[t].columns else ""
+        rows = [(t, c, column(prod, t, c), column(dev, t, c), kind) for t, own in drift.tables.items() for kind in ("added", "removed", "modified") for c in getattr(own.columns, kind)]
+        parts += [table(["table", "column", "prod", "dev", "change"], rows)] if rows else []
     if script:
         parts += ["<h2>SQL</h2>", f"<pre>{e(script)}</pre>"]
     return "\n".join(parts) + "\n"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage is cut and a lost executor costs nothing."""
+def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: the lineage is cut and a lost executor costs nothing.
+
+    The table stays until the scratch() around it ends, or for good outside of one; a lasting one stays until the next scratch() further out ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/driftloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_scopes) > lasting:
+        _scopes[-1 - lasting].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside. Results must have been written, or staged as lasting, by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems have it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
