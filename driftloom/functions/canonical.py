@@ -71,15 +71,16 @@ def row_hash(df: DataFrame, columns: Sequence[str], mode: str = "compat", double
     can be read as another.
     """
     parts: list[Column] = []
+    end = ""
     for c in columns:
         text = column_text(df, c, doubles)
-        parts.append(F.lit(canonical_name(c) + "="))
+        parts.append(F.lit(f"{end}{canonical_name(c)}="))
         if mode == "safe":
             parts.append(F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-1:")))
         else:
             parts.append(F.coalesce(text, F.lit(NULL_TEXT)))
-        parts.append(F.lit("\n"))
-    return F.sha2(F.concat(*parts), 256)
+        end = "\n"
+    return F.sha2(F.concat(*parts, F.lit(end)), 256)
 
 
 def split_key(key: Column, parts: int) -> Column:

@@ -25,11 +25,13 @@ def fold(table: DataFrame, changes: DataFrame, key: Sequence[str], order: Sequen
     return stay.unionByName(last.where(F.col(op) != "delete").select(table.columns))
 
 
-def running_diff(stream: DataFrame, key: Sequence[str], order: Sequence[str], read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], fixed: DataFrame, report: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def running_diff(stream: DataFrame, key: Sequence[str], order: Sequence[str], read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], fixed: DataFrame, report: Callable[[DataFrame, int], None], checkpoint: str, late: tuple[str, str] | None = None) -> StreamingQuery:
     """Fold each micro-batch into the table that read gives and write replaces, and report its difference from the fixed side.
 
-    write gets the batch's number and must be idempotent for it, as a batch can come again after a failure.
+    write gets the batch's number and must be idempotent for it, as a batch can come again after a failure. late names the time column and how
+    long after it a change sent again is still known as one that came before.
     """
+    stream = late_bounded(stream, *late, key) if late else stream
 
     def batch(changes: DataFrame, number: int) -> None:
         write(fold(read(), changes, key, order), number)

@@ -22,6 +22,24 @@ def test_stream_folds_and_reports(spark, tmp_path):
     assert {(r["id"], r["v"]) for r in spark.read.parquet(state["path"]).collect()} == {(1, "AA"), (3, "c")}
 
 
+def test_changes_sent_again_are_folded_once(spark, tmp_path):
+    schema = "id long, v string, seq long, op string, at timestamp"
+    rows = "SELECT {} AS id, '{}' AS v, {} AS seq, 'upsert' AS op, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, {}) AS at"
+    for i, batch in enumerate([[(1, "a", 1, 0), (1, "a", 1, 0)], [(1, "old again", 9, 0), (2, "b", 2, 1)]]):
+        spark.sql(" UNION ALL ".join(rows.format(*x) for x in batch)).selectExpr("id", "v", "CAST(seq AS BIGINT) AS seq", "op", "CAST(at AS TIMESTAMP) AS at").selectExpr("CAST(id AS BIGINT) AS id", "v", "seq", "op", "at").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    state, seen = {"df": spark.createDataFrame([], schema)}, []
+
+    def write(df, n):
+        df.write.mode("overwrite").parquet(str(tmp_path / f"t{n}"))
+        state["df"] = spark.read.parquet(str(tmp_path / f"t{n}"))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    own = changes.running_diff(stream, ["id"], ["seq"], lambda: state["df"], write, spark.createDataFrame([], schema), lambda d, n: seen.append(d.count()), str(tmp_path / "cp"), late=("at", "1 hour"))
+    own.processAllAvailable()
+    own.stop()
+    assert {(r["id"], r["v"]) for r in state["df"].collect()} == {(1, "a"), (2, "b")} and seen[-1] == 2
+
+
 def test_positions(spark):
     rows = spark.createDataFrame([(1, 5), (1, 3), (2, 1)], "id long, seq long")
     assert {(r["seq"], r["position"]) for r in changes.change_positions(rows, ["id"], ["seq"]).collect()} == {(3, 1), (5, 2), (1, 1)}
