@@ -3,8 +3,8 @@
 Suffixes matter only to a depth of min_bytes, so the suffix array is cut into buckets: a suffix goes to the bucket named by
 the least hash among the grams at the start of its min_bytes-byte prefix. Equal prefixes share that hash, so each bucket holds every suffix that a member
 can match. Neighbouring suffixes of a document mostly share a bucket and travel together as one snippet of text. Buckets
-that only one document has are dropped before any text moves, and snippets that a smaller document of the same task has are settled there. A bucket
-of many documents, whose common gram stands between differing neighbours, is dealt out again by the hash of each suffix's whole prefix.
+that only one document has are dropped before any text moves. A bucket of many documents, whose common gram stands between differing
+neighbours, is dealt out again: its suffixes travel one by one as 128-bit hashes of their min_bytes-byte prefixes and are put in the order of those.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ GRAM = 16
 CHUNK = 1 << 21
 #: Documents of a bucket above which its suffixes are dealt out one by one.
 HOT = 1024
-#: Distinct snippets that a task remembers to settle later ones; it forgets them all when there are more, which only sends more on.
-HELD = 200_000
 #: What tasks are sized for: bytes of text whose buckets, and snippets that, one task sorts.
 TASK_BYTES, TASK_SNIPPETS = 64 << 20, 400_000
 
@@ -150,13 +149,14 @@ def _shared(rows: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.Recor
         yield whole(held_b, held_d)
 
 
-def _prefix_hashes(text: bytes, starts: np.ndarray, min_bytes: int) -> np.ndarray:
-    """A hash of the min_bytes bytes at each of the starts."""
+def _prefix_hashes(text: bytes, starts: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the min_bytes bytes at each of the starts."""
     eight = _words(text)
-    out = np.zeros(len(starts), np.uint64)
+    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     for i in (*range(0, min_bytes - 7, 8), min_bytes - 8):
-        out = shingles.mix(out * _A + eight[starts + i] * _B)
-    return out
+        word = eight[starts + i]
+        one, two = shingles.mix(one * _A + word * _B), shingles.mix(two * _B + (word ^ _A))
+    return one.view(np.int64), two.view(np.int64)
 
 
 def _spans(parts: list[tuple[int, int]]) -> list[list[int]]:
@@ -170,73 +170,92 @@ def _spans(parts: list[tuple[int, int]]) -> list[list[int]]:
     return spans
 
 
-def _snippets(docs: DataFrame, min_bytes: int, held: int = HELD) -> DataFrame:
-    """(bucket, doc, mark, start, stop, snippet) of the runs of each document whose bucket is among its shared ones.
-
-    Of a hot bucket's runs each suffix's prefix goes on alone, in a bucket of its own hash. What a smaller document of this task has
-    already is gone: such runs need no text and are merged into rows without a snippet, dealt anywhere.
-    """
+_SNIPPET = "bucket long, second long, doc long, mark long, start long, starts array<long>, snippet binary"
+#: What stands in a snippet's place where there is none: a hot suffix's prefix hashes are its bucket and second, or starts holds a part's ends.
+_PREFIX, _GONE = None, b""
+
+
+def _hot_rows(one: np.ndarray, two: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray, min_bytes: int) -> list[list]:
+    """Columns of rows for suffixes of hot buckets: one per prefix, of the least of these documents that has it, with all its starts there; what the others
+    repeat of it is gone already, as merged parts."""
+    order = np.lexsort((start, mark, doc, two, one))
+    one, two, doc, mark, start = (x[order] for x in (one, two, doc, mark, start))
+    new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    least = doc[new][np.cumsum(new) - 1]
+    stays = doc == least
+    heads = np.flatnonzero(stays & (new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])))
+    counts = np.diff(np.append(np.cumsum(stays)[heads] - 1, stays.sum()))
+    out = [[one[heads], two[heads], doc[heads], mark[heads], start[heads], counts, start[stays], _PREFIX]]
+    if not stays.all():
+        at = np.lexsort((start[~stays], mark[~stays], doc[~stays]))
+        doc, mark, start = (x[~stays][at] for x in (doc, mark, start))
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] > start[:-1] + min_bytes)]))
+        ends = start[np.append(first[1:], len(start)) - 1] + min_bytes
+        anywhere = shingles.mix(doc[first].view(np.uint64) ^ (start[first].view(np.uint64) << np.uint64(20))).view(np.int64)
+        out.append([anywhere, np.zeros_like(anywhere), doc[first], mark[first], start[first], np.full(len(first), 2), np.stack([start[first], ends], axis=1).ravel(), _GONE])
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
 
-        def fresh(parts: list[bytes], doc: int) -> list[bool]:
-            if len(seen) + len(parts) > held:
-                seen.clear()
-            out = []
-            for p in parts:
-                first = seen.get(p)
-                if first is None or first > doc:
-                    seen[p] = doc
-                    out.append(True)
-                else:
-                    out.append(first == doc)
-            return out
+def _snippets(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """Rows of _SNIPPET: the runs of each document whose bucket is among its shared ones, as text, or one by one as hashes if the bucket is hot."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows, buckets, starts, stops, parts, size = [], [], [], [], [], 0
+            rows, buckets, starts, parts, hot, size = [], [], [], [], [], 0
             for row, text in enumerate(batch.column(2).to_pylist()):
-                text, doc = text.encode(), int(ids[row])
+                text = text.encode()
                 bucket, first = bucket_runs(text, min_bytes)
-                ends = np.append(first[1:], len(text) - min_bytes + 1) + min_bytes - 1
-                gone: list[tuple[int, int]] = []
-
-                def go_on(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                    own = [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]  # noqa: B023
-                    new = np.array(fresh(own, doc), bool)  # noqa: B023
-                    gone.extend(zip(a[~new].tolist(), b[~new].tolist(), strict=True))  # noqa: B023
-                    if keys is not None:
-                        rows.extend([row] * int(new.sum()))  # noqa: B023
-                        buckets.append(keys[new].view(np.int64))  # noqa: B023
-                        starts.append(a[new])  # noqa: B023
-                        stops.append(b[new])  # noqa: B023
-                        parts.extend(p for p, n in zip(own, new, strict=True) if n)  # noqa: B023
-                    return new
-
                 signed = bucket.view(np.int64)
-                cool = np.isin(signed, batch.column(3)[row].values.to_numpy())
-                go_on(bucket[cool], first[cool], ends[cool])
-                hots = batch.column(4)[row].values.to_numpy()
-                if len(hots) and (hot := np.isin(signed, hots)).any():
-                    new = go_on(None, first[hot], ends[hot])
-                    a, counts = first[hot][new], (ends - first)[hot][new] - min_bytes + 1
-                    each = np.arange(counts.sum()) + np.repeat(a - np.cumsum(counts) + counts, counts)
-                    go_on(_prefix_hashes(text, each, min_bytes), each, each + min_bytes)
-                for a, b in _spans(gone):
-                    rows.append(row)
-                    buckets.append(shingles.mix(np.array([(doc ^ a << 20) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64))
-                    starts.append(np.array([a]))
-                    stops.append(np.array([b]))
-                    parts.append(None)
+                last = np.append(first[1:], len(text) - min_bytes + 1)
+                shared = np.isin(signed, batch.column(3)[row].values.to_numpy())
+                own, ends = first[shared], last[shared] + min_bytes - 1
+                parts += [text[a:b] for a, b in zip(own.tolist(), ends.tolist(), strict=True)]
+                rows += [row] * len(own)
+                buckets.append(signed[shared])
+                starts.append(own)
+                if len(hots := batch.column(4)[row].values):
+                    wide = np.isin(signed, hots.to_numpy())
+                    counts = (last - first)[wide]
+                    each = np.arange(counts.sum()) + np.repeat(first[wide] - np.cumsum(counts) + counts, counts)
+                    hot.append((*_prefix_hashes(text, each, min_bytes), np.full(len(each), ids[row]), np.full(len(each), marks[row]), each))
                 size += len(text)
                 if size > 1 << 21 or row == batch.num_rows - 1:
-                    at = np.array(rows, np.int64)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(ids[at]), pa.array(marks[at]), pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops)), pa.array(parts, pa.binary())], names=["bucket", "doc", "mark", "start", "stop", "snippet"])
-                    rows, buckets, starts, stops, parts, size = [], [], [], [], [], 0
+                    at, n = np.array(rows, np.int64), len(rows)
+                    if n:
+                        none = pa.nulls(n, pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.zeros(n, np.int64)), pa.array(ids[at]), pa.array(marks[at]), pa.array(np.concatenate(starts)), none, pa.array(parts, pa.binary())], names=names)
+                    if sum(len(x[0]) for x in hot):
+                        for *own, counts, flat, what in _hot_rows(*map(np.concatenate, zip(*hot, strict=True)), min_bytes):
+                            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat.astype(np.int64)))
+                            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in own), listed, pa.array([what] * len(counts), pa.binary())], names=names)
+                    rows, buckets, starts, parts, hot, size = [], [], [], [], [], 0
+
+    names = [x.split()[0] for x in _SNIPPET.split(", ")]
+    return docs.select("doc", "mark", "text", "buckets", "hots").mapInArrow(run, _SNIPPET)
+
+
+class _Prefixes:
+    """Finds the suffixes of hot buckets, sorted by their prefixes' hashes and document, that a smaller document has too; a prefix may run over any number of batches."""
+
+    def __init__(self, min_bytes: int):
+        self.min_bytes, self.last, self.first = min_bytes, None, 0
+
+    def found(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        one, two, doc, mark = (batch.column(i).to_numpy() for i in range(4))
+        new = np.concatenate([[(one[0], two[0]) != self.last], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        heads = doc[new] if new[0] else np.concatenate([[self.first], doc[new]])
+        least = heads[np.cumsum(new) - (1 if new[0] else 0)]
+        self.last, self.first = (one[-1], two[-1]), heads[-1]
+        gone = doc > least
+        starts = batch.column(5).filter(pa.array(gone))
+        at = np.repeat(np.flatnonzero(gone), starts.value_lengths().to_numpy(zero_copy_only=False))
+        own = starts.flatten().to_numpy()
+        return _parts(doc[at], mark[at], own, own + self.min_bytes)
+
 
-    return docs.select("doc", "mark", "text", "buckets", "hots").mapInArrow(run, "bucket long, doc long, mark long, start long, stop long, snippet binary")
+def _parts(doc, mark, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, mark, start, stop)], names=["doc", "mark", "from", "to"])
 
 
 class _Buckets:
@@ -289,20 +308,25 @@ class _Buckets:
 
     def take(self) -> list[pa.RecordBatch]:
         out, self.out = self.out, []
-        return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc", "mark", "from", "to"])] if out else []
+        return [_parts(*zip(*out, strict=True))] if out else []
 
 
 def _matches(min_bytes: int):
-    """Of sorted snippets, the parts (doc, mark, from, to) of texts that repeat a smaller document."""
+    """Of sorted rows of _SNIPPET, the parts (doc, mark, from, to) of texts that repeat a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets(min_bytes)
+        buckets, prefixes = _Buckets(min_bytes), _Prefixes(min_bytes)
         for batch in batches:
-            for bucket, doc, mark, start, stop, snippet in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if snippet is None:
-                    buckets.out.append((doc, mark, start, stop))
-                else:
-                    buckets.add(bucket, doc, mark, start, snippet)
+            snippet = batch.column(6)
+            hot, gone = snippet.is_null(), pc.equal(pc.binary_length(snippet), 0)
+            if (own := batch.filter(hot)).num_rows:
+                yield prefixes.found(own)
+            if (own := batch.filter(gone)).num_rows:
+                ends = own.column(5).flatten().to_numpy().reshape(-1, 2)
+                yield _parts(own.column(2), own.column(3), ends[:, 0], ends[:, 1])
+            own = batch.filter(pc.greater(pc.binary_length(snippet), 0))
+            for row in zip(*(own.column(i).to_pylist() for i in (0, 2, 3, 4, 6)), strict=True):
+                buckets.add(*row)
             yield from buckets.take()
         buckets.solve(False)
         yield from buckets.take()
@@ -317,7 +341,7 @@ def _cut(text: bytes, parts: list[tuple[int, int]]) -> tuple[list[list[int]], by
     return spans, b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, keep_bytes: bool = False, partitions: int | None = None, hot: int = HOT, held: int = HELD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, keep_bytes: bool = False, partitions: int | None = None, hot: int = HOT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Remove every byte covered by a min_bytes-byte string that also starts in a document with a smaller id; the first document keeps it.
 
     Returns per row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of from, to) and with keep_bytes the bytes left, as
@@ -343,9 +367,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = lambda is_hot: F.collect_list(F.when(F.col("hot") == is_hot, F.col("bucket")))
     shared = rows.mapInArrow(lambda own: _shared(own, hot), "bucket long, doc long, hot boolean").groupBy("doc").agg(listed(False).alias("buckets"), listed(True).alias("hots"))
     shared = stage(shared, "repeat-buckets")
-    n_snippets = shared.agg(F.sum(F.size("buckets") + 4 * F.size("hots"))).first()[0] or 0
+    n_snippets = shared.agg(F.sum(2 * F.size("buckets") + 8 * F.size("hots"))).first()[0] or 0
     met = whole.join(shared.hint("merge"), "doc")  # both grow with the corpus, so they are shuffled at every size
-    snippets = _snippets(met, min_bytes, held).repartition(sized(n_snippets, TASK_SNIPPETS), "bucket").sortWithinPartitions("bucket", "doc")
+    snippets = _snippets(met, min_bytes).repartition(sized(n_snippets, TASK_SNIPPETS), "bucket").sortWithinPartitions("bucket", "second", "doc")
     parts = snippets.mapInArrow(_matches(min_bytes), "doc long, mark long, from long, to long")
     parts = stage(parts.groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("parts")), "repeat-parts")
 
