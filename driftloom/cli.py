@@ -6,7 +6,6 @@ import argparse
 import sqlite3
 import sys
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from driftloom.plans import history, reports
 from driftloom.plans.compare import Comparison
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.migration import Gates, Script, migration_script, split_statements, without_transaction
+from driftloom.sources import files
 from driftloom.sources.config import load_config
 
 
@@ -65,7 +65,7 @@ def apply_sqlite(texts: Iterable[str], path: str, dry_run: bool = False) -> int:
     return n
 
 
-def _apply(args, own: Comparison, out: Path) -> None:
+def _apply(args, own: Comparison, out: str) -> None:
     """Apply a pack to a SQLite file, or the saved differences to a folder of Parquet tables; other engines' packs are run by their own clients."""
     config, spark = own.config, own.spark
     if config.prod.driver == "sqlite":
@@ -83,10 +83,10 @@ def _apply(args, own: Comparison, out: Path) -> None:
         raise DriftError("APPLY_FAILED", f"apply writes to SQLite files and Parquet folders; run {args.pack} with the client of {config.prod.driver}")
 
 
-def _decisions(spark: SparkSession, own: Comparison, out: Path, diff: DataFrame) -> DataFrame:
+def _decisions(spark: SparkSession, own: Comparison, out: str, diff: DataFrame) -> DataFrame:
     """Saved decisions, brought up to the current conflicts, or else the configured policy's."""
-    if (out / "resolutions.json").exists():
-        return resolve.merge_resolutions(reports.load_resolutions(spark, str(out)), diff.where("status = 'updated'"))
+    if files.exists(f"{out}/resolutions.json"):
+        return resolve.merge_resolutions(reports.load_resolutions(spark, out), diff.where("status = 'updated'"))
     return own.resolutions(diff)
 
 
@@ -108,8 +108,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
     config = load_config(args.config)
-    out = Path(config.output_dir)
-    out.mkdir(parents=True, exist_ok=True)
+    out = config.output_dir.rstrip("/")
     spark = spark or SparkSession.builder.appName("driftloom").config("spark.scheduler.mode", "FAIR").getOrCreate()
     for name in ("fetch_size", "partitions"):
         if getattr(args, name, None):
@@ -126,14 +125,14 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         return int(bool(missing))
     if args.command == "schema-diff":
         drift = own.drift()
-        reports.write_schema_reports(drift, args.output_dir or str(out))
+        reports.write_schema_reports(drift, args.output_dir or out)
         if not args.quiet:
             print(reports.drift_text(drift), end="")
         return int(bool(drift))
     if args.command == "schema-migrate":
         script = migration_script(own.prod, own.dev, Dialect(driver), gates)
         if script and not args.dry_run:
-            (out / "schema_migration.sql").write_text(script)
+            files.write_text(f"{out}/schema_migration.sql", script)
         print(script or "no drift")
         return 0
     if args.command == "row-diff":
@@ -142,18 +141,18 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
             cells = celldiff.key_detail(p, d, _key_values(args.key, key), ignored=own.ignorer(name)).withColumn("table", F.lit(name))
         else:
             cells = own.cells(args.table, args.status, args.limit).withColumn("table", F.lit(own.pair(args.table)[0])) if args.table else own.row_cells(args.status, args.limit)
-        reports.write_row_diff(cells, args.output or str(out))
+        reports.write_row_diff(cells, args.output or out)
         print(reports.row_diff_json(cells) if args.format == "json" else reports.row_diff_text(cells), end="")
         return 0
     if args.command == "diff":
         drift, diff = own.drift(), own.union(own.run(args.resume))
-        counts = reports.write_reports(diff, str(out), drift, own.resolutions(diff))
-        reports.write_json(str(out / "metrics.json"), own.metrics)
+        counts = reports.write_reports(diff, out, drift, own.resolutions(diff))
+        reports.write_json(f"{out}/metrics.json", own.metrics)
         cells = own.row_cells() if args.row_diff else None
         if args.row_diff:
-            reports.write_row_diff(cells, str(out / "row_diff"))
+            reports.write_row_diff(cells, f"{out}/row_diff")
         if args.html:
-            (out / "report.html").write_text(reports.html_report(diff, drift, cells=cells, schemas=(own.prod, own.dev)))
+            files.write_text(f"{out}/report.html", reports.html_report(diff, drift, cells=cells, schemas=(own.prod, own.dev)))
         print(reports.summary_text(counts, bool(drift)), end="")
         return int(bool(drift))
     if args.command == "gen-pack":
@@ -165,27 +164,27 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
             script = Script(own.prod, own.dev, Dialect(driver), gates)
             for c in own.new_columns(t):
                 script.add_column(t, c)
-            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], str(out / "pack" / t), Dialect(driver), before=script.lines)
-        write_pack_order(spark, list(packs), str(out / "pack"))
-        reports.write_reports(diff, str(out), drift, decided)
+            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], f"{out}/pack/{t}", Dialect(driver), before=script.lines)
+        write_pack_order(spark, list(packs), f"{out}/pack")
+        reports.write_reports(diff, out, drift, decided)
         if args.html:
-            (out / "report.html").write_text(reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), cells=own.row_cells(limit=reports.SHOWN), resolutions=decided, schemas=(own.prod, own.dev)))
+            files.write_text(f"{out}/report.html", reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), cells=own.row_cells(limit=reports.SHOWN), resolutions=decided, schemas=(own.prod, own.dev)))
         return 0
     if args.command == "resolve-conflicts":
         diff = own.union(own.diffs())
         current = diff.where("status = 'updated'").select("table", "row_key", "prod_hash", "dev_hash")
-        decided = resolve.merge_resolutions(reports.load_resolutions(spark, str(out)), current) if args.resume and (out / "resolutions.json").exists() else own.resolutions(diff)
+        decided = resolve.merge_resolutions(reports.load_resolutions(spark, out), current) if args.resume and files.exists(f"{out}/resolutions.json") else own.resolutions(diff)
         if args.auto:  # only what is still open
             decided = resolve.bulk_resolve(decided, args.auto, args.table)
         if args.decision:  # of one row, by its key as the reports show it
             decided = resolve.set_decision(decided, args.table or "", args.key or "", args.decision)
-        reports.save_resolutions(decided, str(out))
+        reports.save_resolutions(decided, out)
         return 0
     return _version(args, own, out, driver, gates)
 
 
-def _version(args, own: Comparison, out: Path, driver: str, gates: Gates) -> int:
-    store, names = history.Store(str(out)), getattr(args, "names", [])
+def _version(args, own: Comparison, out: str, driver: str, gates: Gates) -> int:
+    store, names = history.Store(out), getattr(args, "names", [])
     if args.action == "init":
         store.init()
     elif args.action == "commit":
@@ -198,7 +197,7 @@ def _version(args, own: Comparison, out: Path, driver: str, gates: Gates) -> int
         print(reports.drift_text(store.diff(*names)), end="")
     elif args.action == "rollback":
         script = store.rollback_script(names[0], Dialect(driver), gates)
-        Path(args.out or out / "rollback.sql").write_text(script)
+        files.write_text(args.out or f"{out}/rollback.sql", script)
     elif args.action == "branch":
         if names:
             store.create_branch(names[0], vars(args)["from"] or "HEAD")

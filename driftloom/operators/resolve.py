@@ -121,3 +121,15 @@ def group_by_table(resolutions: DataFrame, digits: int = 2) -> DataFrame:
     page = F.substring(F.md5(F.coalesce("row_key", F.lit(""))), 1, digits)
     one = F.struct("row_key", "prod_hash", "dev_hash", "strategy", "decision", "resolved")
     return resolutions.groupBy("table", page.alias("page")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("resolutions"))
+
+
+def conflict_items(conflicts: DataFrame, resolutions: DataFrame, cells: DataFrame) -> DataFrame:
+    """conflicts as a report shows them: with strategy and decision, manual and pending where none is saved, and the names of the columns that differ.
+
+    resolutions and cells are matched by row key and table, tables by their canonical name where the spelling differs. Two left joins on narrow keys.
+    """
+    own = F.lower(F.trim("table"))
+    decided = resolutions.select(own.alias("t"), "row_key", "strategy", "decision").dropDuplicates(["t", "row_key"])
+    differing = cells.where("differs").groupBy(own.alias("t"), "row_key").agg(F.array_sort(F.collect_set("column")).alias("columns"))
+    found = conflicts.withColumn("t", own).join(decided, ["t", "row_key"], "left").join(differing, ["t", "row_key"], "left")
+    return found.select("table", "row_key", "prod_hash", "dev_hash", F.coalesce("strategy", F.lit(MANUAL)).alias("strategy"), F.coalesce("decision", F.lit(PENDING)).alias("decision"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))

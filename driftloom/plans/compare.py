@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import Drift, schema_drift
 from driftloom.plans.migration import creation_order
 from driftloom.plans.resume import Manifest, run_tables
-from driftloom.sources import introspect
+from driftloom.sources import files, introspect
 from driftloom.sources.config import Config, Source
 from driftloom.sources.tables import read_table
 
@@ -27,8 +26,7 @@ from driftloom.sources.tables import read_table
 def _schema(spark: SparkSession, source: Source, config: Config) -> catalog.Schema:
     """A side's schema: a Parquet folder's tables with the configured keys, or a database's catalog."""
     if source.driver == "parquet":
-        root = Path(source.path or source.database)
-        names = sorted(p.name.removesuffix(".parquet") for p in root.glob("*.parquet"))
+        names = [n.removesuffix(".parquet") for n in files.names(source.path or source.database) if n.endswith(".parquet")]
         keys = {canonical_name(t): k for t, k in config.primary_keys.items()}
         schema = catalog.schema_of({n: (read_table(spark, source, n), keys.get(canonical_name(n), [])) for n in names})
     elif source.driver == "sqlite":

@@ -414,6 +414,13 @@ def group_by_table(spark, d):
     return pages.select("table", "page", "n", F.col("resolutions.row_key").alias("row_keys"), F.col("resolutions.decision").alias("decisions"))
 
 
+@query(f"""SELECT c."table", c.row_key, c.prod_hash, c.dev_hash, coalesce(r.strategy, 'manual') AS strategy, coalesce(r.decision, 'pending') AS decision, coalesce(x.columns, []::VARCHAR[]) AS columns
+    FROM ({_conflicts_sql((CUSTOMER, ORDERS))}) AS c LEFT JOIN (SELECT * FROM ({_RESOLVED_SQL}) WHERE CAST(row_key AS BIGINT) % 2 = 0) AS r ON c."table" = r."table" AND c.row_key = r.row_key
+    LEFT JOIN (SELECT 'customer' AS "table", row_key, list(DISTINCT "column" ORDER BY "column") AS columns FROM ({_CELL_SQL}) WHERE differs GROUP BY row_key) AS x ON c."table" = x."table" AND c.row_key = x.row_key""")
+def conflict_items(spark, d):
+    return resolve.conflict_items(_conflicts(spark, d, (CUSTOMER, ORDERS)), _saved(spark, d), _cells(spark, d).withColumn("table", F.lit("CUSTOMER ")))
+
+
 # --- patches
 
 

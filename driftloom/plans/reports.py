@@ -4,40 +4,34 @@ from __future__ import annotations
 
 import html
 import json
-import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators import celldiff, resolve, rowdiff
 from driftloom.plans.drift import Drift, drift_text
+from driftloom.sources import files
 
 #: Keys listed per table and status in a report for reading.
 SHOWN = 100
 
 
 def write_json(path: str, value) -> None:
-    """A small JSON file, by rename, so that readers never see half of it."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    new = f"{path}.new"
-    with open(new, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True, default=str)
-        f.write("\n")
-    os.replace(new, path)
+    """A small JSON file."""
+    files.write_text(path, json.dumps(value, indent=2, sort_keys=True, default=str) + "\n")
 
 
 def write_schema_reports(drift: Drift, folder: str) -> None:
     """schema_diff.json and schema_diff.txt."""
     write_json(f"{folder}/schema_diff.json", drift.to_dict())
-    Path(folder, "schema_diff.txt").write_text(drift_text(drift), encoding="utf-8")
+    files.write_text(f"{folder}/schema_diff.txt", drift_text(drift))
 
 
 def write_content(diff: DataFrame, folder: str) -> None:
     """content_diff and conflicts as folders of JSON lines, sorted by table and key within range partitions."""
     ordered = diff.repartitionByRange("table", "status", "row_key").sortWithinPartitions("table", "status", "row_key")
     ordered.write.mode("overwrite").json(f"{folder}/content_diff")
-    Path(folder, "content_diff.txt").write_text(content_text(diff), encoding="utf-8")
+    files.write_text(f"{folder}/content_diff.txt", content_text(diff))
     diff.where(F.col("status") == "updated").select("table", "row_key", "prod_hash", "dev_hash").write.mode("overwrite").json(f"{folder}/conflicts")
 
 
@@ -83,7 +77,7 @@ def write_reports(diff: DataFrame, folder: str, drift: Drift, resolutions: DataF
         decided = {r["decision"]: r["n"] for r in rows if r["decision"] is not None}
         by = lambda k: {r[k]: r["n"] for r in rows if r[k] is not None}
         write_json(f"{folder}/resolutions_summary.json", {"by_strategy": by("strategy"), "by_decision": decided, "by_table": by("table"), "total": sum(decided.values())})
-    Path(folder, "summary.txt").write_text(summary_text(counts, bool(drift), decided), encoding="utf-8")
+    files.write_text(f"{folder}/summary.txt", summary_text(counts, bool(drift), decided))
     return counts
 
 
@@ -114,8 +108,7 @@ def write_row_diff(cells: DataFrame, folder: str, text: bool = True) -> None:
     """row_diff as JSON lines with nested columns, and row_diff.txt for reading, of the tables that cells names."""
     celldiff.nested_report(cells).write.mode("overwrite").json(f"{folder}/row_diff")
     if text:
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        Path(folder, "row_diff.txt").write_text(row_diff_text(cells), encoding="utf-8")
+        files.write_text(f"{folder}/row_diff.txt", row_diff_text(cells))
 
 
 def save_resolutions(resolutions: DataFrame, folder: str) -> None:
@@ -129,7 +122,7 @@ def save_resolutions(resolutions: DataFrame, folder: str) -> None:
 
 
 def load_resolutions(spark, folder: str) -> DataFrame:
-    own = json.loads(Path(folder, "resolutions.json").read_text())
+    own = json.loads(files.read_text(f"{folder}/resolutions.json"))
     if own["version"] != "1.0":
         raise ValueError(f"resolutions of version {own['version']}")
     return spark.read.parquet(f"{folder}/{own['data']}")
@@ -156,8 +149,10 @@ def html_report(diff: DataFrame, drift: Drift, script: str = "", cells: DataFram
     if resolutions is not None:
         own = resolve.breakdown(resolutions).orderBy("table").collect()
         parts += ["<h2>Resolutions</h2>", table(["table", "strategy", "keep prod", "use dev", "pending", "total"], [tuple(r) for r in own])]
-        each = celldiff.limit_keys(resolutions.withColumn("status", F.col("decision")), shown).orderBy("table", "status", "row_key").collect()
-        parts += ["<h2>Conflicts</h2>", table(["table", "key", "prod", "dev", "strategy", "decision"], [(r["table"], r["row_key"], (r["prod_hash"] or "")[:12], (r["dev_hash"] or "")[:12], r["strategy"], decision_text(r["decision"])) for r in each])]
+        items = celldiff.limit_keys(resolutions.withColumn("status", F.col("decision")), shown).select("table", "row_key", "prod_hash", "dev_hash", "strategy", "decision")
+        none = items.sparkSession.createDataFrame([], "table string, row_key string, column string, differs boolean")
+        each = resolve.conflict_items(items.drop("strategy", "decision"), items, none if cells is None else _with_table(cells, "")).orderBy("table", "decision", "row_key").collect()
+        parts += ["<h2>Conflicts</h2>", table(["table", "key", "prod", "dev", "strategy", "columns", "decision"], [(r["table"], r["row_key"], (r["prod_hash"] or "")[:12], (r["dev_hash"] or "")[:12], r["strategy"], ", ".join(r["columns"]), decision_text(r["decision"])) for r in each])]
     parts += ["<h2>Schema</h2>", f"<pre>{e(drift_text(drift))}</pre>"]
     if schemas:
         prod, dev = schemas

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import logging
-import os
 import time
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.sources import files
+
 log = logging.getLogger(__name__)
 
 #: Seconds after which a manifest is too old to resume from.
@@ -22,26 +22,23 @@ class Manifest:
     """The state of a run in a folder that the driver and executors share."""
 
     def __init__(self, folder: str, fingerprint: str, now: Callable[[], float] = time.time):
-        self.folder, self.fingerprint, self.now = Path(folder), fingerprint, now
-        self.path = self.folder / "manifest.json"
+        self.folder, self.fingerprint, self.now = folder.rstrip("/"), fingerprint, now
+        self.path = f"{self.folder}/manifest.json"
 
     def load(self) -> dict[str, str]:
         """The finished tables and their paths; none if the manifest is missing, expired or of another configuration."""
         try:
-            own = json.loads(self.path.read_text())
+            own = json.loads(files.read_text(self.path))
         except (FileNotFoundError, ValueError):
             return {}
         return own["tables"] if own["fingerprint"] == self.fingerprint and self.now() - own["started"] < EXPIRES else {}
 
     def done(self, table: str, path: str) -> None:
         own = {"fingerprint": self.fingerprint, "started": self.now(), "tables": self.load() | {table: path}}
-        self.folder.mkdir(parents=True, exist_ok=True)
-        new = self.path.with_suffix(".new")
-        new.write_text(json.dumps(own, indent=1))
-        os.replace(new, self.path)
+        files.write_text(self.path, json.dumps(own, indent=1))
 
     def clear(self) -> None:
-        self.path.unlink(missing_ok=True)
+        files.remove(self.path)
 
 
 def run_tables(spark: SparkSession, manifest: Manifest, plans: dict[str, DataFrame], parallel: int = 4, metrics: dict[str, dict] | None = None) -> dict[str, DataFrame]:

@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.sources import files
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or in local mode without one a new temporary folder."""
@@ -44,10 +46,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            delete(spark, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder wherever Spark's file systems have it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            files.remove(path)
