@@ -16,6 +16,7 @@ from driftloom.functions.ignore import column_ignorer
 from driftloom.operators import celldiff, patch, resolve, rowdiff
 from driftloom.plans import history
 from driftloom.plans.dialects import Dialect
+from driftloom.sources.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -326,9 +327,11 @@ _RESOLVED_SQL = f"SELECT *, CASE strategy WHEN 'ours' THEN 'keep_prod' WHEN 'the
 _ALL_RESOLVED_SQL = f"SELECT *, CASE \"table\" WHEN 'orders' THEN 'theirs' ELSE 'manual' END AS strategy, CASE \"table\" WHEN 'orders' THEN 'use_dev' ELSE 'pending' END AS decision, \"table\" = 'orders' AS resolved FROM ({_conflicts_sql(ALL)})"
 
 
-def _resolved(spark, d) -> DataFrame:
+def _resolved(spark, d, diff: DataFrame | None = None) -> DataFrame:
+    """The policy over the conflicts of three tables, or of those in a difference that was staged."""
+    found = _conflicts(spark, d, _THREE) if diff is None else diff.where(F.col("table").isin(*[s.table for s in _THREE]) & (F.col("status") == "updated")).drop("status")
     strategies = spark.createDataFrame([("customer", "ours", 0), ("orders", "theirs", 1), ("orders", "ours", 2)], "table string, strategy string, ord int")
-    return resolve.apply_strategies(_conflicts(spark, d, _THREE), strategies)
+    return resolve.apply_strategies(found, strategies)
 
 
 @query(_RESOLVED_SQL)
@@ -371,12 +374,14 @@ _ALL_DECIDED = f"SELECT u.*, CASE WHEN status = 'updated' THEN r.decision END AS
 
 @query(f'SELECT "table", row_key, status, prod_hash, dev_hash FROM ({_ALL_DECIDED}) WHERE decision IS NULL OR decision = \'use_dev\'')
 def filter_diff_by_resolutions(spark, d):
-    return resolve.filter_diff(_all_diffs(spark, d), _resolved(spark, d))
+    diff = stage(_all_diffs(spark, d), "diffs")
+    return resolve.filter_diff(diff, _resolved(spark, d, diff))
 
 
 @query(f"SELECT decision, count(*) AS n FROM ({_ALL_DECIDED}) WHERE decision IN ('keep_prod', 'pending') GROUP BY decision")
 def excluded_counts(spark, d):
-    return resolve.excluded_counts(_all_diffs(spark, d), _resolved(spark, d))
+    diff = stage(_all_diffs(spark, d), "diffs")
+    return resolve.excluded_counts(diff, _resolved(spark, d, diff))
 
 
 def _saved(spark, d) -> DataFrame:
@@ -426,7 +431,7 @@ def conflict_items(spark, d):
 
 def _customer_patch(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     p, dev, k = CUSTOMER.sides(spark, d)
-    diff = rowdiff.row_diff(p, dev, k)
+    diff = stage(rowdiff.row_diff(p, dev, k), "diff")  # read by deletes and upserts
     return p, patch.patch_deletes(diff, k), patch.patch_upserts(diff, dev, k), k
 
 
