@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.sources.staging import scratch, stage
 
@@ -43,8 +46,10 @@ def free_name(name: str, df: DataFrame) -> str:
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a staged table's rows, counted, are few enough to broadcast."""
-    return df.count() * row_bytes <= limit
+    """Whether a staged table's rows, counted, are few enough to broadcast: row_bytes each and what their texts and binaries measure besides."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    total = F.count("*") * row_bytes + (F.coalesce(F.sum(reduce(add, texts)), F.lit(0)) if texts else F.lit(0))
+    return df.agg(total).first()[0] <= limit
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, small, stage, text_of
+from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, scratch, small, stage, text_of
 
 #: Code points of a text that the second level hashes.
 PREFIX_CHARS = 64
@@ -30,27 +30,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     body = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     length, prefix = F.octet_length("body").alias("n_bytes"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix_hash")
 
-    sketch = stage(body.select(length, prefix).groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")), "exact-sketch")
-    lengths = sketch.groupBy("n_bytes").agg(F.sum("n").alias("of_length")).where("of_length > 1")
-    groups = stage(sketch.where("n > 1").join(lengths, "n_bytes", "left_semi").select("n_bytes", "prefix_hash", F.lit(True).alias("open")), "exact-open")
-
-    full = F.sha2("body", 256)
-    if small(groups, 40, broadcast_bytes):
-        met = body.select("id", "body", length, prefix).join(F.broadcast(groups), ["n_bytes", "prefix_hash"], "left")
-        members = met.select("id", "n_bytes", "open", (full if hash_all else F.when(F.col("open"), full)).alias("text_sha256"))
-    elif hash_all:  # too many open groups to send to every executor, and each content is read for its hash in any case: that hash travels instead
-        met = body.select("id", length, prefix, full.alias("text_sha256")).join(groups, ["n_bytes", "prefix_hash"], "left")
-        members = met.select("id", "n_bytes", "open", "text_sha256")
-    else:  # narrow rows find the survivors; contents are read of their ids alone
-        narrow = stage(body.select("id", length, prefix).join(groups, ["n_bytes", "prefix_hash"], "left").select("id", "n_bytes", "prefix_hash", "open"), "exact-narrow")
-        alive = stage(narrow.where("open").select(F.col("id").alias("alive")).distinct(), "exact-alive")
-        read = body.join(maybe_broadcast(alive, 24, broadcast_bytes), F.col("id").eqNullSafe(F.col("alive")), "left_semi").select("id", length, prefix, full.alias("text_sha256"))
-        known = read.join(groups, ["n_bytes", "prefix_hash"], "left_semi").select("id", "n_bytes", F.lit(True).alias("open"), "text_sha256")
-        members = narrow.where("open IS NULL").select("id", "n_bytes", F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("string").alias("text_sha256")).unionByName(known)
-    members = stage(members, "exact-members")
-
-    classes = members.where("open").groupBy("n_bytes", "text_sha256").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    classes = stage(classes, "exact-classes")
+    with scratch(docs.sparkSession):
+        sketch = stage(body.select(length, prefix).groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n")), "exact-sketch")
+        lengths = sketch.groupBy("n_bytes").agg(F.sum("n").alias("of_length")).where("of_length > 1")
+        groups = stage(sketch.where("n > 1").join(lengths, "n_bytes", "left_semi").select("n_bytes", "prefix_hash", F.lit(True).alias("open")), "exact-open")
+
+        full = F.sha2("body", 256)
+        if small(groups, 40, broadcast_bytes):
+            met = body.select("id", "body", length, prefix).join(F.broadcast(groups), ["n_bytes", "prefix_hash"], "left")
+            members = met.select("id", "n_bytes", "open", (full if hash_all else F.when(F.col("open"), full)).alias("text_sha256"))
+        elif hash_all:  # too many open groups to send to every executor, and each content is read for its hash in any case: that hash travels instead
+            met = body.select("id", length, prefix, full.alias("text_sha256")).join(groups, ["n_bytes", "prefix_hash"], "left")
+            members = met.select("id", "n_bytes", "open", "text_sha256")
+        else:  # narrow rows find the survivors; contents are read of their ids alone
+            narrow = stage(body.select("id", length, prefix).join(groups, ["n_bytes", "prefix_hash"], "left").select("id", "n_bytes", "prefix_hash", "open"), "exact-narrow")
+            alive = stage(narrow.where("open").select(F.col("id").alias("alive")).distinct(), "exact-alive")
+            read = body.join(maybe_broadcast(alive, 24, broadcast_bytes), F.col("id").eqNullSafe(F.col("alive")), "left_semi").select("id", length, prefix, full.alias("text_sha256"))
+            known = read.join(groups, ["n_bytes", "prefix_hash"], "left_semi").select("id", "n_bytes", F.lit(True).alias("open"), "text_sha256")
+            members = narrow.where("open IS NULL").select("id", "n_bytes", F.lit(None).cast("boolean").alias("open"), F.lit(None).cast("string").alias("text_sha256")).unionByName(known)
+        members = stage(members, "exact-members", lasting=True)
+
+        classes = members.where("open").groupBy("n_bytes", "text_sha256").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+        classes = stage(classes, "exact-classes", lasting=True)
     found = members.join(classes, ["n_bytes", "text_sha256"], "left")
     in_group = F.col("group_size").isNotNull()
     keep_id = F.when(in_group, F.col("keep_id")).otherwise(F.col("id"))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, stage, text_of
+from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, scratch, stage, text_of
 
 #: Documents are dealt by hash into so many batches when a table is deduplicated at once.
 BATCHES = 4
@@ -151,20 +151,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     text = text_of(text_col)
     batch = F.pmod(F.xxhash64(text), F.lit(batches)).alias("batch")
     keys = F.array_distinct(F.array_compact(line_hashes(text)))
-    by_batch = stage(docs.select(batch, F.explode(keys).alias("k")).groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n")), "lines-batches")
-    runs = LineRuns(docs.sparkSession, fanout)
-    for b in range(batches):
-        runs.add(runs.new_lines(by_batch.where(F.col("batch") == b).select("h1", "h2", "n"), min_docs))
-    frequent = maybe_broadcast(stage(runs.frequent(min_docs), "lines-frequent"), 32, broadcast_bytes)
-    runs.drop()
-
-    # A text's frequent lines, by the text's own 128 bits: rows with equal texts share them.
-    mark = F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    at = docs.select(mark.alias("mark"), F.posexplode(line_hashes(text)).alias("line_no", "k"))
-    hits = at.where("k is not null").select("mark.t1", "mark.t2", "line_no", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-    hits = hits.join(frequent, ["h1", "h2"], "left_semi")
-    drops = hits.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
-    drops = stage(drops, "lines-drops")
+    with scratch(docs.sparkSession):
+        by_batch = stage(docs.select(batch, F.explode(keys).alias("k")).groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n")), "lines-batches")
+        runs = LineRuns(docs.sparkSession, fanout)
+        for b in range(batches):
+            runs.add(runs.new_lines(by_batch.where(F.col("batch") == b).select("h1", "h2", "n"), min_docs))
+        frequent = maybe_broadcast(stage(runs.frequent(min_docs), "lines-frequent"), 32, broadcast_bytes)
+        runs.drop()
+
+        # A text's frequent lines, by the text's own 128 bits: rows with equal texts share them.
+        mark = F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+        at = docs.select(mark.alias("mark"), F.posexplode(line_hashes(text)).alias("line_no", "k"))
+        hits = at.where("k is not null").select("mark.t1", "mark.t2", "line_no", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
+        hits = hits.join(frequent, ["h1", "h2"], "left_semi")
+        drops = hits.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+        drops = stage(drops, "lines-drops", lasting=True)
     width = drops.agg(F.coalesce(F.sum(F.size("drop") * 4 + 64), F.lit(0))).first()[0]
     drops = F.broadcast(drops) if width <= broadcast_bytes else drops
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import BROADCAST_BYTES, WORD, maybe_broadcast, stage, text_of
+from driftloom.llm.common import BROADCAST_BYTES, WORD, maybe_broadcast, scratch, stage, text_of
 
 #: Target entropy of the weights, as a share of the entropy of equal weights.
 ENTROPY_SHARE = 0.95
@@ -80,26 +80,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     docs = docs.drop(*ADDED)
     tokens = word_tokens(text_col) if tokens is None else tokens
-    narrow = docs.select(F.col(source_col).alias("source"), _order(F.col(id_col), seed).alias("order"), tokens.alias("tokens"))
-    narrow = stage(narrow, "mix-rows")
-    shares = source_shares(narrow, "source", F.col("tokens"))
-    total = shares.agg(F.sum("tokens")).first()[0] or 0
-    if not total:
-        return docs.limit(0).withColumns({"mix_tokens": F.lit(0).cast("long"), "mix_weight": F.lit(0.0), "mix_block": F.lit(0).cast("long"), "mix_epoch": F.lit(0)})
-    budget = budget_share * total
-    exponent = bisect_exponent(shares, total, budget, entropy_share, max_repeats)
-    powers = _measure(shares, total, exponent)[0]
-    weight = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(powers)
-    plan = shares.select("source", weight.alias("weight"), F.ceil(F.col("docs") / block_docs).alias("blocks"), (F.lit(budget) * weight / F.col("tokens")).alias("repeats"))
-    plan = stage(plan, "mix-plan")
-
-    placed = narrow.join(maybe_broadcast(plan, 64, broadcast_bytes).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    placed = placed.withColumn("block", _block(F.col("order"), F.col("blocks")))
-    own = Window.partitionBy("source", "block")
-    part = (F.col("repeats") - F.floor("repeats")) * F.sum("tokens").over(own)
-    before = F.coalesce(F.sum("tokens").over(own.orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = placed.withColumn("in", before + F.col("tokens") / 2 < part).groupBy("source", "block").agg(F.max(F.when(F.col("in"), F.col("order"))).alias("last"), F.first("weight").alias("weight"), F.first("repeats").alias("repeats"), F.first("blocks").alias("blocks"))
-    cut = stage(cut, "mix-cuts")
+    with scratch(docs.sparkSession):
+        narrow = docs.select(F.col(source_col).alias("source"), _order(F.col(id_col), seed).alias("order"), tokens.alias("tokens"))
+        narrow = stage(narrow, "mix-rows")
+        shares = source_shares(narrow, "source", F.col("tokens"))
+        total = shares.agg(F.sum("tokens")).first()[0] or 0
+        if not total:
+            return docs.limit(0).withColumns({"mix_tokens": F.lit(0).cast("long"), "mix_weight": F.lit(0.0), "mix_block": F.lit(0).cast("long"), "mix_epoch": F.lit(0)})
+        budget = budget_share * total
+        exponent = bisect_exponent(shares, total, budget, entropy_share, max_repeats)
+        powers = _measure(shares, total, exponent)[0]
+        weight = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(powers)
+        plan = shares.select("source", weight.alias("weight"), F.ceil(F.col("docs") / block_docs).alias("blocks"), (F.lit(budget) * weight / F.col("tokens")).alias("repeats"))
+        plan = stage(plan, "mix-plan", lasting=True)
+
+        placed = narrow.join(maybe_broadcast(plan, 64, broadcast_bytes).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        placed = placed.withColumn("block", _block(F.col("order"), F.col("blocks")))
+        own = Window.partitionBy("source", "block")
+        part = (F.col("repeats") - F.floor("repeats")) * F.sum("tokens").over(own)
+        before = F.coalesce(F.sum("tokens").over(own.orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = placed.withColumn("in", before + F.col("tokens") / 2 < part).groupBy("source", "block").agg(F.max(F.when(F.col("in"), F.col("order"))).alias("last"), F.first("weight").alias("weight"), F.first("repeats").alias("repeats"), F.first("blocks").alias("blocks"))
+        cut = stage(cut, "mix-cuts", lasting=True)
 
     names = {c.lower() for c in docs.columns}
     free = lambda name: name if name not in names else free(name + "_")

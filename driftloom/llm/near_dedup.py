@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm import shingles
-from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, stage, text_of
+from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, scratch, stage, text_of
 from driftloom.llm.components import components
 
 WORDS = 5
@@ -174,22 +174,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of docs are read. An empty table gives an empty result.
     """
     body = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    signed = stage(_signed(body, words, bands, rows), "minhash")
-    classes = stage(signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")), "set-classes")
-
-    # One row of each class carries its bands on.
-    firsts = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
-    exploded = firsts.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
-    buckets = maybe_broadcast(stage(buckets, "buckets"), 16, broadcast_bytes)
-    members = stage(exploded.join(buckets, "band", "left_semi").distinct(), "bucket-members")
-    ids = maybe_broadcast(stage(members.select("id").distinct(), "bucket-ids"), 16, broadcast_bytes)
-    sets = stage(_sets(body.join(ids, "id", "left_semi"), words), "bucket-sets")
-
-    star = stage(_verified(_star_pairs(members, percent), sets, percent).select("a", "b"), "star-links")
-    found = stage(components(star), "star-components")
-    more = _verified(stage(_open_pairs(members, found, sets, percent, broadcast_bytes, split), "open-pairs"), sets, percent)
-    joined = stage(components(stage(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "open-links")), "joined-components")
+    with scratch(docs.sparkSession):
+        signed = stage(_signed(body, words, bands, rows), "minhash", lasting=True)
+        classes = stage(signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")), "set-classes", lasting=True)
+
+        # One row of each class carries its bands on.
+        firsts = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
+        exploded = firsts.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+        buckets = exploded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+        buckets = maybe_broadcast(stage(buckets, "buckets"), 16, broadcast_bytes)
+        members = stage(exploded.join(buckets, "band", "left_semi").distinct(), "bucket-members")
+        ids = maybe_broadcast(stage(members.select("id").distinct(), "bucket-ids"), 16, broadcast_bytes)
+        sets = stage(_sets(body.join(ids, "id", "left_semi"), words), "bucket-sets")
+
+        star = stage(_verified(_star_pairs(members, percent), sets, percent).select("a", "b"), "star-links")
+        found = stage(components(star), "star-components", lasting=True)
+        more = _verified(stage(_open_pairs(members, found, sets, percent, broadcast_bytes, split), "open-pairs"), sets, percent)
+        joined = stage(components(stage(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "open-links")), "joined-components", lasting=True)
 
     named = signed.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
     named = named.join(maybe_broadcast(found.toDF("rep", "first"), 24, broadcast_bytes), "rep", "left").withColumn("first", F.coalesce("first", "rep", "id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm import shingles
-from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, stage, text_of
+from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, scratch, stage, text_of
 from driftloom.llm.exact_dedup import exact_duplicates
 
 MIN_BYTES = 50
@@ -355,28 +355,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"min_bytes must be at least {2 * GRAM}")
     text = text_of(text_col)
     body = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    # An id may have several texts, so a copy is named by its id and its text's mark; equal texts have one mark, so the least id stays the least.
-    named = body.where("doc is not null").select(F.struct("doc", "mark").alias("named"), "text")
-    copies = stage(exact_duplicates(named, "named", "text", keep="min").where("not kept").select("named.doc", "named.mark").distinct(), "repeat-copies")
-    whole = body.join(maybe_broadcast(copies, 24, broadcast_bytes), ["doc", "mark"], "left_anti").where("doc is not null")
-
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = lambda n, each: partitions or max(least, -(-n // each))
-    n_bytes = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = _bucket_rows(whole, min_bytes).repartition(sized(n_bytes, TASK_BYTES), "bucket").sortWithinPartitions("bucket", "doc")
-    listed = lambda is_hot: F.collect_list(F.when(F.col("hot") == is_hot, F.col("bucket")))
-    shared = rows.mapInArrow(lambda own: _shared(own, hot), "bucket long, doc long, hot boolean").groupBy("doc").agg(listed(False).alias("buckets"), listed(True).alias("hots"))
-    shared = stage(shared, "repeat-buckets")
-    n_snippets = shared.agg(F.sum(2 * F.size("buckets") + 8 * F.size("hots"))).first()[0] or 0
-    met = whole.join(shared.hint("merge"), "doc")  # both grow with the corpus, so they are shuffled at every size
-    snippets = _snippets(met, min_bytes).repartition(sized(n_snippets, TASK_SNIPPETS), "bucket").sortWithinPartitions("bucket", "second", "doc")
-    parts = snippets.mapInArrow(_matches(min_bytes), "doc long, mark long, from long, to long")
-    parts = stage(parts.groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("parts")), "repeat-parts")
-
-    # A copy is removed whole; rows of its id with other texts keep theirs.
-    marks = body.select("doc", "mark", F.octet_length("text").alias("n")).join(maybe_broadcast(copies, 24, broadcast_bytes), ["doc", "mark"])
-    gone = marks.where(f"n >= {min_bytes}").select("doc", "mark", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n").cast("long").alias("to"))).alias("parts")).distinct()
-    parts = stage(parts.join(gone.select("doc", "mark"), ["doc", "mark"], "left_anti").unionByName(gone), "repeat-all")
+    with scratch(docs.sparkSession):
+        # An id may have several texts, so a copy is named by its id and its text's mark; equal texts have one mark, so the least id stays the least.
+        named = body.where("doc is not null").select(F.struct("doc", "mark").alias("named"), "text")
+        copies = stage(exact_duplicates(named, "named", "text", keep="min").where("not kept").select("named.doc", "named.mark").distinct(), "repeat-copies")
+        whole = body.join(maybe_broadcast(copies, 24, broadcast_bytes), ["doc", "mark"], "left_anti").where("doc is not null")
+
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sized = lambda n, each: partitions or max(least, -(-n // each))
+        n_bytes = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        rows = _bucket_rows(whole, min_bytes).repartition(sized(n_bytes, TASK_BYTES), "bucket").sortWithinPartitions("bucket", "doc")
+        listed = lambda is_hot: F.collect_list(F.when(F.col("hot") == is_hot, F.col("bucket")))
+        shared = rows.mapInArrow(lambda own: _shared(own, hot), "bucket long, doc long, hot boolean").groupBy("doc").agg(listed(False).alias("buckets"), listed(True).alias("hots"))
+        shared = stage(shared, "repeat-buckets")
+        n_snippets = shared.agg(F.sum(2 * F.size("buckets") + 8 * F.size("hots"))).first()[0] or 0
+        met = whole.join(shared.hint("merge"), "doc")  # both grow with the corpus, so they are shuffled at every size
+        snippets = _snippets(met, min_bytes).repartition(sized(n_snippets, TASK_SNIPPETS), "bucket").sortWithinPartitions("bucket", "second", "doc")
+        parts = snippets.mapInArrow(_matches(min_bytes), "doc long, mark long, from long, to long")
+        parts = stage(parts.groupBy("doc", "mark").agg(F.collect_list(F.struct("from", "to")).alias("parts")), "repeat-parts")
+
+        # A copy is removed whole; rows of its id with other texts keep theirs.
+        marks = body.select("doc", "mark", F.octet_length("text").alias("n")).join(maybe_broadcast(copies, 24, broadcast_bytes), ["doc", "mark"])
+        gone = marks.where(f"n >= {min_bytes}").select("doc", "mark", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n").cast("long").alias("to"))).alias("parts")).distinct()
+        parts = stage(parts.join(gone.select("doc", "mark"), ["doc", "mark"], "left_anti").unionByName(gone), "repeat-all", lasting=True)
     found = body.join(parts.hint("merge"), ["doc", "mark"], "left")
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from:long,to:long>>" + (", kept binary" if keep_bytes else "")
