@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import BROADCAST_BYTES, WORD, maybe_broadcast, scratch, stage, text_of
+from driftloom.llm.common import BROADCAST_BYTES, WORD, maybe_broadcast, scratch, small, stage, text_of
 
 #: Target entropy of the weights, as a share of the entropy of equal weights.
 ENTROPY_SHARE = 0.95
@@ -15,8 +15,9 @@ ENTROPY_SHARE = 0.95
 MAX_REPEATS = 4.0
 #: Halvings of the exponent's interval.
 STEPS = 20
-#: Documents in a block of a permutation, about.
+#: Documents in a block of a permutation, about; more where there would be more than so many blocks in all, whose cut-offs are then still few enough to broadcast.
 BLOCK_DOCS = 2_000
+MAX_BLOCKS = 100_000
 SEED = "mix"
 ADDED = ("mix_tokens", "mix_weight", "mix_block", "mix_epoch")
 
@@ -72,7 +73,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     once more the first documents of a permutation while the rest of the budget lasts. The permutation orders by a hash of seed and
     id and runs within blocks: a source is dealt by hash into blocks of about block_docs documents, and each block meets its
     own part of the rest. So a source with a third of all rows is many windows of bounded size, over three narrow columns; they leave a
-    cut-off per block, and the texts themselves are never shuffled unless there are more blocks than may be broadcast. A document
+    cut-off per block, of which there are few enough to broadcast, so the texts themselves are not shuffled; only with very many sources they
+    meet their draws once, by the hash. A document
     belongs to the partial epoch if the tokens before it in its block and half its own lie below the block's part.
 
     A null source is a source of its own; a null text is one token. Rows that share an id are drawn alike. Columns of docs
@@ -88,6 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if not total:
             return docs.limit(0).withColumns({"mix_tokens": F.lit(0).cast("long"), "mix_weight": F.lit(0.0), "mix_block": F.lit(0).cast("long"), "mix_epoch": F.lit(0)})
         budget = budget_share * total
+        block_docs = max(block_docs, -(-shares.agg(F.sum("docs")).first()[0] // MAX_BLOCKS))
         exponent = bisect_exponent(shares, total, budget, entropy_share, max_repeats)
         powers = _measure(shares, total, exponent)[0]
         weight = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(powers)
@@ -101,17 +104,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         before = F.coalesce(F.sum("tokens").over(own.orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         cut = placed.withColumn("in", before + F.col("tokens") / 2 < part).groupBy("source", "block").agg(F.max(F.when(F.col("in"), F.col("order"))).alias("last"), F.first("weight").alias("weight"), F.first("repeats").alias("repeats"), F.first("blocks").alias("blocks"))
         cut = stage(cut, "mix-cuts", lasting=True)
+        few = small(plan, 64, broadcast_bytes) and small(cut, 128, broadcast_bytes)
+        if not few:  # draws are made on narrow rows, which then meet the texts by their place in the permutation, a key that no source makes hot
+            of = cut.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "last")
+            made = placed.join(of, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
+            drawn = stage(made.select("source", "order", "block", "weight", _times(F.col("repeats"), F.col("order"), F.col("last")).alias("times")).distinct(), "mix-drawn", lasting=True)
 
     names = {c.lower() for c in docs.columns}
     free = lambda name: name if name not in names else free(name + "_")
     s, b, o, n = (free(f"mix_{x}_") for x in ("s", "b", "o", "n"))
     sized = docs.withColumn("mix_tokens", tokens).withColumn(o, _order(F.col(id_col), seed))
-    sources = plan.select(F.col("source").alias(s), F.col("blocks").alias(n))
-    rows = sized.join(maybe_broadcast(sources, 64, broadcast_bytes), F.col(source_col).eqNullSafe(F.col(s)))
-    rows = rows.withColumn("mix_block", _block(F.col(o), F.col(n))).drop(s, n)
-    cuts = cut.select(F.col("source").alias(s), F.col("block").alias(b), F.col("last").alias("mix_last_"), F.col("weight").alias("mix_weight"), F.col("repeats").alias("mix_repeats_"))
-    rows = rows.join(maybe_broadcast(cuts, 128, broadcast_bytes), F.col(source_col).eqNullSafe(F.col(s)) & (F.col("mix_block") == F.col(b)))
-    times = F.floor("mix_repeats_").cast("int") + F.when(F.col(o) <= F.col("mix_last_"), 1).otherwise(0)
+    if few:
+        sources = F.broadcast(plan.select(F.col("source").alias(s), F.col("blocks").alias(n)))
+        rows = sized.join(sources, F.col(source_col).eqNullSafe(F.col(s)))
+        rows = rows.withColumn("mix_block", _block(F.col(o), F.col(n))).drop(s, n)
+        cuts = F.broadcast(cut.select(F.col("source").alias(s), F.col("block").alias(b), F.col("last").alias("mix_last_"), F.col("weight").alias("mix_weight"), F.col("repeats").alias("mix_repeats_")))
+        rows = rows.join(cuts, F.col(source_col).eqNullSafe(F.col(s)) & (F.col("mix_block") == F.col(b)))
+        times = _times(F.col("mix_repeats_"), F.col(o), F.col("mix_last_"))
+    else:
+        rows = sized.join(drawn.toDF(s, b, "mix_block", "mix_weight", n), (F.col(o) == F.col(b)) & F.col(source_col).eqNullSafe(F.col(s)))
+        times = F.col(n)
     rows = rows.withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
 
@@ -121,5 +133,10 @@ def _order(row_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(row_id.cast("string"), F.lit(""))))
 
 
+def _times(repeats: Column, order: Column, last: Column) -> Column:
+    """How often a row is drawn: its source's whole repeats, and once more up to its block's cut-off."""
+    return F.floor(repeats).cast("int") + F.when(order <= last, 1).otherwise(0)
+
+
 def _block(order: Column, blocks: Column) -> Column:
     return F.pmod(F.conv(F.substring(order, 25, 8), 16, 10).cast("long"), blocks.cast("long"))

@@ -241,6 +241,18 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_draws_alike_with_many_sources_and_few_blocks(spark, monkeypatch):
+    """The way for more sources than may be broadcast gives the same rows; blocks grow where there would be too many."""
+    r = random.Random(9)
+    rows = [(i % 280, "w " * r.randint(0, 9), r.choice(["a", "a", "a", "b", None]), i) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("mix_s_", F.lit(1))
+    view = lambda df: sorted(map(str, (tuple(x) for x in df.collect())))
+    one = mixing.mix(docs, block_docs=20)
+    assert view(one) == view(mixing.mix(docs, block_docs=20, broadcast_bytes=0)) and one.columns == [*docs.columns, *mixing.ADDED]
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 3)
+    assert mixing.mix(docs, block_docs=20).select("source", "mix_block").distinct().count() <= 5
+
+
 def test_mixing_keeps_the_repetition_limit(spark):
     rows = [(i, "w " * 20, "big" if i else "tiny", 1) for i in range(300)]
     mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA), max_repeats=3.0)
