@@ -30,9 +30,19 @@ def jdbc_url(source: Source) -> str:
     }[source.driver]
 
 
+#: Seconds that a driver waits for its database to answer.
+CONNECT_SECONDS = 5
+
+
+def connect_timeout(driver: str) -> dict[str, str]:
+    """The property by which an engine's driver takes that time, in its unit."""
+    own = {"mysql": ("connectTimeout", 1000), "postgres": ("connectTimeout", 1), "mssql": ("loginTimeout", 1), "oracle": ("oracle.net.CONNECT_TIMEOUT", 1000)}
+    return {own[driver][0]: str(own[driver][1] * CONNECT_SECONDS)} if driver in own else {}
+
+
 def jdbc_options(source: Source, table: str, split: tuple[str, int, int] | None = None, partitions: int = 8, fetch_size: int = 10_000) -> dict[str, str]:
     """Options of a scan: with split (an integer key column with its least and greatest value) the database is read in so many ranges at once."""
-    own = {"url": jdbc_url(source), "dbtable": Dialect(source.driver).quote(table), "user": source.user, "password": source.password, "fetchsize": str(fetch_size)}
+    own = {"url": jdbc_url(source), "dbtable": Dialect(source.driver).quote(table), "user": source.user, "password": source.password, "fetchsize": str(fetch_size), **connect_timeout(source.driver)}
     if split:
         own |= {"partitionColumn": Dialect(source.driver).quote(split[0]), "lowerBound": str(split[1]), "upperBound": str(split[2]), "numPartitions": str(partitions)}
     return own
@@ -40,7 +50,7 @@ def jdbc_options(source: Source, table: str, split: tuple[str, int, int] | None
 
 def jdbc_query(spark: SparkSession, source: Source, query: str) -> DataFrame:
     """The rows of a query that the database runs; refused or broken connections are tried again."""
-    return retry(lambda: connected(lambda: spark.read.format("jdbc").options(url=jdbc_url(source), user=source.user, password=source.password, query=query).load()))
+    return retry(lambda: connected(lambda: spark.read.format("jdbc").options(url=jdbc_url(source), user=source.user, password=source.password, query=query, **connect_timeout(source.driver)).load()))
 
 
 #: By engine, whether a row's key falls in the given of so many parts, for keys that are no integers.
@@ -67,7 +77,7 @@ def jdbc_table(spark: SparkSession, source: Source, table: str, key: Sequence[st
         q = Dialect(source.driver).quote
         low, high = jdbc_query(spark, source, f"SELECT MIN({q(key[0])}) AS low, MAX({q(key[0])}) AS high FROM {q(table)}").first()
         return whole if low is None or low == high else load(split=(key[0], int(low), int(high)))
-    properties = {"user": source.user, "password": source.password, "fetchsize": str(fetch_size)}
+    properties = {"user": source.user, "password": source.password, "fetchsize": str(fetch_size), **connect_timeout(source.driver)}
     return spark.read.jdbc(jdbc_url(source), Dialect(source.driver).quote(table), predicates=hash_predicates(source.driver, key, partitions), properties=properties)
 
 

@@ -193,7 +193,7 @@ def test_database_tables_are_read_in_parts(spark, tmp_path, monkeypatch):
     own = tables.read_table(spark, source, "t", ["k"], partitions=4, fetch_size=7)
     parts = own.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
     assert own.count() == 100 and len(parts) == 4 and max(r["count"] for r in parts) <= 26
-    assert tables.jdbc_options(source, "t", ("k", 1, 9), 4, 7) == {"url": url, "dbtable": '"t"', "user": "u", "password": "p", "fetchsize": "7", "partitionColumn": '"k"', "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
+    assert tables.jdbc_options(source, "t", ("k", 1, 9), 4, 7) == {"url": url, "dbtable": '"t"', "user": "u", "password": "p", "fetchsize": "7", "connectTimeout": "5", "partitionColumn": '"k"', "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
     monkeypatch.setitem(tables.HASHED, "postgres", "MOD(LENGTH({k}), {n}) = {i}")
     by_text = tables.read_table(spark, source, "t", ["v"], partitions=3)
     assert by_text.rdd.getNumPartitions() == 3 and by_text.count() == 100
