@@ -27,7 +27,7 @@ GRAM = 16
 #: Bytes of snippets that are put in suffix order at once; a bucket that alone is larger doubles it as it goes.
 CHUNK = 1 << 21
 #: Documents of a bucket above which its suffixes are dealt out one by one.
-HOT = 1024
+HOT = 8192
 #: What tasks are sized for: bytes of text whose buckets, and snippets that, one task sorts.
 TASK_BYTES, TASK_SNIPPETS = 64 << 20, 400_000
 
@@ -67,6 +67,16 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
         at[live] = at[at[live]]
 
 
+def _suffix_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The places in the order of the keys, the first one first. Most suffixes are told apart by that one; only ties are sorted by all."""
+    order = np.argsort(keys[0], kind="stable")
+    same = keys[0][order[1:]] == keys[0][order[:-1]]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    own = order[tied]
+    order[tied] = own[np.lexsort([k[own] for k in keys[::-1]])]
+    return order
+
+
 def reaches_earlier(text: bytes, starts: np.ndarray, docs: np.ndarray, min_bytes: int = MIN_BYTES) -> np.ndarray:
     """Whether the longest previous factor of each suffix of text, previous meaning in a smaller document, has min_bytes bytes.
 
@@ -78,7 +88,7 @@ def reaches_earlier(text: bytes, starts: np.ndarray, docs: np.ndarray, min_bytes
     keys = [eight[starts + i] for i in range(0, min_bytes - 7, 8)]
     if min_bytes % 8:
         keys.append(eight[starts + min_bytes - 8])
-    order = np.lexsort(keys[::-1])
+    order = _suffix_order(keys)
     same = np.ones(max(0, len(order) - 1), bool)
     for k in keys:
         same &= k[order[1:]] == k[order[:-1]]
@@ -202,7 +212,7 @@ def _snippets(docs: DataFrame, min_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows, buckets, starts, parts, hot, size = [], [], [], [], [], 0
+            rows, buckets, starts, parts, hot, hot_texts, size, hot_size = [], [], [], [], [], [], 0, 0
             for row, text in enumerate(batch.column(2).to_pylist()):
                 text = text.encode()
                 bucket, first = bucket_runs(text, min_bytes)
@@ -218,7 +228,9 @@ def _snippets(docs: DataFrame, min_bytes: int) -> DataFrame:
                     wide = np.isin(signed, hots.to_numpy())
                     counts = (last - first)[wide]
                     each = np.arange(counts.sum()) + np.repeat(first[wide] - np.cumsum(counts) + counts, counts)
-                    hot.append((*_prefix_hashes(text, each, min_bytes), np.full(len(each), ids[row]), np.full(len(each), marks[row]), each))
+                    hot.append((np.full(len(each), row), each, np.full(len(each), hot_size)))
+                    hot_texts.append(text)
+                    hot_size += len(text)
                 size += len(text)
                 if size > 1 << 21 or row == batch.num_rows - 1:
                     at, n = np.array(rows, np.int64), len(rows)
@@ -226,10 +238,12 @@ def _snippets(docs: DataFrame, min_bytes: int) -> DataFrame:
                         none = pa.nulls(n, pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(np.zeros(n, np.int64)), pa.array(ids[at]), pa.array(marks[at]), pa.array(np.concatenate(starts)), none, pa.array(parts, pa.binary())], names=names)
                     if sum(len(x[0]) for x in hot):
-                        for *own, counts, flat, what in _hot_rows(*map(np.concatenate, zip(*hot, strict=True)), min_bytes):
+                        at, each, base = map(np.concatenate, zip(*hot, strict=True))
+                        one, two = _prefix_hashes(b"".join(hot_texts), each + base, min_bytes)
+                        for *own, counts, flat, what in _hot_rows(one, two, ids[at], marks[at], each, min_bytes):
                             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat.astype(np.int64)))
                             yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in own), listed, pa.array([what] * len(counts), pa.binary())], names=names)
-                    rows, buckets, starts, parts, hot, size = [], [], [], [], [], 0
+                    rows, buckets, starts, parts, hot, hot_texts, size, hot_size = [], [], [], [], [], [], 0, 0
 
     names = [x.split()[0] for x in _SNIPPET.split(", ")]
     return docs.select("doc", "mark", "text", "buckets", "hots").mapInArrow(run, _SNIPPET)
@@ -287,20 +301,24 @@ class _Buckets:
             self.solve(True)
 
     def solve(self, goes_on: bool) -> None:
-        every = self.sources + self.fresh
+        every, new = self.sources + self.fresh, []
         if self.fresh:
+            doc, mark, start = (np.array([x[i] for x in every], np.int64) for i in range(3))
             sizes = np.array([len(x[3]) for x in every])
             base, counts = np.cumsum(sizes) - sizes, sizes - self.min_bytes + 1
+            begins = np.cumsum(counts) - counts
             owner = np.repeat(np.arange(len(every)), counts)
-            starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + base[owner]
-            found = reaches_earlier(b"".join(x[3] for x in every), starts, np.array([x[0] for x in every])[owner], self.min_bytes)
-            hits = np.split(found, np.cumsum(counts)[:-1])[len(self.sources) :]
-            for (doc, mark, start, _), hit in zip(self.fresh, hits, strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
-                self.out += [(doc, mark, start + a, start + b + self.min_bytes - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-            new = [x for x, hit in list(zip(self.fresh, hits, strict=True))[self.from_ :] if not hit.all()]
-        else:
-            new = []
+            found = reaches_earlier(b"".join(x[3] for x in every), np.arange(len(owner)) - begins[owner] + base[owner], doc[owner], self.min_bytes)
+            edge = np.zeros(len(owner) + 1, bool)
+            edge[begins] = edge[-1] = True
+            first = np.flatnonzero(found & (edge[:-1] | ~np.append(False, found[:-1])))
+            last = np.flatnonzero(found & (edge[1:] | ~np.append(found[1:], False)))
+            own = owner[first] >= len(self.sources)
+            first, last, who = first[own], last[own], owner[first[own]]
+            at = start[who] - begins[who]
+            self.out += zip(doc[who].tolist(), mark[who].tolist(), (at + first).tolist(), (at + last + self.min_bytes).tolist(), strict=True)
+            whole = np.logical_and.reduceat(found, begins)[len(self.sources) + self.from_ :]
+            new = [x for x, w in zip(self.fresh[self.from_ :], whole, strict=True) if not w]
         self.sources = (self.sources if self.sources_current else []) + new if goes_on else []
         self.sources_current, self.fresh, self.from_ = goes_on, [], 0
         self.size = sum(len(x[3]) for x in self.sources)
