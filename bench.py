@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line. Each query runs once to warm up and is then timed twice; the faster run counts."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line. Each query runs once to warm up and is then timed three times; the fastest run counts."""
 
 from __future__ import annotations
 
@@ -48,7 +48,7 @@ def main() -> None:
     took = {}
     for name, plan in plans.items():
         runs = []
-        for _ in range(3):
+        for _ in range(4):
             began = time.perf_counter()
             with scratch(spark):
                 plan(spark, folder).write.format("noop").mode("overwrite").save()

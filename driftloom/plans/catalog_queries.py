@@ -167,3 +167,18 @@ def pack_alter_sql(spark, d):
     """The columns that the richer side alone has, as the script that brings them: here prod's catalog plays dev."""
     rich, poor = _columns(spark, d)
     return patch.add_column_statements(rich.join(poor.select("table", "column"), ["table", "column"], "left_anti"), Dialect("postgres"))
+
+
+@query("SELECT DISTINCT 'o' || o_orderkey AS \"table\" FROM orders WHERE o_orderkey NOT IN (7, 77) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 3)")
+def missing_primary_keys_ignored(spark, d):
+    """The precondition of a comparison, without tables that the configuration ignores, whatever their case."""
+    tables = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("o"), "o_orderkey").alias("table")).distinct()
+    return rowdiff.missing_keys(tables, spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber > 3").select(F.concat(F.lit("o"), "l_orderkey").alias("table")), [" O7", "o77"])
+
+
+@query("SELECT c_name AS prod_table, c_name AS dev_table FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 7 <> 0")
+def table_pairing_exact(spark, d):
+    """Pairs as scripts and packs need them: a name that differs in case alone has none."""
+    prod, k = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("table"), "c_custkey"), F.col("c_custkey")
+    dev = prod.where(k % 10 != 0).select(F.when(k % 7 == 0, F.upper("table")).otherwise(F.col("table")).alias("table"))
+    return rowdiff.pair_tables(prod, dev, case_insensitive=False)

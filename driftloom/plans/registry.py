@@ -12,11 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions import canonical
 from driftloom.functions.ignore import column_ignorer
 from driftloom.operators import celldiff, patch, resolve, rowdiff
 from driftloom.plans import history
 from driftloom.plans.dialects import Dialect
 from driftloom.sources.staging import stage
+from driftloom.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -508,6 +510,54 @@ def pack_backfill_sql(spark, d):
     return patch.backfill_by_span(dev.join(put, key, "left_anti"), "supplier", key, ["s_extra"], Dialect("postgres"))
 
 
+# --- texts, single rows and batches of changes
+
+
+@query(f"SELECT p.c_custkey, p.c_name AS prod_name, d.c_name AS dev_name, p.c_acctbal AS prod_acctbal, d.c_acctbal AS dev_acctbal FROM ({CUSTOMER.diff_sql()}) AS k LEFT JOIN customer AS p ON p.c_custkey = k.c_custkey LEFT JOIN {CUSTOMER.dev_sql()} AS d ON d.c_custkey = k.c_custkey WHERE k.status <> 'added'")
+def changed_rows(spark, d):
+    prod, dev, key = CUSTOMER.sides(spark, d)
+    rows = celldiff.changed_rows(rowdiff.row_diff(prod, dev, key), prod, dev, key).where("status <> 'added'")
+    return rows.select("c_custkey", *[F.col(f"{side}.{c}").alias(f"{side}_{c[2:]}") for c in ("c_name", "c_acctbal") for side in ("prod", "dev")])
+
+
+@query(f"SELECT \"table\", row_key, CASE WHEN \"table\" = 'supplier' AND row_key = '7' THEN 'keep_prod' ELSE decision END AS decision, resolved OR (\"table\" = 'supplier' AND row_key = '7') AS resolved FROM ({_RESOLVED_SQL})")
+def set_decision(spark, d):
+    return resolve.set_decision(_resolved(spark, d), "supplier", "7", "keep_prod").select("table", "row_key", "decision", "resolved")
+
+
+@query(f"SELECT \"table\", row_key, CASE decision WHEN 'keep_prod' THEN 'Keep Production' WHEN 'use_dev' THEN 'Use Development' ELSE 'Pending' END AS label, substr(prod_hash, 1, 9) || '...' AS prod FROM ({_RESOLVED_SQL})")
+def decision_labels(spark, d):
+    return _resolved(spark, d).select("table", "row_key", canonical.decision_label(F.col("decision")).alias("label"), canonical.truncated(F.col("prod_hash"), 12).alias("prod"))
+
+
+@query("SELECT c_custkey, sha256('c_custkey=' || c_custkey || chr(10) || 'c_acctbal=' || CAST(CAST(c_acctbal AS DECIMAL(38, 6)) AS VARCHAR) || chr(10)) AS row_hash FROM customer")
+def row_hash_decimal_doubles(spark, d):
+    """Floating-point numbers rounded to six places, a text on which engines agree at every magnitude."""
+    return rowdiff.hashed(CUSTOMER.prod(spark, d), ["c_custkey"], columns=["c_custkey", "c_acctbal"], doubles="decimal").drop("row_key")
+
+
+@query("SELECT conv_id, turn, [CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)] AS parts, NULL::VARCHAR[] AS none FROM conversations")
+def split_row_keys(spark, d):
+    keys = rowdiff.hashed(spark.read.parquet(f"{d}/conversations.parquet"), ["conv_id", "turn"])
+    return keys.select("conv_id", "turn", canonical.split_key(F.col("row_key"), 2).alias("parts"), canonical.split_key(F.col("row_key"), 3).alias("none"))
+
+
+@query(f"SELECT 'customer' AS \"table\", row_key, status, list(\"column\" ORDER BY \"column\") AS names, list(differs ORDER BY \"column\") AS differs FROM ({_CELL_SQL}) GROUP BY row_key, status")
+def nested_report(spark, d):
+    nested = celldiff.nested_report(_cells(spark, d), "customer")
+    return nested.select("table", "row_key", "status", F.col("columns.Column").alias("names"), F.col("columns.Differs").alias("differs"))
+
+
+@query("""WITH c AS (SELECT c_custkey % 500 AS id, c_custkey AS seq, c_name AS v, CASE WHEN c_custkey % 7 = 0 THEN 'delete' ELSE 'upsert' END AS op FROM customer WHERE c_custkey % 3 = 0),
+    last AS (SELECT id, arg_max(v, seq) AS v, arg_max(op, seq) AS op FROM c GROUP BY id), base AS (SELECT c_custkey AS id, c_name AS v FROM customer)
+    SELECT id, v FROM base WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, v FROM last WHERE op <> 'delete'""")
+def fold_changes(spark, d):
+    """A batch of changes folded into a keyed table: only the last change of a key counts, and some are removals."""
+    customer, k = CUSTOMER.prod(spark, d), F.col("c_custkey")
+    batch = customer.where(k % 3 == 0).select((k % 500).alias("id"), k.alias("seq"), F.col("c_name").alias("v"), F.when(k % 7 == 0, "delete").otherwise("upsert").alias("op"))
+    return changes.fold(customer.select(k.alias("id"), F.col("c_name").alias("v")), batch, ["id"], ["seq"])
+
+
 # --- history
 
 
