@@ -57,7 +57,7 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, d1, d2, keys = [], [], [], []
-            for own in shingles.shingle_sets([x.encode() for x in batch.column(1).to_pylist()], words):
+            for own in shingles.shingle_sets(shingles.texts_of(batch.column(1)), words):
                 sizes.append(len(own))
                 d1.append(own.sum(dtype=np.uint64))
                 d2.append(np.bitwise_xor.reduce(shingles.mix(own + np.uint64(1)), initial=0))
@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = list(shingles.shingle_sets([x.encode() for x in batch.column(1).to_pylist()], words))
+            own = list(shingles.shingle_sets(shingles.texts_of(batch.column(1)), words))
             if own:
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own)], names=["id", "own"])
 

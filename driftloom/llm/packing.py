@@ -20,7 +20,7 @@ OPEN_BINS = 4096
 #: Pieces that one packing task takes.
 TASK_PIECES = 100_000
 #: Distinct pre-tokens whose ids a worker keeps; frequent ones come early, later ones are encoded each time.
-CACHED = 800_000
+CACHED = 300_000
 
 # Pre-tokens of texts below U+0250, where Python's `re` can name the classes: letters, numbers and white space, fixed by Unicode.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -106,8 +106,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         encode = tokenizer(tokenizer_path).encode
         for batch in batches:
             rows, cols = [], {n: [] for n in fields}
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for row, text in enumerate(batch.column(1)):
+                ids = encode(text.as_py()) + end
                 total = len(ids) // 4
                 stop = total % max_tokens or max_tokens
                 start = 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -37,7 +37,12 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def texts_of(column) -> Iterator[bytes]:
+    """The texts of an Arrow column in UTF-8, one at a time, so that a batch is never held twice."""
+    return (x.as_py().encode() for x in column)
+
+
+def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """The texts in order, in lists of about CHUNK_BYTES; a longer text is a list of its own."""
     own, total = [], 0
     for text in texts:
@@ -70,7 +75,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate([[0], np.searchsorted(starts, ends)])
 
 
-def shingle_sets(texts: list[bytes], words: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[bytes], words: int = 5) -> Iterator[np.ndarray]:
     """Each text's sorted distinct hashes of windows of so many words, letters A-Z lowered; one for all words of a shorter text, none without words."""
     for own in chunks(texts):
         h, bounds = word_hashes([t.lower() for t in own])

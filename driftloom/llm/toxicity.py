@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple] = []
-            for own in shingles.chunks([x.encode() for x in batch.column(1).to_pylist()]):
+            for own in shingles.chunks(shingles.texts_of(batch.column(1))):
                 features, sentence, text = sentence_words(own)
                 z = sentence_logits(model, features, sentence, len(text))
                 found = [_located(t, z[text == i], limit) for i, t in enumerate(own)] if locate else [None] * len(own)
