@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import chat_quotes, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality, repeats, toxicity
+from driftloom.llm import centroids, chat_quotes, collocations, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, pii, quality, repeats, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,9 +166,57 @@ OP10_SQL = """
     FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("cut")
+
+
+OP11_SQL = r"""
+    WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    pieces AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM texts),
+    grams AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) AS s(k) WHERE len(w) >= k)),
+    f AS (SELECT lang, k, g, count(*) AS c FROM grams GROUP BY ALL),
+    total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    often AS MATERIALIZED (SELECT * FROM f WHERE c >= 100),
+    cuts AS (SELECT a.lang, a.g, a.c, a.k, unnest(range(1, a.k)) AS cut FROM often AS a WHERE a.k > 1),
+    scores AS (SELECT cuts.lang, cuts.g, cuts.c, cuts.k, cut, x.c AS l, y.c AS r, n, ((1000 * cuts.c::HUGEINT * n) // (x.c::HUGEINT * y.c))::BIGINT AS score
+      FROM cuts JOIN often AS x ON x.lang = cuts.lang AND x.g = list_slice(cuts.g, 1, cut) JOIN often AS y ON y.lang = cuts.lang AND y.g = list_slice(cuts.g, cut + 1, cuts.k) JOIN total ON total.lang = cuts.lang),
+    best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+    inner_ AS (SELECT lang, list_slice(g, i, i + j - 1) AS g, c FROM (SELECT lang, g, c, j, unnest(range(1, k - j + 2)) AS i FROM often, range(2, 5) AS s(j) WHERE j < k)),
+    left_ AS (SELECT best.*, array_to_string(g, ' ') AS phrase FROM best WHERE NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.lang = best.lang AND inner_.g = best.g AND inner_.c >= best.c))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, c DESC, encode(phrase)) AS rank, phrase, c AS a, l, r, n, score FROM left_ QUALIFY rank <= 2000"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_sql() -> str:
+    """Three rounds and the last assignment, one step at a time."""
+    near = "(SELECT r, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, v, c, list_sum(list_transform(list_zip(v, m), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM kept, {centres}) GROUP BY r)"
+    steps = []
+    for i in range(centroids.ROUNDS):
+        steps.append(f"a{i} AS MATERIALIZED {near.format(centres=f'c{i}')}")
+        steps.append(f"s{i} AS (SELECT c, k, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range({centroids.DIMENSIONS})) AS k FROM a{i}) GROUP BY c, k)")
+        steps.append(f"m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS m FROM s{i} GROUP BY c)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} USING (c))")
+    last = centroids.ROUNDS
+    return f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMENSIONS}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM kept ORDER BY sha256('1:' || vec_id), v LIMIT {centroids.CENTROIDS}),
+    {", ".join(steps)},
+    final AS MATERIALIZED {near.format(centres=f"c{last}")}
+    SELECT vec_id, final.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY final.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+    FROM final JOIN kept USING (r) JOIN c{last} ON c{last}.c = final.c"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quote_links, op2_best_fit_packing, op3_quality_rules, op4_repeated_passages, op5_toxicity, op6_temperature_mixing, op7_pii, op8_near_dedup, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quote_links, op2_best_fit_packing, op3_quality_rules, op4_repeated_passages, op5_toxicity, op6_temperature_mixing, op7_pii, op8_near_dedup, op9_line_dedup, op10_exact_dedup, op11_collocations, op12_centroids, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quote_links": OP1_SQL, "op3_quality_rules": op3_sql(), "op6_temperature_mixing": f"SELECT * EXCLUDE (row_) FROM ({mix_sql('documents')})", "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_quote_links": OP1_SQL, "op3_quality_rules": op3_sql(), "op6_temperature_mixing": f"SELECT * EXCLUDE (row_) FROM ({mix_sql('documents')})", "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_centroids": op12_sql()}
