@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sqlite3
 import sys
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.retry import DriftError
 from driftloom.operators import celldiff, resolve
 from driftloom.operators.patch import read_pack, write_pack, write_pack_order
-from driftloom.plans import history, reports
+from driftloom.plans import history, packs, reports
 from driftloom.plans.compare import Comparison
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.migration import Gates, Script, migration_script, split_statements, without_transaction
@@ -34,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     add("diff", ("--html", flag), ("--row-diff", flag), ("--resume", flag), *sizes)
     add("row-diff", ("--table", text), ("--key", {"action": "append", "default": None}), ("--status", {"default": "updated", "choices": ["updated", "added", "removed", "all"]}), ("--limit", {"type": int, "default": None}), ("--output", text), ("--format", {"default": "table", "choices": ["table", "json"]}), *sizes)
     add("gen-pack", ("--html", flag), ("--resume", flag), ("--driver", text), ("--keep-rows", flag), *sizes)
-    add("apply", ("--pack", {"required": True}), ("--dry-run", flag), ("--keep-rows", flag))
+    add("apply", ("--pack", {"required": True}), ("--dry-run", flag), ("--keep-rows", flag), ("--allow-dev-changes", flag))
     add("resolve-conflicts", ("--auto", {"choices": ["ours", "theirs", "manual"], "default": None}), ("--table", text), ("--key", text), ("--decision", {"choices": ["keep_prod", "use_dev", "pending"], "default": None}), ("--resume", flag))
     version = sub.add_parser("version").add_subparsers(dest="action", required=True)
     version.add_parser("init")
@@ -65,20 +66,20 @@ def apply_sqlite(texts: Iterable[str], path: str, dry_run: bool = False) -> int:
     return n
 
 
-def _apply(args, own: Comparison, out: str) -> None:
-    """Apply a pack to a SQLite file, or the saved differences to a folder of Parquet tables; other engines' packs are run by their own clients."""
+def _apply(args, own: Comparison) -> None:
+    """Apply a pack to a SQLite file, or to a folder of Parquet tables as its next version; other engines' packs are run by their own clients."""
     config, spark = own.config, own.spark
     if config.prod.driver == "sqlite":
         n = apply_sqlite(read_pack(spark, args.pack), config.prod.path or config.prod.database, args.dry_run)
         print(f"{n} statements {'checked' if args.dry_run else 'applied'}")
     elif config.prod.driver == "parquet":
-        diffs = own.run(resume=True, case_insensitive=False)
-        decided = _decisions(spark, own, out, own.union(diffs))
-        if args.dry_run:
-            print(f"{sum(not d.isEmpty() for d in own.decided(diffs, decided).values())} tables would change")
-            return
-        for table, path in own.apply_tables(diffs, decided, not args.keep_rows).items():
-            print(f"{table}: {path}")
+        made = packs.apply_changes(own, f"{args.pack}/{packs.FOLDER}", args.dry_run, not args.keep_rows, args.allow_dev_changes)
+        if made is None:
+            print("applied before")
+        elif args.dry_run:
+            print(f"{len(made)} tables would change")
+        else:
+            print("\n".join(f"{table}: {len(parts)} parts" for table, parts in made.items()) or "nothing to change")
     else:
         raise DriftError("APPLY_FAILED", f"apply writes to SQLite files and Parquet folders; run {args.pack} with the client of {config.prod.driver}")
 
@@ -115,7 +116,7 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
             setattr(config, name, getattr(args, name))
     own = Comparison(spark, config)
     if args.command == "apply":
-        _apply(args, own, out)
+        _apply(args, own)
         return 0
     driver = getattr(args, "driver", None) or (config.prod.driver if config.prod.driver != "parquet" else "postgres")
     gates = Gates(**{k.removeprefix("allow_drop_"): v for k, v in config.allow.items() if k.removeprefix("allow_drop_") in Gates.__dataclass_fields__})
@@ -145,10 +146,11 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         print(reports.row_diff_json(cells) if args.format == "json" else reports.row_diff_text(cells), end="")
         return 0
     if args.command == "diff":
-        drift, diff = own.drift(), own.union(own.run(args.resume))
+        drift, diffs = own.drift(), own.run(args.resume)
+        diff = own.union(diffs)
         counts = reports.write_reports(diff, out, drift, own.resolutions(diff))
         reports.write_json(f"{out}/metrics.json", own.metrics)
-        cells = own.row_cells() if args.row_diff else None
+        cells = own.row_cells(diffs=diffs) if args.row_diff else None
         if args.row_diff:
             reports.write_row_diff(cells, f"{out}/row_diff")
         if args.html:
@@ -156,19 +158,23 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         print(reports.summary_text(counts, bool(drift)), end="")
         return int(bool(drift))
     if args.command == "gen-pack":
-        diffs = own.run(args.resume, case_insensitive=False)
+        stamps, diffs = own.stamps(), own.run(args.resume, case_insensitive=False)
         diff, drift = own.union(diffs), own.drift()
         decided = _decisions(spark, own, out, diff)
-        packs = own.packs(diffs, Dialect(driver), decided, not args.keep_rows)
-        for t, statements in packs.items():
+        new = f"{out}/pack-{uuid.uuid4().hex}"
+        scripts = own.packs(diffs, Dialect(driver), decided, not args.keep_rows)
+        for t, statements in scripts.items():
             script = Script(own.prod, own.dev, Dialect(driver), gates)
             for c in own.new_columns(t):
                 script.add_column(t, c)
-            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], f"{out}/pack/{t}", Dialect(driver), before=script.lines)
-        write_pack_order(spark, list(packs), f"{out}/pack")
+            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], f"{new}/{t}", Dialect(driver), before=script.lines)
+        write_pack_order(spark, list(scripts), new)
+        if config.prod.driver == "parquet":
+            packs.write_changes(own, diffs, decided, f"{new}/{packs.FOLDER}", stamps)
+        files.move(new, f"{out}/pack")  # whole, in the place of an earlier one
         reports.write_reports(diff, out, drift, decided)
         if args.html:
-            files.write_text(f"{out}/report.html", reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), cells=own.row_cells(limit=reports.SHOWN), resolutions=decided, schemas=(own.prod, own.dev)))
+            files.write_text(f"{out}/report.html", reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), cells=own.row_cells(limit=reports.SHOWN, diffs=diffs), resolutions=decided, schemas=(own.prod, own.dev)))
         return 0
     if args.command == "resolve-conflicts":
         diff = own.union(own.diffs())

@@ -19,6 +19,8 @@ CODES = {
     "DUPLICATE_KEY": ("content", False, "choose a key that names one row"),
     "QUERY_FAILED": ("query", True, "look at the database's own message"),
     "APPLY_FAILED": ("apply", False, "nothing was applied; mend the statement and run again"),
+    "BASE_CHANGED": ("apply", False, "nothing was applied; compare again and make a new pack"),
+    "PACK_MISSING": ("apply", False, "name a folder that gen-pack wrote for these sides"),
     "FILE_FAILED": ("file", False, "check the path and its permissions"),
     "VERSION_UNKNOWN": ("version", False, "list versions with `version log`"),
 }

@@ -37,15 +37,6 @@ def apply_patch(prod: DataFrame, deletes: DataFrame, upserts: DataFrame, key: Se
     return stay.unionByName(upserts, allowMissingColumns=True)
 
 
-def write_applied(applied: DataFrame, target: str) -> str:
-    """Write a patched table beside the one it was read from and return its path; callers switch readers to it, so no path is overwritten while it is read."""
-    import uuid
-
-    path = f"{target.rstrip('/')}-{uuid.uuid4().hex}"
-    applied.write.parquet(path)
-    return path
-
-
 def _equals(df: DataFrame, key: Sequence[str], dialect: Dialect) -> Column:
     return F.concat_ws(" AND ", *[F.concat(F.lit(f"{dialect.quote(k)} = "), sql_literal(F.col(k), df.schema[k].dataType, dialect.typed, dialect.name)) for k in key])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,7 +20,7 @@ from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import Drift, schema_drift
 from driftloom.plans.migration import creation_order
 from driftloom.plans.resume import Manifest, run_tables
-from driftloom.sources import files, introspect
+from driftloom.sources import files, introspect, versions
 from driftloom.sources.config import Config, Source
 from driftloom.sources.tables import read_table
 
@@ -26,7 +28,7 @@ from driftloom.sources.tables import read_table
 def _schema(spark: SparkSession, source: Source, config: Config) -> catalog.Schema:
     """A side's schema: a Parquet folder's tables with the configured keys, or a database's catalog."""
     if source.driver == "parquet":
-        names = [n.removesuffix(".parquet") for n in files.names(source.path or source.database) if n.endswith(".parquet")]
+        names = versions.table_names(source.path or source.database)
         keys = {canonical_name(t): k for t, k in config.primary_keys.items()}
         schema = catalog.schema_of({n: (read_table(spark, source, n), keys.get(canonical_name(n), [])) for n in names})
     elif source.driver == "sqlite":
@@ -52,6 +54,20 @@ class Comparison:
     def __post_init__(self):
         self.prod, self.dev = (_schema(self.spark, s, self.config) for s in (self.config.prod, self.config.dev))
 
+    def stamps(self) -> dict[str, dict[str, str]] | None:
+        """{side: {table: digest}} of the names, sizes and times of each side's files; None if a side is a network database."""
+        out = {}
+        for side, source, schema in (("prod", self.config.prod, self.prod), ("dev", self.config.dev, self.dev)):
+            place = source.path or source.database
+            if source.driver == "parquet":
+                version = versions.current(place)
+                out[side] = {t: versions.stamp(place, t, version) for t in sorted(schema.tables)}
+            elif source.driver == "sqlite":
+                out[side] = {t: hashlib.sha256(json.dumps(files.listing(place)).encode()).hexdigest() for t in sorted(schema.tables)}
+            else:
+                return None
+        return out
+
     def check(self) -> list[str]:
         """Tables without a primary key, of either side."""
         return sorted({*self.prod.missing_keys(), *self.dev.missing_keys()})
@@ -83,9 +99,15 @@ class Comparison:
         return {t: rowdiff.row_diff(p, d, k, status, self.ignorer(t), on_drift) for t, (p, d, k) in self.pairs(case_insensitive, only).items()}
 
     def run(self, resume: bool = False, **options) -> dict[str, DataFrame]:
-        """The differences, computed table by table and kept in the output folder; with resume, finished tables are read back."""
-        manifest = Manifest(f"{self.config.output_dir}/rows", self.config.fingerprint)
-        if not resume:
+        """The differences, computed table by table and kept in the output folder.
+
+        With resume, what an earlier run finished is read back, if it had the same configuration and options and the same input files. Whether a
+        network database has changed cannot be told, so that its tables are always compared afresh.
+        """
+        stamps = self.stamps()
+        told = json.dumps([self.config.fingerprint, options, stamps], sort_keys=True)
+        manifest = Manifest(f"{self.config.output_dir}/rows", hashlib.sha256(told.encode()).hexdigest())
+        if not resume or stamps is None:
             manifest.clear()
         return run_tables(self.spark, manifest, self.diffs(**options), self.config.partitions, self.metrics)
 
@@ -106,9 +128,9 @@ class Comparison:
         strategies = self.spark.createDataFrame([(t, s, i) for i, (t, s) in enumerate(self.config.strategies)], "table string, strategy string, ord int")
         return resolve.apply_strategies(diff.where("status = 'updated'").select("table", "row_key", "prod_hash", "dev_hash"), strategies, self.config.default_strategy)
 
-    def cells(self, table: str, status: str = "updated", limit: int | None = None, diff: DataFrame | None = None) -> DataFrame:
+    def cells(self, table: str, status: str = "updated", limit: int | None = None, diff: DataFrame | None = None, pair: tuple | None = None) -> DataFrame:
         """The cells of a table's differing rows, of the first `limit` rows if it is given, without ignored columns."""
-        name, (prod, dev, key) = self.pair(table)
+        name, (prod, dev, key) = (table, pair) if pair else self.pair(table)
         diff = self.diffs(only=table, status=status)[name] if diff is None else diff
         if limit:
             diff = celldiff.limit_per_table(diff.withColumn("table", F.lit(name)), limit).drop("table", "position")
@@ -125,10 +147,10 @@ class Comparison:
         ignored = column_ignorer(self.config.ignore_columns)
         return lambda column: ignored(table, column)
 
-    def row_cells(self, status: str = "updated", limit: int | None = None) -> DataFrame:
-        """(table, and the cells) of the differing rows of all tables."""
+    def row_cells(self, status: str = "updated", limit: int | None = None, diffs: dict[str, DataFrame] | None = None) -> DataFrame:
+        """(table, and the cells) of the differing rows of all tables; of diffs, if they are at hand, nothing is compared again."""
         none = self.spark.createDataFrame([], "table string, row_key string, status string, column string, prod_value string, dev_value string, differs boolean")
-        return reduce(DataFrame.unionByName, [self.cells(t, status, limit).withColumn("table", F.lit(t)) for t in self.pairs()], none)
+        return reduce(DataFrame.unionByName, [self.cells(t, status, limit, None if diffs is None else diffs[t] if status == "all" else diffs[t].where(F.col("status") == status), pair).withColumn("table", F.lit(t)) for t, pair in self.pairs().items()], none)
 
     def new_columns(self, table: str) -> list[catalog.Column]:
         """The columns that dev's table has and prod's has not, by name, without ignored ones."""
@@ -150,17 +172,3 @@ class Comparison:
         pairs, decided = self.pairs(case_insensitive=False), self.decided(diffs, resolutions)
         order = [t for t in creation_order(self.prod) if t in decided and t in pairs]
         return {t: patch.pack_statements(decided[t], *pairs[t][:2], t, pairs[t][2], dialect, delete_rows, [c.name for c in self.new_columns(t)], self.ignorer(t)) for t in order}
-
-    def apply_tables(self, diffs: dict[str, DataFrame], resolutions: DataFrame | None = None, delete_rows: bool = True) -> dict[str, str]:
-        """Parquet's way to apply: each changed table patched as a DataFrame and written beside the one it was read from; its new path by table."""
-        pairs, out = self.pairs(case_insensitive=False), {}
-        for t, diff in self.decided(diffs, resolutions).items():
-            if t in pairs and not diff.isEmpty():
-                prod, dev, key = pairs[t]
-                new = [c.name for c in self.new_columns(t)]
-                if new:  # rows that stay get dev's values of the columns that come
-                    prod = prod.alias("p").join(dev.select(*key, *new).alias("d"), rowdiff._on("p", "d", key), "left").select("p.*", *[f"d.{c}" for c in new])
-                own = [c for c in aligned(dev, prod).columns if c in key or not self.ignorer(t)(c)]
-                applied = patch.apply_patch(prod, patch.patch_deletes(diff, key, delete_rows), patch.patch_upserts(diff, aligned(dev, prod), key, own), key)
-                out[t] = patch.write_applied(applied, f"{(self.config.prod.path or self.config.prod.database).rstrip('/')}/{t}.parquet")
-        return out

@@ -17,7 +17,7 @@ from driftloom.functions.ignore import column_ignorer
 from driftloom.operators import celldiff, patch, resolve, rowdiff
 from driftloom.plans import history
 from driftloom.plans.dialects import Dialect
-from driftloom.sources.staging import stage
+from driftloom.sources.staging import stage, staged_path
 from driftloom.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,6 +457,23 @@ def roundtrip_is_empty(spark, d):
     return rowdiff.row_diff(patch.apply_patch(*_customer_patch(spark, d)), CUSTOMER.dev(spark, d), ["c_custkey"])
 
 
+@query(f"SELECT * FROM {CUSTOMER.dev_sql()}")
+def apply_pack_versions(spark, d):
+    """The whole way through files: both sides as folders, a pack from their comparison, its application as the next version of prod's folder, read back."""
+    from driftloom.plans import packs
+    from driftloom.plans.compare import Comparison
+    from driftloom.sources import config, versions
+
+    at = staged_path(spark, "applied", lasting=True)
+    for side, df in zip(("prod", "dev"), CUSTOMER.sides(spark, d), strict=False):
+        df.write.parquet(f"{at}/{side}/customer.parquet")
+    raw = {"prod": {"path": f"{at}/prod"}, "dev": {"path": f"{at}/dev"}, "primary_keys": {"customer": ["c_custkey"]}, "output": {"dir": f"{at}/out"}}
+    own = Comparison(spark, config.parse_config(raw))
+    packs.write_changes(own, own.run(case_insensitive=False), None, f"{at}/pack", own.stamps())
+    packs.apply_changes(own, f"{at}/pack")
+    return versions.read(spark, f"{at}/prod", "customer")
+
+
 _LITERAL = "coalesce('''' || replace(CAST({c} AS VARCHAR), '''', '''''') || '''', 'NULL')"
 
 

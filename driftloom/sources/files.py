@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -28,6 +31,45 @@ def write_text(path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+def create_text(path: str, text: str) -> bool:
+    """Make a file with all its text at once, unless there is one: then False. Of several callers one succeeds, where a rename never replaces a file."""
+    system, own = _place(path)
+    new = f"{path}.{uuid.uuid4().hex}"
+    write_text(new, text)
+    try:
+        if system.getUri().getScheme() == "file":  # there renaming would replace it, and a link does not
+            try:
+                os.link(_place(new)[1].toUri().getPath(), own.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+        return not system.exists(own) and system.rename(_place(new)[1], own)
+    finally:
+        remove(new)
+
+
+def move(path: str, to: str) -> None:
+    """Put a file or folder in the place of another, which goes if it is there."""
+    system, own = _place(to)
+    system.mkdirs(own.getParent())
+    system.delete(own, True)
+    if not system.rename(_place(path)[1], own):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+def listing(path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files below a path, or of the file that it is, but for hidden ones."""
+    system, own = _place(path)
+    found, left = [], [system.getFileStatus(own)]
+    while left:
+        at = left.pop()
+        if at.isDirectory():
+            left += [x for x in system.listStatus(at.getPath()) if x.getPath().getName()[0] not in "._"]
+        else:
+            found.append((at.getPath().toString(), at.getLen(), at.getModificationTime()))
+    return found
+
+
 def read_text(path: str) -> str:
     system, own = _place(path)
     if not system.exists(own):
@@ -39,6 +81,11 @@ def read_text(path: str) -> str:
         found.close()
 
 
+def absolute(path: str) -> str:
+    system, own = _place(path)
+    return system.makeQualified(own).toString()
+
+
 def exists(path: str) -> bool:
     system, own = _place(path)
     return system.exists(own)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,22 +29,31 @@ def stage(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 
     The table stays until the scratch() around it ends, or for good outside of one; a lasting one stays until the next scratch() further out ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/driftloom-{name}-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession, name, lasting)
     df.write.parquet(path)
-    if len(_scopes) > lasting:
-        _scopes[-1 - lasting].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_scopes: list[list[str]] = []
+def staged_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new place in the shared folder, for one's own writing; it goes when a staged table of that kind would."""
+    path = f"{shared_folder(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
+    scopes = _own.__dict__.setdefault("scopes", [])
+    if len(scopes) > lasting:
+        scopes[-1 - lasting].append(path)
+    return path
+
+
+#: The scopes of each thread: what one stages is never another's to delete.
+_own = threading.local()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what was staged inside. Results must have been written, or staged as lasting, by then."""
-    _scopes.append([])
+    scopes = _own.__dict__.setdefault("scopes", [])
+    scopes.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in scopes.pop():
             files.remove(path)

@@ -11,11 +11,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from driftloom.functions.retry import connected, retry
 from driftloom.plans.dialects import PORTS, Dialect
+from driftloom.sources import versions
 from driftloom.sources.config import Source
 
 
 def parquet_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{path.rstrip('/')}/{table}.parquet")
+    """A table of a folder, as its last version has it."""
+    return versions.read(spark, path, table)
 
 
 def jdbc_url(source: Source) -> str:

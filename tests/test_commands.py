@@ -16,7 +16,7 @@ from driftloom.plans.catalog import Column
 from driftloom.plans.compare import Comparison
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.resume import Manifest, run_tables
-from driftloom.sources import catalog_sql, introspect, staging, tables
+from driftloom.sources import catalog_sql, introspect, staging, tables, versions
 from driftloom.sources import config as cfg
 
 BYTES = [(1, b"abc"), (2, b"\xff\xfe"), (3, None), (4, b"\\xfffe"), (5, b""), (6, "é".encode())]
@@ -154,15 +154,97 @@ def test_tables_that_differ_in_case_and_no_shared_table(spark, tmp_path):
     assert exact == {} and own.packs(exact, Dialect("postgres")) == {} and own.union(exact).isEmpty() and own.row_cells("removed").isEmpty()
 
 
+def sides(spark, tmp_path, prod, dev, more=""):
+    """Parquet sides of one table t (k, v), in several files by key, and the commands over them."""
+    for side, rows in (("p", prod), ("d", dev)):
+        write_side(spark, tmp_path, side, rows)
+    return config(tmp_path, ("parquet", tmp_path / "p"), ("parquet", tmp_path / "d"), "primary_keys: {t: [k]}\n" + more)
+
+
+def write_side(spark, tmp_path, side, rows, schema="k int, v string", table="t"):
+    spark.createDataFrame(rows, schema).repartitionByRange(3, "k").write.mode("overwrite").parquet(str(tmp_path / side / f"{table}.parquet"))
+
+
+def held(spark, tmp_path, side="p", table="t"):
+    return sorted(map(tuple, versions.read(spark, str(tmp_path / side), table).collect()))
+
+
 def test_parquet_apply(spark, tmp_path, capsys):
-    make_side = lambda side, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / side / "t.parquet"))
-    make_side("p", [(1, "a"), (2, "b"), (3, "c")], "k int, v string")
-    make_side("d", [(1, "a", 7), (2, "x", 8), (4, "d", 9)], "k int, v string, w int")
-    run = config(tmp_path, ("parquet", tmp_path / "p"), ("parquet", tmp_path / "d"), "primary_keys: {t: [k]}\n")
-    assert run(spark, "gen-pack") == 0 and run(spark, "apply", "--pack", str(tmp_path / "out" / "pack"), "--dry-run") == 0 and "1 tables" in capsys.readouterr().out
-    assert run(spark, "apply", "--pack", str(tmp_path / "out" / "pack")) == 0
-    path = capsys.readouterr().out.split(": ")[1].strip()
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a", 7), (2, "x", 8), (4, "d", 9)]
+    """A pack with a new column becomes the folder's next version, which readers see; then nothing differs, and applying again does nothing."""
+    run = sides(spark, tmp_path, [(1, "a"), (2, "b"), (3, "c")], [])
+    write_side(spark, tmp_path, "d", [(1, "a", 7), (2, "x", 8), (4, "d", 9)], "k int, v string, w int")
+    pack = str(tmp_path / "out" / "pack")
+    assert run(spark, "gen-pack") == 0 and run(spark, "apply", "--pack", pack, "--dry-run") == 0 and "1 tables" in capsys.readouterr().out
+    assert held(spark, tmp_path) == [(1, "a"), (2, "b"), (3, "c")]
+    assert run(spark, "apply", "--pack", pack) == 0
+    assert held(spark, tmp_path) == [(1, "a", 7), (2, "x", 8), (4, "d", 9)]
+    own = Comparison(spark, cfg.load_config(str(tmp_path / "c.yaml")))
+    assert own.union(own.diffs()).isEmpty() and not own.drift() and run(spark, "diff", "--resume") == 0
+    assert run(spark, "apply", "--pack", pack) == 0 and "applied before" in capsys.readouterr().out
+    assert versions.current(str(tmp_path / "p")).number == 1
+
+
+def test_parquet_apply_refuses_what_it_was_not_made_from(spark, tmp_path, capsys):
+    """Neither stale differences nor another pack's name may write anything."""
+    run = sides(spark, tmp_path, [(1, "a"), (2, "b")], [(1, "a"), (2, "z")])
+    pack = str(tmp_path / "out" / "pack")
+    assert run(spark, "diff") == 0
+    assert run(spark, "apply", "--pack", "nonsense") == 2 and "PACK_MISSING" in capsys.readouterr().err
+    assert run(spark, "gen-pack") == 0
+    write_side(spark, tmp_path, "d", [(1, "NEW"), (2, "z"), (9, "added")])
+    assert run(spark, "apply", "--pack", pack) == 2 and "BASE_CHANGED" in capsys.readouterr().err and held(spark, tmp_path) == [(1, "a"), (2, "b")]
+    assert run(spark, "gen-pack", "--resume") == 0 and run(spark, "apply", "--pack", pack) == 0  # other input files: nothing is resumed
+    assert held(spark, tmp_path) == [(1, "NEW"), (2, "z"), (9, "added")]
+    write_side(spark, tmp_path, "d", [(1, "a")])
+    assert run(spark, "gen-pack") == 0
+    write_side(spark, tmp_path, "d", [(1, "later")])
+    assert run(spark, "apply", "--pack", pack, "--keep-rows", "--allow-dev-changes") == 0 and held(spark, tmp_path) == [(1, "a"), (2, "z"), (9, "added")]
+    write_side(spark, tmp_path, "d", [(1, "a"), (3, "c")])
+    assert run(spark, "gen-pack") == 0
+    assert versions.commit(str(tmp_path / "p"), versions.current(str(tmp_path / "p")), {"t": ["t.parquet"]}, "x").number == 3  # another run came first
+    assert run(spark, "apply", "--pack", pack) == 2 and held(spark, tmp_path) == [(1, "a"), (2, "b")]
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    write_side(spark, tmp_path, "p", [(1, "a")])
+    base = versions.current(str(tmp_path / "p"))
+    versions.commit(str(tmp_path / "p"), base, {}, "one")
+    with pytest.raises(DriftError, match="BASE_CHANGED"):
+        versions.commit(str(tmp_path / "p"), base, {}, "two")
+    assert versions.current(str(tmp_path / "p")).applied == ("one",) and len(list((tmp_path / "p" / "_versions").iterdir())) == 1
+
+
+def test_parquet_apply_rewrites_only_touched_files(spark, tmp_path):
+    """All tables change at once; of a table, files without a key that goes are kept as they are, and names may hold odd signs."""
+    run = sides(spark, tmp_path, [(i, "a") for i in range(30)], [(i, "b" if i == 3 else "a") for i in range(31)], "")
+    for side in "pd":
+        write_side(spark, tmp_path, side, [(1, side)], table="odd name%")
+    (tmp_path / "c.yaml").write_text((tmp_path / "c.yaml").read_text().replace("{t: [k]}", "{t: [k], 'odd name%': [k]}"))
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "p" / "t.parquet").glob("part*")}
+    assert run(spark, "gen-pack") == 0 and run(spark, "apply", "--pack", str(tmp_path / "out" / "pack")) == 0
+    assert held(spark, tmp_path) == held(spark, tmp_path, "d") and held(spark, tmp_path, table="odd name%") == [(1, "d")]
+    parts = versions.current(str(tmp_path / "p")).tables["t"]
+    assert len(parts) == 3 and sum(p.startswith("t.parquet/part") for p in parts) == 2
+    assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "p" / "t.parquet").glob("part*")}
+    write_side(spark, tmp_path, "d", [(i, "a") for i in range(2, 29)])
+    assert run(spark, "gen-pack") == 0 and run(spark, "apply", "--pack", str(tmp_path / "out" / "pack")) == 0
+    assert held(spark, tmp_path) == held(spark, tmp_path, "d")
+
+
+def test_gen_pack_twice(spark, tmp_path):
+    """A second pack replaces the first whole."""
+    prod, dev = str(tmp_path / "p.db"), str(tmp_path / "d.db")
+    make(prod, [(1, "a", None)], [(1, 1, "x")])
+    make(dev, [(1, "b", None)], [(1, 1, "y")])
+    run = config(tmp_path, ("sqlite", prod), ("sqlite", dev))
+    assert run(spark, "gen-pack") == 0
+    with sqlite3.connect(dev) as db:
+        db.execute("UPDATE users SET name = 'c'")
+        db.execute("UPDATE orders SET note = 'x'")
+    assert run(spark, "gen-pack", "--resume") == 0
+    script = "".join(patch.read_pack(spark, str(tmp_path / "out" / "pack")))
+    assert "'c'" in script and "'b'" not in script and "'y'" not in script
+    assert sum(p.name.startswith("pack") for p in (tmp_path / "out").iterdir()) == 1
 
 
 def test_apply_refuses_other_engines(spark, tmp_path, monkeypatch, capsys):
