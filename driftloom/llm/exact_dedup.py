@@ -15,7 +15,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Group equal texts and say which row of each group stays.
 
     Returns one row per input row: id, keep_id, group_size, kept, text_sha256. The hash is null where an earlier level
-    already showed a text to be unique, unless hash_all asks for it everywhere.
+    already showed a text to be unique, unless hash_all asks for it everywhere: groups are found without it all the same.
 
     Level 1 counts lengths, level 2 counts (length, prefix hash) among lengths found twice, level 3 hashes the full
     content of the pairs found twice. What is shuffled is a length and a hash per row; texts stay where they are unless there
@@ -38,10 +38,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         full = F.sha2("body", 256)
         if small(groups, 40, broadcast_bytes):
             met = body.select("id", "body", length, prefix).join(F.broadcast(groups), ["n_bytes", "prefix_hash"], "left")
-            members = met.select("id", "n_bytes", "open", (full if hash_all else F.when(F.col("open"), full)).alias("text_sha256"))
-        elif hash_all:  # too many open groups to send to every executor, and each content is read for its hash in any case: that hash travels instead
-            met = body.select("id", length, prefix, full.alias("text_sha256")).join(groups, ["n_bytes", "prefix_hash"], "left")
-            members = met.select("id", "n_bytes", "open", "text_sha256")
+            members = met.select("id", "n_bytes", "open", F.when(F.col("open"), full).alias("text_sha256"))
         else:  # narrow rows find the survivors; contents are read of their ids alone
             narrow = stage(body.select("id", length, prefix).join(groups, ["n_bytes", "prefix_hash"], "left").select("id", "n_bytes", "prefix_hash", "open"), "exact-narrow")
             alive = stage(narrow.where("open").select(F.col("id").alias("alive")).distinct(), "exact-alive")
@@ -52,7 +49,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         classes = members.where("open").groupBy("n_bytes", "text_sha256").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
         classes = stage(classes, "exact-classes", lasting=True)
-    found = members.join(classes, ["n_bytes", "text_sha256"], "left")
+    if hash_all:  # the groups are known; what is hashed now is for the result's column alone
+        members = body.select("id", length, full.alias("text_sha256"))
+    found = members.join(maybe_broadcast(classes, 96, broadcast_bytes), ["n_bytes", "text_sha256"], "left")
     in_group = F.col("group_size").isNotNull()
     keep_id = F.when(in_group, F.col("keep_id")).otherwise(F.col("id"))
     return found.select(

@@ -1,6 +1,6 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table (h1, h2, n) in the warehouse: a line key's 128 hash bits and how many documents hold it, bucketed and sorted by
+A run is a table (h1, h2, n) in the folder that driver and executors share: a line key's 128 hash bits and how many documents hold it, bucketed and sorted by
 the hashes, so that merging with it neither shuffles nor sorts it again. Runs stand on levels; when a level has `fanout` of them they are
 merged into one of the next level, so that R batches leave O(log R) runs and each count is rewritten O(log R) times. Each new
 batch merge-anti-joins the runs: of what they have decided already nothing is added again.
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import BROADCAST_BYTES, maybe_broadcast, scratch, stage, text_of
+from driftloom.sources import files
+from driftloom.sources.staging import staged_path
 
 #: Documents are dealt by hash into so many batches when a table is deduplicated at once.
 BATCHES = 4
@@ -46,17 +48,18 @@ def line_hashes(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of line counts, as tables of the session's warehouse; drop() deletes them."""
+    """Levelled runs of line counts, as tables in the shared folder; drop() deletes them, and so does the scratch() around them."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark, self.fanout, self.levels = spark, fanout, []
+        self.spark, self.fanout, self.levels, self.paths = spark, fanout, [], {}
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _run(self, counts: DataFrame, level: int) -> str:
         """Write a run, one sorted file per bucket, and return its name."""
         name = f"driftloom_lines_{level}_{uuid.uuid4().hex}"
+        self.paths[name] = staged_path(self.spark, name)
         with _sorted_scans(self.spark):
-            counts.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+            counts.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def tables(self) -> list[DataFrame]:
@@ -105,6 +108,7 @@ class LineRuns:
     def _delete(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            files.remove(self.paths.pop(name))
 
 
 @contextmanager
@@ -154,10 +158,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     with scratch(docs.sparkSession):
         by_batch = stage(docs.select(batch, F.explode(keys).alias("k")).groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n")), "lines-batches")
         runs = LineRuns(docs.sparkSession, fanout)
-        for b in range(batches):
-            runs.add(runs.new_lines(by_batch.where(F.col("batch") == b).select("h1", "h2", "n"), min_docs))
-        frequent = maybe_broadcast(stage(runs.frequent(min_docs), "lines-frequent"), 32, broadcast_bytes)
-        runs.drop()
+        try:
+            for b in range(batches):
+                runs.add(runs.new_lines(by_batch.where(F.col("batch") == b).select("h1", "h2", "n"), min_docs))
+            frequent = maybe_broadcast(stage(runs.frequent(min_docs), "lines-frequent"), 32, broadcast_bytes)
+        finally:
+            runs.drop()
 
         # A text's frequent lines, by the text's own 128 bits: rows with equal texts share them.
         mark = F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))

@@ -15,9 +15,8 @@ ENTROPY_SHARE = 0.95
 MAX_REPEATS = 4.0
 #: Halvings of the exponent's interval.
 STEPS = 20
-#: Documents in a block of a permutation, about; more where there would be more than so many blocks in all, whose cut-offs are then still few enough to broadcast.
+#: Documents in a block of a permutation, about.
 BLOCK_DOCS = 2_000
-MAX_BLOCKS = 100_000
 SEED = "mix"
 ADDED = ("mix_tokens", "mix_weight", "mix_block", "mix_epoch")
 
@@ -73,8 +72,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     once more the first documents of a permutation while the rest of the budget lasts. The permutation orders by a hash of seed and
     id and runs within blocks: a source is dealt by hash into blocks of about block_docs documents, and each block meets its
     own part of the rest. So a source with a third of all rows is many windows of bounded size, over three narrow columns; they leave a
-    cut-off per block, of which there are few enough to broadcast, so the texts themselves are not shuffled; only with very many sources they
-    meet their draws once, by the hash. A document
+    cut-off per block. While those fit in broadcast_bytes they are broadcast and the texts are not shuffled; beyond that the texts meet their draws, which are
+    the same, once by the hash. A document
     belongs to the partial epoch if the tokens before it in its block and half its own lie below the block's part.
 
     A null source is a source of its own; a null text is one token. Rows that share an id are drawn alike. Columns of docs
@@ -90,7 +89,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if not total:
             return docs.limit(0).withColumns({"mix_tokens": F.lit(0).cast("long"), "mix_weight": F.lit(0.0), "mix_block": F.lit(0).cast("long"), "mix_epoch": F.lit(0)})
         budget = budget_share * total
-        block_docs = max(block_docs, -(-shares.agg(F.sum("docs")).first()[0] // MAX_BLOCKS))
         exponent = bisect_exponent(shares, total, budget, entropy_share, max_repeats)
         powers = _measure(shares, total, exponent)[0]
         weight = F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)) / F.lit(powers)

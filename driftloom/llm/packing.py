@@ -172,12 +172,12 @@ def pack(pieces: DataFrame, length_col: str = "length", max_tokens: int = MAX_TO
     """pieces with sequence_id and offset: best fit into sequences of max_tokens, gapless from offset 0.
 
     Pieces are dealt to tasks at random whatever their source, so no key can be hot; each task takes about task_pieces and
-    packs them alone, in an order fixed by a hash of the row, so that a task that runs again after a lost executor packs alike.
+    packs them alone, in an order fixed by a hash of the row and its place in a staged table, so that equal rows part and a task that runs again after a lost executor packs alike.
     Lengths must lie in 1..max_tokens. Repeated rows are packed as often as they come. An empty table gives none.
     """
     pieces = stage(pieces, "pieces")
     tasks = max(1, -(-pieces.count() // task_pieces))
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns])
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns], F.monotonically_increasing_id())  # numbers of the staged table's rows, so that equal rows part
     dealt = pieces.withColumn("_deal", row).repartition(tasks, F.pmod("_deal", F.lit(tasks * 64))) if tasks > 1 else pieces.withColumn("_deal", row).coalesce(1)
     dealt = dealt.withColumn("sequence_id", F.spark_partition_id().cast("long")).withColumn("offset", F.lit(0).cast("long"))
     dealt = dealt.sortWithinPartitions("_deal", *[f"`{c}`" for c in pieces.columns])

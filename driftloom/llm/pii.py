@@ -45,7 +45,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone", 0.6, "phone|call|tel|mobile|fax"),
     Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "mod97", 0.9, "iban|bank|account|transfer"),
     # A run of letters and digits proves nothing by itself: only words before it that name a credential raise it to its least score.
-    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,256}+(?![A-Za-z0-9_+/-])", r"[A-Za-z0-9_+/-]{20}", "mixed", 0.3, r"token|secret|passw|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer", 0.5, 0.5),
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+", r"[A-Za-z0-9_+/-]{20}", "mixed", 0.3, r"token|secret|passw|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer", 0.5, 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
 

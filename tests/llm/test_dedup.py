@@ -151,6 +151,32 @@ def test_near_resolves_buckets_of_texts_that_are_not_similar(spark):
     assert got == brute_near(rows)
 
 
+def test_near_ids_with_several_texts(spark):
+    """Texts under one id are apart; an id that leads two groups does not join them."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (6, a), (3, b + " tail"), (None, c), (None, c + " tail"), (9, c), (None, "x y z"), (4, a + " tail")]
+    got = near_dedup.near_duplicates(frame(spark, rows), carry=["text", "n"]).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(5, 4, False), (5, 3, False), (6, 4, False), (3, 3, True), (None, 9, False), (None, 9, False), (9, 9, True), (None, None, True), (4, 4, True)], key=str)
+    assert {(r["doc_id"], r["text"], r["n"]) for r in got} == {(i, t, 7) for i, t in rows}
+
+
+@pytest.mark.parametrize("n", [50, 100, 200])
+def test_near_bucket_of_unlike_texts_stages_members_once(spark, n, monkeypatch):
+    """Texts of one template share buckets and are not alike: as many rows are staged for comparing as there are members, once for each side."""
+    rows = [(i, " ".join([*(f"t{k}" for k in range(100)), *(f"u{i}_{k}" for k in range(30))])) for i in range(n)]
+    seen = {}
+    keep = near_dedup.stage
+
+    def counted(df, name, lasting=False):
+        out = keep(df, name, lasting)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    assert near_dedup.near_duplicates(frame(spark, rows)).where("not kept").count() == 0
+    assert n < seen["open-members"] <= seen["bucket-members"] and seen["open-minors"] <= seen["open-members"]
+
+
 def test_signature_is_circulant():
     first, shifts = near_dedup._circulant(8)
     assert sorted(first[:]) == list(range(near_dedup.CIRCLE)) and (shifts[5][1:] == shifts[6][:-1]).all()

@@ -76,6 +76,33 @@ def test_stages_take_odd_and_empty_tables(spark, n):
     assert empty.count() == 0 and empty.columns == out.columns
 
 
+def test_near_dedup_stage_decides_by_id_and_text(spark):
+    """A text found nowhere else stays whatever else its id holds, and a copy goes though it has no id."""
+    import corpus_pipeline as c
+
+    a, b, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abe")
+    near_b = b.replace("b39", "other")
+    rows = [(1, a), (None, a), (5, a), (5, b), (3, near_b), (7, e), (7, a), (None, "short"), (8, None), (8, e + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in c.near_dedup_stage(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(1, a), (3, near_b), (7, e), (None, "short"), (8, None)], key=str)
+    alone = c.near_dedup_stage(spark, docs.where("doc_id IS NULL OR doc_id <> 3"), SF).collect()
+    assert (5, b) in {(r["doc_id"], r["text"]) for r in alone}
+
+
+def test_pipeline_leaves_only_what_its_result_reads(spark):
+    import corpus_pipeline as c
+    from driftloom.sources import files
+    from driftloom.sources.staging import scratch, shared_folder
+
+    before = set(files.names(shared_folder(spark)))
+    with scratch(spark):
+        assert c.run(spark, SF).count() > 0
+        left = set(files.names(shared_folder(spark))) - before
+        assert left and all("pieces" in x for x in left)
+    assert set(files.names(shared_folder(spark))) == before
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against brute force on what the stage before it gave."""
     import corpus_pipeline as c
