@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import line_dedup, mixing, near_dedup, packing, quality
-from driftloom.llm.common import maybe_broadcast, scratch, stage
+from driftloom.llm.common import maybe_broadcast, scratch, stage, text_of
 from driftloom.llm.queries import public_tokenizer
+from driftloom.sources import files
+from driftloom.sources.staging import staged_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,9 +26,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    gone = stage(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates the document with the least id stays. Decisions hold for an id with its text: one that comes with several texts, or none, too."""
+    marked = docs.select(*COLUMNS, F.xxhash64(text_of()).alias("mark_1"), F.xxhash64(F.lit(1), text_of()).alias("mark_2"))
+    found = near_dedup.near_duplicates(marked, carry=["mark_1", "mark_2"]).where("not kept")
+    gone = stage(found.select(F.col("doc_id").alias("gone_id"), F.col("mark_1").alias("gone_1"), F.col("mark_2").alias("gone_2")).distinct(), "near-gone")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark_1") == F.col("gone_1")) & (F.col("mark_2") == F.col("gone_2"))
+    return marked.join(maybe_broadcast(gone, 32), same, "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's own tables go once its result is written, and that once the next one's is; the packed pieces stay for the result to read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage_of in STAGES[:-1]:
-        with scratch(spark):  # a stage's own tables go once its result is written
-            docs = stage(stage_of(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch(spark):
+            out, path = stage_of(spark, docs, sf_dir), staged_path(spark, f"pipeline-{name}", lasting=True)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            files.remove(before)
+        before = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written by now
+    files.remove(before)
+    return packed
