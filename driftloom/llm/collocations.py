@@ -1,4 +1,4 @@
-"""Phrase collocations by Toivonen's mining: a sample proposes phrases and their negative border, full passes count both exactly until closed."""
+"""Phrase collocations by Toivonen's mining: a sample proposes phrases, a full pass counts them and their negative border, and an expansion closes what the sample missed."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ ABSORB = 100
 SAMPLE, SLACK = 8, 0.5
 #: Proposed phrases are kept as a table of 2**BITS bits, whatever the size of the corpus; phrases that share a bit are only counted in vain.
 BITS = 26
-#: Bytes of text that are counted at once.
-CHUNK = 1 << 21
+#: Bytes of text that are counted at once, and windows that a task holds before it sends them.
+CHUNK, HELD = 1 << 20, 1 << 21
+#: Bits of a task's number that its names are marked by.
+TASKS = (1 << 24) - 1
 #: Parts that a language's candidates are ranked in before they meet.
 SALTS = 64
 
@@ -48,27 +51,45 @@ class Windows:
         self.salt = own[self.doc] if len(own) else np.zeros(0, np.uint64)
 
     def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, whether it lies in one piece) of each window of so many words, by its first word."""
+        """(hash, whether it lies in one piece) of each window of so many words, by its first word. A hash holds the length in its last three bits."""
         n = max(len(self.words) - length + 1, 0)
         h = self.salt[:n] + np.uint64(length)
         for k in range(length):
             h = h + self.words[k : k + n] * shingles._PLACE[k]
-        return shingles.mix(h), self.piece[:n] == self.piece[length - 1 : length - 1 + n]
+        return shingles.mix(h) & ~np.uint64(7) | np.uint64(length), self.piece[:n] == self.piece[length - 1 : length - 1 + n]
 
-    def countable(self, known: np.ndarray | None, depth: int, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, first words, hashes) of the windows to count: those whose parts of depth words, or of one word fewer than they have, are all known."""
-        member: list[np.ndarray] = [np.zeros(0, bool)]
+    def proposed(self, known: np.ndarray | None, depth: int, lengths: range) -> np.ndarray:
+        """The hashes of the windows to count: those whose parts of depth words, or of one word fewer than they have, are all known."""
+        member, found = [np.zeros(0, bool)], []
         for length in range(1, max(lengths) + 1):
             h, whole = self.of(length)
-            ok, d = whole, min(length - 1, depth)
-            if d:
-                ok = ok.copy()
-                for k in range(length - d + 1):
-                    ok &= member[d][k : k + len(ok)]
             if length in lengths:
-                at = np.flatnonzero(ok)
-                yield length, at, h[at]
+                found.append(h[whole & self._inner(member, length, depth, len(h))])
             member.append(whole & in_table(known, h) if known is not None and length <= depth else np.zeros(0, bool))
+        return np.concatenate(found)
+
+    @staticmethod
+    def _inner(member: list[np.ndarray], length: int, depth: int, n: int) -> np.ndarray:
+        """Whether all parts of a window of so many words that have depth words, or one word fewer than it has, are members."""
+        d, ok = min(length - 1, depth), np.ones(n, bool)
+        for k in range(length - d + 1 if d else 0):
+            ok &= member[d][k : k + n]
+        return ok
+
+    def named(self, names: np.ndarray, known: np.ndarray, new: np.ndarray, depth: int, task: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """(hash, first word) of the windows that this task names, and of those that an expansion adds: a part of them is new, and their parts of depth words are known."""
+        member, fresh, named, added = [np.zeros(0, bool)], np.zeros(len(self.words) + 1, bool), [], []
+        for length in range(1, self.max_words + 1):
+            h, whole = self.of(length)
+            at = np.flatnonzero(whole & in_table(names, h ^ np.uint64((task & TASKS) << 40)))
+            named.append((h[at], at))
+            if depth:
+                around = fresh[: len(h)] | fresh[1 : len(h) + 1]
+                at = np.flatnonzero(whole & around & self._inner(member, length, depth, len(h))) if length > 1 else at[:0]
+                added.append((h[at], at))
+                member.append(whole & in_table(known, h) if length <= depth else np.zeros(0, bool))
+                fresh = np.append(around | (whole & in_table(new, h)), False) if length < self.max_words else fresh
+        return tuple(tuple(np.concatenate([f[i] for f in x]) if x else np.zeros(0, np.int64) for i in range(2)) for x in (named, added))
 
     def text(self, first: int, length: int) -> bytes:
         return b" ".join(self.buffer[self.starts[first] : self.ends[first + length - 1]].split())
@@ -82,8 +103,7 @@ def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     """A table of 2**bits bits with those of the hashes (h) set. Spark combines them; at most 2**bits / 64 words come to the driver."""
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    words = hashes.select(F.shiftrightunsigned("h", 64 - bits + 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("bit"), slot.alias("slot"))
+    words = hashes.select(F.shiftrightunsigned("h", 64 - bits + 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("bit"))
     found = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
@@ -103,87 +123,128 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, str
         yield own
 
 
-def _unique(found: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """(hash, count, length, first word) of the distinct windows."""
-    parts = [(np.full(len(at), length, np.int32), at, h) for length, at, h in found]
-    length, at, h = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    h, index, n = np.unique(h, return_index=True, return_counts=True)
-    return h, n, length[index], at[index]
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts with those of equal hashes added."""
+    h, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(n, first) if len(first) else n
+
 
+def _hashed(docs: DataFrame, known, depth: int, lengths: range, max_words: int) -> DataFrame:
+    """(h, n, task): counts of the windows to count, by hash alone, and the first task that holds each. A task sums what it holds before it sends anything."""
 
-def _sampled(docs: DataFrame, lengths: range, known, depth: int, max_words: int) -> DataFrame:
-    """(h, n): the windows of a sample that may be proposed, by hash alone."""
+    def batches_of(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(h), 1 << 16):
+            own = h[i : i + (1 << 16)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[i : i + (1 << 16)]), pa.array(np.full(len(own), TaskContext.get().partitionId(), np.int32))], names=["h", "n", "task"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for texts in _chunks(batches):
-            h, n, _, _ = _unique(Windows(texts, max_words).countable(known.value if known else None, depth, lengths))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            h, n = np.unique(Windows(texts, max_words).proposed(known.value if known else None, depth, lengths), return_counts=True)
+            held.append((h, n.astype(np.int64)))
+            size += len(h)
+            if size > HELD:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from batches_of(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from batches_of(*_summed(held))
 
-    return docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "h long, n long, task int").groupBy("h").agg(F.sum("n").alias("n"), F.min("task").alias("task"))
 
 
-def _counted(docs: DataFrame, known, before, max_words: int) -> DataFrame:
-    """(lang, length, phrase, h, n): exact counts of all windows whose shorter parts are known and, in an expansion, were not all known before.
+_NAMED = "h long, lang string, length int, phrase string, n long"
 
-    The first pass counts every word too, and all words of a language as the phrase of length 0. Tasks count a chunk's windows by hash and send texts.
-    """
+
+def _named(docs: DataFrame, tables, depth: int, max_words: int, by_task: bool = True) -> DataFrame:
+    """(h, lang, length, phrase, n): the texts of the windows that a task names, without a count; those that an expansion adds; and all words of a language, of length 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() if by_task else 0
+        told: set[int] = set()
+        held: dict[int, list] = {}
+        totals: dict[str, int] = {}
         for texts in _chunks(batches):
             own = Windows(texts, max_words)
-            lengths = range(2 if before else 1, max_words + 1)
-            found = list(own.countable(known.value, max_words - 1, lengths))
-            if before:
-                done = {length: at for length, at, _ in own.countable(before.value, max_words - 1, lengths)}
-                fresh = [(length, ~np.isin(at, done[length], assume_unique=True), at, h) for length, at, h in found]
-                found = [(length, at[new], h[new]) for length, new, at, h in fresh]
-            h, n, length, first = _unique(found)
-            lang = [own.langs[i] for i in own.doc[first].tolist()]
-            texts_ = [own.text(i, k) for i, k in zip(first.tolist(), length.tolist(), strict=True)]
-            columns = [pa.array(lang, pa.string()), pa.array(length, pa.int32()), pa.array(texts_, pa.binary()).cast(pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "length", "phrase", "h", "n"])
-            if not before:
-                of_doc = np.bincount(own.doc, minlength=len(own.langs))
-                totals = {}
-                for lang_, k in zip(own.langs, of_doc.tolist(), strict=True):
-                    totals[lang_] = totals.get(lang_, 0) + k
-                zero = [0] * len(totals)
-                yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(zero, pa.int32()), pa.array([""] * len(totals), pa.string()), pa.array(zero, pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["lang", "length", "phrase", "h", "n"])
-
-    counts = docs.mapInArrow(count, "lang string, length int, phrase string, h long, n long")
-    return counts.groupBy("lang", "length", "phrase", "h").agg(F.sum("n").alias("n"))
+            for lang, k in zip(own.langs, np.bincount(own.doc, minlength=len(own.langs)).tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + k
+            (h, at), (more, where) = own.named(*tables.value, depth, task)
+            h, first = np.unique(h, return_index=True)
+            rows = [[key, own.langs[own.doc[i]], key & 7, own.text(i, key & 7), None] for key, i in zip(h.tolist(), at[first].tolist(), strict=True) if key not in told]
+            told.update(h.tolist())
+            more, first, n = np.unique(more, return_index=True, return_counts=True)
+            for key, i, k in zip(more.tolist(), where[first].tolist(), n.tolist(), strict=True):
+                if key in held:
+                    held[key][4] += k
+                else:
+                    held[key] = [key, own.langs[own.doc[i]], key & 7, own.text(i, key & 7), k]
+            if len(held) > HELD // 8:
+                rows, held = [*rows, *held.values()], {}
+            if rows:
+                yield _rows(rows)
+        yield _rows([*held.values(), *([0, lang, 0, b"", k] for lang, k in totals.items())])
+
+    return docs.mapInArrow(count, _NAMED)
+
+
+def _rows(rows: list[list]) -> pa.RecordBatch:
+    h, lang, length, phrase, n = zip(*rows, strict=True) if rows else ((),) * 5
+    columns = [pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(lang, pa.string()), pa.array(length, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "lang", "length", "phrase", "n"])
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, sample: int = SAMPLE, slack: float = SLACK, bits: int = BITS, on_pass: Callable[[str], None] = lambda name: None) -> DataFrame:
-    """(lang, length, phrase, h, n) of every phrase of up to max_words words of docs (text, lang, at) with at least min_count occurrences, n being exact; of length 0, all words.
+    """(lang, length, phrase, n) of every phrase of up to max_words words of docs (text, lang, at) with at least min_count occurrences, n being exact; of length 0, all words.
+
+    One document of `sample`, by a hash of at and the text, proposes phrases at a lowered threshold. The full pass counts, by 61 bits of a hash (each
+    language's words hash apart), what has all its shorter parts proposed: the proposed phrases and their negative border. In the next pass one task that holds
+    a frequent phrase tells its text, so that texts are not sent from every task. Where phrases of the border were frequent, the
+    sample failed, and that pass is an expansion too: let d be the words of the shortest failure. All frequent phrases of d words or fewer are known by
+    then. Counted are all windows around a failure whose parts of d words are known, whatever their length, and so every frequent phrase
+    that the full pass had to leave out: it holds a failure, and its parts are frequent. So one expansion closes the border.
 
-    One document of `sample`, by a hash of at and the text, proposes phrases at a lowered threshold. The full pass counts what has all its shorter parts
-    proposed: the proposed phrases and their negative border. Where a phrase of the border proves frequent, it is proposed too, and a further
-    pass counts what that adds, until none does. Then every frequent phrase has been counted, by induction over its length.
+    Two passes over docs read the same files in the same tasks; where docs is no such plan, texts that no task told are asked of all in one more.
     """
     spark = docs.sparkSession
     drawn = docs.where(F.pmod(F.xxhash64("at", "text"), F.lit(sample)) == 0).select("text", "lang")
-    least = max(1, int(min_count / sample * slack))
+    least, often = max(1, int(min_count / sample * slack)), F.col("n") >= min_count
+    texts = docs.select("text", "lang")
+    share = lambda table: spark.sparkContext.broadcast(table)
     with scratch(spark):
         drawn = stage(drawn, "phrase-sample")
         on_pass("sample")
-        short = range(1, min(2, max_words) + 1)
-        proposed = bit_table(_sampled(drawn, short, None, 0, max_words).where(F.col("n") >= least), bits)
+        known = bit_table(_hashed(drawn, None, 0, range(1, min(2, max_words) + 1), max_words).where(F.col("n") >= least), bits)
         if max_words > 3:
-            known = spark.sparkContext.broadcast(proposed)
-            proposed = proposed | bit_table(_sampled(drawn, range(3, max_words), known, 2, max_words).where(F.col("n") >= least), bits)
-            known.unpersist()
-    texts, before, found = docs.select("text", "lang"), None, None
-    with scratch(spark):
-        while True:
-            on_pass("expansion" if before else "full")
-            known = spark.sparkContext.broadcast(proposed)
-            new = stage(_counted(texts, known, before, max_words).where((F.col("n") >= min_count) | (F.col("length") == 0)), "frequent-phrases")
-            found = new if found is None else found.unionByName(new)
-            more = bit_table(new.where((F.col("length") > 0) & (F.col("length") < max_words)).select("h"), bits)
-            if not (more & ~proposed).any():
-                return stage(found, "all-frequent-phrases", lasting=True)
-            proposed, before = proposed | more, known
+            held = share(known)
+            known = known | bit_table(_hashed(drawn, held, 2, range(3, max_words), max_words).where(F.col("n") >= least), bits)
+            held.unpersist()
+        on_pass("full")
+        held = share(known)
+        found = stage(_hashed(texts, held, max_words - 1, range(1, max_words + 1), max_words).where(often).withColumn("length", F.col("h").bitwiseAND(F.lit(7))), "frequent-hashes")
+        held.unpersist()
+        new = {k: bit_table(found.where(F.col("length") == k), bits) & ~known for k in range(1, max_words)}  # bits that the table of proposals lacks
+        failed = [k for k, bits_ in new.items() if bits_.any()]
+        fresh = np.bitwise_or.reduce([*new.values(), np.zeros_like(known)])
+        on_pass("expansion" if failed else "names")
+        names = found.select(F.col("h").bitwiseXOR(F.shiftleft(F.col("task").bitwiseAND(F.lit(TASKS)).cast("long"), 40)).alias("h"))
+        told = stage(_named(texts, share((bit_table(names, bits), known | fresh, fresh)), min(failed, default=0), max_words), "phrase-texts")
+        of_text = lambda rows: rows.where("n IS NULL").groupBy("h").agg(F.min(F.struct("lang", "phrase")).alias("t")).select("h", "t.lang", "t.phrase")
+        named = of_text(told)
+        missing = stage(found.join(named, "h", "left_anti").select("h"), "untold")
+        if not missing.isEmpty():
+            on_pass("names")
+            none = np.zeros_like(known)
+            named = named.unionByName(of_text(_named(texts, share((bit_table(missing, bits), none, none)), 0, max_words, False)).join(missing, "h", "left_semi"))
+        old = found.join(named, "h").select("lang", F.col("length").cast("int").alias("length"), "phrase", "n")
+        more = told.where("n IS NOT NULL AND length > 0").groupBy("h", "lang", "length", "phrase").agg(F.sum("n").alias("n")).where(often).join(found.select("h"), "h", "left_anti")
+        total = told.where("length = 0").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("length"), F.lit("").alias("phrase"), "n")
+        every = old.unionByName(more.select("lang", "length", "phrase", "n")).unionByName(total)
+        return stage(every, "frequent-phrases", lasting=True)
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:
