@@ -194,13 +194,18 @@ def _version(args, own: Comparison, out: str, driver: str, gates: Gates) -> int:
     if args.action == "init":
         store.init()
     elif args.action == "commit":
-        counts = {c.pop("table"): c for c in reports.summary_rows(own.union(own.diffs(case_insensitive=False)))}
-        print(store.save(history.Commit(args.message or "", args.author or "", history.now(), prod_schema=own.prod.to_dict(), dev_schema=own.dev.to_dict(), counts=counts)))
+        diff = own.union(own.run(case_insensitive=False))
+        counts = {c.pop("table"): c for c in reports.summary_rows(diff)}
+        print(store.save(history.Commit(args.message or "", args.author or "", history.now(), prod_schema=own.prod.to_dict(), dev_schema=own.dev.to_dict(), counts=counts, data=store.save_rows(diff))))
     elif args.action == "log":
         for c in store.log(int(args.limit or 20)):
             print(f"{c.hash[:8]} {c.timestamp} {c.author} {c.message}")
     elif args.action == "diff":
         print(reports.drift_text(store.diff(*names)), end="")
+        changes = store.data_diff(own.spark, *names)
+        changes.write.mode("overwrite").json(f"{out}/version_diff")
+        for r in changes.groupBy("table", "change").count().orderBy("table", "change").collect():
+            print(f"{r['table']}: {r['count']} rows {r['change']}")
     elif args.action == "rollback":
         script = store.rollback_script(names[0], Dialect(driver), gates)
         files.write_text(args.out or f"{out}/rollback.sql", script)

@@ -1,24 +1,33 @@
-"""Versioned history: comparisons as content-addressed commits with branches. Small metadata files on the driver."""
+"""Versioned history: comparisons as content-addressed commits with branches. Metadata are small files; row differences are chunks of Parquet that commits share."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
-import os
 import re
+import uuid
 import zlib
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
-from pathlib import Path
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.plans.catalog import Schema
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import Drift, schema_drift
 from driftloom.plans.migration import Gates, migration_script
-from driftloom.sources.staging import stage
+from driftloom.sources import files
+from driftloom.sources.staging import scratch, stage
+
+
+#: What a commit keeps of each row that differs, and how many rows a chunk of them holds, about.
+ROW = ("table", "row_key", "status", "prod_hash", "dev_hash")
+CHUNK_ROWS = 1 << 18
 
 
 @dataclass
@@ -30,6 +39,7 @@ class Commit:
     prod_schema: dict = field(default_factory=dict)
     dev_schema: dict = field(default_factory=dict)
     counts: dict = field(default_factory=dict)
+    data: dict = field(default_factory=dict)
     hash: str = ""
 
     def compute_hash(self) -> str:
@@ -39,62 +49,58 @@ class Commit:
 
 
 class Store:
-    """A directory of compressed commits, branch files and HEAD."""
+    """A folder of compressed commits, branch files and HEAD, wherever Spark's file systems reach, and of the chunks that hold commits' row differences."""
 
     def __init__(self, root: str):
-        self.root = Path(root) / ".driftloom"
+        self.root = f"{root.rstrip('/')}/.driftloom"
 
     def init(self) -> None:
-        for d in ("objects", "refs"):
-            (self.root / d).mkdir(parents=True, exist_ok=True)
-        if not (self.root / "HEAD").exists():
-            self._write(self.root / "HEAD", "ref: main")
+        if not files.exists(f"{self.root}/HEAD"):
+            files.write_text(f"{self.root}/HEAD", "ref: main")
 
-    @staticmethod
-    def _write(path: Path, text: str | bytes) -> None:
-        """All or nothing: a new file, then a rename."""
-        path.parent.mkdir(parents=True, exist_ok=True)
-        new = path.with_name(f".{path.name}.{os.getpid()}")
-        new.write_bytes(text if isinstance(text, bytes) else text.encode())
-        os.replace(new, path)
+    def _branch_file(self, name: str) -> str:
+        return f"{self.root}/refs/{name}"
+
+    def _object(self, h: str) -> str:
+        return f"{self.root}/objects/{h[:2]}/{h[2:]}"
 
     def save(self, commit: Commit) -> str:
         """Store a commit on top of HEAD and move the current branch, or the detached HEAD, to it."""
         commit.parent = self.head() or ""
         commit.hash = commit.compute_hash()
-        self._write(self.root / "objects" / commit.hash[:2] / commit.hash[2:], zlib.compress(json.dumps(asdict(commit), sort_keys=True).encode()))
+        files.write_text(self._object(commit.hash), base64.b64encode(zlib.compress(json.dumps(asdict(commit), sort_keys=True).encode())).decode())
         branch = self.branch()
-        self._write(self.root / "refs" / branch if branch else self.root / "HEAD", commit.hash)
+        files.write_text(self._branch_file(branch) if branch else f"{self.root}/HEAD", commit.hash)
         return commit.hash
 
     def resolve(self, name: str) -> str:
         """The full hash of a branch, HEAD or a unique prefix of a hash."""
         if name == "HEAD":
             return self.head() or ""
-        if self._is_branch(name) and (self.root / "refs" / name).exists():
-            return (self.root / "refs" / name).read_text()
-        found = [f"{p.parent.name}{p.name}" for p in (self.root / "objects").glob("*/*") if f"{p.parent.name}{p.name}".startswith(name)] if re.fullmatch(r"[0-9a-f]{4,64}", name) else []
+        if self._is_branch(name) and files.exists(self._branch_file(name)):
+            return files.read_text(self._branch_file(name))
+        at = f"{self.root}/objects/{name[:2]}"
+        found = [name[:2] + x for x in (files.names(at) if files.exists(at) else []) if (name[:2] + x).startswith(name)] if re.fullmatch(r"[0-9a-f]{4,64}", name) else []
         if len(found) != 1:
             raise KeyError(f"{'ambiguous' if found else 'unknown'} version {name!r}")
         return found[0]
 
     def load(self, name: str) -> Commit:
         h = self.resolve(name)
-        commit = Commit(**json.loads(zlib.decompress((self.root / "objects" / h[:2] / h[2:]).read_bytes())))
+        commit = Commit(**json.loads(zlib.decompress(base64.b64decode(files.read_text(self._object(h))))))
         if commit.compute_hash() != h:
             raise ValueError(f"commit {h} is damaged")
         return commit
 
     def branch(self) -> str | None:
-        head = (self.root / "HEAD").read_text()
+        head = files.read_text(f"{self.root}/HEAD")
         return head[5:] if head.startswith("ref: ") else None
 
     def head(self) -> str | None:
         branch = self.branch()
         if branch is None:
-            return (self.root / "HEAD").read_text()
-        path = self.root / "refs" / branch
-        return path.read_text() if path.exists() else None
+            return files.read_text(f"{self.root}/HEAD")
+        return files.read_text(self._branch_file(branch)) if files.exists(self._branch_file(branch)) else None
 
     @staticmethod
     def _is_branch(name: str) -> bool:
@@ -102,20 +108,21 @@ class Store:
 
     def branches(self) -> list[str]:
         """All branches, the current one even before its first commit."""
-        return sorted({p.name for p in (self.root / "refs").iterdir() if not p.name.startswith(".")} | ({self.branch()} - {None}))
+        refs = f"{self.root}/refs"
+        return sorted({n for n in (files.names(refs) if files.exists(refs) else []) if not n.startswith(".")} | ({self.branch()} - {None}))
 
     def create_branch(self, name: str, at: str = "HEAD") -> None:
         if not self._is_branch(name):
             raise ValueError(f"{name!r} is no branch name")
-        if (self.root / "refs" / name).exists():
+        if files.exists(self._branch_file(name)):
             raise ValueError(f"branch {name} exists")
         if not (h := self.resolve(at)):
             raise ValueError("there is no commit yet")
-        self._write(self.root / "refs" / name, h)
+        files.write_text(self._branch_file(name), h)
 
     def checkout(self, name: str) -> None:
         """To a branch, or detached to a commit."""
-        self._write(self.root / "HEAD", f"ref: {name}" if name in self.branches() else self.resolve(name))
+        files.write_text(f"{self.root}/HEAD", f"ref: {name}" if name in self.branches() else self.resolve(name))
 
     def log(self, limit: int = 20, start: str = "HEAD") -> list[Commit]:
         out, at = [], self.resolve(start)
@@ -129,7 +136,7 @@ class Store:
 
     def tree(self) -> str:
         """All commits, newest first, with a lane per branch."""
-        own = {b: self.reachable(b) for b in self.branches() if (self.root / "refs" / b).exists()}
+        own = {b: self.reachable(b) for b in self.branches() if files.exists(self._branch_file(b))}
         tips = {b: self.resolve(b) for b in own}
         commits = sorted((self.load(h) for h in set().union(*own.values())), key=lambda c: (c.timestamp, c.hash), reverse=True) if own else []
         head = self.head()
@@ -144,6 +151,61 @@ class Store:
         """How the dev schema changed between two versions."""
         return schema_drift(Schema.from_dict(self.load(old).dev_schema), Schema.from_dict(self.load(new).dev_schema))
 
+    def save_rows(self, diff: DataFrame, chunk_rows: int = CHUNK_ROWS) -> dict[str, list[str]]:
+        """Store the row differences (table, row_key, status, prod_hash, dev_hash) of a comparison for a commit; the names of each table's chunks.
+
+        A table is cut by a hash of the key into about chunk_rows rows each, their number a power of two, and a chunk is named by a digest of
+        its rows. So a chunk whose rows did not change has its old name and is not written again, whichever commit it comes from.
+        """
+        spark = diff.sparkSession
+        with scratch(spark):
+            rows = stage(diff.select(*ROW), "version-rows")
+            sizes = rows.groupBy("table").agg(F.count("*").alias("rows"))
+            cuts = sizes.select("table", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("rows") / chunk_rows, F.lit(1.0))))).cast("long").alias("cuts"))
+            dealt = rows.join(F.broadcast(cuts), "table").withColumn("at", F.pmod(F.xxhash64("row_key"), F.col("cuts")))
+            text = F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ROW])
+            marks = [F.bit_xor(F.xxhash64(F.lit(i), F.sha2(text, 256))).alias(f"m{i}") for i in range(4)]
+            named = dealt.groupBy("table", "cuts", "at").agg(F.count("*").alias("n"), *marks)
+            named = stage(named.select("table", "at", F.sha2(F.concat_ws(",", "table", "cuts", "at", "n", *[f"m{i}" for i in range(4)]), 256).alias("chunk")), "version-chunks")
+            names = {}
+            for r in named.orderBy("table", "at").collect():  # a row per chunk
+                names.setdefault(r["table"], []).append(r["chunk"])
+            chunks = f"{self.root}/chunks"
+            known = {n.removeprefix("chunk=") for n in files.names(chunks)} if files.exists(chunks) else set()
+            fresh = sorted({c for own in names.values() for c in own} - known)
+            if fresh:
+                wanted = spark.createDataFrame([(c,) for c in fresh], "chunk string")
+                new = dealt.join(named.join(wanted, "chunk"), ["table", "at"])
+                part = f"{self.root}/new-{uuid.uuid4().hex}"
+                new.select(*ROW, "chunk").repartition("chunk").write.partitionBy("chunk").parquet(part)
+                for c in fresh:
+                    if not files.exists(f"{chunks}/chunk={c}"):  # another commit may have come first with the same rows
+                        files.move(f"{part}/chunk={c}", f"{chunks}/chunk={c}")
+                files.remove(part)
+        return names
+
+    def _rows_of(self, spark: SparkSession, chunks: Iterable[str]) -> DataFrame:
+        paths = [f"{self.root}/chunks/chunk={c}" for c in sorted(chunks)]
+        schema = ", ".join(f"`{c}` string" for c in ROW)
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def rows(self, spark: SparkSession, name: str) -> DataFrame:
+        """The row differences that a version holds."""
+        return self._rows_of(spark, {c for own in self.load(name).data.values() for c in own})
+
+    def data_diff(self, spark: SparkSession, old: str, new: str) -> DataFrame:
+        """(table, row_key, change, old_status, new_status, and both versions' hashes) of the rows whose difference changed between two versions.
+
+        Chunks that both versions name hold the same rows and are not read.
+        """
+        a, b = ({c for own in self.load(x).data.values() for c in own} for x in (old, new))
+        left, right = self._rows_of(spark, a - b).alias("o"), self._rows_of(spark, b - a).alias("n")
+        both = left.join(right, (F.col("o.table") == F.col("n.table")) & (F.col("o.row_key") == F.col("n.row_key")), "full_outer")
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ROW[2:]]
+        change = F.when(F.col("o.table").isNull(), "appeared").when(F.col("n.table").isNull(), "resolved").otherwise("changed")
+        found = both.where(~reduce(and_, same) | F.col("o.table").isNull() | F.col("n.table").isNull())
+        return found.select(F.coalesce("o.table", "n.table").alias("table"), F.coalesce("o.row_key", "n.row_key").alias("row_key"), change.alias("change"), *[F.col(f"{x}.{c}").alias(f"{side}_{c}") for c in ROW[2:] for x, side in (("o", "old"), ("n", "new"))])
+
     def rollback_script(self, name: str, dialect: Dialect, gates: Gates = Gates()) -> str:
         """The script that undoes a version's schema drift: from its dev schema back to its prod schema."""
         c = self.load(name)

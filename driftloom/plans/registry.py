@@ -591,4 +591,24 @@ def history_log(spark, d):
     return history.log_of(customer.select(F.col("c_custkey").alias("hash"), F.when(up > 0, up).alias("parent")), customer.agg(F.max("c_custkey")).first()[0])
 
 
+_EARLIER = f"SELECT row_key, status, prod_hash, dev_hash FROM ({CUSTOMER.diff_sql()}) WHERE c_custkey % 4 <> 0"
+_LATER = f"SELECT row_key, CASE WHEN c_custkey % 70 = 7 THEN 'removed' ELSE status END AS status, prod_hash, CASE WHEN c_custkey % 70 = 7 THEN NULL ELSE dev_hash END AS dev_hash FROM ({CUSTOMER.diff_sql()}) WHERE c_custkey % 6 <> 0"
+
+
+@query(
+    f"""SELECT 'customer' AS "table", coalesce(o.row_key, n.row_key) AS row_key, CASE WHEN o.row_key IS NULL THEN 'appeared' WHEN n.row_key IS NULL THEN 'resolved' ELSE 'changed' END AS change, o.status AS old_status, n.status AS new_status,
+    o.prod_hash AS old_prod_hash, n.prod_hash AS new_prod_hash, o.dev_hash AS old_dev_hash, n.dev_hash AS new_dev_hash FROM ({_EARLIER}) AS o FULL JOIN ({_LATER}) AS n ON o.row_key = n.row_key
+    WHERE o.row_key IS NULL OR n.row_key IS NULL OR o.status <> n.status OR o.prod_hash IS DISTINCT FROM n.prod_hash OR o.dev_hash IS DISTINCT FROM n.dev_hash"""
+)
+def version_data_diff(spark, d):
+    """Row differences of two commits, kept as chunks that both share, compared: of a table whose difference moved on in between."""
+    diff, k = stage(rowdiff.row_diff(*CUSTOMER.sides(spark, d)).withColumn("table", F.lit("customer")), "version-diff", lasting=True), F.col("c_custkey")
+    store = history.Store(staged_path(spark, "versions", lasting=True))
+    store.init()
+    gone = k % 70 == 7
+    later = diff.where(k % 6 != 0).withColumn("status", F.when(gone, "removed").otherwise(F.col("status"))).withColumn("dev_hash", F.when(~gone, F.col("dev_hash")))
+    names = [store.save(history.Commit(m, "a", m, data=store.save_rows(rows, 64))) for m, rows in (("earlier", diff.where(k % 4 != 0)), ("later", later))]
+    return store.data_diff(spark, *names)
+
+
 from driftloom.plans import catalog_queries  # noqa: E402, F401  registers the catalog's queries

@@ -107,7 +107,26 @@ def test_catalog_rows_agree_with_the_model(spark):
     assert not schemadiff.has_drift(schemadiff.diff_primary_keys(prod.column_rows(spark), dev.column_rows(spark)))
 
 
-def test_history(tmp_path):
+def test_version_rows(spark, tmp_path):
+    """Commits share the chunks whose rows are the same; only others are written and read."""
+    store = history.Store(str(tmp_path))
+    store.init()
+    schema = "table string, row_key string, status string, prod_hash string, dev_hash string"
+    rows = [("t", str(i), "updated", f"p{i}", f"d{i}") for i in range(200)] + [("u", "1", "added", None, "x"), ("u", "2", "removed", "y", None)]
+    later = [r if r[1] != "7" else ("t", "7", "removed", "p7", None) for r in rows if r[:2] != ("u", "2")] + [("u", "3", "added", None, "z")]
+    empty = spark.createDataFrame([], schema)
+    names = [store.save(history.Commit(str(n), "me", f"2024-01-0{n}", data=store.save_rows(spark.createDataFrame(own, schema), 16))) for n, own in ((1, rows), (2, later), (3, rows))]
+    names.append(store.save(history.Commit("4", "me", "2024-01-04", data=store.save_rows(empty))))
+    one, two, three, four = (store.load(n).data for n in names)
+    assert one == three and four == {} and len(one["t"]) == 16 and len(set(one["t"]) & set(two["t"])) == 15 and not set(one["u"]) & set(two["u"])
+    assert len(list((tmp_path / ".driftloom" / "chunks").iterdir())) == 16 + 1 + 1 + 1
+    assert sorted(map(tuple, store.rows(spark, names[1]).collect()), key=str) == sorted(later, key=str)
+    changed = {(r["table"], r["row_key"]): (r["change"], r["old_status"], r["new_status"], r["new_dev_hash"]) for r in store.data_diff(spark, names[0], names[1]).collect()}
+    assert changed == {("t", "7"): ("changed", "updated", "removed", None), ("u", "2"): ("resolved", "removed", None, None), ("u", "3"): ("appeared", None, "added", "z")}
+    assert store.data_diff(spark, names[0], names[2]).isEmpty() and store.data_diff(spark, names[0], names[3]).count() == 202
+
+
+def test_history(spark, tmp_path):
     store = history.Store(str(tmp_path))
     store.init()
     prod, dev = two(users(Column("age", "int")))
