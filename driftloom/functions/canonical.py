@@ -65,7 +65,12 @@ def row_key(df: DataFrame, key: Sequence[str], doubles: str = "cast") -> Column:
 
 
 def row_hash(df: DataFrame, columns: Sequence[str], mode: str = "compat", doubles: str = "cast") -> Column:
-    """SHA-256 of a row over `name=value` lines in the given order.
+    """SHA-256 of a row's text."""
+    return F.sha2(row_text(df, columns, mode, doubles), 256)
+
+
+def row_text(df: DataFrame, columns: Sequence[str], mode: str = "compat", doubles: str = "cast") -> Column:
+    """A row as `name=value` lines in the given order.
 
     mode="compat" writes nulls as <nil>; "safe" prefixes every value with its length and nulls with -1, so that no value
     can be read as another.
@@ -80,7 +85,7 @@ def row_hash(df: DataFrame, columns: Sequence[str], mode: str = "compat", double
         else:
             parts.append(F.coalesce(text, F.lit(NULL_TEXT)))
         end = "\n"
-    return F.sha2(F.concat(*parts, F.lit(end)), 256)
+    return F.concat(*parts, F.lit(end))
 
 
 def split_key(key: Column, parts: int) -> Column:

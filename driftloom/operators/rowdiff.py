@@ -51,6 +51,15 @@ def _on(left: str, right: str, key: Sequence[str]) -> Column:
     return reduce(and_, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in key])
 
 
+def digests(prod: DataFrame, dev: DataFrame, key: Sequence[str], ignored: Callable[[str], bool] = lambda name: False, on_drift: str = "all", mode: str = "compat", doubles: str = "cast") -> tuple[DataFrame, DataFrame]:
+    """(key columns, digest) of each side's rows, over the columns that on_drift compares."""
+    dev = aligned(dev, prod)
+    if on_drift == "intersect":
+        own = shared_columns(prod.columns, dev.columns, key, ignored)
+        return _digests(prod, key, own, mode, doubles), _digests(dev, key, own, mode, doubles)
+    return tuple(_digests(x, key, ordered_columns(x.columns, key, ignored), mode, doubles) for x in (prod, dev))
+
+
 def row_diff(prod: DataFrame, dev: DataFrame, key: Sequence[str], status: str = "all", ignored: Callable[[str], bool] = lambda name: False, on_drift: str = "all", mode: str = "compat", doubles: str = "cast") -> DataFrame:
     """(key columns, row_key, status, prod_hash, dev_hash) of every row that differs.
 
@@ -59,12 +68,12 @@ def row_diff(prod: DataFrame, dev: DataFrame, key: Sequence[str], status: str =
     side alone make every common row updated (on_drift="all") or are left out (on_drift="intersect"). Column names are
     matched case apart.
     """
-    dev = aligned(dev, prod)
-    if on_drift == "intersect":
-        own = shared_columns(prod.columns, dev.columns, key, ignored)
-        p, d = _digests(prod, key, own, mode, doubles), _digests(dev, key, own, mode, doubles)
-    else:
-        p, d = (_digests(x, key, ordered_columns(x.columns, key, ignored), mode, doubles) for x in (prod, dev))
+    p, d = digests(prod, dev, key, ignored, on_drift, mode, doubles)
+    return diff_of_digests(p, d, key, status, doubles)
+
+
+def diff_of_digests(p: DataFrame, d: DataFrame, key: Sequence[str], status: str = "all", doubles: str = "cast") -> DataFrame:
+    """The row difference of two sides' (key columns, digest)."""
     p, d, on = p.alias("p"), d.alias("d"), _on("p", "d", key)
     ours, theirs, none = F.col("p.digest").alias("ours"), F.col("d.digest").alias("theirs"), F.lit(None).cast("binary")
     if status == ADDED:

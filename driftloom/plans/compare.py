@@ -19,12 +19,16 @@ from driftloom.plans import catalog
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import Drift, schema_drift
 from driftloom.plans.migration import creation_order
-from driftloom.plans.resume import Manifest, run_tables
+from driftloom.plans.resume import Manifest, run_ranges, run_tables
 from driftloom.sources import files, introspect, versions
 from driftloom.sources.config import Config, Source
 from driftloom.sources.tables import read_table
 
 
+#: Bytes of a Parquet table's files in one step of a comparison, about.
+RANGE_BYTES = 16 << 30
+
+
 def _schema(spark: SparkSession, source: Source, config: Config) -> catalog.Schema:
     """A side's schema: a Parquet folder's tables with the configured keys, or a database's catalog."""
     if source.driver == "parquet":
@@ -96,20 +100,43 @@ class Comparison:
 
     def diffs(self, case_insensitive: bool = True, only: str | None = None, status: str = "all", on_drift: str = "all") -> dict[str, DataFrame]:
         """The lazy row difference of each table."""
-        return {t: rowdiff.row_diff(p, d, k, status, self.ignorer(t), on_drift) for t, (p, d, k) in self.pairs(case_insensitive, only).items()}
+        return self._diffs(self.pairs(case_insensitive, only), status, on_drift)
+
+    def _diffs(self, pairs: dict, status: str, on_drift: str) -> dict[str, DataFrame]:
+        return {t: rowdiff.row_diff(p, d, k, status, self.ignorer(t), on_drift) for t, (p, d, k) in pairs.items()}
 
-    def run(self, resume: bool = False, **options) -> dict[str, DataFrame]:
+    def run(self, resume: bool = False, case_insensitive: bool = True, only: str | None = None, status: str = "all", on_drift: str = "all") -> dict[str, DataFrame]:
         """The differences, computed table by table and kept in the output folder.
 
         With resume, what an earlier run finished is read back, if it had the same configuration and options and the same input files. Whether a
         network database has changed cannot be told, so that its tables are always compared afresh.
         """
         stamps = self.stamps()
-        told = json.dumps([self.config.fingerprint, options, stamps], sort_keys=True)
+        told = json.dumps([self.config.fingerprint, case_insensitive, only, status, on_drift, stamps], sort_keys=True)
         manifest = Manifest(f"{self.config.output_dir}/rows", hashlib.sha256(told.encode()).hexdigest())
         if not resume or stamps is None:
             manifest.clear()
-        return run_tables(self.spark, manifest, self.diffs(**options), self.config.partitions, self.metrics)
+        pairs = self.pairs(case_insensitive, only)
+        many = {t: n for t, n in self._ranges(pairs).items() if n > 1}
+        out = run_tables(self.spark, manifest, self._diffs({t: x for t, x in pairs.items() if t not in many}, status, on_drift), self.config.partitions, self.metrics)
+        if many:
+            sides = {t: (*rowdiff.digests(p, d, k, self.ignorer(t), on_drift), k, status) for t, (p, d, k) in pairs.items() if t in many}
+            out |= run_ranges(self.spark, manifest, sides, many, self.config.partitions, self.metrics)
+        return out
+
+    def _ranges(self, pairs: dict) -> dict[str, int]:
+        """How many key ranges each table's comparison is cut into, each a step that a resumed run need not repeat: as configured, or one for so many bytes of its files.
+
+        Only keys of one type on both sides are cut, as rows are dealt by the key's text.
+        """
+        out = {}
+        for t, (p, d, key) in pairs.items():
+            d = aligned(d, p)
+            alike = all(p.schema[k].dataType == d.schema[k].dataType for k in key)
+            place = self.config.prod.path or self.config.prod.database
+            size = sum(s for part in versions.parts(place, t) for _, s, _ in files.listing(part)) if self.config.prod.driver == "parquet" and not self.config.ranges else 0
+            out[t] = max(1, self.config.ranges or min(256, size // RANGE_BYTES)) if alike else 1
+        return out
 
     def union(self, diffs: dict[str, DataFrame]) -> DataFrame:
         """The differences of all tables in one; without any table, no rows."""

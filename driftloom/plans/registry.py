@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import canonical
 from driftloom.functions.ignore import column_ignorer
-from driftloom.operators import celldiff, patch, resolve, rowdiff
+from driftloom.operators import celldiff, patch, ranges, resolve, rowdiff
 from driftloom.plans import history
 from driftloom.plans.dialects import Dialect
 from driftloom.sources.staging import stage, staged_path
@@ -119,6 +119,33 @@ def row_diff_all(spark, d):
     return rowdiff.row_diff(*CUSTOMER.sides(spark, d))
 
 
+@query(CUSTOMER.diff_sql())
+def row_diff_by_ranges(spark, d):
+    """The same rows by digests of key ranges."""
+    return ranges.row_diff_by_ranges(*CUSTOMER.sides(spark, d))
+
+
+_FEW = f"(SELECT o_orderkey, CASE WHEN o_orderkey % 4001 = 7 THEN o_orderstatus || '*' ELSE o_orderstatus END AS o_orderstatus, {', '.join(ORDERS.others)} FROM orders WHERE o_orderkey % 5003 <> 0)"
+
+
+@query(diff_sql(["o_orderkey"], "(SELECT * FROM orders)", _FEW, ORDERS.columns))
+def row_diff_few_changes(spark, d):
+    """A table of which one row in some thousands differs: only the key ranges around those are joined."""
+    prod, k = ORDERS.prod(spark, d), F.col("o_orderkey")
+    dev = prod.where(k % 5003 != 0).withColumn("o_orderstatus", F.when(k % 4001 == 7, F.concat("o_orderstatus", F.lit("*"))).otherwise(F.col("o_orderstatus")))
+    return ranges.row_diff_by_ranges(prod, dev, ["o_orderkey"])
+
+
+@query(CUSTOMER.diff_sql())
+def row_diff_resumable(spark, d):
+    """The same rows by steps that a run cut off need not repeat: both sides' digests dealt to key ranges, then each range."""
+    from driftloom.plans.resume import Manifest, run_ranges
+
+    prod, dev, key = CUSTOMER.sides(spark, d)
+    manifest = Manifest(staged_path(spark, "resumable", lasting=True), "one run")
+    return run_ranges(spark, manifest, {"customer": (*rowdiff.digests(prod, dev, key), key, "all")}, {"customer": 4})["customer"]
+
+
 @query(ORDERS.diff_sql(where="WHERE status = 'added'"))
 def row_diff_added(spark, d):
     return rowdiff.row_diff(*ORDERS.sides(spark, d), status="added")

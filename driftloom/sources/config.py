@@ -44,6 +44,7 @@ class Config:
     fetch_size: int = 10_000
     partitions: int = 8
     check_keys: bool = True
+    ranges: int = 0
 
     def strategy_for(self, table: str) -> str:
         """The first override of that exact name, or the default."""
@@ -84,7 +85,7 @@ def parse_config(raw: dict) -> Config:
         sides["prod"], sides["dev"], (raw.get("output") or {}).get("dir") or "./diff-output",
         *[list(ignore.get(k) or []) for k in ("tables", "columns", "views", "routines", "triggers", "sequences")],
         dict(raw.get("primary_keys") or {}), strategy, overrides, {k: bool(v) for k, v in migration.items() if k.startswith("allow_")},
-        int(performance.get("hash_batch_size") or 10_000), int(performance.get("max_parallel_tables") or 8), bool(performance.get("check_keys", True)),
+        int(performance.get("hash_batch_size") or 10_000), int(performance.get("max_parallel_tables") or 8), bool(performance.get("check_keys", True)), int(performance.get("key_ranges") or 0),
     )
 
 
