@@ -15,14 +15,18 @@ from driftloom.llm.common import text_of
 
 #: Hashed features: each word and its beginnings of so many bytes.
 FEATURE_BITS = 20
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (5, 6, 7)
 #: The training sample holds at most so many labelled documents, a third of them toxic, those first by a hash of their id,
 TRAIN_DOCS = 3_600
 #: and whole documents only: they are taken in that order while their texts' bytes, a third of them of toxic ones, fit in this.
 TRAIN_BYTES = 24 << 20
-STEPS = 100
+STEPS = 200
 RATE = 0.05
 DECAY = 1e-4
+#: Parts of the sample that are scored by models of the others, for the calibration.
+FOLDS = 3
+#: The calibration shifts log odds by no more than this.
+MAX_SHIFT = 3.0
 #: A feature needs so many documents of the sample.
 MIN_DOCS = 4
 #: A toxic document counts so many times in the loss.
@@ -37,10 +41,16 @@ _OUTSIDE[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the hashed words and the bias of a sentence."""
+    """Weights of the hashed words, the bias of a sentence, and what is added to the log odds of a noisy-or to make them a document's."""
 
     weights: np.ndarray
     bias: float
+    shift: float = 0.0
+
+    def calibrated(self, p: np.ndarray) -> np.ndarray:
+        """Scores of noisy-ors; 0 stays 0."""
+        own = np.clip(p, 1e-12, 1 - 1e-12)
+        return np.where(p > 0, 1 / (1 + np.exp(-(np.log(own) - np.log1p(-own) + self.shift))), 0.0)
 
 
 def sentence_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +112,31 @@ def fit(labels: np.ndarray, features: np.ndarray, sentence: np.ndarray, text: np
     return Model(weights, float(theta[-1]))
 
 
+def calibrate(model: Model, labels: np.ndarray, features: np.ndarray, sentence: np.ndarray, text: np.ndarray, folds: int = FOLDS, **options) -> Model:
+    """The model with the shift that suits documents it was not fitted on: the sample is cut into folds, each is scored by a model of the others, and
+    the shift of the log odds of those scores is the likeliest for the labels."""
+    n = len(labels)
+    fold, apart = np.arange(n) % folds, np.zeros(n)
+    order = np.argsort(labels, kind="stable")  # folds hold equal shares of both labels
+    fold[order] = np.arange(n) % folds
+    owner = text[sentence]
+    for f in range(folds):
+        for own, learn in ((fold != f, True), (fold == f, False)):
+            docs, rows, lines = np.flatnonzero(own), own[owner], own[text]
+            place, line = np.cumsum(own) - 1, np.cumsum(lines) - 1
+            part = features[rows], line[sentence[rows]], place[text[lines]]
+            if learn:
+                part_model = fit(labels[docs], *part, **options)
+            else:
+                apart[docs] = noisy_or(sentence_logits(part_model, part[0], part[1], len(part[2])), part[2], len(docs))
+    own = np.clip(apart, 1e-9, 1 - 1e-9)
+    x, shift = np.log(own) - np.log1p(-own), 0.0
+    for _ in range(50):  # Newton's steps, held back by a weak prior
+        p = 1 / (1 + np.exp(-np.clip(x + shift, -30, 30)))
+        shift = float(np.clip(shift + ((labels - p).sum() - 0.1 * shift) / ((p * (1 - p)).sum() + 0.1), -MAX_SHIFT, MAX_SHIFT))
+    return Model(model.weights, model.bias, shift)
+
+
 def _features(docs: DataFrame) -> DataFrame:
     """(label, features, sentence): the words of each document with the number of their sentence."""
 
@@ -153,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             base += int(s[-1]) + 1
             text.append(np.full(int(s[-1]) + 1, i))
     order = [np.concatenate(x) for x in (features, sentence, text)]
-    return fit(y, *order)
+    return calibrate(fit(y, *order), y, *order)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", locate: bool = False, threshold: float = 0.5) -> DataFrame:
@@ -163,7 +198,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, score double, n_sentences long, n_offending long" + (", offending array<struct<sentence:string,score:double>>" if locate else "")
-    limit = np.log(threshold / (1 - threshold))
+    limit = np.log(threshold / (1 - threshold)) - model.shift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +206,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for own in shingles.chunks(shingles.texts_of(batch.column(1))):
                 features, sentence, text = sentence_words(own)
                 z = sentence_logits(model, features, sentence, len(text))
-                found = [_located(t, z[text == i], limit) for i, t in enumerate(own)] if locate else [None] * len(own)
-                parts.append((noisy_or(z, text, len(own)), np.bincount(text, minlength=len(own)), np.bincount(text[z >= limit], minlength=len(own)), found))
+                found = [_located(t, z[text == i], model.calibrated(1 / (1 + np.exp(-z[text == i]))), limit) for i, t in enumerate(own)] if locate else [None] * len(own)
+                parts.append((model.calibrated(noisy_or(z, text, len(own))), np.bincount(text, minlength=len(own)), np.bincount(text[z >= limit], minlength=len(own)), found))
             if not parts:
                 continue
             columns = [batch.column(0), *[pa.array(np.concatenate([p[k] for p in parts])) for k in range(3)]]
@@ -185,8 +220,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _located(text: bytes, logits: np.ndarray, limit: float) -> list[dict]:
+def _located(text: bytes, logits: np.ndarray, scores: np.ndarray, limit: float) -> list[dict]:
     import re
 
     own = [x for x in re.split(rb"(?<=[.!?\n])", text) if re.search(rb"[A-Za-z\x80-\xff]", x)]
-    return [{"sentence": x.decode(errors="replace").strip(), "score": float(1 / (1 + np.exp(-z)))} for x, z in zip(own, logits, strict=True) if z >= limit]
+    return [{"sentence": x.decode(errors="replace").strip(), "score": s} for x, z, s in zip(own, logits, scores.tolist(), strict=True) if z >= limit]
