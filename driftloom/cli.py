@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.retry import DriftError
 from driftloom.operators import celldiff, resolve
-from driftloom.operators.patch import read_pack, write_pack, write_pack_order
+from driftloom.operators.patch import add_column_statements, read_pack, write_pack, write_pack_order
 from driftloom.plans import history, packs, reports
 from driftloom.plans.compare import Comparison
 from driftloom.plans.dialects import Dialect
-from driftloom.plans.migration import Gates, Script, migration_script, split_statements, without_transaction
+from driftloom.plans.migration import Gates, default_literal, migration_script, split_statements, without_transaction
 from driftloom.sources import files
 from driftloom.sources.config import load_config
 
@@ -36,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     add("row-diff", ("--table", text), ("--key", {"action": "append", "default": None}), ("--status", {"default": "updated", "choices": ["updated", "added", "removed", "all"]}), ("--limit", {"type": int, "default": None}), ("--output", text), ("--format", {"default": "table", "choices": ["table", "json"]}), *sizes)
     add("gen-pack", ("--html", flag), ("--resume", flag), ("--driver", text), ("--keep-rows", flag), *sizes)
     add("apply", ("--pack", {"required": True}), ("--dry-run", flag), ("--keep-rows", flag), ("--allow-dev-changes", flag))
-    add("resolve-conflicts", ("--auto", {"choices": ["ours", "theirs", "manual"], "default": None}), ("--table", text), ("--key", text), ("--decision", {"choices": ["keep_prod", "use_dev", "pending"], "default": None}), ("--resume", flag))
+    add("resolve-conflicts", ("--auto", {"choices": ["ours", "theirs", "manual"], "default": None}), ("--table", text), ("--key", text), ("--decision", {"choices": ["keep_prod", "use_dev", "pending"], "default": None}), ("--resume", flag), ("--conflicts", text), ("--resolutions", text))
     version = sub.add_parser("version").add_subparsers(dest="action", required=True)
     version.add_parser("init")
     for name, flags in {"commit": ("--message", "--author"), "log": ("--limit",), "diff": (), "rollback": ("--driver", "--out"), "branch": ("--from",), "checkout": (), "tree": ()}.items():
@@ -163,11 +163,12 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         decided = _decisions(spark, own, out, diff)
         new = f"{out}/pack-{uuid.uuid4().hex}"
         scripts = own.packs(diffs, Dialect(driver), decided, not args.keep_rows)
+        new_columns = [(t, c.name, c.data_type, c.is_nullable, None if c.default is None else default_literal(c.default)) for t in scripts for c in own.new_columns(t)]
+        added = {}
+        for r in add_column_statements(spark.createDataFrame(new_columns, "table string, column string, data_type string, is_nullable boolean, default_value string"), Dialect(driver)).collect():
+            added.setdefault(r["table"], []).append(r["stmt"])  # a row for each column that dev's schema has and prod's has not
         for t, statements in scripts.items():
-            script = Script(own.prod, own.dev, Dialect(driver), gates)
-            for c in own.new_columns(t):
-                script.add_column(t, c)
-            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], f"{new}/{t}", Dialect(driver), before=script.lines)
+            write_pack(statements, ["phase", *own.prod.tables[t].primary_key], f"{new}/{t}", Dialect(driver), before=sorted(added.get(t, [])))
         write_pack_order(spark, list(scripts), new)
         if config.prod.driver == "parquet":
             packs.write_changes(own, diffs, decided, f"{new}/{packs.FOLDER}", stamps)
@@ -177,14 +178,18 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
             files.write_text(f"{out}/report.html", reports.html_report(diff, drift, migration_script(own.prod, own.dev, Dialect(driver), gates), cells=own.row_cells(limit=reports.SHOWN, diffs=diffs), resolutions=decided, schemas=(own.prod, own.dev)))
         return 0
     if args.command == "resolve-conflicts":
-        diff = own.union(own.diffs())
-        current = diff.where("status = 'updated'").select("table", "row_key", "prod_hash", "dev_hash")
-        decided = resolve.merge_resolutions(reports.load_resolutions(spark, out), current) if args.resume and files.exists(f"{out}/resolutions.json") else own.resolutions(diff)
+        at, saved = args.conflicts or f"{out}/conflicts", (args.resolutions or out).rstrip("/")
+        if args.conflicts and not files.exists(at):
+            raise DriftError("FILE_FAILED", f"{at} holds no conflicts")
+        # what a comparison wrote is not compared again
+        current = reports.load_conflicts(spark, at) if files.exists(at) else own.union(own.diffs()).where("status = 'updated'").select("table", "row_key", "prod_hash", "dev_hash")
+        fresh = own.resolutions(current.withColumn("status", F.lit("updated")))
+        decided = resolve.merge_resolutions(reports.load_resolutions(spark, saved), current) if args.resume and files.exists(f"{saved}/resolutions.json") else fresh
         if args.auto:  # only what is still open
             decided = resolve.bulk_resolve(decided, args.auto, args.table)
         if args.decision:  # of one row, by its key as the reports show it
             decided = resolve.set_decision(decided, args.table or "", args.key or "", args.decision)
-        reports.save_resolutions(decided, out)
+        reports.save_resolutions(decided, saved)
         return 0
     return _version(args, own, out, driver, gates)
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions import canonical
 from driftloom.functions.ignore import column_ignorer
@@ -602,6 +603,23 @@ def fold_changes(spark, d):
     return changes.fold(customer.select(k.alias("id"), F.col("c_name").alias("v")), batch, ["id"], ["seq"])
 
 
+@query(f"SELECT c_custkey, status, prod_hash, dev_hash FROM ({CUSTOMER.diff_sql()})")
+def running_difference(spark, d):
+    """The difference kept by streaming state: one side's rows, the other's as changes that first say something else, and those that put it right."""
+    (prod, dev, key), order = CUSTOMER.sides(spark, d), {"seq": T.LongType()}
+    at = staged_path(spark, "running", lasting=True)
+    first = dev.where("c_custkey % 3 <> 0").withColumn("c_name", F.lit("first")).unionByName(prod.where("c_custkey % 5 = 0")).withColumn("op", F.lit("upsert"))
+    gone = prod.where("c_custkey % 5 = 0").join(dev, key, "left_anti").withColumn("op", F.lit("delete"))
+    said = [changes.sided(prod, "prod", key, CUSTOMER.columns, order)]
+    said += [changes.sided(rows.withColumn("seq", F.lit(n)), "dev", key, CUSTOMER.columns, order, "op") for n, rows in enumerate((first, dev.withColumn("op", F.lit("upsert")), gone))]
+    for n, rows in enumerate(said):
+        rows.write.parquet(f"{at}/in/{n}")
+    stream = spark.readStream.schema(said[0].schema).option("maxFilesPerTrigger", 64).option("recursiveFileLookup", True).parquet(f"{at}/in")
+    own = changes.RunningDiff(spark, at, key)
+    own.start(stream, availableNow=True).awaitTermination()
+    return own.current()
+
+
 # --- history
 
 

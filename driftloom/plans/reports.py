@@ -46,9 +46,9 @@ def content_text(diff: DataFrame, shown: int = SHOWN) -> str:
     return "\n".join(lines or ["No data differences found."]) + "\n"
 
 
-def load_conflicts(spark, folder: str) -> DataFrame:
-    """The conflicts that a comparison wrote, as input of a resolution."""
-    return spark.read.schema("table string, row_key string, prod_hash string, dev_hash string").json(f"{folder}/conflicts")
+def load_conflicts(spark, path: str) -> DataFrame:
+    """The conflicts that a comparison wrote to a folder, as input of a resolution."""
+    return spark.read.schema("table string, row_key string, prod_hash string, dev_hash string").json(path)
 
 
 def summary_rows(diff: DataFrame) -> list[dict]:

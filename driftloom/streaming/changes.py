@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from driftloom.operators.rowdiff import row_diff
+from driftloom.functions.canonical import row_hash
+from driftloom.operators.rowdiff import ADDED, REMOVED, UNCHANGED, UPDATED, row_diff
 
 
 def latest(changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -40,6 +42,53 @@ def running_diff(stream: DataFrame, key: Sequence[str], order: Sequence[str], re
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
+def sided(rows: DataFrame, side: str, key: Sequence[str], columns: Sequence[str], order: dict[str, T.DataType], op: str | None = None) -> DataFrame:
+    """(key columns, side, digest, gone, place) of a side's rows, or of its changes where op names their kind: what a running difference takes in.
+
+    order gives the columns that order changes, with their types; rows without them come before any change.
+    """
+    place = F.struct(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in order.items()])
+    gone = F.col(op) == "delete" if op else F.lit(False)
+    return rows.select(*key, F.lit(side).alias("side"), F.unhex(row_hash(rows, columns)).alias("digest"), F.coalesce(gone, F.lit(False)).alias("gone"), place.alias("place"))
+
+
+def status_changes(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key columns, status, prod_hash, dev_hash) of the keys that a micro-batch of sided() rows touches; status is unchanged where the sides agree, or neither has the key.
+
+    The state is one row per key: the last digest of each side. So a batch of k changes reads and emits k keys, whatever the tables hold. For the update output mode.
+    """
+    last = lambda side: F.max_by(F.struct("digest", "gone"), F.when(F.col("side") == side, F.col("place")))
+    held = rows.groupBy(*key).agg(last("prod").alias("p"), last("dev").alias("d"))
+    ours, theirs = (F.when(~F.col(f"{x}.gone"), F.col(f"{x}.digest")) for x in ("p", "d"))
+    status = F.when(ours.eqNullSafe(theirs), UNCHANGED).when(ours.isNull(), ADDED).when(theirs.isNull(), REMOVED).otherwise(UPDATED)
+    return held.select(*key, status.alias("status"), F.lower(F.hex(ours)).alias("prod_hash"), F.lower(F.hex(theirs)).alias("dev_hash"))
+
+
+class RunningDiff:
+    """The difference of two sides kept up to date by streams of their changes: a folder of status changes, one part for each micro-batch."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: Sequence[str]):
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), list(key)
+
+    def start(self, rows: DataFrame, **trigger) -> StreamingQuery:
+        """Take in a stream of sided() rows. A batch that comes again after a failure overwrites its own part."""
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.folder}/status/batch={number}")
+
+        query = status_changes(rows, self.key).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{self.folder}/checkpoint")
+        return (query.trigger(**trigger) if trigger else query).start()
+
+    def batches(self) -> DataFrame:
+        """All status changes, with the number of their batch."""
+        return self.spark.read.parquet(f"{self.folder}/status")
+
+    def current(self) -> DataFrame:
+        """(key columns, status, prod_hash, dev_hash) of the keys that differ now: the last status of each."""
+        last = latest(self.batches(), self.key, ["batch"])
+        return last.where(F.col("status") != UNCHANGED).drop("batch")
+
+
 def late_bounded(stream: DataFrame, time: str, delay: str, key: Sequence[str]) -> DataFrame:
     """The stream without changes that came before, by key and time, within the watermark's delay."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([*key, time])

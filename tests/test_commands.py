@@ -133,12 +133,19 @@ def test_commands_over_all_tables(spark, tmp_path, capsys):
     assert run(spark, "diff", "--html", "--row-diff") == 0
     assert "<h2>Cells</h2>" in (tmp_path / "out" / "report.html").read_text() and "users: updated" in (tmp_path / "out" / "content_diff.txt").read_text()
     assert set(json.loads((tmp_path / "out" / "metrics.json").read_text())) == {"orders", "users"}
-    assert reports.load_conflicts(spark, str(tmp_path / "out")).count() == 2
+    assert reports.load_conflicts(spark, str(tmp_path / "out" / "conflicts")).count() == 2
     assert run(spark, "resolve-conflicts") == 0
     first = {r["table"]: r["created_at"] for r in reports.load_resolutions(spark, str(tmp_path / "out")).collect()}
     assert run(spark, "resolve-conflicts", "--resume", "--table", "users", "--key", "1", "--decision", "keep_prod") == 0
     decided = {r["table"]: r for r in reports.load_resolutions(spark, str(tmp_path / "out")).collect()}
     assert (decided["users"]["decision"], decided["orders"]["decision"]) == ("keep_prod", "use_dev") and {t: r["created_at"] for t, r in decided.items()} == first
+    elsewhere = str(tmp_path / "decided")
+    spark.createDataFrame([("users", "9", "p", "d")], "table string, row_key string, prod_hash string, dev_hash string").write.json(str(tmp_path / "given"))
+    assert run(spark, "resolve-conflicts", "--conflicts", str(tmp_path / "given"), "--resolutions", elsewhere, "--auto", "ours") == 0
+    assert [(r["row_key"], r["decision"]) for r in reports.load_resolutions(spark, elsewhere).collect()] == [("9", "use_dev")]  # the policy decided before
+    assert run(spark, "resolve-conflicts", "--conflicts", str(tmp_path / "given"), "--resolutions", elsewhere, "--resume", "--table", "users", "--key", "9", "--decision", "keep_prod") == 0
+    assert [r["decision"] for r in reports.load_resolutions(spark, elsewhere).collect()] == ["keep_prod"]
+    assert run(spark, "resolve-conflicts", "--conflicts", str(tmp_path / "nowhere")) == 2
     assert run(spark, "gen-pack", "--html") == 0
     assert 'INSERT INTO "users"' not in "".join(patch.read_pack(spark, str(tmp_path / "out" / "pack")))
     assert "Keep Production" in (tmp_path / "out" / "report.html").read_text()

@@ -152,7 +152,7 @@ def test_sequences():
 
 @pytest.mark.parametrize(("default", "want"), [("5", "5"), ("-1.5", "-1.5"), ("now()", "now()"), ("CURRENT_TIMESTAMP", "CURRENT_TIMESTAMP"), ("'x'", "'x'"), ("it's", "'it''s'"), ("null", "null"), ("true", "true"), ("5 apples", "'5 apples'")])
 def test_defaults(default, want):
-    assert migration._literal(default) == want
+    assert migration.default_literal(default) == want
 
 
 @pytest.mark.parametrize(("driver", "want"), [("mysql", "`a``b`.`c`"), ("mssql", "[a`b].[c]"), ("postgres", '"a`b"."c"')])
