@@ -82,10 +82,10 @@ def count_by(resolutions: DataFrame, column: str) -> DataFrame:
 
 
 def summary(resolutions: DataFrame) -> DataFrame:
-    """Counts by strategy, by decision, by table and in all, in one pass over the rows."""
-    resolutions = resolutions.select("strategy", "decision", "table", "resolved")
-    sets = resolutions.groupingSets([[F.col("strategy")], [F.col("decision")], [F.col("table")], []], F.col("strategy"), F.col("decision"), F.col("table"))
-    return sets.agg(F.count("*").alias("n"), F.count_if("resolved").alias("n_resolved"))
+    """Counts by strategy, by decision, by table and in all: rows are counted once by all three, and those few counts added up four ways."""
+    counted = resolutions.groupBy("strategy", "decision", "table").agg(F.count("*").alias("n"), F.count_if("resolved").alias("done"))
+    sets = counted.groupingSets([[F.col("strategy")], [F.col("decision")], [F.col("table")], []], F.col("strategy"), F.col("decision"), F.col("table"))
+    return sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("done"), F.lit(0)).alias("n_resolved"))
 
 
 def breakdown(resolutions: DataFrame) -> DataFrame:

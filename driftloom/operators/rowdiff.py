@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.functions.canonical import canonical, canonical_name, ordered_columns, row_hash, row_key, shared_columns
+from driftloom.functions.canonical import canonical, canonical_name, ordered_columns, row_hash, row_key, row_text, shared_columns
 from driftloom.functions.retry import DriftError
 
 ADDED, REMOVED, UPDATED, UNCHANGED = "added", "removed", "updated", "unchanged"
@@ -74,7 +74,7 @@ def row_diff(prod: DataFrame, dev: DataFrame, key: Sequence[str], status: str =
 
 def diff_of_digests(p: DataFrame, d: DataFrame, key: Sequence[str], status: str = "all", doubles: str = "cast") -> DataFrame:
     """The row difference of two sides' (key columns, digest)."""
-    p, d, on = p.alias("p"), d.alias("d"), _on("p", "d", key)
+    p, d, on = _plain_keys(p, d, key)
     ours, theirs, none = F.col("p.digest").alias("ours"), F.col("d.digest").alias("theirs"), F.lit(None).cast("binary")
     if status == ADDED:
         found = d.join(p, on, "left_anti").select(*[f"d.{k}" for k in key], F.lit(ADDED).alias("status"), none.alias("ours"), theirs)
@@ -90,6 +90,21 @@ def diff_of_digests(p: DataFrame, d: DataFrame, key: Sequence[str], status: str
     return found.select(*key, row_key(found, key, doubles).alias("row_key"), "status", text("ours").alias("prod_hash"), text("theirs").alias("dev_hash"))
 
 
+def _plain_keys(p: DataFrame, d: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides, as p and d, and the condition under which keys are equal, nulls too. Null-safe equality would take two join keys for each column; here nulls are filled and one number says which."""
+    fills = [_FILLS.get(p.schema[k].dataType.typeName()) if p.schema[k].dataType == d.schema[k].dataType else None for k in key]
+    if len(key) < 2 or None in fills:
+        return p.alias("p"), d.alias("d"), _on("p", "d", key)
+    nulls = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"`{k}`").isNull(), 1 << i).otherwise(0) for i, k in enumerate(key)])
+    filled = [F.coalesce(F.col(f"`{k}`"), F.lit(x).cast(p.schema[k].dataType)).alias(f"_key{i}") for i, (k, x) in enumerate(zip(key, fills, strict=True))]
+    p, d = (x.select("*", *filled, nulls.alias("_nulls")).alias(side) for x, side in ((p, "p"), (d, "d")))
+    return p, d, reduce(and_, [F.col(f"p.{c}") == F.col(f"d.{c}") for c in [*[f"_key{i}" for i in range(len(key))], "_nulls"]])
+
+
+#: By type, what stands for a null among the join keys.
+_FILLS = {"byte": 0, "short": 0, "integer": 0, "long": 0, "decimal": 0, "float": 0, "double": 0, "string": "", "date": "1970-01-01", "timestamp": "1970-01-01"}
+
+
 def _digests(df: DataFrame, key: Sequence[str], columns: Sequence[str], mode: str, doubles: str) -> DataFrame:
     """(key columns, digest): what is shuffled of each row is its typed key and 32 bytes; texts of keys and hashes are made of rows that differ."""
     if not key:
@@ -119,6 +134,23 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("table").agg(count(ADDED), count(REMOVED), count(UPDATED))
 
 
+def status_counts(pairs: dict[str, tuple[DataFrame, DataFrame, Sequence[str]]], ignored: Callable[[str], bool] = lambda name: False, mode: str = "compat", doubles: str = "cast") -> DataFrame:
+    """diff_counts of many tables where no hash is asked for: rows meet by grouping on the key with 128 bits of their texts, without sorting, and each table is counted by itself."""
+    parts = []
+    for table, (prod, dev, key) in sorted(pairs.items()):
+        sides = []
+        for side, df in enumerate((prod, aligned(dev, prod))):
+            text = row_text(df, ordered_columns(df.columns, key, ignored), mode, doubles)
+            own = df.select(*key, text.alias("text_")).select(*key, F.xxhash64("text_").alias("h1_"), F.xxhash64(F.lit(1), "text_").alias("h2_"))
+            sides.append(own.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], *[(F.col(h) if s == side else F.lit(None).cast("long")).alias(f"{s}{h}") for s in (0, 1) for h in ("h1_", "h2_")]))
+        met = sides[0].unionByName(sides[1]).groupBy(*[f"k{i}" for i in range(len(key))]).agg(*[F.max(f"{s}{h}").alias(f"{s}{h}") for s in (0, 1) for h in ("h1_", "h2_")])
+        ours, theirs = F.col("0h1_").isNull(), F.col("1h1_").isNull()
+        differ = (F.col("0h1_") != F.col("1h1_")) | (F.col("0h2_") != F.col("1h2_"))
+        counts = met.agg(F.count_if(ours).alias(ADDED), F.count_if(theirs).alias(REMOVED), F.count_if(~ours & ~theirs & differ).alias(UPDATED))
+        parts.append(counts.select(F.lit(table).alias("table"), ADDED, REMOVED, UPDATED))
+    return reduce(DataFrame.unionByName, parts).where(F.col(ADDED) + F.col(REMOVED) + F.col(UPDATED) > 0)
+
+
 def diff_totals(diff: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return diff.agg(F.count_distinct("table").alias("tables"), count(ADDED), count(REMOVED), count(UPDATED), F.count("*").alias("total"))

@@ -228,7 +228,7 @@ def _all_diffs(spark, d) -> DataFrame:
 
 @query(f'SELECT "table", {_COUNTS} FROM ({_UNION}) GROUP BY "table"')
 def diff_counts_by_table(spark, d):
-    return rowdiff.diff_counts(_all_diffs(spark, d))
+    return rowdiff.status_counts({s.table: s.sides(spark, d) for s in ALL})
 
 
 @query(f'SELECT count(DISTINCT "table") AS tables, {_COUNTS}, count(*) AS total FROM ({_UNION})')

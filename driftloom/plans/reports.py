@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators import celldiff, resolve, rowdiff
-from driftloom.plans.drift import Drift, drift_text
+from driftloom.plans.drift import Change, Drift, drift_text
 from driftloom.sources import files
 
 #: Keys listed per table and status in a report for reading.
@@ -136,6 +137,19 @@ def decision_text(decision: str) -> str:
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse;margin:1em 0}td,th{border:1px solid #ccc;padding:3px 8px;text-align:left}.added{background:#e6ffed}.removed{background:#ffeef0}.updated{background:#fff8e1}pre{background:#f6f8fa;padding:1em}"
 
 
+def object_changes(prod: dict, dev: dict, change: Change) -> list[tuple]:
+    """(name, attribute, prod's value, dev's, change) of views, routines, triggers or sequences that came, went or differ, each attribute that differs by itself."""
+    rows = []
+    for kind in ("added", "removed", "modified"):
+        for name in getattr(change, kind):
+            ours, theirs = (asdict(side[name]) if name in side else {} for side in (prod, dev))
+            for attribute in ours or theirs:
+                values = ours.get(attribute), theirs.get(attribute)
+                if attribute != "name" and values[0] != values[1] and any(x not in (None, "", [], False) for x in values):
+                    rows.append((name, attribute, *["" if x is None else ", ".join(" ".join(p) for p in x) if isinstance(x, list) else x for x in values], kind))
+    return rows
+
+
 def html_report(diff: DataFrame, drift: Drift, script: str = "", cells: DataFrame | None = None, resolutions: DataFrame | None = None, schemas: tuple | None = None, shown: int = SHOWN, title: str = "Comparison") -> str:
     """One page: counts, keys (the first ones of each table and status), cells, resolutions, schema drift and SQL."""
     e = lambda x: html.escape("" if x is None else str(x))
@@ -159,6 +173,9 @@ def html_report(diff: DataFrame, drift: Drift, script: str = "", cells: DataFram
         column = lambda side, t, c: side.tables[t].columns[c].type_text if t in side.tables and c in side.tables[t].columns else ""
         rows = [(t, c, column(prod, t, c), column(dev, t, c), kind) for t, own in drift.tables.items() for kind in ("added", "removed", "modified") for c in getattr(own.columns, kind)]
         parts += [table(["table", "column", "prod", "dev", "change"], rows)] if rows else []
+    for kind in ("views", "routines", "triggers", "sequences") if schemas else ():
+        rows = object_changes(*(getattr(s, kind) for s in schemas), getattr(drift, kind))
+        parts += [f"<h3>{kind.capitalize()}</h3>", table(["name", "attribute", "prod", "dev", "change"], rows)] if rows else []
     if script:
         parts += ["<h2>SQL</h2>", f"<pre>{e(script)}</pre>"]
     return "\n".join(parts) + "\n"

@@ -4,8 +4,8 @@ import pytest
 
 from driftloom.functions.retry import DriftError, retry
 from driftloom.operators import schemadiff
-from driftloom.plans import history, migration, ordering
-from driftloom.plans.catalog import Column, ForeignKey, Index, Schema, Sequence, Table, Trigger, View
+from driftloom.plans import history, migration, ordering, reports
+from driftloom.plans.catalog import Column, ForeignKey, Index, Routine, Schema, Sequence, Table, Trigger, View
 from driftloom.plans.dialects import Dialect
 from driftloom.plans.drift import drift_text, schema_drift
 from driftloom.plans.resume import Manifest, run_tables
@@ -265,3 +265,15 @@ def test_parquet_comparison(spark, tmp_path):
         spark.range(n).withColumnRenamed("id", "k").write.parquet(str(tmp_path / side / "t.parquet"))
     own = Comparison(spark, cfg.parse_config({"prod": {"path": str(tmp_path / "p")}, "dev": {"path": str(tmp_path / "d")}, "primary_keys": {"T": ["k"]}, "output": {"dir": str(tmp_path / "o")}}))
     assert own.check() == [] and [r["status"] for r in own.union(own.diffs()).collect()] == ["added"]
+
+
+def test_html_shows_other_objects(spark):
+    """Views, routines, triggers and sequences that came, went or differ, attribute by attribute."""
+    prod = Schema(views={"v": View("v", "SELECT <1>"), "w": View("w", "SELECT 3")}, triggers={"t": Trigger("t", "orders", "BEFORE", "INSERT", "x")}, sequences={"s": Sequence("s", 1, 1)})
+    dev = Schema(views={"v": View("v", "SELECT 2", True)}, routines={"f": Routine("f", "FUNCTION", "body", "sql", "int", [("IN", "a", "int")])}, triggers={"t": Trigger("t", "orders", "AFTER", "INSERT", "x")}, sequences={"s": Sequence("s", 1, 5)})
+    own = schema_drift(prod, dev)
+    none = spark.createDataFrame([], "table string, row_key string, status string, prod_hash string, dev_hash string")
+    page = reports.html_report(none, own, schemas=(prod, dev))
+    rows = ["<td>v</td><td>definition</td><td>SELECT &lt;1&gt;</td><td>SELECT 2</td><td>modified</td>", "<td>v</td><td>is_materialized</td><td>False</td><td>True</td><td>modified</td>", "<td>w</td><td>definition</td><td>SELECT 3</td><td></td><td>removed</td>"]
+    rows += ["<td>f</td><td>parameters</td><td></td><td>IN a int</td><td>added</td>", "<td>t</td><td>timing</td><td>BEFORE</td><td>AFTER</td><td>modified</td>", "<td>s</td><td>increment</td><td>1</td><td>5</td><td>modified</td>"]
+    assert all(r in page for r in rows) and page.count("<h3>") == 4 and "<td>t</td><td>event</td>" not in page
