@@ -67,7 +67,7 @@ def apply_sqlite(texts: Iterable[str], path: str, dry_run: bool = False) -> int:
 
 
 def _apply(args, own: Comparison) -> None:
-    """Apply a pack to a SQLite file, or to a folder of Parquet tables as its next version; other engines' packs are run by their own clients."""
+    """Apply a pack to a SQLite file, to a folder of Parquet tables as its next version, or to a database in one transaction."""
     config, spark = own.config, own.spark
     if config.prod.driver == "sqlite":
         n = apply_sqlite(read_pack(spark, args.pack), config.prod.path or config.prod.database, args.dry_run)
@@ -81,7 +81,8 @@ def _apply(args, own: Comparison) -> None:
         else:
             print("\n".join(f"{table}: {len(parts)} parts" for table, parts in made.items()) or "nothing to change")
     else:
-        raise DriftError("APPLY_FAILED", f"apply writes to SQLite files and Parquet folders; run {args.pack} with the client of {config.prod.driver}")
+        for table, (gone, come) in packs.apply_database(own, f"{args.pack}/{packs.FOLDER}", args.dry_run, not args.keep_rows).items():
+            print(f"{table}: {gone} rows deleted, {come} inserted{', then rolled back' if args.dry_run else ''}")
 
 
 def _decisions(spark: SparkSession, own: Comparison, out: str, diff: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         for t, statements in scripts.items():
             write_pack(statements, ["phase", *own.prod.tables[t].primary_key], f"{new}/{t}", Dialect(driver), before=sorted(added.get(t, [])))
         write_pack_order(spark, list(scripts), new)
-        if config.prod.driver == "parquet":
+        if config.prod.driver != "sqlite":
             packs.write_changes(own, diffs, decided, f"{new}/{packs.FOLDER}", stamps)
         files.move(new, f"{out}/pack")  # whole, in the place of an earlier one
         reports.write_reports(diff, out, drift, decided)

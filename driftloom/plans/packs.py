@@ -15,7 +15,8 @@ from driftloom.functions.retry import DriftError
 from driftloom.operators import patch
 from driftloom.operators.rowdiff import _on, aligned
 from driftloom.plans.compare import Comparison
-from driftloom.sources import files, versions
+from driftloom.plans.migration import creation_order
+from driftloom.sources import files, versions, writes
 
 PACK = "pack.json"
 #: Below a pack of scripts, hidden from those who read its texts.
@@ -76,6 +77,20 @@ def apply_changes(own: Comparison, folder: str, dry_run: bool = False, delete_ro
     return made
 
 
+def apply_database(own: Comparison, folder: str, dry_run: bool = False, delete_rows: bool = True) -> dict[str, tuple[int, int]]:
+    """Bring a network database to what a pack says, in one transaction; the rows deleted and inserted of each table."""
+    if not files.exists(f"{folder}/{PACK}"):
+        raise DriftError("PACK_MISSING", f"{folder} holds no pack of changes")
+    pack, changes = json.loads(files.read_text(f"{folder}/{PACK}")), {}
+    for t in (t for t in creation_order(own.prod) if t in pack["tables"]):
+        key, new = pack["tables"][t]["key"], pack["tables"][t]["new"]
+        if new:
+            raise DriftError("APPLY_FAILED", f"{t} lacks {', '.join(new)}: run schema-migrate's script and make a new pack")
+        deletes = own.spark.read.parquet(f"{folder}/changes/{t}/deletes")
+        changes[t] = ((deletes if delete_rows else deletes.where("change_ = 'updated'")).select(*key), own.spark.read.parquet(f"{folder}/changes/{t}/upserts"), key)
+    return writes.apply_to_database(own.spark, own.config.prod, changes, dry_run)
+
+
 def _plain(path: str) -> str:
     """A path without scheme, as Spark's and the file systems' forms of it share it."""
     return re.sub(r"^[A-Za-z][\w+.-]*:/+", "/", path)

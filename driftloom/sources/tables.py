@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sqlite3
+from datetime import date
+from decimal import Decimal
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +71,50 @@ def hash_predicates(driver: str, key: Sequence[str], partitions: int) -> list[st
     return [HASHED[driver].format(k=joined, n=partitions, i=i) for i in range(partitions)]
 
 
+def _literal(value, driver: str) -> str | None:
+    """A key's value in SQL; None for types whose literals differ too much between engines."""
+    if isinstance(value, bool) or value is None:
+        return None
+    if isinstance(value, (int, Decimal)):
+        return str(value)
+    if isinstance(value, str):
+        return "'" + (value.replace("\\", "\\\\") if driver == "mysql" else value).replace("'", "''") + "'"
+    return f"DATE '{value}'" if type(value) is date else None
+
+
+def _beyond(names: Sequence[str], values: Sequence[str], sign: str) -> str:
+    """The condition that a key of some columns lies after the values, or before or at them, compared column by column."""
+    tests = [" AND ".join([*(f"{k} = {v}" for k, v in zip(names[:i], values[:i], strict=True)), f"{names[i]} {sign} {values[i]}"]) for i in range(len(names))]
+    whole = " AND ".join(f"{k} = {v}" for k, v in zip(names, values, strict=True))
+    return "(" + " OR ".join(f"({t})" for t in [*tests, *([whole] if sign == "<" else [])]) + ")"
+
+
+def quantile_predicates(spark: SparkSession, source: Source, table: str, key: Sequence[str], partitions: int) -> list[str] | None:
+    """A condition per partition: ranges of the whole key that hold as many rows each, so that every row is read by one of them and found by the key's index.
+
+    The bounds are keys that the database finds by their position in key order, a walk along the index each. None if a bound has no plain literal.
+    """
+    dialect = Dialect(source.driver)
+    names, q = [dialect.quote(k) for k in key], dialect.quote
+    n = int(jdbc_query(spark, source, f"SELECT COUNT(*) AS n FROM {q(table)}").first()[0])
+    bounds: list[list[str]] = []
+    for at in sorted({n * i // partitions for i in range(1, partitions)} - {0}):
+        page = f"LIMIT 1 OFFSET {at - 1}" if source.driver == "mysql" else f"OFFSET {at - 1} ROWS FETCH NEXT 1 ROWS ONLY"
+        row = jdbc_query(spark, source, f"SELECT {', '.join(names)} FROM {q(table)} ORDER BY {', '.join(names)} {page}").first()
+        values = [_literal(v, source.driver) for v in row] if row else []
+        if None in values:
+            return None
+        if values and values not in bounds:
+            bounds.append(values)
+    if not bounds:
+        return ["1 = 1"]
+    first = f"({_beyond(names, bounds[0], '<')} OR {' OR '.join(f'{k} IS NULL' for k in names)})"
+    between = [f"{_beyond(names, a, '>')} AND {_beyond(names, b, '<')}" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [first, *between, _beyond(names, bounds[-1], ">")]
+
+
 def jdbc_table(spark: SparkSession, source: Source, table: str, key: Sequence[str] = (), partitions: int = 8, fetch_size: int = 10_000) -> DataFrame:
-    """A table, read in several connections at once: in ranges of the key's first column if it is an integer, else by a hash of the key; without a key in one."""
+    """A table, read in several connections at once: in ranges of the key's first column if it is an integer, else of the whole key by its quantiles, or where its values have no plain literals by its hash; without a key in one."""
     load = lambda **o: retry(lambda: connected(lambda: spark.read.format("jdbc").options(**jdbc_options(source, table, **o, partitions=partitions, fetch_size=fetch_size)).load()))
     whole = load()
     if not key or partitions < 2:
@@ -80,7 +124,7 @@ def jdbc_table(spark: SparkSession, source: Source, table: str, key: Sequence[st
         low, high = jdbc_query(spark, source, f"SELECT MIN({q(key[0])}) AS low, MAX({q(key[0])}) AS high FROM {q(table)}").first()
         return whole if low is None or low == high else load(split=(key[0], int(low), int(high)))
     properties = {"user": source.user, "password": source.password, "fetchsize": str(fetch_size), **connect_timeout(source.driver)}
-    return spark.read.jdbc(jdbc_url(source), Dialect(source.driver).quote(table), predicates=hash_predicates(source.driver, key, partitions), properties=properties)
+    return spark.read.jdbc(jdbc_url(source), Dialect(source.driver).quote(table), predicates=quantile_predicates(spark, source, table, key, partitions) or hash_predicates(source.driver, key, partitions), properties=properties)
 
 
 _SQLITE_TYPES = (("INT", T.LongType()), ("CHAR", T.StringType()), ("CLOB", T.StringType()), ("TEXT", T.StringType()), ("BLOB", T.BinaryType()), ("REAL", T.DoubleType()), ("FLOA", T.DoubleType()), ("DOUB", T.DoubleType()))
