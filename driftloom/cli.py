@@ -29,7 +29,7 @@ def _parser() -> argparse.ArgumentParser:
     add = lambda name, *flags: [sub_ for sub_ in [sub.add_parser(name)] if [sub_.add_argument(f, **o) for f, o in flags] or True][0]
     flag, text = {"action": "store_true"}, {"default": None}
     sizes = [("--batch-size", {"type": int, "default": None, "dest": "fetch_size"}), ("--parallel", {"type": int, "default": None, "dest": "partitions"})]
-    add("check")
+    add("check", ("--counts", flag))
     add("schema-diff", ("--output-dir", text), ("--quiet", flag))
     add("schema-migrate", ("--dry-run", flag), ("--driver", text))
     add("diff", ("--html", flag), ("--row-diff", flag), ("--resume", flag), *sizes)
@@ -124,6 +124,9 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> int:
     if args.command == "check":
         missing = own.check()
         print("\n".join(f"no primary key: {t}" for t in missing) or "all tables have primary keys")
+        if args.counts and not missing:
+            for r in own.counts().orderBy("table", "side").collect():
+                print(f"{r['table']} {r['side']}: {r['n_rows']} rows")
         return int(bool(missing))
     if args.command == "schema-diff":
         drift = own.drift()

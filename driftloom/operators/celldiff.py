@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.canonical import canonical_name, column_text
+from driftloom.functions.canonical import canonical_name, column_text, display_columns
 from driftloom.operators.rowdiff import ADDED, REMOVED, UPDATED, _on, aligned
 
 _RANK = {UPDATED: 0, REMOVED: 1, ADDED: 2}
@@ -32,11 +32,11 @@ def limit_keys(diff: DataFrame, n: int = 100) -> DataFrame:
 
 
 def changed_rows(diff: DataFrame, prod: DataFrame, dev: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Each differing row with the values of both sides, as structs prod and dev: two joins on the key instead of two reads per row."""
+    """Each differing row with the values of both sides, as structs prod and dev of the key and then the other columns by name: two joins on the key instead of two reads per row."""
     dev = aligned(dev, prod)
     k, p, d = diff.alias("k"), prod.alias("p"), dev.alias("d")
     both = k.join(p, _on("k", "p", key), "left").join(d, _on("k", "d", key), "left")
-    value = lambda side, df: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in df.columns])
+    value = lambda side, df: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in display_columns(df.columns, key)])
     return both.select(*[F.col(f"k.{c}") for c in diff.columns], value("p", prod).alias("prod"), value("d", dev).alias("dev"))
 
 

@@ -183,8 +183,7 @@ class Comparison:
         """The columns that dev's table has and prod's has not, by name, without ignored ones."""
         ignored = column_ignorer(self.config.ignore_columns)
         here = {canonical_name(c) for c in self.prod.tables[table].columns}
-        theirs = {canonical_name(n): t for n, t in sorted(self.dev.tables.items())} | self.dev.tables
-        dev = theirs.get(table) or theirs[canonical_name(table)]
+        dev = self.dev.find_table(table)
         return [c for _, c in sorted(dev.columns.items()) if canonical_name(c.name) not in here and not ignored(table, c.name)]
 
     def decided(self, diffs: dict[str, DataFrame], resolutions: DataFrame | None) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.canonical import display_value, truncated
 from driftloom.operators import celldiff, resolve, rowdiff
 from driftloom.plans.drift import Change, Drift, drift_text
 from driftloom.sources import files
@@ -90,12 +91,12 @@ def row_diff_text(cells: DataFrame, table: str = "", n: int = 1000) -> str:
     """The first n cells in columns for reading; a differing cell has a star."""
     lines = []
     last = None
-    for r in _with_table(cells, table).orderBy("table", "row_key", F.lower("column")).limit(n).collect():
+    shown = [truncated(display_value(F.col(c)), 24).alias(c) for c in ("prod_value", "dev_value")]
+    for r in _with_table(cells, table).orderBy("table", "row_key", F.lower("column")).limit(n).select("table", "row_key", "status", "column", *shown, "differs").collect():
         if (r["table"], r["row_key"], r["status"]) != last:
             last = (r["table"], r["row_key"], r["status"])
             lines.append(f"[{last[2]}] {last[0] + ': ' if last[0] else ''}{last[1]}")
-        show = lambda v: "NULL" if v is None else v if len(v) <= 24 else v[:21] + "..."
-        lines.append(f"  {r['column']:<20} {show(r['prod_value']):<24} {show(r['dev_value']):<24}{' *' if r['differs'] else ''}")
+        lines.append(f"  {r['column']:<20} {r['prod_value']:<24} {r['dev_value']:<24}{' *' if r['differs'] else ''}")
     return "\n".join(lines) + "\n"
 
 

@@ -124,6 +124,7 @@ def test_commands_over_all_tables(spark, tmp_path, capsys):
     make(prod, [(1, "a", None)], [(1, 1, "x")])
     make(dev, [(1, "b", None)], [(1, 1, "y")])
     run = config(tmp_path, ("sqlite", prod), ("sqlite", dev))
+    assert run(spark, "check", "--counts") == 0 and "users prod: 1 rows" in capsys.readouterr().out
     assert run(spark, "row-diff", "--batch-size", "100", "--parallel", "2") == 0
     assert "[updated] orders: 1" in capsys.readouterr().out
     assert run(spark, "row-diff", "--table", "users", "--key", "1", "--format", "json") == 0
