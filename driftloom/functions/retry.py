@@ -17,6 +17,7 @@ CODES = {
     "NO_PRIMARY_KEY": ("schema", False, "add a primary key, ignore the table or compare it as a multiset"),
     "TABLE_UNKNOWN": ("schema", False, "name a table that both sides have and neither ignores"),
     "DUPLICATE_KEY": ("content", False, "choose a key that names one row"),
+    "NULL_KEY": ("content", False, "compare without kept digests, which match nulls too"),
     "QUERY_FAILED": ("query", True, "look at the database's own message"),
     "APPLY_FAILED": ("apply", False, "nothing was applied; mend the statement and run again"),
     "BASE_CHANGED": ("apply", False, "nothing was applied; compare again and make a new pack"),

@@ -72,9 +72,9 @@ def row_diff(prod: DataFrame, dev: DataFrame, key: Sequence[str], status: str =
     return diff_of_digests(p, d, key, status, doubles)
 
 
-def diff_of_digests(p: DataFrame, d: DataFrame, key: Sequence[str], status: str = "all", doubles: str = "cast") -> DataFrame:
-    """The row difference of two sides' (key columns, digest)."""
-    p, d, on = _plain_keys(p, d, key)
+def diff_of_digests(p: DataFrame, d: DataFrame, key: Sequence[str], status: str = "all", doubles: str = "cast", null_keys: bool = True) -> DataFrame:
+    """The row difference of two sides' (key columns, digest). Without null keys they are joined by plain equality, which suits tables stored by key."""
+    p, d, on = _plain_keys(p, d, key) if null_keys else (p.alias("p"), d.alias("d"), reduce(and_, [F.col(f"p.{k}") == F.col(f"d.{k}") for k in key]))
     ours, theirs, none = F.col("p.digest").alias("ours"), F.col("d.digest").alias("theirs"), F.lit(None).cast("binary")
     if status == ADDED:
         found = d.join(p, on, "left_anti").select(*[f"d.{k}" for k in key], F.lit(ADDED).alias("status"), none.alias("ours"), theirs)

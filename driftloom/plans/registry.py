@@ -6,6 +6,7 @@ whose key is divisible by 7 have one column changed, and rows whose key is divis
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from driftloom.functions import canonical
 from driftloom.functions.ignore import column_ignorer
-from driftloom.operators import celldiff, patch, ranges, resolve, rowdiff
+from driftloom.operators import celldiff, copartitioned, patch, ranges, resolve, rowdiff
 from driftloom.plans import history
 from driftloom.plans.dialects import Dialect
 from driftloom.sources.staging import stage, staged_path
@@ -126,6 +127,16 @@ def row_diff_by_ranges(spark, d):
     return ranges.row_diff_by_ranges(*CUSTOMER.sides(spark, d))
 
 
+@query(CUSTOMER.diff_sql())
+def row_diff_copartitioned(spark, d):
+    """The same rows from digests kept in buckets by key: the join shuffles nothing."""
+    prod, dev, key = CUSTOMER.sides(spark, d)
+    names = [f"driftloom_kept_{uuid.uuid4().hex}" for _ in range(2)]
+    for name, df in zip(names, (prod, dev), strict=True):
+        copartitioned.keep_digests(df, key, name, staged_path(spark, name, lasting=True), 8)
+    return copartitioned.diff_kept(spark, *names, key)
+
+
 _FEW = f"(SELECT o_orderkey, CASE WHEN o_orderkey % 4001 = 7 THEN o_orderstatus || '*' ELSE o_orderstatus END AS o_orderstatus, {', '.join(ORDERS.others)} FROM orders WHERE o_orderkey % 5003 <> 0)"
 
 

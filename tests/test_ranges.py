@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import ranges, rowdiff
+from driftloom.functions.retry import DriftError
+from driftloom.operators import copartitioned, ranges, rowdiff
 from driftloom.plans import resume
 from driftloom.plans.compare import Comparison
 from driftloom.sources import config as cfg
@@ -88,6 +89,23 @@ def test_a_run_cut_off_repeats_only_open_ranges(spark, tmp_path, monkeypatch):
     assert view(Comparison(spark, cfg.parse_config(raw)).run(resume=True)["t"]) == view(rowdiff.row_diff(prod, dev.where("k <> 3"), ["k"]))
 
 
+@pytest.mark.parametrize("key", [["k"], ["k", "v"]])
+def test_kept_digests_are_joined_as_stored(spark, tmp_path, key):
+    """Neither side is shuffled or sorted below the join, and the rows are those of a plain comparison."""
+    prod, dev = pair(spark, few=40)
+    dev = dev if len(key) == 1 else dev.withColumn("w", F.lit(1))
+    prod = prod if len(key) == 1 else prod.withColumn("w", (F.col("k") % 7 != 0).cast("int"))
+    for name, df in (("kept_p", prod), ("kept_d", dev)):
+        copartitioned.keep_digests(df, key, name + str(len(key)), str(tmp_path / name), 4)
+    got = copartitioned.diff_kept(spark, f"kept_p{len(key)}", f"kept_d{len(key)}", key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert view(got) == view(rowdiff.row_diff(prod, dev, key))
+    with pytest.raises(DriftError):
+        copartitioned.keep_digests(prod.withColumn("k", F.lit(None).cast("long")), key, "kept_null", str(tmp_path / "n"), 4)
+    assert [copartitioned.bucket_count(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 1 << 24)] == [1, 1, 1, 2, 4]
+
+
 def test_progress_counts_the_tasks_of_each_table(spark, tmp_path):
     heard = {}
     tell = lambda table, done, tasks: heard.setdefault(table, []).append((done, tasks))
