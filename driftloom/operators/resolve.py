@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.sources.staging import scratch, stage
+
 MANUAL, OURS, THEIRS = "manual", "ours", "theirs"
 PENDING, KEEP_PROD, USE_DEV = "pending", "keep_prod", "use_dev"
 
@@ -99,10 +101,27 @@ def table_order(resolutions: DataFrame, order: str = "ord") -> DataFrame:
     return resolutions.groupBy("table").agg(F.min(order).alias("first"))
 
 
+def numbered(rows: DataFrame, group: str, order: str, name: str = "position") -> DataFrame:
+    """rows with their number within their group, from 1 in the given order, in a column of that name.
+
+    A group may hold all rows: they are dealt to tasks by ranges of (group, order), sorted and counted there, and a range's numbers begin after those of
+    the ranges before it. The only window goes over one row per group and range. Ranges come from a sample of rows that are staged for it.
+    """
+    at, low, n, part, of = (f"_{name}_{x}" for x in ("at", "low", "n", "part", "of"))
+    with scratch(rows.sparkSession):
+        dealt = stage(rows, "unnumbered").repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn(at, F.monotonically_increasing_id())
+        dealt = stage(dealt, "numbered", lasting=True)
+        ranges = dealt.groupBy(F.col(group).alias(of), F.shiftrightunsigned(at, 33).alias(part)).agg(F.count("*").alias(n), F.min(at).alias(low))
+        ranges = stage(ranges, "number-ranges", lasting=True)
+    before = F.sum(n).over(Window.partitionBy(of).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select(of, part, (F.col(low) - F.coalesce(before, F.lit(0))).alias(low))
+    met = dealt.join(starts, F.col(group).eqNullSafe(F.col(of)) & (F.shiftrightunsigned(at, 33) == F.col(part)))
+    return met.select(*rows.columns, (F.col(at) - F.col(low) + 1).alias(name))
+
+
 def pending_position(resolutions: DataFrame, order: str = "row_key") -> DataFrame:
     """Open resolutions numbered within their table, as a person is led through them."""
-    own = Window.partitionBy("table").orderBy(order)
-    return resolutions.where(~F.col("resolved")).withColumn("position", F.row_number().over(own))
+    return numbered(resolutions.where(~F.col("resolved")), "table", order)
 
 
 def pending_running(resolutions: DataFrame, order: str = "row_key") -> DataFrame:

@@ -74,31 +74,40 @@ def row_diff(prod: DataFrame, dev: DataFrame, key: Sequence[str], status: str =
 
 def diff_of_digests(p: DataFrame, d: DataFrame, key: Sequence[str], status: str = "all", doubles: str = "cast", null_keys: bool = True) -> DataFrame:
     """The row difference of two sides' (key columns, digest). Without null keys they are joined by plain equality, which suits tables stored by key."""
-    p, d, on = _plain_keys(p, d, key) if null_keys else (p.alias("p"), d.alias("d"), reduce(and_, [F.col(f"p.{k}") == F.col(f"d.{k}") for k in key]))
+    p, d, on, of = _plain_keys(p, d, key) if null_keys else (p.alias("p"), d.alias("d"), reduce(and_, [F.col(f"p.{k}") == F.col(f"d.{k}") for k in key]), None)
+    of = of or (lambda *sides: [F.coalesce(*[F.col(f"{side}.{k}") for side in sides]).alias(k) for k in key])
     ours, theirs, none = F.col("p.digest").alias("ours"), F.col("d.digest").alias("theirs"), F.lit(None).cast("binary")
     if status == ADDED:
-        found = d.join(p, on, "left_anti").select(*[f"d.{k}" for k in key], F.lit(ADDED).alias("status"), none.alias("ours"), theirs)
+        found = d.join(p, on, "left_anti").select(*of("d"), F.lit(ADDED).alias("status"), none.alias("ours"), theirs)
     elif status == REMOVED:
-        found = p.join(d, on, "left_anti").select(*[f"p.{k}" for k in key], F.lit(REMOVED).alias("status"), ours, none.alias("theirs"))
+        found = p.join(d, on, "left_anti").select(*of("p"), F.lit(REMOVED).alias("status"), ours, none.alias("theirs"))
     elif status == UPDATED:
-        found = p.join(d, on).where("p.digest <> d.digest").select(*[f"p.{k}" for k in key], F.lit(UPDATED).alias("status"), ours, theirs)
+        found = p.join(d, on).where("p.digest <> d.digest").select(*of("p"), F.lit(UPDATED).alias("status"), ours, theirs)
     else:
         what = F.when(F.col("p.digest").isNull(), ADDED).when(F.col("d.digest").isNull(), REMOVED).otherwise(UPDATED)
         both = p.join(d, on, "full_outer").where("NOT (p.digest <=> d.digest)")
-        found = both.select(*[F.coalesce(f"p.{k}", f"d.{k}").alias(k) for k in key], what.alias("status"), ours, theirs)
+        found = both.select(*of("p", "d"), what.alias("status"), ours, theirs)
     text = lambda digest: F.lower(F.hex(digest))
     return found.select(*key, row_key(found, key, doubles).alias("row_key"), "status", text("ours").alias("prod_hash"), text("theirs").alias("dev_hash"))
 
 
-def _plain_keys(p: DataFrame, d: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame, Column]:
-    """Both sides, as p and d, and the condition under which keys are equal, nulls too. Null-safe equality would take two join keys for each column; here nulls are filled and one number says which."""
+def _plain_keys(p: DataFrame, d: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame, Column, Callable[..., list[Column]] | None]:
+    """Both sides, as p and d, the condition under which keys are equal, nulls too, and what gives the key columns back, or None where both still have them.
+
+    Null-safe equality would take two join keys for each column; here nulls are filled and one number says which. What is shuffled are the filled columns alone.
+    """
     fills = [_FILLS.get(p.schema[k].dataType.typeName()) if p.schema[k].dataType == d.schema[k].dataType else None for k in key]
     if len(key) < 2 or None in fills:
-        return p.alias("p"), d.alias("d"), _on("p", "d", key)
+        return p.alias("p"), d.alias("d"), _on("p", "d", key), None
     nulls = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"`{k}`").isNull(), 1 << i).otherwise(0) for i, k in enumerate(key)])
     filled = [F.coalesce(F.col(f"`{k}`"), F.lit(x).cast(p.schema[k].dataType)).alias(f"_key{i}") for i, (k, x) in enumerate(zip(key, fills, strict=True))]
-    p, d = (x.select("*", *filled, nulls.alias("_nulls")).alias(side) for x, side in ((p, "p"), (d, "d")))
-    return p, d, reduce(and_, [F.col(f"p.{c}") == F.col(f"d.{c}") for c in [*[f"_key{i}" for i in range(len(key))], "_nulls"]])
+    p, d = (x.select(*filled, nulls.alias("_nulls"), "digest").alias(side) for x, side in ((p, "p"), (d, "d")))
+
+    def of(*sides: str) -> list[Column]:
+        own = lambda c: F.coalesce(*[F.col(f"{side}.{c}") for side in sides])
+        return [F.when(own("_nulls").bitwiseAND(F.lit(1 << i)) == 0, own(f"_key{i}")).alias(k) for i, k in enumerate(key)]
+
+    return p, d, reduce(and_, [F.col(f"p.{c}") == F.col(f"d.{c}") for c in [*[f"_key{i}" for i in range(len(key))], "_nulls"]]), of
 
 
 #: By type, what stands for a null among the join keys.

@@ -614,8 +614,7 @@ def fold_changes(spark, d):
     return changes.fold(customer.select(k.alias("id"), F.col("c_name").alias("v")), batch, ["id"], ["seq"])
 
 
-@query(f"SELECT c_custkey, status, prod_hash, dev_hash FROM ({CUSTOMER.diff_sql()})")
-def running_difference(spark, d):
+def _running(spark, d, compact: bool) -> DataFrame:
     """The difference kept by streaming state: one side's rows, the other's as changes that first say something else, and those that put it right."""
     (prod, dev, key), order = CUSTOMER.sides(spark, d), {"seq": T.LongType()}
     at = staged_path(spark, "running", lasting=True)
@@ -623,14 +622,28 @@ def running_difference(spark, d):
     gone = prod.where("c_custkey % 5 = 0").join(dev, key, "left_anti").withColumn("op", F.lit("delete"))
     said = [changes.sided(prod, "prod", key, CUSTOMER.columns, order)]
     said += [changes.sided(rows.withColumn("seq", F.lit(n)), "dev", key, CUSTOMER.columns, order, "op") for n, rows in enumerate((first, dev.withColumn("op", F.lit("upsert")), gone))]
-    for n, rows in enumerate(said):
-        rows.write.parquet(f"{at}/in/{n}")
     stream = spark.readStream.schema(said[0].schema).option("maxFilesPerTrigger", 64).option("recursiveFileLookup", True).parquet(f"{at}/in")
     own = changes.RunningDiff(spark, at, key)
-    own.start(stream, availableNow=True).awaitTermination()
+    for part in (said[:2], said[2:]) if compact else (said,):
+        for rows in part:
+            rows.write.parquet(f"{at}/in/{uuid.uuid4().hex}")
+        own.start(stream, availableNow=True).awaitTermination()
+        if compact:
+            own.compact()
     return own.current()
 
 
+@query(f"SELECT c_custkey, status, prod_hash, dev_hash FROM ({CUSTOMER.diff_sql()})")
+def running_difference(spark, d):
+    return _running(spark, d, False)
+
+
+@query(f"SELECT c_custkey, status, prod_hash, dev_hash FROM ({CUSTOMER.diff_sql()})")
+def running_difference_compacted(spark, d):
+    """The same, its batches folded into the keys that differ after each run of the stream."""
+    return _running(spark, d, True)
+
+
 # --- history
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from driftloom.functions.canonical import row_hash
 from driftloom.operators.rowdiff import ADDED, REMOVED, UNCHANGED, UPDATED, row_diff
+from driftloom.sources import files
 
 
 def latest(changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -79,14 +80,49 @@ class RunningDiff:
         query = status_changes(rows, self.key).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{self.folder}/checkpoint")
         return (query.trigger(**trigger) if trigger else query).start()
 
+    def _numbers(self, place: str, prefix: str = "") -> list[int]:
+        """The numbers that a folder's members are named by."""
+        found = files.names(f"{self.folder}/{place}") if files.exists(f"{self.folder}/{place}") else []
+        return sorted(int(x.removeprefix(prefix)) for x in found if x.removeprefix(prefix).isdigit())
+
+    def _folded(self) -> int:
+        return max(self._numbers("folded"), default=-1)
+
     def batches(self) -> DataFrame:
-        """All status changes, with the number of their batch."""
-        return self.spark.read.parquet(f"{self.folder}/status")
+        """The status changes of the batches that are not folded, with the number of their batch."""
+        own = [f"{self.folder}/status/batch={n}" for n in self._numbers("status", "batch=") if n > self._folded()]
+        if own:
+            return self.spark.read.option("basePath", f"{self.folder}/status").parquet(*own)
+        return self.spark.read.parquet(f"{self.folder}/status" if self._folded() < 0 else self._base(self._folded())).limit(0)
+
+    def _base(self, number: int) -> str:
+        return f"{self.folder}/base/{number}"
+
+    def _last(self, upto: int | None = None) -> DataFrame:
+        """The last status of each key by that batch; of keys that were folded, those that differ."""
+        rows, folded = self.batches(), self._folded()
+        rows = rows if upto is None else rows.where(F.col("batch") <= upto)
+        return latest(rows if folded < 0 else self.spark.read.parquet(self._base(folded)).unionByName(rows), self.key, ["batch"])
 
     def current(self) -> DataFrame:
         """(key columns, status, prod_hash, dev_hash) of the keys that differ now: the last status of each."""
-        last = latest(self.batches(), self.key, ["batch"])
-        return last.where(F.col("status") != UNCHANGED).drop("batch")
+        return self._last().where(F.col("status") != UNCHANGED).drop("batch")
+
+    def compact(self) -> int:
+        """Fold the batches that the stream has committed into one table of the keys that differ; what is current reads that and later batches. Returns the last batch folded, or -1.
+
+        So what is kept and read grows with the keys that differ and the batches since, not with all changes there were. A compaction that is cut off
+        leaves no mark and changes nothing: its table is written anew by the next. One runs at a time, beside the stream or not; the folded parts go at
+        its end, so ask again for what is current after it.
+        """
+        folded, upto = self._folded(), max(self._numbers("checkpoint/commits"), default=-1)
+        if upto <= folded:
+            return folded
+        self._last(upto).where(F.col("status") != UNCHANGED).write.mode("overwrite").parquet(self._base(upto))
+        files.create_text(f"{self.folder}/folded/{upto}", "")
+        for place in [f"status/batch={n}" for n in self._numbers("status", "batch=") if n <= upto] + [f"base/{n}" for n in self._numbers("base") if n < upto]:
+            files.remove(f"{self.folder}/{place}")
+        return upto
 
 
 def late_bounded(stream: DataFrame, time: str, delay: str, key: Sequence[str]) -> DataFrame:

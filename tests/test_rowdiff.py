@@ -80,6 +80,31 @@ def test_null_keys_match(spark):
     assert rowdiff.row_diff(a, a, ["id"]).isEmpty()
 
 
+def test_composite_keys_with_nulls_come_back_as_they_are(spark):
+    """Nulls of several key columns and the values that stand for them in the join are told apart, for every status."""
+    schema = "a int, b string, c double, v string"
+    ours = [(None, "", 0.0, "x"), (0, None, 0.0, "x"), (0, "", None, "x"), (0, "", 0.0, "x"), (None, None, None, "x"), (1, "b", -0.0, "x")]
+    theirs = [(None, "", 0.0, "y"), (0, None, 0.0, "x"), (0, "", None, "y"), (None, None, 0.0, "new"), (1, "b", -0.0, "y")]
+    prod, dev = (spark.createDataFrame(x, schema) for x in (ours, theirs))
+    want = {((None, "", 0.0), "updated"), ((0, "", None), "updated"), ((1, "b", 0.0), "updated"), ((0, "", 0.0), "removed"), ((None, None, None), "removed"), ((None, None, 0.0), "added")}
+    found = lambda status: {((r["a"], r["b"], r["c"]), r["status"]) for r in rowdiff.row_diff(prod, dev, ["a", "b", "c"], status).collect()}
+    assert found("all") == want
+    for status in ("added", "removed", "updated"):
+        assert found(status) == {x for x in want if x[1] == status}
+
+
+def test_rows_are_numbered_within_groups_of_any_size(spark):
+    """One group that holds most rows, one of a single row, one without a name; the numbers go over ranges in several tasks."""
+    rows = spark.range(5000, numPartitions=7).selectExpr("CASE WHEN id = 3 THEN 'one' WHEN id % 50 <> 4 THEN 'hot' END AS `table`", "lpad(cast(id * 7919 % 5000 AS string), 5, '0') AS row_key", "id AS part", "id AS n")
+    got = resolve.numbered(rows, "table", "row_key")
+    assert got.columns == ["table", "row_key", "part", "n", "position"]
+    found = got.collect()
+    for name in ("hot", "one", None):
+        own = sorted((r["row_key"], r["position"]) for r in found if r["table"] == name)
+        assert [p for _, p in own] == list(range(1, len(own) + 1))
+    assert len(found) == 5000 and resolve.numbered(rows.limit(0), "table", "row_key").count() == 0
+
+
 def test_no_key_is_an_error_and_multisets_need_none(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "v int")
     b = spark.createDataFrame([(1,), (3,)], "v int")

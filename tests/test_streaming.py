@@ -70,3 +70,34 @@ def test_running_difference_costs_what_changes(spark, tmp_path):
     dev = spark.createDataFrame([(i, v) for i, v in prod if i != 5] + [(99, "new")], "id int, v string")
     whole = row_diff(spark.createDataFrame(prod, "id int, v string"), dev, ["id"]).select("id", "status", "prod_hash", "dev_hash")
     assert sorted(map(tuple, own.current().collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_compaction_keeps_what_differs(spark, tmp_path):
+    """Folded batches leave the keys that differ, as before; later batches undo and add; a compaction that was cut off, and one without news, change nothing."""
+    columns, order = ["id", "v"], {"seq": T.LongType()}
+    put = lambda rows, side, n: changes.sided(spark.createDataFrame(rows, "id int, v string, op string, seq long"), side, ["id"], columns, order, "op").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([(i, f"v{i}", "upsert", 0) for i in range(20)], "prod", 0)
+    put([(i, f"v{i}" if i > 2 else "x", "upsert", 1) for i in range(19)], "dev", 1)
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    own = changes.RunningDiff(spark, str(tmp_path / "state"), ["id"])
+    view = lambda: sorted((r["id"], r["status"]) for r in own.current().collect())
+    assert own.compact() == -1
+    run = lambda: own.start(stream, availableNow=True).awaitTermination()
+    run()
+    before = [(0, "updated"), (1, "updated"), (2, "updated"), (19, "removed")]
+    assert view() == before
+    (tmp_path / "state" / "base" / "1").mkdir(parents=True)
+    (tmp_path / "state" / "base" / "1" / "half").write_text("cut off")
+    (tmp_path / "state" / "status" / "batch=2").mkdir()  # in flight: not committed yet
+    (tmp_path / "state" / "status" / "batch=2" / "part.parquet").write_bytes(next((tmp_path / "state" / "status" / "batch=1").glob("*.parquet")).read_bytes())
+    assert own.compact() == 1 and own.compact() == 1
+    assert own.batches().select("batch").distinct().collect() == [(2,)]
+    assert spark.read.parquet(str(tmp_path / "state" / "base" / "1")).count() == 4
+    put([(0, "v0", "upsert", 2), (5, None, "delete", 2), (7, "late", "upsert", 0)], "dev", 2)
+    run()  # the batch in flight is written anew
+    after = [(1, "updated"), (2, "updated"), (5, "removed"), (19, "removed")]
+    assert view() == after and own.compact() == 2 and view() == after
+    assert own.batches().count() == 0 and sorted(x.name for x in (tmp_path / "state" / "base").iterdir()) == ["2"]
+    put([(i, f"v{i}", "upsert", 3) for i in (1, 2, 5, 19)], "dev", 3)
+    run()
+    assert view() == [] and own.compact() == 3 and view() == []
