@@ -28,6 +28,8 @@ from driftloom.sources.staging import scratch, stage
 #: What a commit keeps of each row that differs, and how many rows a chunk of them holds, about.
 ROW = ("table", "row_key", "status", "prod_hash", "dev_hash")
 CHUNK_ROWS = 1 << 18
+#: How many folders a commit's new chunks of a table may take while a folder holds fewer rows than CHUNK_ROWS.
+FOLDERS = 256
 
 
 @dataclass
@@ -155,39 +157,56 @@ class Store:
         """Store the row differences (table, row_key, status, prod_hash, dev_hash) of a comparison for a commit; the names of each table's chunks.
 
         A table is cut by a hash of the key into about chunk_rows rows each, their number a power of two, and a chunk is named by a digest of
-        its rows. So a chunk whose rows did not change has its old name and is not written again, whichever commit it comes from.
+        its rows. So a chunk whose rows did not change has its old name and is not written again, whichever commit it comes from. A chunk has
+        its own folder; where chunks are small and many, new ones share folders, so that the number of files does not grow with them.
         """
         spark = diff.sparkSession
         with scratch(spark):
             rows = stage(diff.select(*ROW), "version-rows")
             sizes = rows.groupBy("table").agg(F.count("*").alias("rows"))
-            cuts = sizes.select("table", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("rows") / chunk_rows, F.lit(1.0))))).cast("long").alias("cuts"))
+            parts = lambda n: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("rows") / n, F.lit(1.0))))).cast("long")
+            cuts = sizes.select("table", parts(chunk_rows).alias("cuts"), F.least(parts(chunk_rows), F.greatest(F.lit(FOLDERS), parts(CHUNK_ROWS))).alias("folders"))
             dealt = rows.join(F.broadcast(cuts), "table").withColumn("at", F.pmod(F.xxhash64("row_key"), F.col("cuts")))
             text = F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in ROW])
             marks = [F.bit_xor(F.xxhash64(F.lit(i), F.sha2(text, 256))).alias(f"m{i}") for i in range(4)]
-            named = dealt.groupBy("table", "cuts", "at").agg(F.count("*").alias("n"), *marks)
-            named = stage(named.select("table", "at", F.sha2(F.concat_ws(",", "table", "cuts", "at", "n", *[f"m{i}" for i in range(4)]), 256).alias("chunk")), "version-chunks")
-            names = {}
+            named = dealt.groupBy("table", "cuts", "folders", "at").agg(F.count("*").alias("n"), *marks)
+            named = stage(named.select("table", "at", (F.col("at") % F.col("folders")).alias("slot"), F.sha2(F.concat_ws(",", "table", "cuts", "at", "n", *[f"m{i}" for i in range(4)]), 256).alias("chunk")), "version-chunks")
+            chunks = f"{self.root}/chunks"
+            known = {n.removeprefix("chunk=") for n in files.names(chunks)} | self._shared().keys() if files.exists(chunks) else set()
+            names, slots = {}, {}
             for r in named.orderBy("table", "at").collect():  # a row per chunk
                 names.setdefault(r["table"], []).append(r["chunk"])
-            chunks = f"{self.root}/chunks"
-            known = {n.removeprefix("chunk=") for n in files.names(chunks)} if files.exists(chunks) else set()
-            fresh = sorted({c for own in names.values() for c in own} - known)
+                if r["chunk"] not in known:
+                    slots.setdefault((r["table"], r["slot"]), []).append(r["chunk"])
+            fresh = {own[0] if len(own) == 1 else hashlib.sha256(",".join(own).encode()).hexdigest(): own for own in slots.values()}
             if fresh:
-                wanted = spark.createDataFrame([(c,) for c in fresh], "chunk string")
+                wanted = spark.createDataFrame([(c, folder) for folder, own in fresh.items() for c in own], "chunk string, folder string")
                 new = dealt.join(named.join(wanted, "chunk"), ["table", "at"])
                 part = f"{self.root}/new-{uuid.uuid4().hex}"
-                new.select(*ROW, "chunk").repartition("chunk").write.partitionBy("chunk").parquet(part)
-                for c in fresh:
-                    if not files.exists(f"{chunks}/chunk={c}"):  # another commit may have come first with the same rows
-                        files.move(f"{part}/chunk={c}", f"{chunks}/chunk={c}")
+                new.select(*ROW, "chunk", "folder").repartition("folder").write.partitionBy("folder").parquet(part)
+                for folder in fresh:
+                    if not files.exists(f"{chunks}/chunk={folder}"):  # another commit may have come first with the same rows
+                        files.move(f"{part}/folder={folder}", f"{chunks}/chunk={folder}")
                 files.remove(part)
+                if shared := {folder: own for folder, own in fresh.items() if len(own) > 1}:
+                    files.write_text(f"{self.root}/shared/{uuid.uuid4().hex}", json.dumps(shared))
         return names
 
+    def _shared(self) -> dict[str, str]:
+        """The folder of each chunk that lies in one with others."""
+        at = f"{self.root}/shared"
+        lists = [json.loads(files.read_text(f"{at}/{n}")) for n in files.names(at) if not n.endswith(".new")] if files.exists(at) else []
+        return {c: folder for own in lists for folder, chunks in own.items() for c in chunks}
+
     def _rows_of(self, spark: SparkSession, chunks: Iterable[str]) -> DataFrame:
-        paths = [f"{self.root}/chunks/chunk={c}" for c in sorted(chunks)]
-        schema = ", ".join(f"`{c}` string" for c in ROW)
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+        schema, shared = ", ".join(f"`{c}` string" for c in ROW), self._shared()
+        load = lambda folders, schema: spark.read.schema(schema).parquet(*[f"{self.root}/chunks/chunk={x}" for x in sorted(folders)])
+        alone, beside = ([c for c in sorted(chunks) if (c in shared) == with_others] for with_others in (False, True))
+        found = [load(alone, schema)] if alone else []
+        if beside:
+            wanted = spark.createDataFrame([(c,) for c in beside], "chunk string")
+            found.append(load({shared[c] for c in beside}, f"{schema}, chunk string").join(wanted, "chunk", "left_semi").select(*ROW))
+        return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
     def rows(self, spark: SparkSession, name: str) -> DataFrame:
         """The row differences that a version holds."""

@@ -126,6 +126,25 @@ def test_version_rows(spark, tmp_path):
     assert store.data_diff(spark, names[0], names[2]).isEmpty() and store.data_diff(spark, names[0], names[3]).count() == 202
 
 
+def test_version_rows_of_many_chunks(spark, tmp_path):
+    """Many small chunks share folders, whose number is bounded; they are still known, kept and read one by one."""
+    store = history.Store(str(tmp_path))
+    store.init()
+    schema = "table string, row_key string, status string, prod_hash string, dev_hash string"
+    rows = [("t", str(i), "updated", f"p{i}", f"d{i}") for i in range(2000)]
+    later = [r if r[1] != "7" else ("t", "7", "removed", "p7", None) for r in rows]
+    save = lambda m, own: store.save(history.Commit(m, "me", m, data=store.save_rows(spark.createDataFrame(own, schema), 2)))
+    names = [save("1", rows)]
+    folders = lambda: len(list((tmp_path / ".driftloom" / "chunks").iterdir()))
+    first = folders()
+    names += [save("2", later), save("3", rows)]
+    one, two, three = (set(store.load(n).data["t"]) for n in names)
+    assert len(one) > 2 * history.FOLDERS >= 2 * first and one == three and len(one - two) == 1 and folders() == first + 1
+    for n, own in ((names[0], rows), (names[1], later)):
+        assert sorted(map(tuple, store.rows(spark, n).collect()), key=str) == sorted(own, key=str)
+    assert [tuple(r)[:5] for r in store.data_diff(spark, names[0], names[1]).collect()] == [("t", "7", "changed", "updated", "removed")]
+
+
 def test_history(spark, tmp_path):
     store = history.Store(str(tmp_path))
     store.init()
