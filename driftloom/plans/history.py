@@ -236,28 +236,41 @@ def now() -> str:
 
 
 def commit_depths(commits: DataFrame) -> DataFrame:
-    """(hash, root, depth) of every commit of a table (hash, parent), by pointer doubling: for histories too long to walk on the driver."""
-    jump = commits.select("hash", F.coalesce("parent", "hash").alias("to"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    while True:
-        ahead = jump.select(F.col("hash").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        moved = jump.join(ahead, "to").select("hash", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        moved = stage(moved, "depths")
-        if moved.where("moved").isEmpty():
-            return moved.select("hash", F.col("to").alias("root"), "depth")
-        jump = moved.drop("moved")
+    """(hash, root, depth) of every commit of a table (hash, parent), by pointer doubling: for histories too long to walk on the driver.
+
+    Only ways that do not end at a root yet are joined, with the pointers of commits that have children; the others are taken over. Both
+    sides grow with the history, so they are shuffled at every size, however small their files are.
+    """
+    root = F.col("parent").isNull()
+    jump = commits.select("hash", F.coalesce("parent", "hash").alias("to"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), (~root).alias("open"))
+    inner = commits.select(F.col("parent").alias("hash")).where("hash IS NOT NULL").distinct()
+    leaves = stage(jump.join(inner.hint("merge"), "hash", "left_anti"), "depths-leaves")
+    jump = stage(jump.join(inner.hint("merge"), "hash", "left_semi"), "depths")
+
+    def moved(rows: DataFrame) -> DataFrame:
+        ahead = jump.select(F.col("hash").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("open").alias("further"))
+        ways = rows.where("open").join(ahead.hint("merge"), "to").select("hash", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("further").alias("open"))
+        return ways.unionByName(rows.where("NOT open"))
+
+    while not jump.where("open").isEmpty():
+        jump = stage(moved(jump), "depths")
+    return stage(jump.unionByName(moved(leaves)).select("hash", F.col("to").alias("root"), "depth"), "depths")
 
 
 def log_of(commits: DataFrame, head) -> DataFrame:
     """(hash, back) of the commits that a head of a table (hash, parent) reaches, itself first: how many steps each lies back.
 
     Round k joins what is reached with the pointers of 2**k steps, so rounds grow with the logarithm of the longest way.
+    Commits without children point from nowhere and are left out, but for the head. Joins shuffle both sides, as above.
     """
     seen = stage(commits.where(F.col("hash") == head).select("hash", F.lit(0).cast("long").alias("back")), "log")
     jump, step = commits.where("parent IS NOT NULL").select("hash", F.col("parent").alias("to")), 1
+    inner = jump.select(F.col("to").alias("hash")).unionByName(seen.select("hash")).distinct()
+    jump = stage(jump.join(inner.hint("merge"), "hash", "left_semi"), "log-jumps")
     while True:
-        further = stage(seen.join(jump, "hash").select(F.col("to").alias("hash"), (F.col("back") + step).alias("back")), "log")
+        further = stage(seen.join(jump.hint("merge"), "hash").select(F.col("to").alias("hash"), (F.col("back") + step).alias("back")), "log")
         if further.isEmpty():
             return seen
         seen = seen.unionByName(further)
-        jump = stage(jump.join(jump.toDF("to", "next"), "to").select("hash", F.col("next").alias("to")), "log-jumps")
+        jump = stage(jump.join(jump.toDF("to", "next").hint("merge"), "to").select("hash", F.col("next").alias("to")), "log-jumps")
         step *= 2

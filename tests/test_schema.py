@@ -1,3 +1,5 @@
+import contextlib
+import io
 import sqlite3
 
 import pytest
@@ -145,6 +147,31 @@ def test_version_rows_of_many_chunks(spark, tmp_path):
     assert [tuple(r)[:5] for r in store.data_diff(spark, names[0], names[1]).collect()] == [("t", "7", "changed", "updated", "removed")]
 
 
+def test_histories_are_not_broadcast(spark, monkeypatch):
+    """Depths and logs of chains, stars, several roots and parents that are not there; no join sends a side of the history to the driver."""
+    parents = {i: i - 1 for i in range(1, 40)} | {0: None, 100: None, 200: 999, 201: 200, 202: 201} | {i: 100 for i in range(101, 120)} | {120: 101, 121: 120, 300: None}
+    commits, plans, stage = spark.createDataFrame(list(parents.items()), "hash long, parent long"), [], history.stage
+
+    def staged(df, *rest):
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            df.explain()
+        plans.append(said.getvalue())
+        return stage(df, *rest)
+
+    def walk(h):
+        way = [h]
+        while parents.get(way[-1]) is not None:
+            way.append(parents[way[-1]])
+        return way
+
+    monkeypatch.setattr(history, "stage", staged)
+    ways = {h: walk(h) for h in parents}
+    assert sorted(map(tuple, history.commit_depths(commits).collect())) == sorted((h, way[-1], len(way) - 1) for h, way in ways.items() if way[-1] in parents)
+    assert sorted(map(tuple, history.log_of(commits, 39).collect())) == sorted((h, 39 - h) for h in range(40))
+    assert history.commit_depths(commits.where("false")).isEmpty()
+    assert sum("Join" in x for x in plans) > 10 and not any("Broadcast" in x for x in plans)
+
+
 def test_history(spark, tmp_path):
     store = history.Store(str(tmp_path))
     store.init()
